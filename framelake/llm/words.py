@@ -10,7 +10,8 @@ SLICE_BYTES = 2 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(1, dtype=np.uint64)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_POWERS: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -21,12 +22,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
     global _POWERS
-    if len(_POWERS) < n:
-        step = np.full(max(n, SLICE_BYTES + 65536), _BASE, dtype=np.uint64)
-        step[0] = 1
-        _POWERS = np.cumprod(step)
+    if len(_POWERS[0]) < n:
+        made = []
+        for x in (_BASE, _INVERSE):
+            step = np.full(max(n, SLICE_BYTES + 65536), x, dtype=np.uint64)
+            step[0] = 1
+            made.append(np.cumprod(step))
+        _POWERS = (made[0], made[1])
     return _POWERS
 
 
@@ -92,10 +97,10 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
     n = len(raw)
-    p = _powers(n + 1)
+    p, inverse = _powers(n + 1)
     s = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[LOWER[raw]] * p[:n], out=s[1:])
-    return mix((s[ends] - s[starts]) * p[n - starts])
+    return mix((s[ends] - s[starts]) * inverse[starts])
 
 
 def shingle_hashes(words: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
