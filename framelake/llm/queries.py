@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framelake.llm import decontam, mixing, tokens
 from framelake.llm.jaccard import jaccard_classes
 
 
@@ -16,6 +17,27 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), 3, 90, 100).drop("digest")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document words inside occurrences of 10-word windows of benchmark items."""
+    return decontam.hit_digest(decontam.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 150% of all words by weights 3, 1, 2 takes of each document."""
+    return mixing.mixture_table(_table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all texts, written in the bit-plane format and read back."""
+    return tokens.read_index(tokens.write_ids(_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
@@ -37,5 +59,39 @@ FROM s JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY 1) r USING (doc_
 """
 
 
+OP2_SQL = rf"""
+WITH b AS (SELECT item_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, n, unnest(g) AS g FROM (SELECT item_id, least(len(w), 10) AS n,
+        [array_to_string(w[i:i + least(len(w), 10) - 1], ' ') for i in range(1, len(w) - least(len(w), 10) + 2)] AS g FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+grams AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p, unnest([array_to_string(w[i:i + n - 1], ' ') for i in range(1, len(w) - n + 2)]) AS g
+          FROM d CROSS JOIN (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+occ AS (SELECT doc_id, p, grams.n, item_id FROM grams JOIN win ON grams.n = win.n AND grams.g = win.g),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM occ) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY 1),
+o AS (SELECT *, 2.0 * n AS cap, row_number() OVER (ORDER BY CAST(n AS DOUBLE) / w, source NULLS LAST) AS i, sum(n) OVER () * 1.5 AS budget FROM s),
+k AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+      sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left FROM o),
+level AS (SELECT CAST(budget - capped AS DOUBLE) AS rest, CAST(w_left AS DOUBLE) AS w_left FROM k
+          WHERE cap / w > CAST(budget - capped AS DOUBLE) / CAST(w_left AS DOUBLE) ORDER BY i LIMIT 1),
+t AS (SELECT source, n, CASE WHEN l.rest IS NULL OR cap <= w * l.rest / l.w_left THEN CAST(cap AS DOUBLE) ELSE w * l.rest / l.w_left END AS target
+      FROM k LEFT JOIN level l ON true),
+e AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS whole FROM t),
+u AS (SELECT d.*, e.n, e.target, e.whole, sum(size) OVER (PARTITION BY d.source ORDER BY draw, size ROWS UNBOUNDED PRECEDING) AS upto
+      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, n AS source_size, target,
+       CAST(size * (whole + CASE WHEN upto - size / 2.0 <= target - whole * n THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM u
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op4_source_mixing": OP4_SQL}
