@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import decontam, mixing, tokens
+from framelake.llm import decontam, mixing, quality, tokens
 from framelake.llm.jaccard import jaccard_classes
 
 
@@ -38,6 +38,11 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_index(tokens.write_ids(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by a sparse rule ensemble."""
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
