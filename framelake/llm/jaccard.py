@@ -332,6 +332,7 @@ def _voronoi(rows: DataFrame, n: int, num: int, den: int, leaf_rows: int, leaf_b
         pivots = sized.where((draw < 2 * PIVOTS / F.col("n")) | (draw == F.col("least"))).withColumn("draw", draw)
         pivots = pivots.groupBy("region", "shares").agg(F.slice(F.array_sort(F.collect_list(F.struct("draw", "doc_id", "text"))), 1, PIVOTS).alias("p"))
         pivots = pivots.select("region", "shares", F.explode("p").alias("p")).select("region", "p.doc_id", "p.text", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+        pivots = graph.cut(pivots).select(*[F.col(c).alias(c) for c in pivots.columns])
         dealt = docs.select("region", "share", "doc_id", "text").groupBy("region", "share").cogroup(pivots.groupBy("region", "share")).applyInArrow(_pivot_task(n, num, den), "region string, doc_id long, text string, cell long, home boolean, linked boolean")
         dealt = graph.cut(dealt)
         links.append(dealt.where("linked and doc_id <> cell").select(F.col("doc_id").alias("a"), F.col("cell").alias("b")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import decontam, mixing, quality, tokens
+from framelake.llm import decontam, mixing, ogg, quality, secrets, tokens
 from framelake.llm.jaccard import jaccard_classes
 
 
@@ -43,6 +43,16 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents by fixed patterns and by sliding-window entropy."""
+    return secrets.secret_digest(_table(spark, sf_dir, "documents"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as Ogg samples, read back, with features."""
+    return ogg.media_features(ogg.text_to_media(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
