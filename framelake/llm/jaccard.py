@@ -191,88 +191,92 @@ def _stars_task(batches):
 
 
 class _Space:
-    """Sets over their own small universe; exact intersections with one set at a time."""
+    """Sets over their own small universe; exact intersections of all with one of them. What only one set has is left out."""
+
+    DENSE_CELLS = 24 << 20
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(x) for x in sets], np.int64)
-        universe, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
-        self.off = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.mark = np.zeros(len(universe), np.int64)
-
-    def shared(self, i: int, rows: np.ndarray | None = None) -> np.ndarray:
+        universe, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count[ids] > 1
+        row = np.repeat(np.arange(len(sets)), self.sizes)[shared]
+        name = np.cumsum(count > 1) - 1
+        self.ids = name[ids[shared]]
+        self.off = np.searchsorted(row, np.arange(len(sets) + 1))
+        width = int((count > 1).sum())
+        self.dense = None
+        if width and len(sets) * width <= self.DENSE_CELLS:
+            self.dense = np.zeros((len(sets), width), np.float32)
+            self.dense[row, self.ids] = 1
+        self.mark = np.zeros(width, np.int64)
+
+    def shared(self, i: int) -> np.ndarray:
+        if self.dense is not None:
+            return (self.dense @ self.dense[i]).astype(np.int64)
         mine = self.ids[self.off[i] : self.off[i + 1]]
         self.mark[mine] = 1
-        if rows is None:
-            out = np.add.reduceat(self.mark[self.ids], self.off[:-1])
-        else:
-            out = np.array([self.mark[self.ids[self.off[r] : self.off[r + 1]]].sum() for r in rows], np.int64)
+        upto = np.concatenate(([0], np.cumsum(self.mark[self.ids])))
         self.mark[mine] = 0
+        out = upto[self.off[1:]] - upto[self.off[:-1]]
+        out[i] = self.sizes[i]
         return out
 
-    def union(self, i: int, shared: np.ndarray, rows=slice(None)) -> np.ndarray:
-        return self.sizes[i] + self.sizes[rows] - shared
+    def jaccard(self, i: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of all sets from set i, and which of them it links to."""
+        s = self.shared(i)
+        s[i] = self.sizes[i]
+        u = np.maximum(self.sizes[i] + self.sizes - s, 1)
+        return 1 - s / u, den * s >= num * u
 
 
-def link_leaf(sets: list[np.ndarray], num: int, den: int, probe: np.ndarray | None = None) -> np.ndarray:
-    """Class (least row reachable by links) of every set. probe: rows of which every pair has one at least, if not all."""
-    n = len(sets)
-    parent = np.arange(n)
+def link_leaf(sets: list[np.ndarray], num: int, den: int, probe: np.ndarray | None = None, within: bool = True) -> np.ndarray:
+    """Class (least row reachable by links) of every set.
 
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    probe: if given, only pairs with such a row are compared; within: whether pairs of two such rows are."""
+    n = len(sets)
+    cls = np.arange(n)
 
-    def join(i, rows):
-        for j in rows:
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
+    def join(rows):
+        found = np.unique(cls[rows])
+        if len(found) > 1:
+            cls[np.isin(cls, found)] = found[0]
 
     if n == 1:
-        return parent
+        return cls
     sp = _Space(sets)
     radius = (den - num) / den + 1e-9
-    dist, covered = [], np.zeros(n, bool)  # covered: sets linked to the first pivot need no comparison with each other
+    dist, covered, best = [], np.zeros(n, bool), -1  # covered: linked to one pivot, so of one class
     at = int(np.argsort(sp.sizes)[n // 2])
-    best = -1
     for _ in range(3 if n > 8 else 1):
-        s = sp.shared(at)
-        u = sp.union(at, s)
-        near = den * s >= num * u
-        join(at, np.flatnonzero(near))
-        dist.append(1 - s / u)
+        d, near = sp.jaccard(at, num, den)
+        join(np.append(np.flatnonzero(near), at))
+        dist.append(d)
         if near.sum() > best:
             best, covered = near.sum(), near
         at = int(np.argmax(np.min(dist, axis=0)))
-        if dist[0][at] <= radius and near.all():
-            break
     done = np.zeros(n, bool)  # a pair of two such rows was compared when the first one's turn came
+    if probe is not None and not within:
+        done |= probe
     for i in np.flatnonzero(~covered if probe is None else probe):
-        ok = (den * np.minimum(sp.sizes, sp.sizes[i]) >= num * np.maximum(sp.sizes, sp.sizes[i]))
+        done[i] = True
+        ok = ~done & (cls != cls[i]) & (den * np.minimum(sp.sizes, sp.sizes[i]) >= num * np.maximum(sp.sizes, sp.sizes[i]))
         for d in dist:
             ok &= np.abs(d - d[i]) <= radius
-        ok &= ~done
-        done[i] = True
-        mine = root(i)
-        rows = np.array([j for j in np.flatnonzero(ok) if j != i and root(j) != mine], np.int64)
-        if len(rows):
-            s = sp.shared(i, rows)
-            join(i, rows[den * s >= num * sp.union(i, s, rows)])
-    return np.array([root(i) for i in range(n)])
+        if ok.any():
+            join(np.append(np.flatnonzero(sp.jaccard(i, num, den)[1] & ok), i))
+    return cls
 
 
 def _leaf_task(n: int, num: int, den: int):
     def task(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, probe = table.column("doc_id").to_numpy(), table.column("probe").to_numpy()
+        ids, probe, within = table.column("doc_id").to_numpy(), table.column("probe").to_numpy(), table.column("within")[0].as_py()
         sets = [x for _, x in shingle_sets(table.column("text"), n)]
         full = np.array([len(x) > 0 for x in sets])
         sets, ids, probe = [x for x in sets if len(x)], ids[full], probe[full]
         if not sets:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        c = link_leaf(sets, num, den, None if probe.all() else probe)
+        c = link_leaf(sets, num, den, None if probe.all() and within else probe, within)
         return pa.table({"a": ids, "b": ids[c]})
 
     return task
@@ -292,9 +296,8 @@ def _pivot_task(n: int, num: int, den: int):
         pid = pivots.column("doc_id").to_numpy()
         dist, near = np.empty((len(pid), m)), np.empty((len(pid), m), bool)
         for j in range(len(pid)):
-            s = sp.shared(m + j)
-            u = np.maximum(sp.union(m + j, s), 1)
-            dist[j], near[j] = (1 - s / u)[:m], (den * s >= num * u)[:m]
+            d, link = sp.jaccard(m + j, num, den)
+            dist[j], near[j] = d[:m], link[:m]
         home = dist.argmin(axis=0)
         reach = dist <= dist.min(axis=0) + 2 * radius + 1e-9
         reach[home, np.arange(m)] = True
@@ -336,26 +339,31 @@ def _voronoi(rows: DataFrame, n: int, num: int, den: int, leaf_rows: int, leaf_b
         dealt = docs.select("region", "share", "doc_id", "text").groupBy("region", "share").cogroup(pivots.groupBy("region", "share")).applyInArrow(_pivot_task(n, num, den), "region string, doc_id long, text string, cell long, home boolean, linked boolean")
         dealt = graph.cut(dealt)
         links.append(dealt.where("linked and doc_id <> cell").select(F.col("doc_id").alias("a"), F.col("cell").alias("b")))
-        was = count.select("region", F.col("n").alias("was"))
-        cells = dealt.groupBy("region", "cell").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).join(was, "region")
-        kind = F.when((F.col("n") <= leaf_rows) & (F.col("chars") * 4 <= leaf_bytes), "leaf").when((F.col("n") <= 0.7 * F.col("was")) & F.lit(depth < rounds - 1), "again").otherwise("blocks")
-        cells = graph.cut(cells.select("region", "cell", "n", "chars", kind.alias("kind")))
-        dealt = dealt.join(cells, ["region", "cell"]).withColumn("region", F.concat_ws("/", "region", F.col("cell").cast("string")))
+        cells = dealt.groupBy("region", "cell").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(F.col("linked").cast("long")).alias("near"))
+        fits = (F.col("n") <= leaf_rows) & (F.col("chars") * 4 <= leaf_bytes)
+        cells = cells.withColumn("kind", F.when(fits, "leaf").otherwise("again"))
+        whole = cells.groupBy("region").agg(F.sum("n").alias("dealt"), F.max("n").alias("most"), F.max_by("cell", F.struct("near", "cell")).alias("best"))
+        parted = (F.col("dealt") <= 3 * F.col("was")) & (F.col("most") <= 0.7 * F.col("was")) & F.lit(depth < rounds - 1)
+        whole = whole.join(count.select("region", F.col("n").alias("was"), F.col("chars").alias("all_chars")), "region").select("region", "best", "was", "all_chars", parted.alias("parted"))
+        cells = graph.cut(cells.join(whole, "region").withColumn("kind", F.when(F.col("parted"), F.col("kind")).otherwise("blocks")).select("region", "cell", "kind", "best", "was", "all_chars"))
         kinds = {r[0] for r in cells.select("kind").distinct().collect()}
+        dealt = dealt.join(cells, ["region", "cell"])
+        named = F.concat_ws("/", "region", F.col("cell").cast("string")).alias("region")
         if "leaf" in kinds:
-            links.append(dealt.where("kind = 'leaf'").select("region", "doc_id", "text", F.lit(True).alias("probe")).groupBy("region").applyInArrow(leaf, "a long, b long"))
+            links.append(dealt.where("kind = 'leaf'").select(named, "doc_id", "text", F.lit(True).alias("probe"), F.lit(True).alias("within")).groupBy("region").applyInArrow(leaf, "a long, b long"))
         if "blocks" in kinds:
-            blocks = F.greatest(F.ceil(F.col("n") * 2 / leaf_rows), F.ceil(F.col("chars") * 8 / leaf_bytes)).cast("int")
-            left = dealt.where("kind = 'blocks'").withColumn("k", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
-            every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-            probes = left.where("not linked").select("region", F.col("mine").alias("i"), every.alias("j"), "doc_id", "text", F.lit(True).alias("probe"))
-            holds = left.where("not linked").groupBy("region").agg(F.collect_set("mine").alias("have"))
-            others = left.join(holds, "region").select("region", F.explode("have").alias("i"), F.col("mine").alias("j"), "doc_id", "text", F.lit(False).alias("probe"), "linked")
-            others = others.where("linked or i <> j").drop("linked")
-            links.append(probes.unionByName(others).groupBy("region", "i", "j").applyInArrow(leaf, "a long, b long"))
+            # pivots don't part this region: sets linked to its best pivot share a class, all others are compared with everything
+            left = dealt.where("kind = 'blocks'").withColumn("k", F.greatest(F.ceil(F.col("was") * 2 / leaf_rows), F.ceil(F.col("all_chars") * 8 / leaf_bytes)).cast("int"))
+            left = left.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+            linked = left.where("cell = best and linked").select("region", "doc_id").distinct().withColumn("linked_to_best", F.lit(True))
+            left = graph.cut(left.where("home").select("region", "doc_id", "text", "k", "mine").join(linked, ["region", "doc_id"], "left").withColumn("free", F.col("linked_to_best").isNull()))
+            every = F.sequence(F.lit(0), F.col("k") - 1)
+            probes = left.where("free").select("region", F.col("mine").alias("i"), F.explode(every).alias("j"), "doc_id", "text", F.lit(True).alias("probe"))
+            others = left.select("region", F.explode(every).alias("i"), F.col("mine").alias("j"), "doc_id", "text", "free").where("not free or i <> j").select("region", "i", "j", "doc_id", "text", F.lit(False).alias("probe"))
+            links.append(probes.unionByName(others).withColumn("within", F.col("i") == F.col("j")).groupBy("region", "i", "j").applyInArrow(leaf, "a long, b long"))
         if "again" not in kinds:
             return links
-        rows = graph.cut(dealt.where("kind = 'again'").select("region", "doc_id", "text"))
+        rows = graph.cut(dealt.where("kind = 'again'").select(named, "doc_id", "text"))
     return links
 
 
@@ -377,7 +385,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     sized = texts.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
     sized = graph.cut(sized.where("n > 1").withColumn("big", (F.col("n") > leaf_rows) | (F.col("chars") * 4 > leaf_bytes)).select("region", "big"))
     marked = texts.join(sized, "region")
-    links = [marked.where("not big").select("region", "doc_id", "text", F.lit(True).alias("probe")).groupBy("region").applyInArrow(_leaf_task(n, num, den), "a long, b long")]
+    links = [marked.where("not big").select("region", "doc_id", "text", F.lit(True).alias("probe"), F.lit(True).alias("within")).groupBy("region").applyInArrow(_leaf_task(n, num, den), "a long, b long")]
     if sized.where("big").limit(1).count():
         links += _voronoi(graph.cut(marked.where("big").select("region", "doc_id", "text")), n, num, den, leaf_rows, leaf_bytes)
     pairs = links[0]
