@@ -234,7 +234,6 @@ def test_pipeline(spark, tmp_path):
         run_pipeline(f, p, path, "r", "s", 3)
     with pytest.raises(FrameError):
         writers.check_frames(f.with_(f.df.where("x < 3 or frame_no > 0")))
-        convert.map_frames(f, lambda a: a, height=0)
 
 
 def test_stream_equals_batch(spark, tmp_path):
