@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import decontam, mixing, ogg, quality, secrets, tokens
+from framelake.llm import decontam, katz, licenses, lines, mixing, ogg, quality, secrets, tokens
 from framelake.llm.jaccard import jaccard_classes
 
 
@@ -22,6 +22,11 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.hit_digest(decontam.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices and texts in all documents, by patience alignment with templates."""
+    return licenses.license_hits(_table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150% of all words by weights 3, 1, 2 takes of each document."""
     return mixing.mixture_table(_table(spark, sf_dir, "documents"))
@@ -48,6 +53,16 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that copy a line before them, equal or within two edits."""
+    return lines.line_digest(_table(spark, sf_dir, "documents"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all texts under a Katz backoff model of the training rows."""
+    return katz.katz_scores(_table(spark, sf_dir, "documents"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts stored as Ogg samples, read back, with features."""
     return ogg.media_features(ogg.text_to_media(_table(spark, sf_dir, "documents")))
