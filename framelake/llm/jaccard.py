@@ -18,6 +18,7 @@ document to every cell. The join therefore has two levels.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -57,11 +58,23 @@ def class_of(n: int) -> int:
     return int(np.searchsorted(_FLOORS, n, "right")) - 1
 
 
-def parts_of(k: int, num: int, den: int) -> int:
-    """Parts for class k: one more than the largest symmetric difference of a linked pair whose smaller set is in it."""
-    a = _floors(k + 2)[k + 1] - 1
-    b = den * a // num
-    return (a + b) * (den - num) // (den + num) + 1
+_PARTS: dict[tuple[int, int, int], tuple[int, int]] = {}
+
+
+def parts_of(k: int, num: int, den: int) -> tuple[int, int]:
+    """Parts for class k, and the most of them that a linked pair whose smaller set is in the class can differ in.
+
+    There is one part more than that, and some more where parts are so small that several will be empty."""
+    if (k, num, den) not in _PARTS:
+        low, a = _floors(k + 2)[k], _floors(k + 2)[k + 1] - 1
+        b = den * a // num
+        most = (a + b) * (den - num) // (den + num)
+        m = most + 1
+        for _ in range(8):
+            empty = m * math.exp(-1.1 * low / m)  # about so many
+            m = most + 1 + math.ceil(max(0.0, empty + 2 * math.sqrt(empty) - 0.3)) if most else 1
+        _PARTS[k, num, den] = (min(m, 2 * most + 1), most)
+    return _PARTS[k, num, den]
 
 
 _EDGES: dict[int, np.ndarray] = {}
@@ -79,15 +92,15 @@ SEEDS = np.array([0, 0x1B873593CC9E2D51, 0x2545F4914F6CDD1D], dtype=np.uint64)
 def part_keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys such that two linked, different sets share at least one. h: sorted distinct hashes.
 
-    A part that is empty in a set says nothing; a set with such parts is cut again with another seed, and only at the
-    last seed are empty parts keys as well.
+    Of m parts a linked pair agrees on m - most at least. Where a set has fewer empty parts, one of those has elements and
+    is a key. A set with as many empty parts is cut again with another seed; at the last seed empty parts are keys too.
     """
     n = len(h)
     least = -(-num * n // den)
     out = []
     for k in range(class_of(max(least, 1)), class_of(n) + 1):
-        m = parts_of(k, num, den)
-        if m == 1:
+        m, most = parts_of(k, num, den)
+        if most == 0:
             continue  # only equal sets link
         for s, seed in enumerate(SEEDS):
             x = h if s == 0 else np.sort(mix(h ^ seed))
@@ -99,7 +112,7 @@ def part_keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
             tag = np.uint64((k * 8 + s) << 32) + np.arange(m, dtype=np.uint64)
             keys = mix((cum[hi] - cum[lo]) ^ mix(tag))
             out.append(keys if s == len(SEEDS) - 1 else keys[full])
-            if full.all():
+            if m - full.sum() < m - most:
                 break
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 

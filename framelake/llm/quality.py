@@ -169,10 +169,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 def with_score(docs: DataFrame, model: RuleModel, name: str = "score") -> DataFrame:
     """docs with the model's score of every whole text (null and empty texts too). No row moves."""
-    used = sorted({FEATURES[f] for rule in model.rules for f, _, _ in rule})
+    used = sorted({FEATURES[f] for rule in model.rules for f, _, _ in rule}) or FEATURES[:1]
     stats = statistics(F.col("text").cast("string"))
-    held = docs.withColumns({f"_stat_{k}": stats[k].cast("double") for k in used}) if used else docs
-    return held.withColumn(name, model.column({k: F.col(f"_stat_{k}") for k in used})).drop(*[f"_stat_{k}" for k in used])
+    # a lambda binds the statistics once a row, wherever the optimizer moves the score (a pushed filter would repeat them)
+    held = F.array(F.struct(*[stats[k].cast("double").alias(k) for k in used]))
+    score = F.element_at(F.transform(held, lambda s: model.column({k: s[k] for k in used})), 1)
+    return docs.withColumn(name, score)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

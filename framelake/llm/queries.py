@@ -123,5 +123,33 @@ SELECT doc_id, size, n AS source_size, target,
 """
 
 
+def _op6_sql() -> str:
+    """The same spans from the gaps between matches; entropies by counting each window anew."""
+    plain = {0: secrets.ASSIGN, 1: secrets.ACCESS, 2: "[0-9a-f]+", 3: "[A-Za-z0-9+/_=-]+"}
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    keep = {0: f"length(regexp_extract(m, {quote(secrets.ASSIGN)}, 2)) >= 12", 1: "length(m) >= 18", 2: "length(m) >= 16"}
+    allowed = " ".join(f"AND NOT regexp_full_match(m, {quote(p)})" for p in secrets.ALLOWED)
+    keep[3] = f"length(m) >= 20 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') {allowed}"
+    bits = "CASE " + " ".join(f"WHEN regexp_full_match(m, {quote(p)}) THEN {b}" for _, p, b in secrets.CLASSES) + " ELSE 99 END"
+    found = " UNION ALL ".join(
+        f"""SELECT * FROM (SELECT doc_id, {k} AS k, ms[i] AS m, CAST(list_sum([length(x) FOR x IN gaps[1:i]]) + coalesce(list_sum([length(x) FOR x IN ms[1:i - 1]]), 0) AS BIGINT) AS s
+        FROM (SELECT doc_id, string_split_regex(t, {quote(p)}) AS gaps, regexp_extract_all(t, {quote(p)}) AS ms FROM d), unnest(range(1, len(ms) + 1)) u(i)) WHERE {keep[k]}"""
+        for k, p in plain.items()
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
+base AS (SELECT doc_id, k, s, s + length(m) AS e FROM f WHERE k < 3),
+c AS (SELECT doc_id, s, m, {bits} AS bits FROM f WHERE k = 3),
+w AS (SELECT doc_id, s, any_value(bits) AS bits, i, log2(20) - sum(n * log2(n)) / 20 AS h FROM (
+      SELECT doc_id, s, bits, i, ch, count(*) AS n FROM (SELECT doc_id, s, bits, i, unnest(string_split(substr(m, CAST(i AS INTEGER) + 1, 20), '')) AS ch FROM c, unnest(range(0, length(m) - 19)) u(i)) GROUP BY ALL) GROUP BY doc_id, s, i),
+hot AS (SELECT doc_id, 3 AS k, s + min(i) AS s, s + max(i) + 20 AS e FROM w WHERE h >= bits GROUP BY doc_id, w.s),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM hot WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = hot.doc_id AND b.s < hot.e AND hot.s < b.e)),
+named AS (SELECT *, (['assign', 'access', 'hex', 'entropy'])[k + 1] || ':' || s || ':' || e AS said FROM spans)
+SELECT d.doc_id, count(said) FILTER (k = 0) AS n_assign, count(said) FILTER (k = 1) AS n_access, count(said) FILTER (k = 2) AS n_hex,
+       sha256(coalesce(string_agg(said, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY s, k), '') AS spans
+FROM d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op4_source_mixing": OP4_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op4_source_mixing": OP4_SQL, "op6_secret_scan": _op6_sql()}
