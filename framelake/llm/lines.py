@@ -1,6 +1,7 @@
 """Line dedup in column expressions only: a segment-partition edit join over all different lines.
 
-Two lines within `max_edits` edits agree on one of max_edits + 1 segments of the shorter one. Segments are indexed by length
+Lines are linked by one edit for each 20 characters of the shorter one, `max_edits` at most. Two lines within that many
+edits agree on one of edits + 1 segments of the shorter one, each of 10 characters or more. Segments are indexed by length
 and number, longer lines probe with the few substrings that an alignment allows, and candidates are verified by a banded
 bit-parallel edit distance whose column of 2 * max_edits + 1 cells is one integer.
 """
@@ -23,27 +24,38 @@ def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return F.lit(i) * size + longer + 1, size + (F.lit(i) >= F.lit(parts) - more).cast("int")
 
 
-def index_keys(line: Column, edits: int) -> Column:
+def edits_for(length: Column, max_edits: int) -> Column:
+    """Edits that a line of this length may differ by."""
+    return F.least(F.floor(length / MIN_CHARS), F.lit(max_edits)).cast("int")
+
+
+def index_keys(line: Column, max_edits: int) -> Column:
     """Keys of a line's own segments."""
-    n = F.length(line)
-    return F.array(*[F.xxhash64(n, F.lit(i), F.substr(line, *segment(n, i, edits))) for i in range(edits + 1)])
+    n, out = F.length(line), []
+    for edits in range(1, max_edits + 1):
+        mine = edits_for(n, max_edits) == edits
+        out += [F.when(mine, F.xxhash64(n, F.lit(i), F.substr(line, *segment(n, i, edits)))) for i in range(edits + 1)]
+    return F.array_compact(F.array(*out))
 
 
-def probe_keys(line: Column, edits: int) -> Column:
-    """Keys by which a line finds lines of its length and of up to `edits` characters less (multi-match-aware substrings)."""
+def probe_keys(line: Column, max_edits: int) -> Column:
+    """Keys by which a line finds lines of its length and somewhat shorter ones (multi-match-aware substrings)."""
     out = []
-    for less in range(edits + 1):
-        n = F.length(line) - less
-        for i in range(edits + 1):
-            start, size = segment(n, i, edits)
-            for off in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                at = start + off
-                out.append(F.when((at >= 1) & (at + size - 1 <= F.length(line)), F.xxhash64(n, F.lit(i), F.substr(line, at, size))))
+    for edits in range(1, max_edits + 1):
+        for less in range(edits + 1):
+            n = F.length(line) - less
+            mine = edits_for(n, max_edits) == edits
+            for i in range(edits + 1):
+                start, size = segment(n, i, edits)
+                for off in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                    at = start + off
+                    ok = mine & (at >= 1) & (at + size - 1 <= F.length(line))
+                    out.append(F.when(ok, F.xxhash64(n, F.lit(i), F.substr(line, at, size))))
     return F.array_compact(F.array(*out))
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
-    """Whether the edit distance of two strings (longer than `edits`, lengths within it) is at most `edits`.
+    """Whether the edit distance of two strings, both longer than `edits`, is at most `edits` and what their lengths allow.
 
     A column of the distance matrix is kept in a band around the diagonal as two bit vectors of its vertical steps."""
     width = 2 * edits + 1
@@ -71,7 +83,7 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
     start = F.struct(chars.alias("chars"), text.alias("text"), F.lit((mask << edits) & mask).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"), F.lit(0).alias("pm"))
     done = F.aggregate(F.sequence(F.lit(1), n), start, lambda s, j: settle(step(s, j), j), lambda s: s["d"])
-    return (F.abs(m - n) <= edits) & (done <= edits)
+    return (F.abs(m - n) <= edits) & (done <= edits_for(F.least(m, n), edits))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -104,8 +116,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int) -> DataFrame:
 def kept_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, pos, kept, exact, near of every line.
 
-    Lines of at least `min_chars` characters that are equal or linked by edit distances of at most `max_edits` are a class;
-    its first line (least doc_id, then position) is kept, the others go as exact copies of a line before them or as near
+    Lines of at least `min_chars` characters that are equal or linked by edit distances of at most `max_edits` (and one for each 20
+    characters) are a class; its first line (least doc_id, then position) is kept, the others go as exact copies of a line before them or as near
     ones. Shorter lines stay. Rows of one doc_id are one document, so a repeated row adds no lines; rows of null doc_id or
     text have no lines.
     """
