@@ -114,8 +114,10 @@ def _task(windows: Windows, keep_text: bool):
                     return
                 hit, which, run = _shard_hits(windows, sym, length)
                 off = np.concatenate(([0], np.cumsum(length)))
-                of_run = np.searchsorted(off, np.flatnonzero(hit), "right") - 1
                 pos = np.flatnonzero(hit)
+                if not len(pos):
+                    return
+                of_run = np.searchsorted(off, pos, "right") - 1
                 cut = np.ones(len(pos), bool)
                 cut[1:] = (pos[1:] != pos[:-1] + 1) | (of_run[1:] != of_run[:-1])
                 starts = np.flatnonzero(cut)
