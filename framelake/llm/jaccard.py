@@ -407,7 +407,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     joined = graph.cut(graph.components(pairs))
     joined = joined.where("node <> component").select(F.col("node").alias("rep"), "component")
     of_rep = distinct.join(graph.small(joined), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return sets.drop("node").join(of_rep, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "digest")
+    return sets.drop("node").join(of_rep, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "digest")
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
