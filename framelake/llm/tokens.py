@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,13 +61,17 @@ def from_planes(planes: list[bytes], n: int, block: int = BLOCK_IDS) -> np.ndarr
 # --- encoding --------------------------------------------------------------------------------------------------------
 
 MEMO_PIECES = 1_000_000
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".,;:!?"]] = True
 
 
 class Encoder:
     """Ids of texts by a byte-level BPE without a normaliser.
 
-    Such a tokenizer splits words before a blank that a word follows, and merges nothing across. Texts are cut there, each
-    different piece is encoded once by the tokenizers library, and the ids are put together again: the same ids as of the
+    Such a tokenizer splits words before a blank that a word follows, between a letter and a stop, and between a single line
+    end and a letter, and merges nothing across. Texts are cut there, each different piece is encoded once by the tokenizers library, and the ids are put together again: the same ids as of the
     whole text.
     """
 
@@ -87,7 +92,7 @@ class Encoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
         at = len(self.ids) + np.cumsum(n) - n
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(n.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))
         order = np.argsort(np.concatenate((self.keys, keys)), kind="stable")
         self.keys = np.concatenate((self.keys, keys))[order]
         self.at, self.len = np.concatenate((self.at, at))[order], np.concatenate((self.len, n))[order]
@@ -102,6 +107,9 @@ class Encoder:
         after[:-1] = ~SPACE[raw[1:]] & (raw[1:] > 32) & ((raw[1:] < 127) | (raw[1:] > 0xC2) & (raw[1:] != 0xE1) & (raw[1:] != 0xE2) & (raw[1:] != 0xE3) & (raw[1:] != 0xEF))
         after[-1] = False
         begin = (raw == 32) & after
+        letter = _LETTER[raw]
+        begin[1:] |= _STOP[raw[1:]] & letter[:-1]
+        begin[2:] |= letter[2:] & (raw[1:-1] == 10) & (raw[:-2] > 32) & (raw[:-2] < 127)
         begin[off[:-1][off[:-1] < n]] = True
         starts = np.flatnonzero(begin)
         ends = np.concatenate((starts[1:], [n]))
