@@ -16,12 +16,16 @@ from framelake.llm import graph
 MIN_CHARS = 20
 
 
-def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 0) of edits + 1; the last ones have a character more."""
-    parts = edits + 1
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def segment(length: Column, i: Column, parts: Column) -> tuple[Column, Column]:
+    """Start (from 1) and length of segment i (from 0) of `parts`; the last ones have a character more."""
     size, more = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    longer = F.greatest(F.lit(i - parts) + more, F.lit(0))
-    return F.lit(i) * size + longer + 1, size + (F.lit(i) >= F.lit(parts) - more).cast("int")
+    longer = F.greatest(i - parts + more, F.lit(0))
+    return i * size + longer + 1, size + (i >= parts - more).cast("int")
 
 
 def edits_for(length: Column, max_edits: int) -> Column:
@@ -29,29 +33,30 @@ def edits_for(length: Column, max_edits: int) -> Column:
     return F.least(F.floor(length / MIN_CHARS), F.lit(max_edits)).cast("int")
 
 
+def _keys(line: Column, max_edits: int, places: list[tuple[int, int, int, int]]) -> Column:
+    """Keys of substrings. places: (edits, characters less than the line, segment, offset); those for other lengths give none."""
+    given = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("edits", "less", "i", "off"), p, strict=True)]) for p in places])
+
+    def key(p: Column, all_: Column, n: Column) -> Column:
+        start, size = segment(n, p["i"], p["edits"] + 1)
+        return let(F.struct((start + p["off"]).alias("at"), size.alias("size")), lambda q: F.when((q["at"] >= 1) & (q["at"] + q["size"] - 1 <= all_), F.xxhash64(n, p["i"], F.substr(line, q["at"], q["size"]))))
+
+    def of_length(all_: Column) -> Column:
+        mine = F.filter(given, lambda p: edits_for(all_ - p["less"], max_edits) == p["edits"])
+        return F.array_compact(F.transform(mine, lambda p: let(all_ - p["less"], lambda n: key(p, all_, n))))
+
+    return let(F.length(line), of_length)
+
+
 def index_keys(line: Column, max_edits: int) -> Column:
     """Keys of a line's own segments."""
-    n, out = F.length(line), []
-    for edits in range(1, max_edits + 1):
-        mine = edits_for(n, max_edits) == edits
-        out += [F.when(mine, F.xxhash64(n, F.lit(i), F.substr(line, *segment(n, i, edits)))) for i in range(edits + 1)]
-    return F.array_compact(F.array(*out))
+    return _keys(line, max_edits, [(edits, 0, i, 0) for edits in range(1, max_edits + 1) for i in range(edits + 1)])
 
 
 def probe_keys(line: Column, max_edits: int) -> Column:
     """Keys by which a line finds lines of its length and somewhat shorter ones (multi-match-aware substrings)."""
-    out = []
-    for edits in range(1, max_edits + 1):
-        for less in range(edits + 1):
-            n = F.length(line) - less
-            mine = edits_for(n, max_edits) == edits
-            for i in range(edits + 1):
-                start, size = segment(n, i, edits)
-                for off in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                    at = start + off
-                    ok = mine & (at >= 1) & (at + size - 1 <= F.length(line))
-                    out.append(F.when(ok, F.xxhash64(n, F.lit(i), F.substr(line, at, size))))
-    return F.array_compact(F.array(*out))
+    places = [(edits, less, i, off) for edits in range(1, max_edits + 1) for less in range(edits + 1) for i in range(edits + 1) for off in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+    return _keys(line, max_edits, places)
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -60,30 +65,34 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     A column of the distance matrix is kept in a band around the diagonal as two bit vectors of its vertical steps."""
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    chars = F.concat(F.array_repeat(F.lit(""), edits), F.split(a, ""), F.array_repeat(F.lit(""), width + edits))
-    text = F.split(b, "")
-    m, n = F.length(a), F.length(b)
     no = lambda x: F.lit(mask) - x.bitwiseAND(F.lit(mask))
+    bit = lambda v, k: F.call_function("shiftright", v, k).bitwiseAND(F.lit(1))
 
-    def step(s: Column, j: Column) -> Column:
-        here = F.element_at(s["text"], j)
-        pm = sum((F.when(F.element_at(s["chars"], j + k) == here, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)), F.lit(0))
-        return F.struct(s["chars"].alias("chars"), s["text"].alias("text"), s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), pm.alias("pm"))
-
-    def settle(s: Column, j: Column) -> Column:
-        vp, vn, pm = s["vp"], s["vn"], s["pm"]
-        d0 = (pm.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(pm).bitwiseOR(vn).bitwiseAND(F.lit(mask))
-        hp = vn.bitwiseOR(no(d0.bitwiseOR(vp)))
-        hn = d0.bitwiseAND(vp)
-        x = F.shiftright(d0, 1)
-        bit = lambda v, k: F.shiftrightunsigned(v, k).bitwiseAND(F.lit(1)) if isinstance(k, int) else F.call_function("shiftright", v, k).bitwiseAND(F.lit(1))
-        row = F.greatest(m - j + edits, F.lit(0))
-        d = F.when(j <= m - edits, s["d"] + 1 - bit(d0, width - 1)).otherwise(s["d"] + bit(hp, row) - bit(hn, row))
-        return F.struct(s["chars"].alias("chars"), s["text"].alias("text"), hn.bitwiseOR(no(x.bitwiseOR(hp))).alias("vp"), x.bitwiseAND(hp).alias("vn"), d.alias("d"), pm.alias("pm"))
-
-    start = F.struct(chars.alias("chars"), text.alias("text"), F.lit((mask << edits) & mask).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"), F.lit(0).alias("pm"))
-    done = F.aggregate(F.sequence(F.lit(1), n), start, lambda s, j: settle(step(s, j), j), lambda s: s["d"])
-    return (F.abs(m - n) <= edits) & (done <= edits_for(F.least(m, n), edits))
+    def distance(given: Column) -> Column:
+        m, n = given["m"], given["n"]
+
+        def step(s: Column, j: Column) -> Column:
+            def column(here: Column) -> Column:
+                pm = sum((F.when(F.get(given["chars"], j + (k - 1)) == here, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)), F.lit(0))
+                return let(pm, vertical)
+
+            def vertical(pm: Column) -> Column:
+                d0 = (pm.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(pm).bitwiseOR(s["vn"]).bitwiseAND(F.lit(mask))
+                return let(d0, lambda d: let(F.struct(d.alias("d0"), s["vn"].bitwiseOR(no(d.bitwiseOR(s["vp"]))).alias("hp"), d.bitwiseAND(s["vp"]).alias("hn"), F.shiftright(d, 1).alias("x")), settle))
+
+            def settle(h: Column) -> Column:
+                row = F.greatest(m - j + edits, F.lit(0))
+                d = F.when(j <= m - edits, s["d"] + 1 - bit(h["d0"], F.lit(width - 1))).otherwise(s["d"] + bit(h["hp"], row) - bit(h["hn"], row))
+                return F.struct(h["hn"].bitwiseOR(no(h["x"].bitwiseOR(h["hp"]))).alias("vp"), h["x"].bitwiseAND(h["hp"]).alias("vn"), d.alias("d"))
+
+            return let(F.get(given["text"], j - 1), column)
+
+        start = F.struct(F.lit((mask << edits) & mask).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"))
+        done = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["d"])
+        return (F.abs(m - n) <= edits) & (done <= edits_for(F.least(m, n), edits))
+
+    chars = F.concat(F.array_repeat(F.lit(""), edits), F.split(a, ""), F.array_repeat(F.lit(""), width + edits))
+    return let(F.struct(chars.alias("chars"), F.split(b, "").alias("text"), F.length(a).alias("m"), F.length(b).alias("n")), distance)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
