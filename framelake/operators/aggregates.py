@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.errors import FrameError
 from framelake.frames import FRAME
 from framelake.functions.scalars import natural_key, sequence_number, sequence_pattern
+from framelake.operators.ordering import global_rank
 
 PLACE = ["y", "x", "channel"]
 _INF = float("inf")
@@ -103,8 +104,8 @@ def sequence_files(files: DataFrame, pattern: str) -> DataFrame:
     """Files of a sequence with frame_no in natural order."""
     from framelake.functions.scalars import glob_match
 
-    rank = F.row_number().over(Window.orderBy(natural_key(F.col("name")), "name")) - 1
-    return files.where(glob_match(F.col("name"), pattern)).select("name", rank.cast("long").alias("frame_no"), sequence_number(F.col("name")).alias("number"))
+    found = global_rank(files.where(glob_match(F.col("name"), pattern)), natural_key(F.col("name")), "name", name="frame_no")
+    return found.select("name", "frame_no", sequence_number(F.col("name")).alias("number"))
 
 
 def dataset_size(datasets: DataFrame) -> DataFrame:
@@ -121,6 +122,6 @@ def grid_check(volumes: DataFrame) -> DataFrame:
 
 
 def time_monotonic(volumes: DataFrame) -> DataFrame:
-    """Volumes (rank, time_s) whose time is not after the one before."""
-    before = F.lag("time_s").over(Window.orderBy("rank"))
-    return volumes.select("rank", "time_s", before.alias("before")).where("time_s <= before")
+    """Volumes (rank, time_s; ranks without gaps) whose time is not after the one before."""
+    before = volumes.select((F.col("rank") + 1).alias("rank"), F.col("time_s").alias("before"))
+    return volumes.select("rank", "time_s").join(before, "rank").where("time_s <= before")

@@ -15,6 +15,7 @@ from framelake.functions import pointwise as fn
 from framelake.functions import scalars
 from framelake.functions.colormaps import FIRE, color_tables
 from framelake.operators import aggregates, convert, geometry, joins, neighbourhood
+from framelake.operators.ordering import global_rank
 from framelake.plans.pipeline import OPERATIONS, Param, Pipeline, Step, experiment_scan, register, run_pipeline
 from framelake.sources import files as listings
 from framelake.sources import vtk, writers
@@ -163,11 +164,8 @@ def q_find_files(spark, sf_dir):
 
 @query(f"WITH {PAGES} SELECT name, is_dir, NOT is_dir AND (name LIKE '%.tif' OR name LIKE '%.VTK') AS openable, row_number() OVER (ORDER BY NOT is_dir, page_id) AS rank FROM f")
 def q_scan_files(spark, sf_dir):
-    from pyspark.sql import Window
-
     shown = listings.listing(pages(spark, sf_dir))
-    rank = F.row_number().over(Window.orderBy(~F.col("is_dir"), scalars.natural_key(F.col("name")), "name")).cast("long")
-    return shown.select("name", "is_dir", "openable", rank.alias("rank"))
+    return global_rank(shown, ~F.col("is_dir"), scalars.natural_key(F.col("name")), "name", first=1).select("name", "is_dir", "openable", "rank")
 
 
 @query(f"WITH {PAGES} SELECT name, row_number() OVER (PARTITION BY folder ORDER BY NOT is_dir, page_id) AS rank FROM f")
@@ -180,10 +178,7 @@ def q_dirs_first_sort(spark, sf_dir):
 
 @query(f"WITH {NAMES} SELECT name, row_number() OVER (ORDER BY k % 3, k) AS rank FROM n")
 def q_natural_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.orderBy(scalars.natural_key(F.col("name")), "name")).cast("long")
-    return names(spark, sf_dir).select("name", rank.alias("rank"))
+    return global_rank(names(spark, sf_dir), scalars.natural_key(F.col("name")), "name", first=1).select("name", "rank")
 
 
 @query("SELECT vec_id AS frame_no FROM embeddings WHERE vec_id % 91 = 17 AND vec_id < (SELECT max(vec_id) FROM embeddings WHERE vec_id % 91 <> 17)")
@@ -327,8 +322,7 @@ def q_cast_dtype(spark, sf_dir):
 
 @query(f"WITH {PX} SELECT frame_no, y, x, row_number() OVER (ORDER BY frame_no, y, x) - 1 AS place FROM px")
 def q_frame_order(spark, sf_dir):
-    ordered = geometry.in_order(emb(spark, sf_dir).df)
-    return ordered.select("frame_no", "y", "x", (F.col("frame_no") * 64 + F.col("y") * 8 + F.col("x")).alias("place"))
+    return global_rank(emb(spark, sf_dir).df, "dataset_id", "frame_no", "y", "x", "channel", name="place").select("frame_no", "y", "x", "place")
 
 
 # --- joins -----------------------------------------------------------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from framelake.errors import FrameError
 from framelake.functions.scalars import natural_key, parse_time_title
+from framelake.operators.ordering import global_rank
 
 HEADER_BYTES = 4096
 #: VTK's type names (fixed values).
@@ -173,9 +174,7 @@ def catalog_of(files: DataFrame) -> DataFrame:
 
 def series_rank(catalog: DataFrame) -> DataFrame:
     """Volumes with their rank in the natural order of their names (a row for each file)."""
-    from pyspark.sql import Window
-
-    return catalog.withColumn("rank", (F.row_number().over(Window.orderBy(natural_key(F.col("dataset_id")), "dataset_id")) - 1).cast("long"))
+    return global_rank(catalog, natural_key(F.col("dataset_id")), "dataset_id")
 
 
 def stack_volumes(planes: DataFrame, ranked: DataFrame, depth: int) -> DataFrame:
