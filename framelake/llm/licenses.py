@@ -114,15 +114,25 @@ class Scanner:
             enough = (np.bincount(region) >= need) & (np.bincount(seen, minlength=region[-1] + 1) >= kinds)
             bounds = np.append(np.flatnonzero(new), len(p))
             for r in np.flatnonzero(enough):
-                lo, hi = bounds[r], bounds[r + 1]
-                while hi - lo >= need:
+                todo, found = [(int(bounds[r]), int(bounds[r + 1]))], []
+                while todo:
+                    lo, hi = todo.pop()
+                    if hi - lo < need:
+                        continue
                     pairs = patience(template.tolist(), s[lo:hi].tolist())
-                    if len(pairs) < need:
-                        break
-                    first, last = lo + min(j for _, j in pairs), lo + max(j for _, j in pairs)
-                    start = int(woff[d[lo]])
-                    yield int(d[lo]), k, len(pairs), int(p[first]) - start, int(p[last]) - start + 1
-                    lo = last + 1
+                    if len(pairs) >= need:  # other copies may stand on either side
+                        first, last = lo + min(j for _, j in pairs), lo + max(j for _, j in pairs)
+                        found.append((-len(pairs), first, last))
+                        todo += [(last + 1, hi), (lo, first)]
+                    elif hi - lo > 3 * len(template) // 2:  # several copies leave no unique words: overlapping halves have fewer
+                        half, reach = (lo + hi) // 2, (3 * len(template) // 2 + 1) // 2
+                        todo += [(half - reach, hi), (lo, half + reach)] if hi - lo > 4 * reach else [(lo + (hi - lo) // 3, hi), (lo, hi - (hi - lo) // 3)]
+                kept: list[tuple[int, int]] = []
+                for n, first, last in sorted(set(found)):  # of results that overlap, the fullest
+                    if all(last < a or b < first for a, b in kept):
+                        kept.append((first, last))
+                        start = int(woff[d[first]])
+                        yield int(d[first]), k, -n, int(p[first]) - start, int(p[last]) - start + 1
 
 
 def _task(templates: dict[str, str], coverage: float, max_gap: int):

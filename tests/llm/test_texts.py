@@ -333,3 +333,5 @@ def test_license_scan(spark):
     r = next(r for r in got if r.doc_id == 3)
     assert (r.coverage, r.matched, r.start_word, r.end_word) == (1.0, 5, 50, 55)
     assert licenses.license_hits(docs(spark, [])).count() == 0
+    twice = [(1, "The under. " + "Released under the MIT License. " * 2), (2, "the under license released mit " * 40)]
+    assert licenses.license_hits(docs(spark, twice)).where("doc_id = 1").count() == 2
