@@ -127,10 +127,11 @@ class Scanner:
                     elif hi - lo > 3 * len(template) // 2:  # several copies leave no unique words: overlapping halves have fewer
                         half, reach = (lo + hi) // 2, (3 * len(template) // 2 + 1) // 2
                         todo += [(half - reach, hi), (lo, half + reach)] if hi - lo > 4 * reach else [(lo + (hi - lo) // 3, hi), (lo, hi - (hi - lo) // 3)]
-                kept: list[tuple[int, int]] = []
+                base = int(bounds[r])
+                taken = np.zeros(int(bounds[r + 1]) - base, bool)
                 for n, first, last in sorted(set(found)):  # of results that overlap, the fullest
-                    if all(last < a or b < first for a, b in kept):
-                        kept.append((first, last))
+                    if not taken[first - base : last - base + 1].any():
+                        taken[first - base : last - base + 1] = True
                         start = int(woff[d[first]])
                         yield int(d[first]), k, -n, int(p[first]) - start, int(p[last]) - start + 1
 
