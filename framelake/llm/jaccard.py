@@ -22,6 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -300,7 +301,7 @@ def _pivot_task(n: int, num: int, den: int):
     radius = (den - num) / den
 
     def task(docs: pa.Table, pivots: pa.Table) -> pa.Table:
-        none = pa.table({"region": pa.array([], pa.string()), "doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "cell": pa.array([], pa.int64()), "home": pa.array([], pa.bool_()), "linked": pa.array([], pa.bool_())})
+        none = pa.table({"region": pa.array([], pa.string()), "doc_id": pa.array([], pa.int64()), "chars": pa.array([], pa.int64()), "cell": pa.array([], pa.int64()), "home": pa.array([], pa.bool_()), "linked": pa.array([], pa.bool_())})
         if docs.num_rows == 0 or pivots.num_rows == 0:
             return none
         docs, pivots = docs.combine_chunks(), pivots.combine_chunks()
@@ -315,8 +316,9 @@ def _pivot_task(n: int, num: int, den: int):
         reach = dist <= dist.min(axis=0) + 2 * radius + 1e-9
         reach[home, np.arange(m)] = True
         j, i = np.nonzero(reach)
-        take = docs.take(pa.array(i))
-        return pa.table({"region": take.column("region"), "doc_id": take.column("doc_id"), "text": take.column("text"), "cell": pa.array(pid[j]), "home": pa.array(home[i] == j), "linked": pa.array(near[j, i])})
+        take = docs.select(["region", "doc_id"]).take(pa.array(i))
+        chars = pc.utf8_length(docs.column("text")).to_numpy()[i].astype(np.int64)
+        return pa.table({"region": take.column("region"), "doc_id": take.column("doc_id"), "chars": pa.array(chars), "cell": pa.array(pid[j]), "home": pa.array(home[i] == j), "linked": pa.array(near[j, i])})
 
     return task
 
@@ -349,10 +351,10 @@ def _voronoi(rows: DataFrame, n: int, num: int, den: int, leaf_rows: int, leaf_b
         pivots = pivots.groupBy("region", "shares").agg(F.slice(F.array_sort(F.collect_list(F.struct("draw", "doc_id", "text"))), 1, PIVOTS).alias("p"))
         pivots = pivots.select("region", "shares", F.explode("p").alias("p")).select("region", "p.doc_id", "p.text", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
         pivots = graph.cut(pivots).select(*[F.col(c).alias(c) for c in pivots.columns])
-        dealt = docs.select("region", "share", "doc_id", "text").groupBy("region", "share").cogroup(pivots.groupBy("region", "share")).applyInArrow(_pivot_task(n, num, den), "region string, doc_id long, text string, cell long, home boolean, linked boolean")
+        dealt = docs.select("region", "share", "doc_id", "text").groupBy("region", "share").cogroup(pivots.groupBy("region", "share")).applyInArrow(_pivot_task(n, num, den), "region string, doc_id long, chars long, cell long, home boolean, linked boolean")
         dealt = graph.cut(dealt)
         links.append(dealt.where("linked and doc_id <> cell").select(F.col("doc_id").alias("a"), F.col("cell").alias("b")))
-        cells = dealt.groupBy("region", "cell").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(F.col("linked").cast("long")).alias("near"))
+        cells = dealt.groupBy("region", "cell").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum(F.col("linked").cast("long")).alias("near"))
         fits = (F.col("n") <= leaf_rows) & (F.col("chars") * 4 <= leaf_bytes)
         cells = cells.withColumn("kind", F.when(fits, "leaf").otherwise("again"))
         whole = cells.groupBy("region").agg(F.sum("n").alias("dealt"), F.max("n").alias("most"), F.max_by("cell", F.struct("near", "cell")).alias("best"))
@@ -361,22 +363,29 @@ def _voronoi(rows: DataFrame, n: int, num: int, den: int, leaf_rows: int, leaf_b
         cells = graph.cut(cells.join(whole, "region").withColumn("kind", F.when(F.col("parted"), F.col("kind")).otherwise("blocks")).select("region", "cell", "kind", "best", "was", "all_chars"))
         kinds = {r[0] for r in cells.select("kind").distinct().collect()}
         dealt = dealt.join(cells, ["region", "cell"])
+        texts = rows.select(F.col("region").alias("_r"), F.col("doc_id").alias("_d"), "text")
+        with_text = lambda df: df.join(texts, (df.region == F.col("_r")) & (df.doc_id == F.col("_d"))).drop("_r", "_d")
         named = F.concat_ws("/", "region", F.col("cell").cast("string")).alias("region")
         if "leaf" in kinds:
-            links.append(dealt.where("kind = 'leaf'").select(named, "doc_id", "text", F.lit(True).alias("probe"), F.lit(True).alias("within")).groupBy("region").applyInArrow(leaf, "a long, b long"))
+            held = with_text(dealt.where("kind = 'leaf'"))
+            links.append(held.select(named, "doc_id", "text", F.lit(True).alias("probe"), F.lit(True).alias("within")).groupBy("region").applyInArrow(leaf, "a long, b long"))
         if "blocks" in kinds:
             # pivots don't part this region: sets linked to its best pivot share a class, all others are compared with everything
-            left = dealt.where("kind = 'blocks'").withColumn("k", F.greatest(F.ceil(F.col("was") * 2 / leaf_rows), F.ceil(F.col("all_chars") * 8 / leaf_bytes)).cast("int"))
-            left = left.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
-            linked = left.where("cell = best and linked").select("region", "doc_id").distinct().withColumn("linked_to_best", F.lit(True))
-            left = graph.cut(left.where("home").select("region", "doc_id", "text", "k", "mine").join(linked, ["region", "doc_id"], "left").withColumn("free", F.col("linked_to_best").isNull()))
-            every = F.sequence(F.lit(0), F.col("k") - 1)
-            probes = left.where("free").select("region", F.col("mine").alias("i"), F.explode(every).alias("j"), "doc_id", "text", F.lit(True).alias("probe"))
-            others = left.select("region", F.explode(every).alias("i"), F.col("mine").alias("j"), "doc_id", "text", "free").where("not free or i <> j").select("region", "i", "j", "doc_id", "text", F.lit(False).alias("probe"))
-            links.append(probes.unionByName(others).withColumn("within", F.col("i") == F.col("j")).groupBy("region", "i", "j").applyInArrow(leaf, "a long, b long"))
+            mine = dealt.where("kind = 'blocks'")
+            linked = mine.where("cell = best and linked").select("region", "doc_id").distinct().withColumn("linked_to_best", F.lit(True))
+            mine = graph.cut(mine.where("home").select("region", "doc_id", "was", "all_chars").distinct().join(linked, ["region", "doc_id"], "left").withColumn("free", F.col("linked_to_best").isNull()))
+            frees = mine.groupBy("region").agg(F.count(F.when(F.col("free"), 1)).alias("n_free"))
+            parts = F.greatest(F.ceil(F.col("was") * 2 / leaf_rows), F.ceil(F.col("all_chars") * 8 / leaf_bytes)).cast("int")
+            mine = mine.join(frees, "region").where("n_free > 0").withColumn("kx", parts).withColumn("kb", F.ceil(F.col("kx") * F.col("n_free") / F.col("was")).cast("int"))
+            at = lambda k: F.pmod(F.xxhash64("doc_id"), F.col(k)).cast("int")
+            every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+            left = with_text(mine)
+            probes = left.where("free").select("region", at("kb").alias("i"), every("kx").alias("j"), "doc_id", "text", F.lit(True).alias("probe"))
+            others = left.select("region", every("kb").alias("i"), at("kx").alias("j"), "doc_id", "text", F.lit(False).alias("probe"))
+            links.append(probes.unionByName(others).withColumn("within", F.lit(False)).groupBy("region", "i", "j").applyInArrow(leaf, "a long, b long"))
         if "again" not in kinds:
             return links
-        rows = graph.cut(dealt.where("kind = 'again'").select(named, "doc_id", "text"))
+        rows = graph.cut(with_text(dealt.where("kind = 'again'")).select(named, "doc_id", "text"))
     return links
 
 
