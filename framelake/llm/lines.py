@@ -2,8 +2,8 @@
 
 Lines are linked by one edit for each 20 characters of the shorter one, `max_edits` at most. Two lines within that many
 edits agree on one of edits + 1 segments of the shorter one, each of 10 characters or more. Segments are indexed by length
-and number, longer lines probe with the few substrings that an alignment allows, and candidates are verified by a banded
-bit-parallel edit distance whose column of 2 * max_edits + 1 cells is one integer.
+and number, longer lines probe with the few substrings that an alignment allows, and candidates are verified by a banded edit distance: Spark's
+compiled one. `within_edits` is the bit-parallel form, whose column of 2 * max_edits + 1 cells is one integer.
 """
 
 from __future__ import annotations
@@ -119,7 +119,10 @@ def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(graph.small(places), "doc_id").select("a", F.get(F.split(F.col("text"), "\n", -1), F.col("pos")).alias("line")).dropDuplicates(["a"])
     texts = graph.cut(texts)
     both = pairs.join(texts.select(F.col("a").alias("x"), F.col("line").alias("lx")), "x").join(texts.select(F.col("a").alias("y"), F.col("line").alias("ly")), "y")
-    return graph.components(both.where(within_edits(F.col("lx"), F.col("ly"), max_edits)).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    # Spark's own banded distance is compiled; `within_edits` gives the same answers in interpreted lambdas
+    off = F.levenshtein("lx", "ly", max_edits)
+    near = (off >= 0) & (off <= edits_for(F.least(F.length("lx"), F.length("ly")), max_edits))
+    return graph.components(both.where(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def kept_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS) -> DataFrame:
