@@ -1,7 +1,9 @@
 """Line dedup in column expressions only: a segment-partition edit join over all different lines.
 
-Lines are linked by one edit for each 20 characters of the shorter one, `max_edits` at most. Two lines within that many
-edits agree on one of edits + 1 segments of the shorter one, each of 10 characters or more. Segments are indexed by length
+The whole job (`whole`, that of the query) takes exact repeats of lines of any length but empty ones, and links lines of
+MIN_CHARS characters or more by `max_edits` edits. Without `whole`, shorter lines stay and lines are linked by one edit for
+each 20 characters of the shorter one, `max_edits` at most. Two lines within that many edits agree on one of edits + 1
+segments of the shorter one. Candidates whose letter counts differ in parity too often go before they are gathered. Segments are indexed by length
 and number, longer lines probe with the few substrings that an alignment allows, and candidates are verified by a banded edit distance: Spark's
 compiled one. `within_edits` is the bit-parallel form, whose column of 2 * max_edits + 1 cells is one integer.
 """
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from framelake.llm import graph
 
 MIN_CHARS = 20
+#: Characters whose counts' parities make a line's signature; an edit changes two of them at most.
+SIGNED = "etaoinsrhldcumfpgwybvk ."
 
 
 def let(value: Column, use) -> Column:
@@ -33,8 +37,16 @@ def edits_for(length: Column, max_edits: int) -> Column:
     return F.least(F.floor(length / MIN_CHARS), F.lit(max_edits)).cast("int")
 
 
-def _keys(line: Column, max_edits: int, places: list[tuple[int, int, int, int]]) -> Column:
-    """Keys of substrings. places: (edits, characters less than the line, segment, offset); those for other lengths give none."""
+def signature(line: Column) -> Column:
+    """An integer whose bits differ in 2 * edits places at most between lines within that many edits."""
+    odd = lambda c: (F.length(line) - F.length(F.replace(line, F.lit(c)))).bitwiseAND(F.lit(1))
+    return sum((odd(c) * (1 << i) for i, c in enumerate(SIGNED)), F.lit(0))
+
+
+def _keys(line: Column, max_edits: int, places: list[tuple[int, int, int, int]], least: int | None) -> Column:
+    """Keys of substrings. places: (edits, characters less than the line, segment, offset); those for other lengths give none.
+
+    least: characters from which all edits are allowed; None for one edit for each 20 characters."""
     given = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("edits", "less", "i", "off"), p, strict=True)]) for p in places])
 
     def key(p: Column, all_: Column, n: Column) -> Column:
@@ -42,21 +54,26 @@ def _keys(line: Column, max_edits: int, places: list[tuple[int, int, int, int]])
         return let(F.struct((start + p["off"]).alias("at"), size.alias("size")), lambda q: F.when((q["at"] >= 1) & (q["at"] + q["size"] - 1 <= all_), F.xxhash64(n, p["i"], F.substr(line, q["at"], q["size"]))))
 
     def of_length(all_: Column) -> Column:
-        mine = F.filter(given, lambda p: edits_for(all_ - p["less"], max_edits) == p["edits"])
+        fits = (lambda p: edits_for(all_ - p["less"], max_edits) == p["edits"]) if least is None else (lambda p: all_ - p["less"] >= least)
+        mine = F.filter(given, fits)
         return F.array_compact(F.transform(mine, lambda p: let(all_ - p["less"], lambda n: key(p, all_, n))))
 
     return let(F.length(line), of_length)
 
 
-def index_keys(line: Column, max_edits: int) -> Column:
+def _all_edits(max_edits: int, least: int | None) -> range:
+    return range(1 if least is None else max_edits, max_edits + 1)
+
+
+def index_keys(line: Column, max_edits: int, least: int | None = None) -> Column:
     """Keys of a line's own segments."""
-    return _keys(line, max_edits, [(edits, 0, i, 0) for edits in range(1, max_edits + 1) for i in range(edits + 1)])
+    return _keys(line, max_edits, [(edits, 0, i, 0) for edits in _all_edits(max_edits, least) for i in range(edits + 1)], least)
 
 
-def probe_keys(line: Column, max_edits: int) -> Column:
+def probe_keys(line: Column, max_edits: int, least: int | None = None) -> Column:
     """Keys by which a line finds lines of its length and somewhat shorter ones (multi-match-aware substrings)."""
-    places = [(edits, less, i, off) for edits in range(1, max_edits + 1) for less in range(edits + 1) for i in range(edits + 1) for off in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
-    return _keys(line, max_edits, places)
+    places = [(edits, less, i, off) for edits in _all_edits(max_edits, least) for less in range(edits + 1) for i in range(edits + 1) for off in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+    return _keys(line, max_edits, places, least)
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -104,15 +121,18 @@ def _ids(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(1), "line")})
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int) -> DataFrame:
-    """a, component of different lines that are linked by edit distance. firsts: a, b, doc_id, pos of each line's first place."""
+def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int, least: int | None = None) -> DataFrame:
+    """a, component of different lines that are linked by edit distance. firsts: a, b, doc_id, pos of each line's first place.
+
+    least: characters from which all edits are allowed; None for one edit for each 20 characters."""
     where = firsts.groupBy("doc_id").agg(F.collect_list("pos").alias("_at"))
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(where, "doc_id")
     lines = lines.select(F.explode(F.expr("filter(split(text, '\\n', -1), (x, i) -> array_contains(_at, i))")).alias("line"))
-    lines = lines.withColumn("a", F.xxhash64("line"))
-    index = lines.select(F.explode(index_keys(F.col("line"), max_edits)).alias("key"), F.col("a").alias("x"))
-    probes = lines.select(F.explode(probe_keys(F.col("line"), max_edits)).alias("key"), F.col("a").alias("y"))
-    pairs = probes.join(index.hint("shuffle_hash"), "key").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    lines = lines.select("line", F.xxhash64("line").alias("a"), signature(F.col("line")).alias("s"))
+    index = lines.select(F.explode(index_keys(F.col("line"), max_edits, least)).alias("key"), F.col("a").alias("x"), F.col("s").alias("sx"))
+    probes = lines.select(F.explode(probe_keys(F.col("line"), max_edits, least)).alias("key"), F.col("a").alias("y"), F.col("s").alias("sy"))
+    alike = F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= 2 * max_edits
+    pairs = probes.join(index.hint("shuffle_hash"), "key").where("x <> y").where(alike).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     pairs = graph.cut(pairs)
     ids = graph.cut(pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "a"))
     places = graph.cut(firsts.join(graph.small(ids), "a").select("a", "doc_id", "pos"))
@@ -121,23 +141,25 @@ def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int) -> DataFrame:
     both = pairs.join(texts.select(F.col("a").alias("x"), F.col("line").alias("lx")), "x").join(texts.select(F.col("a").alias("y"), F.col("line").alias("ly")), "y")
     # Spark's own banded distance is compiled; `within_edits` gives the same answers in interpreted lambdas
     off = F.levenshtein("lx", "ly", max_edits)
-    near = (off >= 0) & (off <= edits_for(F.least(F.length("lx"), F.length("ly")), max_edits))
+    near = (off >= 0) & (off <= (F.lit(max_edits) if least is not None else edits_for(F.least(F.length("lx"), F.length("ly")), max_edits)))
     return graph.components(both.where(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
-def kept_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS) -> DataFrame:
+def kept_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
     """doc_id, pos, kept, exact, near of every line.
 
     Lines of at least `min_chars` characters that are equal or linked by edit distances of at most `max_edits` (and one for each 20
     characters) are a class; its first line (least doc_id, then position) is kept, the others go as exact copies of a line before them or as near
-    ones. Shorter lines stay. Rows of one doc_id are one document, so a repeated row adds no lines; rows of null doc_id or
+    ones. Shorter lines stay. With `whole`, `max_edits` holds for all lines of at least `min_chars` characters, and shorter
+    lines go as exact copies; only empty lines stay always. Rows of one doc_id are one document, so a repeated row adds no lines; rows of null doc_id or
     text have no lines.
     """
-    lines = _ids(line_table(docs.where("doc_id is not null"))).withColumn("long_", F.length("line") >= min_chars).drop("line")
-    firsts = lines.where("long_").groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    firsts = graph.cut(firsts.select("a", "b", "first.doc_id", "first.pos"))
-    cls = graph.cut(near_lines(docs, firsts, max_edits).select(F.col("node").alias("a"), "component"))
-    members = firsts.join(graph.small(cls), "a")
+    chars = F.length("line")
+    lines = _ids(line_table(docs.where("doc_id is not null"))).withColumns({"long_": chars >= (1 if whole else min_chars), "near_": chars >= min_chars}).drop("line")
+    firsts = lines.where("long_").groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("near_").alias("near_"))
+    firsts = graph.cut(firsts.select("a", "b", "first.doc_id", "first.pos", "near_"))
+    cls = graph.cut(near_lines(docs, firsts.where("near_").drop("near_"), max_edits, min_chars if whole else None).select(F.col("node").alias("a"), "component"))
+    members = firsts.drop("near_").join(graph.small(cls), "a")
     leads = members.groupBy("component").agg(F.min(F.struct("doc_id", "pos")).alias("lead"))
     led = graph.cut(members.join(leads, "component").select(F.col("a").alias("la"), F.col("b").alias("lb"), "lead"))
     f = firsts.select("a", "b", F.struct("doc_id", "pos").alias("first"))
@@ -150,19 +172,19 @@ def kept_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS)
     return out.unionByName(short)
 
 
-def line_digest(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_digest(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS, whole: bool = True) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near (lines that go) and kept_sha256 (positions that stay, comma-joined) of every document."""
     n = lambda c: F.sum(F.col(c).cast("long"))
-    by_doc = kept_lines(docs, max_edits, min_chars).groupBy("doc_id").agg(F.count("*").alias("n_lines"), n("exact").alias("n_exact"), n("near").alias("n_near"), F.array_sort(F.collect_set(F.when(F.col("kept"), F.col("pos")))).alias("at"))
+    by_doc = kept_lines(docs, max_edits, min_chars, whole).groupBy("doc_id").agg(F.count("*").alias("n_lines"), n("exact").alias("n_exact"), n("near").alias("n_near"), F.array_sort(F.collect_set(F.when(F.col("kept"), F.col("pos")))).alias("at"))
     by_doc = by_doc.withColumn("kept_sha256", F.sha2(F.array_join("at", ","), 256)).drop("at")
     rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     zero = F.lit(0).cast("long")
     return rest.join(by_doc, "doc_id", "left").select("doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_exact", zero).alias("n_exact"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("kept_sha256", F.sha2(F.lit(""), 256)).alias("kept_sha256"))
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
     """docs (all columns) with the lines that go taken out of the texts."""
-    gone = kept_lines(docs, max_edits, min_chars).where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_gone"))
+    gone = kept_lines(docs, max_edits, min_chars, whole).where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_gone"))
     out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
     text = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(_gone, i)), '\\n')")
     return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text)).select(docs.columns)

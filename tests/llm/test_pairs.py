@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from common import corpus, docs
 from framelake.llm import graph, jaccard, lines
@@ -149,3 +150,47 @@ def test_banded_distance(spark):
     for edits in (1, 2, 3):
         got = df.select("a", "b", lines.within_edits(df.a, df.b, edits).alias("near")).collect()
         assert all(r.near == (distance(r.a, r.b) <= min(edits, min(len(r.a), len(r.b)) // 20)) for r in got)
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_whole_line_dedup(spark, edits):
+    """Exact repeats of short lines go, and all edits hold from 20 characters; by brute force."""
+    rng = random.Random(20 + edits)
+    base = ["".join(rng.choice("abcdeé ") for _ in range(rng.choice((20, 21, 25, 39, 60)))) for _ in range(8)]
+    rows = [(i, "\n".join(rng.choice((edited(rng, rng.choice(base), rng.choice((0, 0, 1, 2, 3))), "}", "ok", "")) for _ in range(rng.randrange(1, 8)))) for i in range(25)]
+    rows += [(30, None), (31, ""), (32, "short\nshort"), rows[2], (None, rows[0][1])]
+    seen = {(i, p): line for i, t in rows if i is not None and t is not None for p, line in enumerate(t.split("\n"))}
+    different = sorted({s for s in seen.values() if s})
+    cls = {s: s for s in different}
+
+    def root(s):
+        while cls[s] != s:
+            s = cls[s]
+        return s
+
+    for p, a in enumerate(different):
+        for b in different[:p]:
+            if min(len(a), len(b)) >= 20 and distance(a, b) <= edits:
+                cls[root(a)] = root(b)
+    first, lead, want = {}, {}, {}
+    for at in sorted(seen):
+        s = seen[at]
+        if s:
+            first.setdefault(s, at)
+            lead.setdefault(root(s), at)
+        want[at] = (not s or lead[root(s)] == at, bool(s) and first[s] != at)
+    got = lines.kept_lines(docs(spark, rows), edits, whole=True).select("doc_id", "pos", "kept", "exact").distinct().collect()
+    assert {(r[0], r[1]): (r[2], r[3]) for r in got} == want
+    digest = {r.doc_id: r.n_exact for r in lines.line_digest(docs(spark, rows), edits).collect()}
+    assert digest[32] == 1 and all(n >= sum(e for (i, _), (_, e) in want.items() if i == d) for d, n in digest.items())
+
+
+def test_signature_bound(spark):
+    rng = random.Random(7)
+    pairs = []
+    for _ in range(200):
+        a = "".join(rng.choice("etab. zé") for _ in range(rng.randrange(20, 60)))
+        pairs.append((a, edited(rng, a, 2)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select(F.bit_count(lines.signature(df.a).bitwiseXOR(lines.signature(df.b))).alias("n")).collect()
+    assert all(r.n <= 4 for r in got)
