@@ -136,7 +136,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int, least: int |
     pairs = graph.cut(pairs)
     ids = graph.cut(pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "a"))
     places = graph.cut(firsts.join(graph.small(ids), "a").select("a", "doc_id", "pos"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(graph.small(places), "doc_id").select("a", F.get(F.split(F.col("text"), "\n", -1), F.col("pos")).alias("line")).dropDuplicates(["a"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(graph.small(places), "doc_id").select("a", F.get(F.split(F.col("text"), "\n", -1), F.col("pos")).alias("line"))
+    texts = texts.where(F.xxhash64("line") == F.col("a")).dropDuplicates(["a"])  # rows of one doc_id may differ
     texts = graph.cut(texts)
     both = pairs.join(texts.select(F.col("a").alias("x"), F.col("line").alias("lx")), "x").join(texts.select(F.col("a").alias("y"), F.col("line").alias("ly")), "y")
     # Spark's own banded distance is compiled; `within_edits` gives the same answers in interpreted lambdas

@@ -194,3 +194,15 @@ def test_signature_bound(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     got = df.select(F.bit_count(lines.signature(df.a).bitwiseXOR(lines.signature(df.b))).alias("n")).collect()
     assert all(r.n <= 4 for r in got)
+
+
+def test_one_doc_id_on_two_texts(spark):
+    """Lines are verified by their own texts where another text has the same doc_id and position."""
+    line = lambda n: " ".join(f"number{n}{c}" for c in "abcde")
+    rows = []
+    for n in range(12):
+        near = line(n)[:-1] + "z"
+        two = [(n, f"{line(n)}\nends {n}"), (n, f"{line(n + 500)}\nstops {n}")]
+        rows += [*(two if n % 2 else two[::-1]), (100 + n, near)]
+    got = {r.doc_id: r.n_near for r in lines.line_digest(docs(spark, rows)).where("doc_id >= 100").collect()}
+    assert got == {100 + n: 1 for n in range(12)}
