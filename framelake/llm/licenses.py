@@ -27,6 +27,8 @@ TEMPLATES = {
 COVERAGE = 0.8
 #: Words without any template word that end a region of the text.
 MAX_GAP = 6
+#: Words of the text, for each of the template's, within which regions are chained.
+SPREAD = 3
 SCHEMA = "doc_id long, license string, coverage double, matched long, start_word long, end_word long"
 
 
@@ -73,8 +75,37 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def lcs_rows(places: dict[int, int], width: int, words: list[int]) -> list[int]:
+    """Bit-parallel longest common subsequences of a template with a growing text: after each word, clear bits are matches.
+
+    places: bits of each word's places in the template."""
+    rows, v, full = [], (1 << width) - 1, (1 << width) - 1
+    for w in words:
+        u = v & places.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+        rows.append(v)
+    return rows
+
+
+def lcs(template: list[int], places: dict[int, int], words: list[int]) -> list[tuple[int, int]]:
+    """Aligned places (i, j) of a longest common subsequence."""
+    rows, out, i = lcs_rows(places, len(template), words), [], len(template)
+    for j in range(len(words) - 1, -1, -1):
+        # the lowest prefix of the template with the same length leaves only words that match here
+        mask = (1 << i) - 1
+        here = i - (rows[j] & mask).bit_count()
+        before = i - ((rows[j - 1] if j else mask) & mask).bit_count()
+        if here == before:
+            continue
+        while i and not (rows[j] >> (i - 1)) & 1 == 0:
+            i -= 1
+        out.append((i - 1, j))
+        i -= 1
+    return out[::-1]
+
+
 class Scanner:
-    """Regions of texts where a template's words stand closely, and their alignments."""
+    """Regions of texts where a template's words stand closely, chains of regions, and their alignments."""
 
     def __init__(self, templates: dict[str, str], coverage: float, max_gap: int):
         self.coverage, self.max_gap, self.names, words = coverage, max_gap, list(templates), []
@@ -113,8 +144,9 @@ class Scanner:
             seen = np.unique(region * len(self.vocab) + s) // len(self.vocab)
             enough = (np.bincount(region) >= need) & (np.bincount(seen, minlength=region[-1] + 1) >= kinds)
             bounds = np.append(np.flatnonzero(new), len(p))
+            found = []
             for r in np.flatnonzero(enough):
-                todo, found = [(int(bounds[r]), int(bounds[r + 1]))], []
+                todo = [(int(bounds[r]), int(bounds[r + 1]))]
                 while todo:
                     lo, hi = todo.pop()
                     if hi - lo < need:
@@ -127,13 +159,62 @@ class Scanner:
                     elif hi - lo > 3 * len(template) // 2:  # several copies leave no unique words: overlapping halves have fewer
                         half, reach = (lo + hi) // 2, (3 * len(template) // 2 + 1) // 2
                         todo += [(half - reach, hi), (lo, half + reach)] if hi - lo > 4 * reach else [(lo + (hi - lo) // 3, hi), (lo, hi - (hi - lo) // 3)]
-                base = int(bounds[r])
-                taken = np.zeros(int(bounds[r + 1]) - base, bool)
-                for n, first, last in sorted(set(found)):  # of results that overlap, the fullest
-                    if not taken[first - base : last - base + 1].any():
-                        taken[first - base : last - base + 1] = True
-                        start = int(woff[d[first]])
-                        yield int(d[first]), k, -n, int(p[first]) - start, int(p[last]) - start + 1
+            found += self._chains(template, need, kinds, p, s, d, found)
+            taken = np.zeros(len(p), bool)
+            for n, first, last in sorted(set(found), key=lambda x: (x[0], x[2] - x[1], x)):  # of results that overlap, the fullest and shortest
+                if not taken[first : last + 1].any():
+                    taken[first : last + 1] = True
+                    start = int(woff[d[first]])
+                    yield int(d[first]), k, -n, int(p[first]) - start, int(p[last]) - start + 1
+
+    def _chains(self, template: np.ndarray, need: int, kinds: int, p: np.ndarray, s: np.ndarray, d: np.ndarray, found: list) -> list:
+        """Alignments across regions: windows of SPREAD words for each of the template's that end at each place.
+
+        Complete copies are left out, and no window goes across one. A window is aligned unless it has too few of the
+        template's words, or the longest common subsequence of a window before it shows that it can't have enough."""
+        whole = np.zeros(len(p) + 1, np.int64)
+        for n, first, last in found:
+            if -n == len(template):
+                whole[first] += 1
+                whole[last + 1] -= 1
+        left = np.flatnonzero(np.cumsum(whole[:-1]) == 0)
+        if len(left) < need:
+            return []
+        span = SPREAD * len(template)
+        sym = s[left]
+        apart = np.concatenate(([0], np.cumsum((d[left][1:] != d[left][:-1]) | (np.diff(left) > 1))))
+        place = p[left] + apart * span
+        lo = np.searchsorted(place, place - span + 1)
+        order = np.lexsort((np.arange(len(sym)), sym))
+        again = np.full(len(sym), len(sym))
+        same = sym[order][1:] == sym[order][:-1]
+        again[order[:-1][same]] = order[1:][same]
+        # a place counts as its word's last one until the word comes again or the window leaves it
+        ends = np.minimum(again, np.searchsorted(place, place + span - 1, "right"))
+        at = np.arange(len(sym))
+        different = at + 1 - np.cumsum(np.bincount(ends, minlength=len(sym) + 1)[: len(sym)])
+        ok = np.zeros(len(self.vocab), bool)
+        ok[template[need - 1 :]] = True
+        able = np.flatnonzero((different >= kinds) & (at - lo + 1 >= need) & ok[sym])
+        words, places, back, out, next_ = template.tolist(), {}, {}, [], 0
+        for i, w in enumerate(words):
+            places[w] = places.get(w, 0) | 1 << i
+            back[w] = back.get(w, 0) | 1 << (len(words) - 1 - i)
+        for r in able.tolist():
+            if r < next_:
+                continue
+            text = sym[lo[r] : r + 1].tolist()
+            most = len(words) - lcs_rows(places, len(words), text)[-1].bit_count()
+            if most < need:
+                next_ = r + need - most
+                continue
+            pairs = patience(words, text)
+            if len(pairs) == most:
+                out.append((-most, int(left[lo[r] + pairs[0][1]]), int(left[lo[r] + pairs[-1][1]])))
+            # words that are not unique hide a fuller alignment, or draw in words before it: the one that begins last
+            pairs = lcs(words[::-1], back, text[::-1])
+            out.append((-most, int(left[r - pairs[-1][1]]), int(left[r - pairs[0][1]])))
+        return out
 
 
 def _task(templates: dict[str, str], coverage: float, max_gap: int):
@@ -158,8 +239,9 @@ def license_hits(docs: DataFrame, templates: dict[str, str] | None = None, cover
     """doc_id, license, coverage, matched (template words), start_word and end_word of each alignment found in docs.
 
     docs: doc_id, text, others ignored. Words are runs of ASCII letters and digits and of non-ASCII characters, capitals
-    folded. A region is a part of a text with no more than `max_gap` - 1 words between two words of the template; it is
-    reported where the aligned words are at least the `coverage` share of the template. Null and empty texts have no
+    folded. A region is a part of a text with no more than `max_gap` - 1 words between two words of the template; regions
+    within SPREAD words for each of the template's are aligned as one as well. An alignment is reported where the aligned
+    words are at least the `coverage` share of the template; of those that overlap, the fullest. Null and empty texts have no
     regions; repeated rows give repeated results; a text may have several licenses, and one several times.
     """
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -339,3 +339,39 @@ def test_license_scan(spark):
     assert licenses.license_hits(docs(spark, [])).count() == 0
     twice = [(1, "The under. " + "Released under the MIT License. " * 2), (2, "the under license released mit " * 40)]
     assert licenses.license_hits(docs(spark, twice)).where("doc_id = 1").count() == 2
+
+
+def test_license_scan_across_inserted_passages(spark):
+    """One passage of 6 to 50 foreign words in a text: the same coverage as an alignment of the whole text."""
+    rng, rows, want = random.Random(6), [], {}
+    plain = ["of", "the", "and", "to", "in", "a", "this", "is", "for", "with"]
+    cut = lambda t: re.findall("[0-9a-z]+", lower(t))
+    for name in ("mit", "bsd-3-clause", "gpl-3.0-header", "apache-2.0-header", "isc"):
+        whole = cut(licenses.TEMPLATES[name])
+        for n in (6, 7, 20, 50):
+            for common in (False, True):
+                at = rng.randrange(len(whole) // 3, 2 * len(whole) // 3)
+                more = [rng.choice(plain) if common and rng.random() < 0.4 else f"x{rng.randrange(999)}" for _ in range(n)]
+                text = [*whole[:at], *more, *whole[at:]]
+                want[len(rows)] = (name, len(licenses.patience(whole, text)), 30, 30 + len(text))
+                around = [[rng.choice(plain) if common else f"w{rng.randrange(400)}" for _ in range(m)] for m in (30, 300)]
+                rows.append((len(rows), " ".join([*around[0], *text, *around[1]])))
+    got = {(r.doc_id, r.license): (r.license, r.matched, r.start_word, r.end_word) for r in licenses.license_hits(docs(spark, rows)).collect()}
+    assert all(w[1] == len(cut(licenses.TEMPLATES[w[0]])) for w in want.values())
+    assert {i: got.get((i, w[0])) for i, w in want.items()} == want
+
+
+def test_lcs():
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(1, 15))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        places = {}
+        for i, x in enumerate(a):
+            places[x] = places.get(x, 0) | 1 << i
+        pairs = licenses.lcs(a, places, b)
+        assert len(pairs) == table[-1][-1] == len(a) - licenses.lcs_rows(places, len(a), b)[-1].bit_count()
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
