@@ -101,7 +101,7 @@ class FMIndex:
         lo = np.zeros(len(patterns), np.int64)
         hi = np.full(len(patterns), self.length, np.int64)
         width = patterns.shape[1]
-        top = len(self.first) - 2
+        top = len(self.first) - 3  # `first` has a place before symbol 0 and one after the greatest symbol
         for j in range(width - 1, -1, -1):
             live = np.flatnonzero((lengths > width - 1 - j) & (hi > lo))
             c = patterns[live, j]

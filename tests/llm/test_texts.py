@@ -375,3 +375,14 @@ def test_lcs():
         pairs = licenses.lcs(a, places, b)
         assert len(pairs) == table[-1][-1] == len(a) - licenses.lcs_rows(places, len(a), b)[-1].bit_count()
         assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
+@pytest.mark.parametrize("greatest", [1, 3, 7])
+def test_fm_index_symbol_above_the_greatest(greatest):
+    """A word that a shard does not have has no occurrence, also where its symbol needs a bit more."""
+    runs = [np.arange(1, greatest + 1), np.full(3, greatest)]
+    off = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
+    index = fm_index.FMIndex(np.concatenate(runs), off)
+    patterns = np.array([[0, greatest + 1], [greatest + 1, greatest], [greatest, greatest + 1], [0, greatest]])
+    lo, hi = index.search(patterns, np.array([1, 2, 2, 1]))
+    assert (hi - lo).tolist() == [0, 0, 0, 4]
