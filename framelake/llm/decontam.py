@@ -235,14 +235,14 @@ def _drop_task(windows: list[Windows], names: list[str], at: int):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """docs (all columns) without the rows whose text has an occurrence of a benchmark window; no row moves."""
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    """docs (all columns) without the rows whose text has an occurrence of a benchmark window; no row moves. Item ids are not used."""
+    bench = benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null")
     chars = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // BLOCK_CHARS))
     out = docs
     for i in range(blocks):
-        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
-        rows = [(r[0], r[1]) for r in part.toLocalIterator()]
-        w = Windows([r[0] for r in rows], [r[1] for r in rows], width)
+        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i)
+        texts = [r[0] for r in part.toLocalIterator()]
+        w = Windows([0] * len(texts), texts, width)
         out = out.mapInArrow(_drop_task([w], docs.columns, docs.columns.index("text")), docs.schema)
     return out

@@ -386,3 +386,10 @@ def test_fm_index_symbol_above_the_greatest(greatest):
     patterns = np.array([[0, greatest + 1], [greatest + 1, greatest], [greatest, greatest + 1], [0, greatest]])
     lo, hi = index.search(patterns, np.array([1, 2, 2, 1]))
     assert (hi - lo).tolist() == [0, 0, 0, 4]
+
+
+def test_decontaminate_by_rows_without_id(spark):
+    """A benchmark row whose item_id is null takes documents out like any other."""
+    bench = spark.createDataFrame([(None, "red green blue"), (1, "one two"), (2, None)], "item_id long, text string")
+    rows = [(1, "a Red, green blue b"), (2, "one two three"), (3, "green blue red"), (4, None)]
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs(spark, rows), bench).collect()) == [3, 4]
