@@ -27,6 +27,14 @@ def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Component of every node of an edge table.
 

@@ -2,10 +2,16 @@
 
 The whole job (`whole`, that of the query) takes exact repeats of lines of any length but empty ones, and links lines of
 MIN_CHARS characters or more by `max_edits` edits. Without `whole`, shorter lines stay and lines are linked by one edit for
-each 20 characters of the shorter one, `max_edits` at most. Two lines within that many edits agree on one of edits + 1
-segments of the shorter one. Candidates whose letter counts differ in parity too often go before they are gathered. Segments are indexed by length
-and number, longer lines probe with the few substrings that an alignment allows, and candidates are verified by a banded edit distance: Spark's
-compiled one. `within_edits` is the bit-parallel form, whose column of 2 * max_edits + 1 cells is one integer.
+each 20 characters of the shorter one, `max_edits` at most.
+
+Two lines within that many edits agree on one of edits + 1 segments of the shorter one. Segments are indexed by length and
+number; longer lines probe with the few substrings that an alignment allows. A segment's index is first reduced to one row,
+so that a probe meets one row at most. Only what hits goes on. A segment that more than BUCKET different lines have in common
+is refined instead of paired: what is left of a line beside the segment holds the edits, is cut into parts again, and a
+finer key covers all but the parts that may differ. Refining ends where lines of one key can differ in no more characters
+than edits are allowed: there they are linked to one of them. So the pairs to verify grow with the lines, not with the
+square of a group. Candidates are verified by a banded edit distance: Spark's compiled one. `within_edits` is the
+bit-parallel form, whose column of 2 * max_edits + 1 cells is one integer.
 """
 
 from __future__ import annotations
@@ -16,6 +22,10 @@ from pyspark.sql import functions as F
 from framelake.llm import graph
 
 MIN_CHARS = 20
+#: Different lines of a segment that are paired with every line that probes it; more of them are refined.
+BUCKET = 4
+#: A line is frequent if more than one in so many lines equals it; so there are fewer than this many frequent lines.
+FREQUENT = 10_000
 #: Characters whose counts' parities make a line's signature; an edit changes two of them at most.
 SIGNED = "etaoinsrhldcumfpgwybvk ."
 
@@ -43,37 +53,34 @@ def signature(line: Column) -> Column:
     return sum((odd(c) * (1 << i) for i, c in enumerate(SIGNED)), F.lit(0))
 
 
-def _keys(line: Column, max_edits: int, places: list[tuple[int, int, int, int]], least: int | None) -> Column:
-    """Keys of substrings. places: (edits, characters less than the line, segment, offset); those for other lengths give none.
+def _places(max_edits: int, least: int | None) -> list[tuple[int, int, int, int]]:
+    """(edits, characters less than the line, segment, offset) of every probe; those of no characters less and no offset
+    are a line's own segments."""
+    by_edits = range(1 if least is None else max_edits, max_edits + 1)
+    return [(e, less, i, off) for e in by_edits for less in range(e + 1) for i in range(e + 1) for off in range(max(-i, less - (e - i)), min(i, less + (e - i)) + 1)]
 
-    least: characters from which all edits are allowed; None for one edit for each 20 characters."""
-    given = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("edits", "less", "i", "off"), p, strict=True)]) for p in places])
-
-    def key(p: Column, all_: Column, n: Column) -> Column:
-        start, size = segment(n, p["i"], p["edits"] + 1)
-        return let(F.struct((start + p["off"]).alias("at"), size.alias("size")), lambda q: F.when((q["at"] >= 1) & (q["at"] + q["size"] - 1 <= all_), F.xxhash64(n, p["i"], F.substr(line, q["at"], q["size"]))))
-
-    def of_length(all_: Column) -> Column:
-        fits = (lambda p: edits_for(all_ - p["less"], max_edits) == p["edits"]) if least is None else (lambda p: all_ - p["less"] >= least)
-        mine = F.filter(given, fits)
-        return F.array_compact(F.transform(mine, lambda p: let(all_ - p["less"], lambda n: key(p, all_, n))))
 
-    return let(F.length(line), of_length)
+def _key(line: Column, place: tuple[int, int, int, int], max_edits: int, least: int | None) -> Column:
+    """The key of a line at a place; null where its length has none. Plain columns, so that Spark compiles them.
 
-
-def _all_edits(max_edits: int, least: int | None) -> range:
-    return range(1 if least is None else max_edits, max_edits + 1)
+    least: characters from which all edits are allowed; None for one edit for each 20 characters."""
+    edits, less, i, off = place
+    n = F.length(line) - less
+    fits = edits_for(n, max_edits) == edits if least is None else n >= least
+    start, size = segment(n, F.lit(i), F.lit(edits + 1))
+    inside = (start + off >= 1) & (start + off + size - 1 <= F.length(line))
+    return F.when(fits & inside, F.xxhash64(n, F.lit(i), F.substr(line, start + off, size)))
 
 
 def index_keys(line: Column, max_edits: int, least: int | None = None) -> Column:
     """Keys of a line's own segments."""
-    return _keys(line, max_edits, [(edits, 0, i, 0) for edits in _all_edits(max_edits, least) for i in range(edits + 1)], least)
+    return F.array_compact(F.array(*[_key(line, p, max_edits, least) for p in _places(max_edits, least) if p[1] == p[3] == 0]))
 
 
 def probe_keys(line: Column, max_edits: int, least: int | None = None) -> Column:
-    """Keys by which a line finds lines of its length and somewhat shorter ones (multi-match-aware substrings)."""
-    places = [(edits, less, i, off) for edits in _all_edits(max_edits, least) for less in range(edits + 1) for i in range(edits + 1) for off in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
-    return _keys(line, max_edits, places, least)
+    """struct<key, place> by which a line finds lines of its length and somewhat shorter ones (multi-match-aware substrings)."""
+    made = [F.struct(_key(line, p, max_edits, least).alias("key"), F.lit(no).alias("place")) for no, p in enumerate(_places(max_edits, least))]
+    return F.filter(F.array(*made), lambda x: x["key"].isNotNull())
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -112,6 +119,92 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     return let(F.struct(chars.alias("chars"), F.split(b, "").alias("text"), F.length(a).alias("m"), F.length(b).alias("n")), distance)
 
 
+# --- segments that many lines have in common --------------------------------------------------------------------------
+#
+# A row of a bucket is a line that agrees with the others outside of two gaps of an indexed line of n characters: gap 1
+# [lo1, hi1) with at most k1 edits and gap 2 [lo2, hi2) with at most k2. What lies between the gaps is shifted by s1 in a
+# probing line, what follows by `less`. Where there is one gap, gap 2 is empty and begins where gap 1 ends.
+
+STATE = ("lo1", "hi1", "k1", "lo2", "hi2", "k2", "s1", "less", "own")
+PARTS = 4
+
+
+def _gaps(rows: DataFrame, max_edits: int, least: int | None) -> DataFrame:
+    """rows (y, place, line) with the gaps that their segments leave; rows of more edits than two gaps can hold have none."""
+    places = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("edits", "less", "i", "off"), p, strict=True)]) for p in _places(max_edits, least)])
+    rows = rows.withColumn("p", F.get(places, F.col("place")))
+    n = F.length("line") - F.col("p.less")
+    start, size = segment(n, F.col("p.i"), F.col("p.edits") + 1)
+    rows = rows.withColumns({"n": n, "s0": start - 1, "e0": start - 1 + size})
+    first, last = F.col("p.i") == 0, F.col("p.i") == F.col("p.edits")
+    pick = lambda a, b, c: F.when(first, a).when(last, b).otherwise(c).cast("int")
+    zero, e, i, less = F.lit(0), F.col("p.edits"), F.col("p.i"), F.col("p.less")
+    return rows.select(
+        "key", "y", "line",
+        pick(F.col("e0"), zero, zero).alias("lo1"), pick(F.col("n"), F.col("s0"), F.col("s0")).alias("hi1"), pick(e, e, i).alias("k1"),
+        pick(F.col("n"), F.col("s0"), F.col("e0")).alias("lo2"), pick(F.col("n"), F.col("s0"), F.col("n")).alias("hi2"), pick(zero, zero, e - i).alias("k2"),
+        pick(less, less, F.col("p.off")).alias("s1"), less.alias("less"), ((less == 0) & (F.col("p.off") == 0)).alias("own"),
+    )
+
+
+def _finer(rows: DataFrame) -> DataFrame:
+    """The rows with their gaps cut into PARTS: one for every choice of the parts that may hold the edits."""
+    at = lambda g, j: (F.col(f"lo{g}") + F.floor((F.col(f"hi{g}") - F.col(f"lo{g}")) * j / PARTS)).cast("int")
+    col, out = F.col, []
+
+    def child(when, lo1, hi1, k1, lo2, hi2, k2, s1, own):
+        given = [x.cast("int") for x in (lo1, hi1, k1, lo2, hi2, k2, s1)]
+        out.append(F.when(when, F.struct(*[x.alias(k) for x, k in zip(given, STATE, strict=False)], own.alias("own"))))
+
+    one, two, none = (col("k2") == 0) & (col("k1") == 1), (col("k2") == 0) & (col("k1") == 2), F.lit(0)
+    for a in range(PARTS):
+        child(one & (at(1, a) < at(1, a + 1)), at(1, a), at(1, a + 1), F.lit(1), at(1, a + 1), at(1, a + 1), none, col("less"), col("own"))
+    for a in range(PARTS - 1):
+        child(two & (at(1, a) < at(1, a + 2)), at(1, a), at(1, a + 2), F.lit(2), at(1, a + 2), at(1, a + 2), none, col("less"), col("own"))
+        for b in range(a + 2, PARTS):
+            for s in (-1, 0, 1):
+                ok = two & (at(1, a) < at(1, a + 1)) & (at(1, b) < at(1, b + 1)) & (F.abs(col("less") - s) <= 1)
+                child(ok, at(1, a), at(1, a + 1), F.lit(1), at(1, b), at(1, b + 1), F.lit(1), F.lit(s), col("own") & F.lit(s == 0))
+    wide = {g: col(f"hi{g}") - col(f"lo{g}") > 1 for g in (1, 2)}
+    ends = lambda g, j: F.when(wide[g], at(g, j)).otherwise(col(f"lo{g}") if j == 0 else col(f"hi{g}"))
+    for a in range(PARTS):
+        for b in range(PARTS):
+            ok = (col("k2") > 0) & (wide[1] | F.lit(a == 0)) & (wide[2] | F.lit(b == 0))
+            ok = ok & (~wide[1] | (at(1, a) < at(1, a + 1))) & (~wide[2] | (at(2, b) < at(2, b + 1)))
+            child(ok, ends(1, a), ends(1, a + 1), col("k1"), ends(2, b), ends(2, b + 1), col("k2"), col("s1"), col("own"))
+    rows = rows.select("y", "line", "less", F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())).alias("x")).select("y", "line", "less", "x.*")
+    rows = rows.where("hi1 + s1 >= lo1 and hi2 + less >= lo2 + s1 and lo2 >= hi1")
+    part = lambda a, b: F.substr("line", a + 1, F.greatest(b - a, F.lit(0)))
+    n = F.length("line") - col("less")
+    clean = [part(F.lit(0), col("lo1")), part(col("hi1") + col("s1"), col("lo2") + col("s1")), part(col("hi2") + col("less"), F.length("line"))]
+    return rows.withColumn("key", F.xxhash64(n, "lo1", "hi1", "lo2", "hi2", *clean)).drop("line")
+
+
+def _bucket_pairs(rows: DataFrame) -> DataFrame:
+    """x < y of every indexed line and every other line of a bucket. rows: key, y, own, s (signature)."""
+    index = rows.where("own").select("key", F.col("y").alias("x"), F.col("s").alias("sx"))
+    alike = F.bit_count(F.col("sx").bitwiseXOR(F.col("s"))) <= 4
+    return rows.join(index, "key").where("x <> y").where(alike).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def _refined_pairs(hot: DataFrame, texts: DataFrame, max_edits: int, least: int | None) -> list[DataFrame]:
+    """Pairs of lines of hot buckets (key, y, place) by finer keys, round after round."""
+    lines = texts.select(F.col("a").alias("y"), "line", "s")
+    rows, pairs = _gaps(hot.join(lines.drop("s"), "y"), max_edits, least).drop("line"), []
+    while True:
+        rows = _finer(rows.drop("key").join(lines.drop("s"), "y"))
+        rows = graph.cut(rows.dropDuplicates(["key", "y", "own"]))
+        size = rows.groupBy("key").agg(F.count(F.when(F.col("own"), 1)).alias("m"), F.count("*").alias("all"), F.min(F.when(F.col("own"), F.col("y"))).alias("lead"), F.max((F.col("hi1") - F.col("lo1") <= F.col("k1")) & (F.col("hi2") - F.col("lo2") <= F.col("k2"))).alias("last"))
+        size = graph.cut(size.where("m > 0 and all > 1"))
+        rows = rows.join(size, "key")
+        pairs.append(rows.where("last and m > {0} and y <> lead".format(BUCKET)).select(F.least("lead", "y").alias("x"), F.greatest("lead", "y").alias("y")))
+        few = rows.where(f"m <= {BUCKET}").select("key", "y", "own").join(lines.select("y", "s"), "y")
+        pairs.append(_bucket_pairs(few))
+        rows = graph.cut(rows.where(f"m > {BUCKET} and not last").drop("m", "all", "lead", "last"))
+        if not rows.limit(1).count():
+            return pairs
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, pos (from 0), line of every line of every text; a null text has none."""
     return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line"))
@@ -122,23 +215,38 @@ def _ids(lines: DataFrame) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int, least: int | None = None) -> DataFrame:
-    """a, component of different lines that are linked by edit distance. firsts: a, b, doc_id, pos of each line's first place.
-
-    least: characters from which all edits are allowed; None for one edit for each 20 characters."""
-    where = firsts.groupBy("doc_id").agg(F.collect_list("pos").alias("_at"))
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(where, "doc_id")
-    lines = lines.select(F.explode(F.expr("filter(split(text, '\\n', -1), (x, i) -> array_contains(_at, i))")).alias("line"))
-    lines = lines.select("line", F.xxhash64("line").alias("a"), signature(F.col("line")).alias("s"))
-    index = lines.select(F.explode(index_keys(F.col("line"), max_edits, least)).alias("key"), F.col("a").alias("x"), F.col("s").alias("sx"))
-    probes = lines.select(F.explode(probe_keys(F.col("line"), max_edits, least)).alias("key"), F.col("a").alias("y"), F.col("s").alias("sy"))
-    alike = F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= 2 * max_edits
-    pairs = probes.join(index.hint("shuffle_hash"), "key").where("x <> y").where(alike).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    pairs = graph.cut(pairs)
-    ids = graph.cut(pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "a"))
+    """node, component of different lines that are linked by edit distance.
+
+    firsts: a, b, doc_id, pos, n of each line's first place and its repeats. least: characters from which all edits are
+    allowed; None for one edit for each 20 characters. Lines that are not frequent give their keys wherever they stand; of
+    the frequent ones, fewer than FREQUENT in all, only the first place does."""
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    often = firsts.where(F.col("n") * FREQUENT > total).where("n > 1").select(F.col("a").alias("fa"), F.col("doc_id").alias("fd"), F.col("pos").alias("fp"))
+    lines = _ids(line_table(docs.where("doc_id is not null"))).where(F.length("line") >= (MIN_CHARS if least is None else least))
+    lines = lines.join(F.broadcast(often), F.col("a") == F.col("fa"), "left").where("fa is null or (doc_id = fd and pos = fp)")
+    index = lines.select(F.explode(index_keys(F.col("line"), max_edits, least)).alias("key"), "a").groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high"))
+    probes = lines.select(F.explode(probe_keys(F.col("line"), max_edits, least)).alias("p"), F.col("a").alias("y")).select("p.key", "p.place", "y")
+    hits = graph.cut(probes.join(index.hint("shuffle_hash"), "key").where("low <> high or y <> low").distinct())
+    single = hits.where("low = high").select(F.least("low", "y").alias("x"), F.greatest("low", "y").alias("y"))
+    several = hits.where("low <> high").select("key", "y", "place")
+    ids = graph.cut(single.select("x").union(single.select("y")).union(several.select("y")).distinct().withColumnRenamed("x", "a"))
     places = graph.cut(firsts.join(graph.small(ids), "a").select("a", "doc_id", "pos"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(graph.small(places), "doc_id").select("a", F.get(F.split(F.col("text"), "\n", -1), F.col("pos")).alias("line"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(graph.small(places), "doc_id").select("a", F.get(F.split(F.col("text"), "\n", -1), F.col("pos")).alias("line"))
     texts = texts.where(F.xxhash64("line") == F.col("a")).dropDuplicates(["a"])  # rows of one doc_id may differ
-    texts = graph.cut(texts)
+    texts = graph.cut(texts.withColumn("s", signature(F.col("line"))))
+    own = [no for no, p in enumerate(_places(max_edits, least)) if p[1] == p[3] == 0]
+    several = several.withColumn("own", F.col("place").isin(own))
+    # two gaps hold two edits at most
+    wide = graph.cut(several.where("own").groupBy("key").agg(F.count("*").alias("m")).where(f"m > {BUCKET if max_edits <= 2 else 1 << 60}").select("key"))
+    hot = several.join(graph.small(wide), "key", "left_semi")
+    few = several.join(graph.small(wide), "key", "left_anti")
+    found = [single, _bucket_pairs(few.join(texts.select(F.col("a").alias("y"), "s"), "y"))]
+    if wide.limit(1).count():
+        found += _refined_pairs(hot, texts, max_edits, least)
+    pairs = found[0]
+    for x in found[1:]:
+        pairs = pairs.union(x)
+    pairs = graph.cut(pairs.distinct())
     both = pairs.join(texts.select(F.col("a").alias("x"), F.col("line").alias("lx")), "x").join(texts.select(F.col("a").alias("y"), F.col("line").alias("ly")), "y")
     # Spark's own banded distance is compiled; `within_edits` gives the same answers in interpreted lambdas
     off = F.levenshtein("lx", "ly", max_edits)
@@ -149,25 +257,27 @@ def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int, least: int |
 def kept_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
     """doc_id, pos, kept, exact, near of every line.
 
-    Lines of at least `min_chars` characters that are equal or linked by edit distances of at most `max_edits` (and one for each 20
-    characters) are a class; its first line (least doc_id, then position) is kept, the others go as exact copies of a line before them or as near
-    ones. Shorter lines stay. With `whole`, `max_edits` holds for all lines of at least `min_chars` characters, and shorter
-    lines go as exact copies; only empty lines stay always. Rows of one doc_id are one document, so a repeated row adds no lines; rows of null doc_id or
-    text have no lines.
+    Lines of at least `min_chars` characters that are equal or linked by edit distances of at most `max_edits` (and one for
+    each 20 characters) are a class; its first line (least doc_id, then position) is kept, the others go as exact copies of
+    a line before them or as near ones. Shorter lines stay. With `whole`, `max_edits` holds for all lines of at least
+    `min_chars` characters, and shorter lines go as exact copies; only empty lines stay always. docs: doc_id (integer), text,
+    others ignored. Rows of one doc_id are one document, so a repeated row adds no lines; rows of null doc_id or text have no
+    lines; an empty text has one empty line; texts and lines may be of any length; an empty table gives no rows.
     """
     chars = F.length("line")
-    lines = _ids(line_table(docs.where("doc_id is not null"))).withColumns({"long_": chars >= (1 if whole else min_chars), "near_": chars >= min_chars}).drop("line")
-    firsts = lines.where("long_").groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("near_").alias("near_"))
-    firsts = graph.cut(firsts.select("a", "b", "first.doc_id", "first.pos", "near_"))
+    docs = docs.select("doc_id", "text")
+    lines = graph.cut(_ids(line_table(docs.where("doc_id is not null"))).withColumns({"long_": chars >= (1 if whole else min_chars), "near_": chars >= min_chars}).drop("line"))
+    firsts = lines.where("long_").groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("near_").alias("near_"), F.count("*").alias("n"))
+    firsts = graph.cut(firsts.select("a", "b", "first.doc_id", "first.pos", "near_", "n"))
     cls = graph.cut(near_lines(docs, firsts.where("near_").drop("near_"), max_edits, min_chars if whole else None).select(F.col("node").alias("a"), "component"))
-    members = firsts.drop("near_").join(graph.small(cls), "a")
+    members = firsts.select("a", "b", "doc_id", "pos").join(graph.small(cls), "a")
     leads = members.groupBy("component").agg(F.min(F.struct("doc_id", "pos")).alias("lead"))
     led = graph.cut(members.join(leads, "component").select(F.col("a").alias("la"), F.col("b").alias("lb"), "lead"))
-    f = firsts.select("a", "b", F.struct("doc_id", "pos").alias("first"))
-    out = lines.where("long_").join(f, ["a", "b"]).join(graph.small(led), (F.col("a") == F.col("la")) & (F.col("b") == F.col("lb")), "left")
+    f = firsts.where("n > 1").select("a", "b", F.struct("doc_id", "pos").alias("first"))
+    out = lines.where("long_").join(f, ["a", "b"], "left").join(graph.small(led), (F.col("a") == F.col("la")) & (F.col("b") == F.col("lb")), "left")
     here = F.struct("doc_id", "pos")
-    exact = here != F.col("first")
-    near = ~exact & F.col("lead").isNotNull() & (F.coalesce("lead", "first") != here)
+    exact = F.coalesce(here != F.col("first"), F.lit(False))
+    near = ~exact & F.col("lead").isNotNull() & (F.coalesce("lead", here) != here)
     out = out.select("doc_id", "pos", (~exact & ~near).alias("kept"), exact.alias("exact"), near.alias("near"))
     short = lines.where("not long_").select("doc_id", "pos", F.lit(True).alias("kept"), F.lit(False).alias("exact"), F.lit(False).alias("near"))
     return out.unionByName(short)
@@ -184,8 +294,9 @@ def line_digest(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS,
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
-    """docs (all columns) with the lines that go taken out of the texts."""
-    gone = kept_lines(docs, max_edits, min_chars, whole).where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_gone"))
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    text = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(_gone, i)), '\\n')")
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text)).select(docs.columns)
+    """docs (all columns) with the lines that go taken out of the texts. Odd rows as in `kept_lines`; other columns may have any names."""
+    at, gone = graph.unused(docs, "_id"), graph.unused(docs, "_gone")
+    lost = kept_lines(docs, max_edits, min_chars, whole).where("not kept").groupBy(F.col("doc_id").alias(at)).agg(F.collect_set("pos").alias(gone))
+    out = docs.join(lost, docs["doc_id"].cast("long") == lost[at], "left")
+    text = F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    return out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(text)).select(docs.columns)

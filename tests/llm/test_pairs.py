@@ -1,5 +1,6 @@
 """Jaccard classes, line dedup and what they share."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -206,3 +207,48 @@ def test_one_doc_id_on_two_texts(spark):
         rows += [*(two if n % 2 else two[::-1]), (100 + n, near)]
     got = {r.doc_id: r.n_near for r in lines.line_digest(docs(spark, rows)).where("doc_id >= 100").collect()}
     assert got == {100 + n: 1 for n in range(12)}
+
+
+@pytest.mark.parametrize(("edits", "whole"), [(2, True), (1, True), (2, False)])
+def test_common_segments_are_refined(spark, edits, whole):
+    """Many lines that share segments, by brute force: classes, near and kept lines and the digest."""
+    rng = random.Random(50 + edits)
+    bases = ["".join(rng.choice("abcdeé fghij") for _ in range(n)) for n in (20, 27, 44, 90)]
+    pool = [edited(rng, rng.choice(bases), rng.choice((0, 1, 1, 2, 3, 4))) for _ in range(90)]
+    pool += [f"order {rng.randrange(3000):06d} was shipped to the customer on day {rng.randrange(9)}" for _ in range(50)]
+    rows = [(i, "\n".join(rng.sample(pool, 3))) for i in range(70)]
+    seen = {(i, p): line for i, t in rows for p, line in enumerate(t.split("\n"))}
+    different = sorted(set(seen.values()))
+    cls = {s: s for s in different}
+
+    def root(s):
+        while cls[s] != s:
+            s = cls[s]
+        return s
+
+    for p, a in enumerate(different):
+        for b in different[:p]:
+            n = min(len(a), len(b))
+            if n >= 20 and abs(len(a) - len(b)) <= edits and root(a) != root(b) and distance(a, b) <= (edits if whole else min(edits, n // 20)):
+                cls[root(a)] = root(b)
+    first, lead, want = {}, {}, {}
+    for at in sorted(seen):
+        s = seen[at]
+        first.setdefault(s, at)
+        lead.setdefault(root(s), at)
+        exact = first[s] != at and (whole or len(s) >= 20)
+        want[at] = (lead[root(s)] == at or (len(s) < 20 and not exact), exact)
+    got = lines.kept_lines(docs(spark, rows), edits, whole=whole).collect()
+    assert {(r.doc_id, r.pos): (r.kept, r.exact) for r in got} == want
+    digest = {r.doc_id: (r.n_lines, r.n_exact, r.n_near, r.kept_sha256) for r in lines.line_digest(docs(spark, rows), edits, whole=whole).collect()}
+    for i, _ in rows:
+        mine = [want[i, p] for p in range(3)]
+        at = ",".join(str(p) for p, (kept, _) in enumerate(mine) if kept)
+        assert digest[i] == (3, sum(e for _, e in mine), sum(not k and not e for k, e in mine), hashlib.sha256(at.encode()).hexdigest())
+
+
+def test_names_that_clash(spark):
+    df = docs(spark, [(1, "one line here\none line here"), (2, None), (None, "x\nx")]).withColumns({"_id": F.lit(5), "_gone": F.lit("g"), "a": F.lit(1), "line": F.lit("l"), "pos": F.lit(0)})
+    got = lines.dedup_lines(df, whole=True)
+    assert got.columns == df.columns
+    assert {r.doc_id: (r.text, r._id, r._gone) for r in got.collect()} == {1: ("one line here", 5, "g"), 2: (None, 5, "g"), None: ("x\nx", 5, "g")}
