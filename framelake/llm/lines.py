@@ -23,10 +23,10 @@ from framelake.llm import graph
 
 MIN_CHARS = 20
 #: Different lines of a segment that are paired with every line that probes it; more of them are refined.
-BUCKET = 4
+BUCKET = 64
 #: A line is frequent if more than one in so many lines equals it; so there are fewer than this many frequent lines.
 FREQUENT = 10_000
-#: Characters whose counts' parities make a line's signature; an edit changes two of them at most.
+#: Characters whose counts make a line's signature; an edit changes two of them by one at most.
 SIGNED = "etaoinsrhldcumfpgwybvk ."
 
 
@@ -48,9 +48,11 @@ def edits_for(length: Column, max_edits: int) -> Column:
 
 
 def signature(line: Column) -> Column:
-    """An integer whose bits differ in 2 * edits places at most between lines within that many edits."""
-    odd = lambda c: (F.length(line) - F.length(F.replace(line, F.lit(c)))).bitwiseAND(F.lit(1))
-    return sum((odd(c) * (1 << i) for i, c in enumerate(SIGNED)), F.lit(0))
+    """An integer whose bits differ in 2 * edits places at most between lines within that many edits.
+
+    Two bits for each character: its count modulo 4 in Gray code, so that counts which differ by one differ in one bit."""
+    code = lambda c: F.element_at(F.array(*map(F.lit, (0, 1, 3, 2))), (F.length(line) - F.length(F.replace(line, F.lit(c)))) % 4 + 1)
+    return sum((code(c).cast("long") * (1 << 2 * i) for i, c in enumerate(SIGNED)), F.lit(0).cast("long"))
 
 
 def _places(max_edits: int, least: int | None) -> list[tuple[int, int, int, int]]:
@@ -73,14 +75,13 @@ def _key(line: Column, place: tuple[int, int, int, int], max_edits: int, least:
 
 
 def index_keys(line: Column, max_edits: int, least: int | None = None) -> Column:
-    """Keys of a line's own segments."""
-    return F.array_compact(F.array(*[_key(line, p, max_edits, least) for p in _places(max_edits, least) if p[1] == p[3] == 0]))
+    """Keys of a line's own segments, null where its length has none."""
+    return F.array(*[_key(line, p, max_edits, least) for p in _places(max_edits, least) if p[1] == p[3] == 0])
 
 
 def probe_keys(line: Column, max_edits: int, least: int | None = None) -> Column:
-    """struct<key, place> by which a line finds lines of its length and somewhat shorter ones (multi-match-aware substrings)."""
-    made = [F.struct(_key(line, p, max_edits, least).alias("key"), F.lit(no).alias("place")) for no, p in enumerate(_places(max_edits, least))]
-    return F.filter(F.array(*made), lambda x: x["key"].isNotNull())
+    """Keys, in the order of the places, by which a line finds lines of its length and somewhat shorter ones (multi-match-aware substrings)."""
+    return F.array(*[_key(line, p, max_edits, least) for p in _places(max_edits, least)])
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -126,7 +127,8 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 # probing line, what follows by `less`. Where there is one gap, gap 2 is empty and begins where gap 1 ends.
 
 STATE = ("lo1", "hi1", "k1", "lo2", "hi2", "k2", "s1", "less", "own")
-PARTS = 4
+#: Parts of a gap that holds one edit, and of one that holds two.
+PARTS = {1: 2, 2: 3}
 
 
 def _gaps(rows: DataFrame, max_edits: int, least: int | None) -> DataFrame:
@@ -148,8 +150,8 @@ def _gaps(rows: DataFrame, max_edits: int, least: int | None) -> DataFrame:
 
 
 def _finer(rows: DataFrame) -> DataFrame:
-    """The rows with their gaps cut into PARTS: one for every choice of the parts that may hold the edits."""
-    at = lambda g, j: (F.col(f"lo{g}") + F.floor((F.col(f"hi{g}") - F.col(f"lo{g}")) * j / PARTS)).cast("int")
+    """The rows with their gaps cut into parts: one for every choice of the parts that may hold the edits."""
+    at = lambda g, j, k=1: (F.col(f"lo{g}") + F.floor((F.col(f"hi{g}") - F.col(f"lo{g}")) * j / PARTS[k])).cast("int")
     col, out = F.col, []
 
     def child(when, lo1, hi1, k1, lo2, hi2, k2, s1, own):
@@ -157,22 +159,22 @@ def _finer(rows: DataFrame) -> DataFrame:
         out.append(F.when(when, F.struct(*[x.alias(k) for x, k in zip(given, STATE, strict=False)], own.alias("own"))))
 
     one, two, none = (col("k2") == 0) & (col("k1") == 1), (col("k2") == 0) & (col("k1") == 2), F.lit(0)
-    for a in range(PARTS):
+    for a in range(PARTS[1]):
         child(one & (at(1, a) < at(1, a + 1)), at(1, a), at(1, a + 1), F.lit(1), at(1, a + 1), at(1, a + 1), none, col("less"), col("own"))
-    for a in range(PARTS - 1):
-        child(two & (at(1, a) < at(1, a + 2)), at(1, a), at(1, a + 2), F.lit(2), at(1, a + 2), at(1, a + 2), none, col("less"), col("own"))
-        for b in range(a + 2, PARTS):
+    for a in range(PARTS[2] - 1):
+        child(two & (at(1, a, 2) < at(1, a + 2, 2)), at(1, a, 2), at(1, a + 2, 2), F.lit(2), at(1, a + 2, 2), at(1, a + 2, 2), none, col("less"), col("own"))
+        for b in range(a + 2, PARTS[2]):
             for s in (-1, 0, 1):
-                ok = two & (at(1, a) < at(1, a + 1)) & (at(1, b) < at(1, b + 1)) & (F.abs(col("less") - s) <= 1)
-                child(ok, at(1, a), at(1, a + 1), F.lit(1), at(1, b), at(1, b + 1), F.lit(1), F.lit(s), col("own") & F.lit(s == 0))
+                ok = two & (at(1, a, 2) < at(1, a + 1, 2)) & (at(1, b, 2) < at(1, b + 1, 2)) & (F.abs(col("less") - s) <= 1)
+                child(ok, at(1, a, 2), at(1, a + 1, 2), F.lit(1), at(1, b, 2), at(1, b + 1, 2), F.lit(1), F.lit(s), col("own") & F.lit(s == 0))
     wide = {g: col(f"hi{g}") - col(f"lo{g}") > 1 for g in (1, 2)}
     ends = lambda g, j: F.when(wide[g], at(g, j)).otherwise(col(f"lo{g}") if j == 0 else col(f"hi{g}"))
-    for a in range(PARTS):
-        for b in range(PARTS):
+    for a in range(PARTS[1]):
+        for b in range(PARTS[1]):
             ok = (col("k2") > 0) & (wide[1] | F.lit(a == 0)) & (wide[2] | F.lit(b == 0))
             ok = ok & (~wide[1] | (at(1, a) < at(1, a + 1))) & (~wide[2] | (at(2, b) < at(2, b + 1)))
             child(ok, ends(1, a), ends(1, a + 1), col("k1"), ends(2, b), ends(2, b + 1), col("k2"), col("s1"), col("own"))
-    rows = rows.select("y", "line", "less", F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())).alias("x")).select("y", "line", "less", "x.*")
+    rows = rows.select("y", "line", "less", F.explode(F.array(*out)).alias("x")).where("x is not null").select("y", "line", "less", "x.*")
     rows = rows.where("hi1 + s1 >= lo1 and hi2 + less >= lo2 + s1 and lo2 >= hi1")
     part = lambda a, b: F.substr("line", a + 1, F.greatest(b - a, F.lit(0)))
     n = F.length("line") - col("less")
@@ -224,8 +226,9 @@ def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int, least: int |
     often = firsts.where(F.col("n") * FREQUENT > total).where("n > 1").select(F.col("a").alias("fa"), F.col("doc_id").alias("fd"), F.col("pos").alias("fp"))
     lines = _ids(line_table(docs.where("doc_id is not null"))).where(F.length("line") >= (MIN_CHARS if least is None else least))
     lines = lines.join(F.broadcast(often), F.col("a") == F.col("fa"), "left").where("fa is null or (doc_id = fd and pos = fp)")
-    index = lines.select(F.explode(index_keys(F.col("line"), max_edits, least)).alias("key"), "a").groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high"))
-    probes = lines.select(F.explode(probe_keys(F.col("line"), max_edits, least)).alias("p"), F.col("a").alias("y")).select("p.key", "p.place", "y")
+    # no filter on the arrays: Spark would interpret the keys in it
+    index = lines.select(F.explode(index_keys(F.col("line"), max_edits, least)).alias("key"), "a").where("key is not null").groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high"))
+    probes = lines.select(F.posexplode(probe_keys(F.col("line"), max_edits, least)).alias("place", "key"), F.col("a").alias("y")).where("key is not null")
     hits = graph.cut(probes.join(index.hint("shuffle_hash"), "key").where("low <> high or y <> low").distinct())
     single = hits.where("low = high").select(F.least("low", "y").alias("x"), F.greatest("low", "y").alias("y"))
     several = hits.where("low <> high").select("key", "y", "place")

@@ -210,8 +210,9 @@ def test_one_doc_id_on_two_texts(spark):
 
 
 @pytest.mark.parametrize(("edits", "whole"), [(2, True), (1, True), (2, False)])
-def test_common_segments_are_refined(spark, edits, whole):
+def test_common_segments_are_refined(spark, monkeypatch, edits, whole):
     """Many lines that share segments, by brute force: classes, near and kept lines and the digest."""
+    monkeypatch.setattr(lines, "BUCKET", 2)
     rng = random.Random(50 + edits)
     bases = ["".join(rng.choice("abcdeé fghij") for _ in range(n)) for n in (20, 27, 44, 90)]
     pool = [edited(rng, rng.choice(bases), rng.choice((0, 1, 1, 2, 3, 4))) for _ in range(90)]
