@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from common import corpus, docs, words
 from framelake.llm import decontam, fm_index, katz, licenses, mixing, ogg, quality, secrets, tokens
@@ -185,6 +187,29 @@ def test_secrets(spark):
     assert secrets.secret_digest(docs(spark, [])).count() == 0
 
 
+def test_long_candidates(spark):
+    """Runs of 100 kB and 1 MB end in seconds, without deep recursion; long ones by brute force as well."""
+    rng = random.Random(18)
+    al = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    run = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    texts = ["a/" * 50_000 + "b1", run(1_000_000, re.sub("[mxMX]", "", al)), "x " + run(3000, al) + "\u00fc " + run(900, "ab1" * 3 + al), "z9" + "aab" * 700 + run(40, al), " ".join(run(16, "0123456789abcdef") for _ in range(3000))]
+    df = docs(spark, list(enumerate(texts)))
+    began = time.time()
+    got = {r.doc_id: list(r)[1:] for r in secrets.secret_digest(df).collect()}
+    assert time.time() - began < 60
+    for i in (0, 2, 3, 4):
+        assert got[i] == plain_secrets(texts[i])
+    assert got[1][4].startswith("entropy:0:") and got[0][4] == ""
+    assert len(secrets.redact(df).where("doc_id = 1").first().text) < 100
+
+
+def test_secrets_of_clashing_names(spark):
+    df = docs(spark, [(1, "password = hunter2hunter2"), (2, None)]).withColumns({"secrets": F.lit("s"), "_base": F.lit(1), "_hot": F.lit(2), "_s0": F.lit(3), "_s3": F.lit(4)})
+    got = secrets.redact(df)
+    assert got.columns == df.columns
+    assert {(r.doc_id, r.text, r.secrets, r._base, r._hot, r._s0, r._s3) for r in got.collect()} == {(1, "[secret]", "s", 1, 2, 3, 4), (2, None, "s", 1, 2, 3, 4)}
+
+
 # --- quality
 
 
