@@ -7,12 +7,14 @@ document to every cell. The join therefore has two levels.
 1. Regions. The n-gram universe is cut by hash into one part more than the largest symmetric difference that a linked
    pair of such sizes can have, so a linked pair agrees on a whole part. Equal parts are edges of a graph (a star to the
    part's first set, never all pairs); its components are regions that no link leaves. Sizes are distances from the
-   empty set: sets near the border of a size class are replicated to the class below.
+   empty set: sets near the border of a size class are replicated to the class below. Passages that many texts share make
+   large regions without links; a set can only link if num/den of its n-grams stand in other sets of its region, so the
+   others go (a count for each n-gram, of one row a task at most where it is frequent) and the rest is parted anew.
 2. Voronoi cells. A region of more than `leaf_rows` sets or `leaf_bytes` of text is dealt to pivots: each set goes to its
    nearest pivot's cell and, as a boundary set, to every cell whose pivot is at most two radii farther. Cells are dealt
-   again until they fit a task; a cell that pivots can't part is joined by blocks: only sets not linked to its pivot are
-   compared with others, as sets linked to one pivot share a class already. In a leaf, pivots prune by the triangle
-   inequality and what is left is compared exactly.
+   again until they fit a task; a cell that pivots can't part is joined by blocks: sets that links to pivots join to one
+   class need no comparison with each other, so only the sets outside of the largest class are compared with the others.
+   In a leaf, pivots prune by the triangle inequality and what is left is compared exactly.
 """
 
 from __future__ import annotations
@@ -301,7 +303,7 @@ def _pivot_task(n: int, num: int, den: int):
     radius = (den - num) / den
 
     def task(docs: pa.Table, pivots: pa.Table) -> pa.Table:
-        none = pa.table({"region": pa.array([], pa.string()), "doc_id": pa.array([], pa.int64()), "chars": pa.array([], pa.int64()), "cell": pa.array([], pa.int64()), "home": pa.array([], pa.bool_()), "linked": pa.array([], pa.bool_())})
+        none = pa.table({"region": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "chars": pa.array([], pa.int64()), "cell": pa.array([], pa.int64()), "home": pa.array([], pa.bool_()), "linked": pa.array([], pa.bool_())})
         if docs.num_rows == 0 or pivots.num_rows == 0:
             return none
         docs, pivots = docs.combine_chunks(), pivots.combine_chunks()
@@ -338,45 +340,129 @@ def regions(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return graph.components(stars)
 
 
+def _shingle_rows_task(n: int):
+    """Rows (key, doc_id, shared, size) of the n-grams of sets in regions; a key stands for an n-gram in a region.
+
+    An n-gram that only one set of a run of sets has is a row of its own with that set's id. One that several have is a
+    row without id, and counts at once: each set has a row of its own (shared >= 0) of how many it has of those."""
+
+    def counted(keys, docs):
+        size = np.array([len(k) for k in keys], np.int64)
+        key, inverse, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(docs)), size)
+        again = count[inverse] > 1
+        shared = np.bincount(owner[again], minlength=len(docs))
+        ids, k = np.array(docs, np.int64), np.concatenate(keys)
+        own = np.concatenate([k[~again].view(np.int64), key[count > 1].view(np.int64), ids])
+        doc = np.concatenate([ids[owner[~again]], np.zeros((count > 1).sum(), np.int64), ids])
+        part = np.repeat([0, 1, 2], [(~again).sum(), (count > 1).sum(), len(ids)])
+        full = np.concatenate([np.full((part < 2).sum(), -1), shared])
+        sizes = np.concatenate([np.zeros((part < 2).sum(), np.int64), size])
+        for i in range(0, len(own), 50_000):
+            j = slice(i, i + 50_000)
+            yield pa.record_batch([pa.array(own[j]), pa.array(doc[j], mask=part[j] == 1), pa.array(full[j]), pa.array(sizes[j])], names=["key", "doc_id", "shared", "size"])
+
+    def task(batches):
+        keys, docs, rows = [], [], 0
+        for batch in batches:
+            region, ids = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            salt = mix(region.astype(np.int64).view(np.uint64))
+            for i, x in shingle_sets(batch.column(2), n):
+                keys.append(mix(x ^ salt[i]))
+                docs.append(ids[i])
+                rows += len(x)
+                if rows >= COMBINE_ROWS:
+                    yield from counted(keys, docs)
+                    keys, docs, rows = [], [], 0
+        if docs:
+            yield from counted(keys, docs)
+
+    return task
+
+
+def _shared_task(batches):
+    """Sorted (key, doc_id, shared, size): (doc_id, shared, size) partly summed; an n-gram of two rows is shared. Holds one
+    batch and one row."""
+    held: tuple[int, int | None] | None = None  # a key's only row so far
+    last = None
+    for batch in batches:
+        shared, size = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        own = shared >= 0
+        doc, count, sizes = [batch.column(1).fill_null(0).to_numpy()[own]], [shared[own]], [size[own]]
+        key = batch.column(0).to_numpy()[~own]
+        known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)[~own]
+        ids = batch.column(1).fill_null(0).to_numpy()[~own]
+        if len(key):
+            again = np.zeros(len(key), bool)
+            again[1:] = key[1:] == key[:-1]
+            again[:-1] |= key[1:] == key[:-1]
+            if last == key[0]:
+                again[0] = True
+                if held is not None and held[0] == key[0] and held[1] is not None:
+                    doc.append(np.array([held[1]])), count.append(np.ones(1, np.int64)), sizes.append(np.zeros(1, np.int64))
+            last = int(key[-1])
+            held = None if again[-1] else (last, int(ids[-1]) if known[-1] else None)
+            take = again & known
+            doc.append(ids[take]), count.append(np.ones(take.sum(), np.int64)), sizes.append(np.zeros(take.sum(), np.int64))
+        d, at = np.unique(np.concatenate(doc), return_inverse=True)
+        if len(d):
+            c = np.bincount(at, np.concatenate(count), len(d)).astype(np.int64)
+            z = np.zeros(len(d), np.int64)
+            np.maximum.at(z, at, np.concatenate(sizes))
+            yield pa.record_batch([pa.array(d), pa.array(c), pa.array(z)], names=["doc_id", "shared", "size"])
+
+
+def linkable(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those rows (region, doc_id, text) that have num/den of their n-grams in common with others of their region."""
+    grams = rows.select("region", "doc_id", "text").mapInArrow(_shingle_rows_task(n), "key long, doc_id long, shared long, size long")
+    counts = grams.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_task, "doc_id long, shared long, size long")
+    counts = counts.groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.max("size").alias("size"))
+    stay = graph.cut(counts.where(F.col("shared") * den >= F.col("size") * num).select("doc_id"))
+    return rows.join(graph.small(stay), "doc_id")
+
+
 def _voronoi(rows: DataFrame, n: int, num: int, den: int, leaf_rows: int, leaf_bytes: int, rounds: int = 4) -> list[DataFrame]:
-    """Links (a, b) inside regions too large for a task. rows: region string, doc_id, text."""
-    spark, links, leaf = rows.sparkSession, [], _leaf_task(n, num, den)
+    """Links (a, b) inside regions too large for a task. rows: region long, doc_id, text."""
+    links, leaf = [], _leaf_task(n, num, den)
     for depth in range(rounds):
         draw = F.pmod(F.xxhash64(F.lit(depth), "doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
-        count = rows.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min(draw).alias("least"))
+        count = graph.cut(rows.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min(draw).alias("least")))
         shares = F.ceil(F.greatest(F.col("n") / leaf_rows, 4 * F.col("chars") / leaf_bytes)).cast("int")
-        sized = rows.join(count.withColumn("shares", shares), "region")
+        sized = rows.join(graph.small(count.withColumn("shares", shares)), "region")
         docs = sized.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int"))
         pivots = sized.where((draw < 2 * PIVOTS / F.col("n")) | (draw == F.col("least"))).withColumn("draw", draw)
         pivots = pivots.groupBy("region", "shares").agg(F.slice(F.array_sort(F.collect_list(F.struct("draw", "doc_id", "text"))), 1, PIVOTS).alias("p"))
         pivots = pivots.select("region", "shares", F.explode("p").alias("p")).select("region", "p.doc_id", "p.text", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
         pivots = graph.cut(pivots).select(*[F.col(c).alias(c) for c in pivots.columns])
-        dealt = docs.select("region", "share", "doc_id", "text").groupBy("region", "share").cogroup(pivots.groupBy("region", "share")).applyInArrow(_pivot_task(n, num, den), "region string, doc_id long, chars long, cell long, home boolean, linked boolean")
+        dealt = docs.select("region", "share", "doc_id", "text").groupBy("region", "share").cogroup(pivots.groupBy("region", "share")).applyInArrow(_pivot_task(n, num, den), "region long, doc_id long, chars long, cell long, home boolean, linked boolean")
         dealt = graph.cut(dealt)
-        links.append(dealt.where("linked and doc_id <> cell").select(F.col("doc_id").alias("a"), F.col("cell").alias("b")))
-        cells = dealt.groupBy("region", "cell").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum(F.col("linked").cast("long")).alias("near"))
+        to_pivot = dealt.where("linked and doc_id <> cell").select(F.col("doc_id").alias("a"), F.col("cell").alias("b"))
+        links.append(to_pivot)
+        cells = dealt.groupBy("region", "cell").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
         fits = (F.col("n") <= leaf_rows) & (F.col("chars") * 4 <= leaf_bytes)
         cells = cells.withColumn("kind", F.when(fits, "leaf").otherwise("again"))
-        whole = cells.groupBy("region").agg(F.sum("n").alias("dealt"), F.max("n").alias("most"), F.max_by("cell", F.struct("near", "cell")).alias("best"))
+        whole = cells.groupBy("region").agg(F.sum("n").alias("dealt"), F.max("n").alias("most"))
         parted = (F.col("dealt") <= 3 * F.col("was")) & (F.col("most") <= 0.7 * F.col("was")) & F.lit(depth < rounds - 1)
-        whole = whole.join(count.select("region", F.col("n").alias("was"), F.col("chars").alias("all_chars")), "region").select("region", "best", "was", "all_chars", parted.alias("parted"))
-        cells = graph.cut(cells.join(whole, "region").withColumn("kind", F.when(F.col("parted"), F.col("kind")).otherwise("blocks")).select("region", "cell", "kind", "best", "was", "all_chars"))
+        whole = whole.join(count.select("region", F.col("n").alias("was"), F.col("chars").alias("all_chars")), "region").select("region", "was", "all_chars", parted.alias("parted"))
+        cells = graph.cut(cells.join(whole, "region").withColumn("kind", F.when(F.col("parted"), F.col("kind")).otherwise("blocks")).select("region", "cell", "kind", "was", "all_chars"))
         kinds = {r[0] for r in cells.select("kind").distinct().collect()}
-        dealt = dealt.join(cells, ["region", "cell"])
+        dealt = dealt.join(graph.small(cells), ["region", "cell"])
         texts = rows.select(F.col("region").alias("_r"), F.col("doc_id").alias("_d"), "text")
         with_text = lambda df: df.join(texts, (df.region == F.col("_r")) & (df.doc_id == F.col("_d"))).drop("_r", "_d")
-        named = F.concat_ws("/", "region", F.col("cell").cast("string")).alias("region")
+        named = F.xxhash64("region", "cell").alias("region")
         if "leaf" in kinds:
             held = with_text(dealt.where("kind = 'leaf'"))
             links.append(held.select(named, "doc_id", "text", F.lit(True).alias("probe"), F.lit(True).alias("within")).groupBy("region").applyInArrow(leaf, "a long, b long"))
         if "blocks" in kinds:
-            # pivots don't part this region: sets linked to its best pivot share a class, all others are compared with everything
-            mine = dealt.where("kind = 'blocks'")
-            linked = mine.where("cell = best and linked").select("region", "doc_id").distinct().withColumn("linked_to_best", F.lit(True))
-            mine = graph.cut(mine.where("home").select("region", "doc_id", "was", "all_chars").distinct().join(linked, ["region", "doc_id"], "left").withColumn("free", F.col("linked_to_best").isNull()))
-            frees = mine.groupBy("region").agg(F.count(F.when(F.col("free"), 1)).alias("n_free"))
+            # pivots don't part this region: the largest class of sets that links to pivots join is one already, all others are compared with everything
+            mine = graph.cut(dealt.where("kind = 'blocks' and home").select("region", "doc_id", "was", "all_chars").distinct())
+            held_by = graph.cut(graph.components(to_pivot).withColumnRenamed("node", "doc_id"))
+            mine = mine.join(graph.small(held_by), "doc_id", "left")
+            best = mine.where("component is not null").groupBy("region", "component").agg(F.count("*").alias("c")).groupBy("region").agg(F.max_by("component", F.struct("c", "component")).alias("best"))
+            mine = mine.join(graph.small(graph.cut(best)), "region", "left").withColumn("free", ~F.coalesce(F.col("component") == F.col("best"), F.lit(False)))
+            frees = graph.cut(mine.groupBy("region").agg(F.count(F.when(F.col("free"), 1)).alias("n_free")))
             parts = F.greatest(F.ceil(F.col("was") * 2 / leaf_rows), F.ceil(F.col("all_chars") * 8 / leaf_bytes)).cast("int")
-            mine = mine.join(frees, "region").where("n_free > 0").withColumn("kx", parts).withColumn("kb", F.ceil(F.col("kx") * F.col("n_free") / F.col("was")).cast("int"))
+            mine = mine.join(graph.small(frees), "region").where("n_free > 0").withColumn("kx", parts).withColumn("kb", F.ceil(F.col("kx") * F.col("n_free") / F.col("was")).cast("int"))
             at = lambda k: F.pmod(F.xxhash64("doc_id"), F.col(k)).cast("int")
             every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
             left = with_text(mine)
@@ -389,6 +475,14 @@ def _voronoi(rows: DataFrame, n: int, num: int, den: int, leaf_rows: int, leaf_b
     return links
 
 
+def _parted(texts: DataFrame, leaf_rows: int, leaf_bytes: int) -> tuple[DataFrame, DataFrame, bool]:
+    """texts (region, doc_id, text) of regions of several sets: those that fit a task, the larger ones, and whether there are any."""
+    sized = texts.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    sized = graph.cut(sized.where("n > 1").withColumn("big", (F.col("n") > leaf_rows) | (F.col("chars") * 4 > leaf_bytes)).select("region", "big"))
+    marked = texts.join(graph.small(sized), "region")
+    return marked.where("not big").drop("big"), marked.where("big").drop("big"), sized.where("big").limit(1).count() > 0
+
+
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, leaf_rows: int = LEAF_ROWS, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     """Classes of documents linked by Jaccard similarity of their word n-gram sets, num/den or more.
 
@@ -402,14 +496,19 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     sets = graph.cut(shingle_table(docs, n))
     distinct = sets.where("digest is not null and doc_id is not null").groupBy("digest", "node").agg(F.min("doc_id").alias("rep"))
     region = graph.cut(regions(docs.where("doc_id is not null"), n, num, den))
-    reps = graph.cut(distinct.join(graph.small(region), "node").select(F.col("rep").alias("doc_id"), F.col("component").cast("string").alias("region")))
+    reps = graph.cut(distinct.join(graph.small(region), "node").select(F.col("rep").alias("doc_id"), F.col("component").alias("region")))
     texts = graph.cut(docs.join(graph.small(reps), "doc_id").select("region", "doc_id", "text").distinct())
-    sized = texts.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    sized = graph.cut(sized.where("n > 1").withColumn("big", (F.col("n") > leaf_rows) | (F.col("chars") * 4 > leaf_bytes)).select("region", "big"))
-    marked = texts.join(sized, "region")
-    links = [marked.where("not big").select("region", "doc_id", "text", F.lit(True).alias("probe"), F.lit(True).alias("within")).groupBy("region").applyInArrow(_leaf_task(n, num, den), "a long, b long")]
-    if sized.where("big").limit(1).count():
-        links += _voronoi(graph.cut(marked.where("big").select("region", "doc_id", "text")), n, num, den, leaf_rows, leaf_bytes)
+    leaf = lambda df: df.select("region", "doc_id", "text", F.lit(True).alias("probe"), F.lit(True).alias("within")).groupBy("region").applyInArrow(_leaf_task(n, num, den), "a long, b long")
+    fit, rest, more = _parted(texts, leaf_rows, leaf_bytes)
+    links = [leaf(fit)]
+    if more:
+        rest = graph.cut(linkable(rest, n, num, den))
+        anew = graph.cut(regions(rest, n, num, den).select("node", F.col("component").alias("region")))
+        anew = graph.cut(distinct.join(graph.small(anew), "node").select(F.col("rep").alias("doc_id"), "region"))
+        fit, rest, more = _parted(graph.cut(rest.drop("region").join(graph.small(anew), "doc_id").select("region", "doc_id", "text").distinct()), leaf_rows, leaf_bytes)
+        links.append(leaf(fit))
+    if more:
+        links += _voronoi(graph.cut(rest.select("region", "doc_id", "text")), n, num, den, leaf_rows, leaf_bytes)
     pairs = links[0]
     for x in links[1:]:
         pairs = pairs.unionByName(x)
