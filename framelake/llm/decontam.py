@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm import graph
 from framelake.llm.fm_index import FMIndex
 from framelake.llm.words import NOT_WORD, slices, split, word_hashes
 
 SHARD_BYTES = 12 << 20
-#: Benchmark text of one search; a longer benchmark is searched block after block, in the same stage.
+#: Benchmark text of one search; a longer benchmark is searched block after block.
 BLOCK_CHARS = 4 << 20
+#: Words of a piece of a benchmark text.
+PIECE_WORDS = 10_000
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SCHEMA = "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
 
 
@@ -161,29 +163,42 @@ def merged(spans: list[dict]) -> list[dict]:
     return out
 
 
+def _pieces(benchmark: DataFrame, width: int, words: int = PIECE_WORDS) -> DataFrame:
+    """item_id, text: the benchmark's texts in pieces of bounded length; every window lies in a piece of its item."""
+    found = F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), found.alias("w")).where("size(w) > 0")
+    n = F.greatest(F.ceil((F.size("w") - width + 1) / words), F.lit(1)).cast("int")
+    cut = items.select("item_id", "w", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    return cut.select("item_id", F.array_join(F.slice("w", F.col("i") * words + 1, F.lit(words + width - 1)), " ").alias("text"))
+
+
+def _blocks(pieces: DataFrame, width: int, block_chars: int):
+    """Windows of one block after the other. A block has about `block_chars` characters: blocks are dealt by hash, and pieces
+    are short. The driver and the tasks hold one block at a time."""
+    pieces = graph.cut(pieces)
+    blocks = max(1, -(-(pieces.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+    for i in range(blocks):
+        part = pieces if blocks == 1 else pieces.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
+        rows = part.collect()
+        yield i == blocks - 1, Windows([r[0] or 0 for r in rows], [r[1] for r in rows], width)
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep_text: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Words of documents inside any occurrence of a window of `width` consecutive words of a benchmark item.
 
     docs: doc_id, text; benchmark: item_id (integer), text; other columns are ignored. Words are runs of ASCII letters and
     digits and of non-ASCII characters, ASCII capitals folded. Returns a row for each row of docs: doc_id, text (null
     unless keep_text), n_words, spans (merged word ranges, end exclusive), items (sorted ids of items that occur). Null and
-    empty texts have no words; items without words or id match nothing; repeated rows are treated alike; an item of fewer
-    words than `width` is one window. The benchmark is read in blocks of `block_chars` characters, so that what a task
-    holds of it is bounded; all blocks are searched in one stage.
+    empty texts have no words; texts and items may be of any length; items without words or id match nothing; repeated rows
+    are treated alike; an item of fewer words than `width` is one window; an empty table gives no rows, an empty benchmark
+    no spans. The benchmark is searched in blocks of about `block_chars` characters, one pass over docs each, stored in
+    between: neither the driver nor a task ever holds more than one block.
     """
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    chars = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-chars // block_chars))
     none = "array()"
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr(f"cast({none} as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr(f"cast({none} as array<bigint>)").alias("items"))
-    for i in range(blocks):
-        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
-        rows = part.toLocalIterator()
-        ids, texts = [], []
-        for r in rows:
-            ids.append(r[0])
-            texts.append(r[1])
-        out = out.mapInArrow(_task(Windows(ids, texts, width), keep_text or i < blocks - 1), SCHEMA)
+    for last, windows in _blocks(_pieces(benchmark.where("item_id is not null"), width), width, block_chars):
+        out = out.mapInArrow(_task(windows, keep_text or not last), SCHEMA)
+        out = out if last else graph.cut(out)
     return out
 
 
@@ -219,30 +234,26 @@ def without_spans(hits: DataFrame) -> DataFrame:
     return df.mapInArrow(_clean_task(["doc_id", "text"], 1), "doc_id long, text string")
 
 
-def _drop_task(windows: list[Windows], names: list[str], at: int):
-    tasks = [_task(w, True) for w in windows]
+def _drop_task(windows: Windows, names: list[str], at: int):
+    search = _task(windows, True)
 
     def task(batches):
         for batch in batches:
             n = batch.num_rows
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             x = pa.record_batch([pa.array(range(n), pa.int64()), batch.column(at), pa.array([[]] * n, kind), pa.array([[]] * n, pa.list_(pa.int64()))], names=["doc_id", "text", "spans", "items"])
-            for t in tasks:
-                x = next(iter(t([x])))
-            yield batch.filter(pa.array([not s for s in x.column("spans").to_pylist()]))
+            yield batch.filter(pa.array([not s for s in next(iter(search([x]))).column("spans").to_pylist()]))
 
     return task
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """docs (all columns) without the rows whose text has an occurrence of a benchmark window; no row moves. Item ids are not used."""
-    bench = benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    chars = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-chars // BLOCK_CHARS))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs (all columns, of any names) without the rows whose text has an occurrence of a benchmark window; no row moves.
+
+    Item ids are not used: rows without one count. Otherwise as `benchmark_hits`."""
+    pieces = _pieces(benchmark.select(F.lit(0).alias("item_id"), "text"), width)
     out = docs
-    for i in range(blocks):
-        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i)
-        texts = [r[0] for r in part.toLocalIterator()]
-        w = Windows([0] * len(texts), texts, width)
-        out = out.mapInArrow(_drop_task([w], docs.columns, docs.columns.index("text")), docs.schema)
+    for last, windows in _blocks(pieces, width, block_chars):
+        out = out.mapInArrow(_drop_task(windows, docs.columns, docs.columns.index("text")), docs.schema)
+        out = out if last else graph.cut(out)
     return out
