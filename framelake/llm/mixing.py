@@ -91,7 +91,7 @@ def with_repetitions(drawn: DataFrame, plan: DataFrame) -> DataFrame:
     p = plan.withColumnRenamed("source", "_source")
     p = F.broadcast(p) if p.limit(20_001).count() <= 20_000 else p
     out = drawn.join(p, F.col("source").eqNullSafe(F.col("_source")))
-    return out.withColumn("repetitions", F.col("whole") + (F.col("_draw") <= F.col("cut")).cast("long")).drop("_source", "whole", "cut")
+    return out.withColumn("repetitions", F.col("whole") + ((F.col("_draw") <= F.col("cut")) & (F.col("_size") > 0)).cast("long")).drop("_source", "whole", "cut")
 
 
 def mixture_table(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
@@ -107,8 +107,11 @@ def mixture_table(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: fl
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
-    """The mixture itself: the rows of docs (all columns), each as often as it is taken. Texts are not shuffled."""
+    """The mixture itself: the rows of docs (all columns, of any names), each as often as it is taken. Texts are not shuffled.
+
+    Odd rows as in `mixture_table`; a document without words is repeated as often as its source is taken whole."""
     drawn = graph.cut(with_draw(docs.select("doc_id", "text", "source"), seed).drop("text"))
     plan = graph.cut(mixing_plan(drawn, weights, share, cap))
-    out = with_repetitions(with_draw(docs, seed), plan).withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("repetitions").cast("int"))))
-    return out.select(docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source")
+    out = with_repetitions(with_draw(whole, seed), plan)
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("repetitions").cast("int")))).select("row.*")
