@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import uuid
 import zlib
 from itertools import chain
 
@@ -61,6 +63,8 @@ def from_planes(planes: list[bytes], n: int, block: int = BLOCK_IDS) -> np.ndarr
 # --- encoding --------------------------------------------------------------------------------------------------------
 
 MEMO_PIECES = 1_000_000
+#: Bytes of a piece up to which a sum of its bytes' powers tells it from others; longer ones have a cryptographic hash.
+HASHED_BYTES = 64
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _STOP = np.zeros(256, bool)
@@ -71,8 +75,8 @@ class Encoder:
     """Ids of texts by a byte-level BPE without a normaliser.
 
     Such a tokenizer splits words before a blank that a word follows, between a letter and a stop, and between a single line
-    end and a letter, and merges nothing across. Texts are cut there, each different piece is encoded once by the tokenizers library, and the ids are put together again: the same ids as of the
-    whole text.
+    end and a letter, and merges nothing across. Texts are cut there, each different piece is encoded once by the tokenizers
+    library, and the ids are put together again: the same ids as of the whole text.
     """
 
     def __init__(self, path: str):
@@ -117,6 +121,8 @@ class Encoder:
         s = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[raw] * p[:n], out=s[1:])
         h = mix((s[ends] - s[starts]) * inverse[starts])
+        for i in np.flatnonzero(ends - starts > HASHED_BYTES):  # the sums of long pieces can be made to meet
+            h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
         keys, first, which = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
@@ -185,20 +191,23 @@ def _write_task(path: str, end_id: int, bits: bool, chunk: int):
 
 
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, bits: bool = False, chunk: int = CHUNK_IDS, path: str | None = None) -> DataFrame:
-    """Encode texts and store them in ascending doc_id order; return the stored chunks.
+    """Encode texts, write them in ascending doc_id order as Parquet files, and return the files' chunks.
 
-    docs: doc_id (integer), text, others ignored; null texts are empty and have the end id alone; null doc_ids come first;
-    rows of one doc_id stand together, ordered by text. Shards are ranges of doc_id. A row of the stored table is a chunk of
-    whole documents: shard, first (ids of the shard before it), n_ids, doc_ids and lengths (the chunk index: it is read
-    without the planes), planes. path: where to write it; else it goes to the shared checkpoint folder.
+    docs: doc_id (integer), text, others ignored; null and empty texts have the end id alone; texts may be of any length;
+    null doc_ids come first; rows of one doc_id stand together, in the order of a hash of their texts; an empty table gives
+    no chunks. Shards are ranges of doc_id. A row of the files is a chunk of whole documents: shard, first (ids of the shard
+    before it), n_ids, doc_ids and lengths (the chunk index: columns that Parquet reads without the planes), planes. path:
+    where to write; else a new folder in the shared checkpoint folder.
     """
+    spark = docs.sparkSession
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    df = df.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    df = df.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     chunks = df.mapInArrow(_write_task(tokenizer, end_id, bits, chunk), SCHEMA)
     if path is None:
-        return graph.cut(chunks)
-    chunks.write.parquet(path)
-    return docs.sparkSession.read.schema(SCHEMA).parquet(path)
+        graph.shared_folder(spark)
+        path = f"{spark.sparkContext.getCheckpointDir()}/token-ids-{uuid.uuid4().hex}"
+    chunks.write.option("compression", "none").parquet(path)  # the planes are compressed already
+    return spark.read.schema(SCHEMA).parquet(path)
 
 
 def _read_task(batches):
