@@ -125,8 +125,24 @@ def demux(data: bytes) -> dict[int, list[tuple[bytes, int]]]:
     return streams
 
 
+def packet_ends(packets: list[tuple[bytes, int]]) -> tuple[list[int], int, int]:
+    """End of every packet in samples, how many ends a granule position gave, and by how much those were off in all.
+
+    A page's granule position is the end of the last packet that ends on it; the packets before have theirs by their lengths."""
+    ends, at, marks, off = [], 0, 0, 0
+    for data, granule in packets:
+        at += len(data)
+        if granule >= 0:
+            off += abs(granule - at)
+            at = granule
+            marks += 1
+        ends.append(at)
+    return ends, marks, off
+
+
 def decode(data: bytes) -> tuple[bytes, dict]:
-    """The samples and features: streams, packets, seconds (by granule position), mean, peak and zero crossings."""
+    """The samples and features: streams, packets, marks (granule positions), gap (samples by which they are off), ms (the
+    last packet's timestamp), mid (that of the packet in the middle), sum, peak and crossings of the samples."""
     streams = demux(data)
     main = next((k for k, p in streams.items() if p and p[0][0].startswith(HEAD)), None)
     if main is None:
@@ -134,12 +150,14 @@ def decode(data: bytes) -> tuple[bytes, dict]:
     packets = streams[main]
     rate, total = struct.unpack_from("<IQ", packets[0][0], len(HEAD))
     samples = b"".join(p for p, _ in packets[1:])
-    if len(samples) != total or (packets[-1][1] != total and len(packets) > 1):
+    ends, marks, gap = packet_ends(packets[1:])
+    if len(samples) != total or gap or ends[-1:] != [total][: len(ends)]:
         raise OggError("samples are missing")
     x = np.frombuffer(samples, np.uint8)
     above = x >= 128
     peaks = [max(p) for s, ps in streams.items() if s != main for p, _ in ps[1:]]
-    return samples, {"streams": len(streams), "packets": len(packets) - 1, "ms": total * 1000 // rate, "sum": int(x.sum(dtype=np.int64)), "peak": max(peaks, default=0), "crossings": int((above[1:] != above[:-1]).sum())}
+    ms = [e * 1000 // rate for e in ends] or [0]
+    return samples, {"streams": len(streams), "packets": len(packets) - 1, "marks": marks, "gap": gap, "ms": ms[-1], "mid": ms[len(ms) // 2], "sum": int(x.sum(dtype=np.int64)), "peak": max(peaks, default=0), "crossings": int((above[1:] != above[:-1]).sum())}
 
 
 def padded(text: bytes) -> bytes:
@@ -156,11 +174,14 @@ def _encode_task(batches):
 
 
 def text_to_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes (UTF-8, unpadded) and media (Ogg of the padded text) of every row; a null text is empty."""
+    """doc_id, n_bytes (UTF-8, unpadded) and media (Ogg of the padded text) of every row.
+
+    docs: doc_id, text, others ignored. A null text is empty; texts may be of any length; repeated rows are treated alike;
+    an empty table gives none."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode_task, "doc_id long, n_bytes long, media binary")
 
 
-FEATURE = "streams={streams} packets={packets} ms={ms} sum={sum} peak={peak} crossings={crossings}"
+FEATURE = "streams={streams} packets={packets} marks={marks} gap={gap} ms={ms} mid={mid} sum={sum} peak={peak} crossings={crossings}"
 
 
 def _features_task(batches):
