@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import time
 import zlib
 
@@ -418,3 +419,107 @@ def test_decontaminate_by_rows_without_id(spark):
     bench = spark.createDataFrame([(None, "red green blue"), (1, "one two"), (2, None)], "item_id long, text string")
     rows = [(1, "a Red, green blue b"), (2, "one two three"), (3, "green blue red"), (4, None)]
     assert sorted(r.doc_id for r in decontam.decontaminate(docs(spark, rows), bench).collect()) == [3, 4]
+
+
+def test_long_items_in_pieces(spark):
+    """Every window of a long item lies in a piece, and no piece makes a window of its own."""
+    rng = random.Random(31)
+    long_item = words(rng, 200, 40)
+    bench = spark.createDataFrame([(1, long_item), (2, "w1 w2"), (3, None), (4, words(rng, 12, 40))], "item_id long, text string")
+    for size in (1, 3, 50, 190, 191, 192, 500):
+        got = {r.text for r in decontam._pieces(bench.where("item_id = 1"), 10, size).collect()}
+        cut = lambda t: {tuple(t.split()[i : i + 10]) for i in range(len(t.split()) - 9)}
+        assert set().union(*map(cut, got)) == cut(long_item) and all(len(t.split()) >= 10 for t in got)
+
+
+def test_clashing_names(spark):
+    """Columns that are named like an operator's own come back as they were."""
+    names = {"target": 1, "cut": 2, "whole": 3, "source_size": 4, "repetitions": 5, "_size": 6, "_draw": 7, "row": 8, "col": 9, "spans": 10, "items": 11, "n_words": 12}
+    df = docs(spark, [(i, f"w{i} " * (i + 1)) for i in range(20)] + [(90, ""), (91, None)]).withColumns({k: F.lit(v) for k, v in names.items()})
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and {tuple(r[k] for k in names) for r in mixed.collect()} == {tuple(names.values())}
+    counts = mixed.groupBy("doc_id").count().collect()
+    assert all(r["count"] <= 2 for r in counts) and {90, 91} <= {r.doc_id for r in counts}
+    bench = spark.createDataFrame([(1, "w3 w3 w3 w3")], "item_id long, text string")
+    clean = decontam.decontaminate(df, bench)
+    assert clean.columns == df.columns and {r.doc_id for r in df.collect()} - {r.doc_id for r in clean.collect()} == {3}
+    assert decontam.benchmark_hits(df, bench).where("size(items) > 0").count() == 1
+    good = quality.keep_good(df, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    assert good.columns == df.columns
+    assert tokens.read_index(tokens.write_ids(df, tokenizer_path())).count() == 22 and katz.katz_scores(df).count() == 22
+
+
+def read_ogg(data):
+    """An independent reader of files with pages that end with a packet or in one: packets and granules of each stream."""
+    out, rest, at = {}, {}, 0
+    while at < len(data):
+        magic, version, flags, granule, serial, _, crc, n = struct.unpack("<4sBBqIIIB", data[at : at + 27])
+        assert (magic, version) == (b"OggS", 0)
+        sizes, body = data[at + 27 : at + 27 + n], at + 27 + n
+        page, reg = data[at : at + 22] + bytes(4) + data[at + 26 : body + sum(sizes)], 0
+        for b in page:
+            reg ^= b << 24
+            for _ in range(8):
+                reg = (reg << 1 ^ 0x104C11DB7) if reg >> 31 else reg << 1
+        assert reg == crc and (serial in out) != bool(flags & 2)
+        out.setdefault(serial, [])
+        part = rest.pop(serial, b"")
+        assert bool(flags & 1) == bool(part)
+        for size in sizes:
+            part += data[body : body + size]
+            body += size
+            if size < 255:
+                out[serial].append([part, -1])
+                part = b""
+        if part:
+            rest[serial] = part
+        if granule >= 0:
+            out[serial][-1][1] = granule
+        at = body
+    assert not rest
+    return out
+
+
+def test_media_by_another_reader(spark):
+    rows = [(1, None), (2, "short é"), (3, "word " * 2000), (4, "x" * 70_000)]
+    df = docs(spark, rows)
+    media = {r.doc_id: bytes(r.media) for r in ogg.text_to_media(df).collect()}
+    got = {r.doc_id: r for r in ogg.media_features(ogg.text_to_media(df)).collect()}
+    for i, t in rows:
+        raw = (t or "").encode()
+        p = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        streams = read_ogg(media[i])
+        (head, *packets), peaks = streams[1], [x for x, _ in streams[2][1:]]
+        assert b"".join(x for x, _ in packets) == p and struct.unpack("<IQ", head[0][-12:]) == (8000, len(p))
+        ends = np.cumsum([len(x) for x, _ in packets]).tolist()
+        marks = [(e, g) for e, (_, g) in zip(ends, packets, strict=True) if g >= 0]
+        assert all(e == g for e, g in marks) and marks[-1][1] == len(p)
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(p, p[1:], strict=False))
+        want = f"streams=2 packets={len(packets)} marks={len(marks)} gap=0 ms={len(p) // 8} mid={ends[len(ends) // 2] // 8} sum={sum(p)} peak={max(map(max, peaks))} crossings={crossings}"
+        r = got[i]
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media[i]), hashlib.sha256(media[i]).hexdigest(), want)
+
+
+def test_pieces_whose_sums_meet():
+    """Two pieces that no sum of powers modulo 2**64 tells apart get their own ids."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    texts = [" x" + "".join("ab"[b] for b in bits), " x" + "".join("ba"[b] for b in bits)]
+    raw = "".join(texts).encode()
+    ids, off = tokens.Encoder(tokenizer_path()).encode(np.frombuffer(raw, np.uint8), np.array([0, len(texts[0]), len(raw)]))
+    for i, t in enumerate(texts):
+        assert ids[off[i] : off[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_statistics_by_plain_python(spark):
+    texts = ["", "One two, THREE! 4 |x| <b>\n\nline; é É ß\nline", "  spaces  ", "a" * 5000, "x y " * 300, "100% #1 http://a.b/c?d=e&f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {r.i: r for r in df.select("i", *[c.alias(k) for k, c in quality.statistics(df.text).items()]).collect()}
+    for i, t in enumerate(texts):
+        w, n = re.findall(r"[^ \t\n\x0b\x0c\r]+", t), max(len(t), 1)
+        per = lambda chars: sum(c in chars for c in t) / n  # noqa: B023, E731
+        want = {"log_chars": math.log1p(len(t)), "digits": per("0123456789"), "exclaim": per("!?"), "bars": per("|"), "symbols": per("#$%&*@^~<>{}[]\\=+_/"), "upper": sum(c.isupper() for c in t) / n, "lines": (t.count("\n") + 1) / max(len(w), 1), "word_length": min(len(t) / max(len(w), 1), 1000.0), "stops": per(".,;") * n / max(len(w), 1)}
+        for k, v in want.items():
+            assert got[i][k] == pytest.approx(v), (i, k)
