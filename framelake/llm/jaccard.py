@@ -33,6 +33,9 @@ from framelake.llm.words import mix, shingle_sets
 
 GROWTH = 1.4
 COMBINE_ROWS = 300_000
+#: N-grams that a task of `linkable` counts among themselves before they are shuffled, and sums that one holds.
+CHUNK_ROWS = 2_000_000
+HELD_ROWS = 1_000_000
 PIVOTS = 12
 LEAF_ROWS = 1500
 LEAF_BYTES = 24 << 20
@@ -371,7 +374,7 @@ def _shingle_rows_task(n: int):
                 keys.append(mix(x ^ salt[i]))
                 docs.append(ids[i])
                 rows += len(x)
-                if rows >= COMBINE_ROWS:
+                if rows >= CHUNK_ROWS:
                     yield from counted(keys, docs)
                     keys, docs, rows = [], [], 0
         if docs:
@@ -381,14 +384,32 @@ def _shingle_rows_task(n: int):
 
 
 def _shared_task(batches):
-    """Sorted (key, doc_id, shared, size): (doc_id, shared, size) partly summed; an n-gram of two rows is shared. Holds one
-    batch and one row."""
+    """Sorted (key, doc_id, shared, size): (doc_id, shared, size) partly summed; an n-gram of two rows is shared.
+
+    Holds a batch, a row, and sums of HELD_ROWS rows at most."""
     held: tuple[int, int | None] | None = None  # a key's only row so far
-    last = None
+    last, rows = None, 0
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(doc, count, size):
+        parts.append((doc, count, size))
+        return len(doc)
+
+    def summed():
+        doc, count, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        d, at = np.unique(doc, return_inverse=True)
+        z = np.zeros(len(d), np.int64)
+        np.maximum.at(z, at, size)
+        parts[:] = [(d, np.bincount(at, count, len(d)).astype(np.int64), z)]
+        return len(d)
+
+    def batch_of_sums():
+        return pa.record_batch([pa.array(x) for x in parts[0]], names=["doc_id", "shared", "size"])
+
     for batch in batches:
         shared, size = batch.column(2).to_numpy(), batch.column(3).to_numpy()
         own = shared >= 0
-        doc, count, sizes = [batch.column(1).fill_null(0).to_numpy()[own]], [shared[own]], [size[own]]
+        rows += add(batch.column(1).fill_null(0).to_numpy()[own], shared[own], size[own])
         key = batch.column(0).to_numpy()[~own]
         known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)[~own]
         ids = batch.column(1).fill_null(0).to_numpy()[~own]
@@ -399,17 +420,20 @@ def _shared_task(batches):
             if last == key[0]:
                 again[0] = True
                 if held is not None and held[0] == key[0] and held[1] is not None:
-                    doc.append(np.array([held[1]])), count.append(np.ones(1, np.int64)), sizes.append(np.zeros(1, np.int64))
+                    rows += add(np.array([held[1]]), np.ones(1, np.int64), np.zeros(1, np.int64))
             last = int(key[-1])
             held = None if again[-1] else (last, int(ids[-1]) if known[-1] else None)
             take = again & known
-            doc.append(ids[take]), count.append(np.ones(take.sum(), np.int64)), sizes.append(np.zeros(take.sum(), np.int64))
-        d, at = np.unique(np.concatenate(doc), return_inverse=True)
-        if len(d):
-            c = np.bincount(at, np.concatenate(count), len(d)).astype(np.int64)
-            z = np.zeros(len(d), np.int64)
-            np.maximum.at(z, at, np.concatenate(sizes))
-            yield pa.record_batch([pa.array(d), pa.array(c), pa.array(z)], names=["doc_id", "shared", "size"])
+            rows += add(ids[take], np.ones(take.sum(), np.int64), np.zeros(take.sum(), np.int64))
+        if rows >= HELD_ROWS:
+            rows = summed()
+            if rows >= HELD_ROWS // 2:
+                yield batch_of_sums()
+                parts.clear()
+                rows = 0
+    if rows:
+        summed()
+        yield batch_of_sums()
 
 
 def linkable(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
