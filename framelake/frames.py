@@ -91,4 +91,7 @@ def pointwise(df: DataFrame, fn: Callable[[Column], Column]) -> DataFrame:
     """Apply a column function to every value of a pixel or tile table; a projection either way."""
     if "pixels" in df.columns:
         return df.withColumn("pixels", F.transform("pixels", fn))
+    for stage in getattr(fn, "stages", ())[:-1]:
+        df = df.withColumn("value", stage(F.col("value")))
+    fn = getattr(fn, "stages", (fn,))[-1]
     return df.withColumn("value", fn(F.col("value")))

@@ -103,35 +103,51 @@ def curve_column(curve: Sequence[Sequence[float]]) -> Fn:
     return fn
 
 
-def tone_map(exposure: float = 0.0, contrast: float = 0.0, highlights: float = 0.0, shadows: float = 0.0, whites: float = 0.0, blacks: float = 0.0, curve: Sequence[Sequence[float]] | None = None) -> Fn:
-    """Tone sliders (-100 to 100; exposure in stops) and a curve on values of 0..1; sliders at 0 add no expression."""
-    for name, x in (("contrast", contrast), ("highlights", highlights), ("shadows", shadows), ("whites", whites), ("blacks", blacks)):
-        if not -100 <= x <= 100:
-            raise FrameError(f"{name} is not in -100 to 100")
-    line = None if curve is None or [list(map(float, p)) for p in curve] == [[0.0, 0.0], [1.0, 1.0]] else curve_column(curve)
+class Staged:
+    """A function of several steps, each of which names its argument more than once.
 
-    def fn(v: Column) -> Column:
-        out = limit(v * F.lit(2.0**exposure) if exposure else v, 0, 1)
-        if whites or blacks:
-            low, high = -0.25 * blacks / 100, 1 - 0.25 * whites / 100
-            out = limit((out - F.lit(low)) / F.lit(high - low), 0, 1)
-        if shadows or highlights:
-            s, h, rest = F.lit(shadows / 100), F.lit(highlights / 100), 1 - out
-            out = limit(out + F.lit(0.14 * 27 / 4) * out * rest * (s * rest + h * out), 0, 1)
-        if contrast:
-            c = contrast / 100
-            out = out + F.lit(c) * (out * out * (3 - 2 * out) - out)
-        return limit(line(out), 0, 1) if line else limit(out, 0, 1)
+    `pointwise` gives a pixel table a projection for each step, which Spark compiles apart; anywhere else the steps are
+    bound one by one, so that the expression grows with the steps and not with their product."""
 
-    return fn
+    def __init__(self, stages: Sequence[Fn]):
+        self.stages = tuple(stages)
 
+    def __call__(self, v: Column) -> Column:
+        for stage in self.stages:
+            v = F.get(F.transform(F.array(v), stage), F.lit(0))
+        return v
 
-def tone(black: float = 0.0, white: float = 1.0, **sliders) -> Fn:
+
+def tone_map(exposure: float = 0.0, contrast: float = 0.0, highlights: float = 0.0, shadows: float = 0.0, whites: float = 0.0, blacks: float = 0.0, curve: Sequence[Sequence[float]] | None = None) -> Staged:
+    """Tone sliders (-100 to 100; exposure in stops, -5 to 5) and a curve on values of 0..1; sliders at 0 add no step."""
+    for name, x, most in (("exposure", exposure, 5), ("contrast", contrast, 100), ("highlights", highlights, 100), ("shadows", shadows, 100), ("whites", whites, 100), ("blacks", blacks, 100)):
+        if not -most <= x <= most:
+            raise FrameError(f"{name} is not in -{most} to {most}")
+    line = None if curve is None or [list(map(float, p)) for p in curve] == [[0.0, 0.0], [1.0, 1.0]] else curve_column(curve)
+    unit = lambda v: limit(v, 0, 1)
+    stages: list[Fn] = [lambda v: v * F.lit(2.0**exposure)] if exposure else []
+    stages.append(unit)
+    if whites or blacks:
+        low, high = -0.25 * blacks / 100, 1 - 0.25 * whites / 100
+        stages += [lambda v: (v - F.lit(low)) / F.lit(high - low), unit]
+    if shadows or highlights:
+        s, h = F.lit(shadows / 100), F.lit(highlights / 100)
+        stages += [lambda v: v + F.lit(0.14 * 27 / 4) * v * (1 - v) * (s * (1 - v) + h * v), unit]
+    if contrast:
+        stages.append(lambda v: v + F.lit(contrast / 100) * (v * v * (3 - 2 * v) - v))
+    if line:
+        stages.append(line)
+    if line or contrast:
+        stages.append(unit)
+    return Staged(stages)
+
+
+def tone(black: float = 0.0, white: float = 1.0, **sliders) -> Staged:
     """Tone mapping between a black and a white point, and back."""
     if white <= black:
         raise FrameError("the white point must be above the black point")
-    inner = tone_map(**sliders)
-    return lambda v: inner((v - F.lit(float(black))) / F.lit(float(white - black))) * F.lit(float(white - black)) + F.lit(float(black))
+    span, start = F.lit(float(white - black)), F.lit(float(black))
+    return Staged([lambda v: (v - start) / span, *tone_map(**sliders).stages, lambda v: v * span + start])
 
 
 def to_uint8(low: float, high: float, tone_fn: Fn | None = None) -> Fn:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 #: File endings that readers open (fixed values).
 EXTENSIONS = (".h5", ".hdf5", ".nxs", ".tif", ".tiff", ".png", ".jpg", ".jpeg", ".vtk")
-#: prefix_NNNTTTT_a_b_NUMBER.tif: the step is TTTT.
-TIMESTEP = r"^[^_]+_\d{3}(\d{4})_[^_]+_[^_]+_(\d+)\.(tif|tiff)$"
+#: Endings of images that make a sequence.
+IMAGES = (".tif", ".tiff", ".png", ".jpg", ".jpeg")
+#: prefix_NNNTTTT_a_b_NUMBER.tif (the step is TTTT), and titles of seconds.
+TIMESTEP = r"(?i)^[^_]+_\d{3}(\d{4})_[^_]+_[^_]+_(\d+)\.(tif|tiff)$"
 TIME_TITLE = r"^t\s*=\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)\s*s$"
 
 
@@ -27,8 +29,13 @@ def parse_time_title(title: Column) -> Column:
 
 
 def sequence_pattern(name: Column) -> Column:
-    """The name with its last number as *."""
-    return F.regexp_replace(name, r"\d+(?=\D*$)", "*")
+    """A glob of the name with its last number as *; characters that a glob reads otherwise stand in brackets."""
+    parts = F.regexp_extract_all(name, F.lit(r"^(.*?)\d+\D*$"), F.lit(1))
+    return F.when(F.size(parts) == 0, glob_escape(name)).otherwise(F.concat(glob_escape(F.regexp_replace(name, r"\d+\D*$", "")), F.lit("*"), glob_escape(F.regexp_extract(name, r"\d(\D*)$", 1))))
+
+
+def glob_escape(name: Column) -> Column:
+    return F.regexp_replace(name, r"([*?\[])", "[$1]")
 
 
 def sequence_number(name: Column) -> Column:
@@ -62,10 +69,15 @@ def openable(name: Column) -> Column:
     return extension(name).isin(*EXTENSIONS)
 
 
+def image(name: Column) -> Column:
+    return extension(name).isin(*IMAGES)
+
+
 def natural_key(name: Column) -> Column:
     """array<string> that sorts as text (folded) and numbers in turn; it starts with text, maybe empty."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    number = lambda p: F.lpad(F.regexp_replace(p, "^0+", ""), 40, "0")
+    digits = lambda p: F.regexp_replace(p, "^0+", "")
+    number = lambda p: F.concat(F.lpad(F.length(digits(p)).cast("string"), 10, "0"), digits(p))  # noqa: E731  longer ones are greater
     keyed = F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(p))
     return F.when(name.rlike(r"^\d"), F.concat(F.array(F.lit("")), keyed)).otherwise(keyed)
 

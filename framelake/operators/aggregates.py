@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.errors import FrameError
 from framelake.frames import FRAME
-from framelake.functions.scalars import natural_key, sequence_number, sequence_pattern
+from framelake.functions.scalars import image, natural_key, sequence_number, sequence_pattern
 from framelake.operators.ordering import global_rank
 
 PLACE = ["y", "x", "channel"]
@@ -69,11 +69,8 @@ def pyramid_level(df: DataFrame) -> DataFrame:
 
 
 def pyramid_levels(height: int, width: int, tile: int = 512) -> int:
-    """Levels until the last one fits a tile."""
-    levels, size = 1, max(height, width)
-    while size > tile * 2 ** (levels - 1):
-        levels += 1
-    return levels
+    """Levels until the last one fits a tile: one more than the halvings that the longer side needs."""
+    return 1 + (-(-max(height, width, 1) // tile) - 1).bit_length()
 
 
 def tile_index(df: DataFrame, size: int) -> DataFrame:
@@ -83,19 +80,21 @@ def tile_index(df: DataFrame, size: int) -> DataFrame:
 
 
 def normalise(df: DataFrame, low: float = 0.0, high: float = 100.0) -> DataFrame:
-    """Each frame's percentiles low..high (all channels, NaN left out) to 0..1, clipped; an empty span gives zeros."""
+    """Each frame's percentiles low..high (all channels, NaN left out) to 0..1; values beyond them go beyond 0..1.
+
+    NaN stays NaN, but an empty span gives zeros throughout."""
     if not 0 <= low < high <= 100:
         raise FrameError("percentiles are 0 to 100, low below high")
     seen = F.when(~F.isnan("value"), F.col("value"))
     p = df.groupBy(*FRAME).agg(F.percentile(seen, F.array(F.lit(low / 100), F.lit(high / 100))).alias("_p"))
     a, b, v = F.col("_p")[0], F.col("_p")[1], F.col("value")
-    scaled = F.when(F.isnan(v), v).when(b > a, F.least(F.greatest((v - a) / F.when(b > a, b - a), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+    scaled = F.when(a.isNull(), F.lit(float("nan"))).when(b > a, (v - a) / F.when(b > a, b - a)).otherwise(F.lit(0.0))
     return df.join(p, FRAME).withColumn("value", scaled).select(df.columns)
 
 
 def find_sequences(files: DataFrame) -> DataFrame:
-    """Names that differ in their last number alone: pattern, n (2 or more) and the first in natural order."""
-    numbered = files.where(F.col("name").rlike(r"\d"))
+    """Names of images that differ in their last number alone: pattern, n (2 or more) and the first in natural order."""
+    numbered = files.where(F.col("name").rlike(r"\d") & image(F.col("name")))
     grouped = numbered.groupBy(sequence_pattern(F.col("name")).alias("pattern")).agg(F.count("*").alias("n"), F.min(F.struct(natural_key(F.col("name")).alias("k"), "name")).alias("f"))
     return grouped.where("n >= 2").select("pattern", "n", F.col("f.name").alias("first"))
 

@@ -17,7 +17,7 @@ def _reference(df: DataFrame, name: str, pixels: int) -> DataFrame:
 
 
 def flat_field(df: DataFrame, pixels: int, dark: DataFrame | None = None, flat: DataFrame | None = None) -> DataFrame:
-    """(value - dark) / (flat - dark), 0 where flat - dark <= 0; with one reference a difference or a ratio.
+    """(value - dark) / (flat - dark), 0 where flat - dark isn't above 0 (NaN included); with one reference a difference or a ratio.
 
     pixels: pixels of a frame, which bound the references. A pixel without reference gets null: see `check_reference`."""
     if dark is None and flat is None:
@@ -31,7 +31,7 @@ def flat_field(df: DataFrame, pixels: int, dark: DataFrame | None = None, flat:
     if flat is None:
         return out.withColumn("value", F.col("value") - d).drop("_dark").select(df.columns)
     beam = F.col("_flat") - d
-    value = F.when(beam.isNull(), F.lit(None)).when((beam > 0) & ~F.isnan(beam), (F.col("value") - d) / F.when(beam > 0, beam)).otherwise(F.when(F.isnan(beam), beam).otherwise(F.lit(0.0)))
+    value = F.when(beam.isNull(), F.lit(None)).when((beam > 0) & ~F.isnan(beam), (F.col("value") - d) / F.when(beam > 0, beam)).otherwise(F.lit(0.0))
     return out.withColumn("value", value).select(df.columns)
 
 
@@ -42,10 +42,26 @@ def check_reference(df: DataFrame, reference: DataFrame) -> None:
         raise FrameError("the reference differs in shape")
 
 
-def apply_colormap(df: DataFrame, table: DataFrame, name: str) -> DataFrame:
-    """r, g, b of 8-bit single-channel pixels, by a table (cmap, index, r, g, b) of 256 rows a map."""
+def check_extent(reference: DataFrame, height: int, width: int, channels: int = 1) -> None:
+    """The reference, one frame, has every pixel of a frame of this size once. Only the reference is read."""
+    inside = F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1) & F.col("channel").between(0, channels - 1)
+    r = reference.agg(F.count("*"), F.count(F.when(inside, 1)), F.count_distinct("y", "x", "channel")).first()
+    if set(r) != {height * width * channels}:
+        raise FrameError(f"the reference differs in shape: {r[0]} pixels for {height} x {width} x {channels}")
+
+
+def apply_colormap(df: DataFrame, table: DataFrame, name: str, channels: int = 1) -> DataFrame:
+    """r, g, b of 8-bit pixels, by a table (cmap, index, r, g, b) of 256 rows a map; values beyond 0..255 take its ends.
+
+    Frames of three channels have their colours already: they become r, g, b as they are."""
     rows = F.broadcast(table.where(F.col("cmap") == name).select("index", "r", "g", "b"))
-    return df.where("channel = 0").join(rows, F.col("value").cast("int") == F.col("index")).drop("index")
+    if not rows.limit(1).count():
+        raise FrameError(f"unknown colour map {name!r}")
+    level = F.least(F.greatest(F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(255.0)).cast("int")
+    if channels == 3:
+        of = lambda c: F.max(F.when(F.col("channel") == c, level))
+        return df.groupBy("dataset_id", "frame_no", "y", "x").agg(of(0).alias("r"), of(1).alias("g"), of(2).alias("b"))
+    return df.join(rows, level == F.col("index"), "left").drop("index")
 
 
 def manifest_diff(source: DataFrame, target: DataFrame, overwrite: bool = False) -> DataFrame:

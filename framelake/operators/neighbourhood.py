@@ -91,8 +91,13 @@ def gaussian_filter(frames: Frames, sigma: float = 1.0, tile: int = 256) -> Fram
     return frames.with_(_on_tiles(frames, r, tile, True, np.nan, kernel))
 
 
+#: Greatest radius and by how much frames are shrunk for it; larger ones by LARGEST_SHRINK.
+SHRINK = ((10, 1), (30, 2), (100, 4))
+LARGEST_SHRINK = 8
+
+
 def shrink_factor(radius: float) -> int:
-    return 1 if radius <= 10 else 2 if radius <= 30 else 4 if radius <= 100 else 8
+    return next((factor for most, factor in SHRINK if radius <= most), LARGEST_SHRINK)
 
 
 def ball_background(frames: Frames, radius: float, tile: int = 128) -> DataFrame:
@@ -137,7 +142,7 @@ def rolling_ball(frames: Frames, radius: float = 50.0, light_background: bool =
         raise FrameError("radius is 1 to 1000")
     df, top = frames.df, None
     if light_background:
-        top = df.groupBy(*FRAME, "channel").agg(F.max("value").alias("_top"))
+        top = df.groupBy(*FRAME, "channel").agg(F.max(F.when(~F.isnan("value"), F.col("value"))).alias("_top"))
         df = df.join(top, [*FRAME, "channel"]).withColumn("value", F.col("_top") - F.col("value")).select(frames.df.columns)
     s = shrink_factor(radius)
     cell = lambda c: F.floor(F.col(c) / s).cast("int").alias(c)

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows in the shared checkpoint folder, where a lost executor doesn't take them along."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        # a folder of its own only where the session names none: single-machine runs
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framelake-"))
+    return df.checkpoint(eager=True)
+
+
 def global_rank(df: DataFrame, *order: Column | str, name: str = "rank", first: int = 0) -> DataFrame:
     """df with its place in a total order: rows are dealt to ranges of the order, ranked within each, and moved on by the
     sizes of the ranges before. Only one number for each range comes to the driver."""
-    held = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    held = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    held = stored(held)
     total, before = first, []
     for part, n in sorted((r[0], r[1]) for r in held.groupBy("_range").count().collect()):
         before.append((part, total))

@@ -121,10 +121,12 @@ def q_stack_volumes(spark, sf_dir):
     return _plane_pixels(stacked).select("frame_no", "y", "x", "value")
 
 
-@query("SELECT count(*) AS volumes, true AS one_grid FROM (SELECT DISTINCT vec_id // 5 FROM embeddings WHERE vec_id // 5 < (SELECT count(*) FROM embeddings) // 5)")
+@query("WITH g AS (SELECT vec_id // 5 AS k, count(*) AS n FROM embeddings GROUP BY 1) SELECT 'given' AS grid, count(*) AS volumes, min(n) = max(n) AS one_grid FROM g UNION ALL SELECT 'first volume deeper', count(*), false FROM g")
 def q_grid_check(spark, sf_dir):
     c = vtk.catalog_of(volumes(spark, sf_dir))
-    return aggregates.grid_check(c.where(F.col("shape")[0] == 5))
+    deeper = c.withColumn("shape", F.when(F.col("dataset_id") == "v_0.vtk", F.transform("shape", lambda n, i: F.when(i == 0, n + 4).otherwise(n))).otherwise(F.col("shape")))
+    checked = lambda df, name: aggregates.grid_check(df).select(F.lit(name).alias("grid"), "volumes", "one_grid")
+    return checked(c, "given").unionByName(checked(deeper, "first volume deeper"))
 
 
 @query("SELECT k AS rank, t AS time_s, before FROM (SELECT k, t, lag(t) OVER (ORDER BY k) AS before FROM (SELECT event_id // 1024 AS k, min(value) AS t FROM events GROUP BY 1)) WHERE t <= before")
@@ -266,8 +268,8 @@ SLIDERS = {"exposure": 0.5, "contrast": 25, "highlights": -40, "shadows": 20, "w
 
 @query(f"WITH {PX}, {_tone_sql('v + 0.3')} SELECT frame_no, y, x, round(t, 6) + 0.0 AS value FROM q")
 def q_tone_map(spark, sf_dir):
-    f = fn.tone_map(**SLIDERS, curve=CURVE)
-    return out(pointwise(emb(spark, sf_dir).df, lambda v: f(v + 0.3)))
+    f = fn.Staged([lambda v: v + 0.3, *fn.tone_map(**SLIDERS, curve=CURVE).stages])
+    return out(pointwise(emb(spark, sf_dir).df, f))
 
 
 @query(f"WITH {PX}, {_tone_sql('(v + 0.2) / 0.5')} SELECT frame_no, y, x, round(t * 0.5 - 0.2, 6) + 0.0 AS value FROM q")
@@ -523,7 +525,7 @@ def _around(r: int) -> str:
     return f"WITH {PX}, o AS (SELECT dy, dx FROM unnest(range(-{r}, {r} + 1)) a(dy), unnest(range(-{r}, {r} + 1)) b(dx)), n AS (SELECT p.frame_no, p.y, p.x, dy, dx, q.v FROM px p CROSS JOIN o JOIN px q ON q.frame_no = p.frame_no AND q.y = {MIRROR.format('(p.y + dy)')} AND q.x = {MIRROR.format('(p.x + dx)')})"
 
 
-@query(f"WITH {PX} SELECT frame_no, round(quantile_cont(v, 0.1), 6) + 0.0 AS p, y, x, round(least(greatest((w - quantile_cont(v, 0.1)) / (quantile_cont(v, 0.9) - quantile_cont(v, 0.1)), 0), 1), 6) + 0.0 AS value FROM (SELECT a.frame_no, a.y, a.x, a.v AS w, b.v FROM px a JOIN px b USING (frame_no)) GROUP BY frame_no, y, x, w".replace("round(quantile_cont(v, 0.1), 6) + 0.0 AS p, ", ""))
+@query(f"WITH {PX} SELECT frame_no, round(quantile_cont(v, 0.1), 6) + 0.0 AS p, y, x, round((w - quantile_cont(v, 0.1)) / (quantile_cont(v, 0.9) - quantile_cont(v, 0.1)), 6) + 0.0 AS value FROM (SELECT a.frame_no, a.y, a.x, a.v AS w, b.v FROM px a JOIN px b USING (frame_no)) GROUP BY frame_no, y, x, w".replace("round(quantile_cont(v, 0.1), 6) + 0.0 AS p, ", ""))
 def q_normalise(spark, sf_dir):
     return out(aggregates.normalise(emb(spark, sf_dir).df, 10, 90))
 

@@ -10,6 +10,7 @@ from framelake.errors import FrameError
 from framelake.frames import PIXELS, Frames, check_axes, frame_axes, pointwise, to_pixels, to_tiles
 from framelake.functions import pointwise as fn
 from framelake.functions import scalars
+from framelake.functions.colormaps import color_tables
 from framelake.operators import aggregates, convert, geometry, joins, neighbourhood
 from framelake.plans.pipeline import Pipeline, Step, run_pipeline
 from framelake.sources import files, vtk, writers
@@ -248,3 +249,94 @@ def test_stream_equals_batch(spark, tmp_path):
     assert (array(f.with_(to_pixels(spark.table("tiles_out")))) == array(p(f))).all()
     with pytest.raises(FrameError, match="median"):
         stream_pipeline(s, Pipeline([Step("median")]))
+
+
+NAN = float("nan")
+
+
+def test_normalise_with_nan_and_outer_percentiles(spark):
+    rng = np.random.default_rng(3)
+    stack = rng.uniform(-5, 5, (3, 6, 7))
+    stack[0, 2, 3] = NAN
+    stack[1] = 4.0
+    stack[1, 0, 0] = NAN
+    f = frames(spark, stack)
+    got = array(f.with_(aggregates.normalise(f.df, 10, 90)))
+    for i in (0, 2):
+        low, high = np.nanpercentile(stack[i], [10, 90])
+        assert np.allclose(got[i], (stack[i] - low) / (high - low), equal_nan=True) and np.nanmin(got[i]) < 0 and np.nanmax(got[i]) > 1
+    assert (got[1] == 0).all()
+
+
+def test_flat_field_with_nan_and_shape(spark):
+    sample, dark, flat = np.full((2, 3), 60.0), np.full((2, 3), 10.0), np.array([[110.0, 10, NAN], [5, 110, 110]])
+    sample[1, 1], dark[1, 2] = NAN, NAN
+    ref = lambda a: frames(spark, a).df
+    got = array(frames(spark, sample).with_(joins.flat_field(ref(sample), 6, ref(dark), ref(flat))))[0]
+    with np.errstate(invalid="ignore"):
+        want = np.divide(sample - dark, flat - dark, out=np.zeros((2, 3)), where=flat - dark > 0)
+    assert np.array_equal(got, want, equal_nan=True)
+    step = Pipeline([Step("flat_field", {"flat": ref(np.ones((3, 3)))})])
+    with pytest.raises(FrameError, match="differs in shape"):
+        step(frames(spark, sample))
+    assert Pipeline([Step("flat_field", {"flat": ref(flat)})])(frames(spark, sample)).df.count() == 6
+
+
+def test_rolling_ball_with_nan(spark):
+    a = np.full((6, 6), 10.0)
+    a[2, 3], a[4, 4] = NAN, 7.0
+    got = array(neighbourhood.rolling_ball(frames(spark, a), 1.0, light_background=True))[0]
+    assert np.isfinite(got).sum() > 20 and np.isnan(got[2, 3])
+
+
+def test_colour_maps(spark):
+    table = color_tables(spark)
+    f = frames(spark, [[0, 255, 300], [-4, NAN, 128]])
+    got = {(r.y, r.x): (r.r, r.g, r.b) for r in joins.apply_colormap(f.df, table, "grey").collect()}
+    assert got == {(0, 0): (0,) * 3, (0, 1): (255,) * 3, (0, 2): (255,) * 3, (1, 0): (0,) * 3, (1, 1): (0,) * 3, (1, 2): (128,) * 3}
+    with pytest.raises(FrameError, match="unknown colour map"):
+        joins.apply_colormap(f.df, table, "none")
+    rgb = spark.createDataFrame([("d", 0, 0, 0, c, float(10 * c)) for c in range(3)], SCHEMA)
+    assert [tuple(r)[-3:] for r in joins.apply_colormap(rgb, table, "fire", channels=3).collect()] == [(0, 10, 20)]
+
+
+def test_names_of_images(spark):
+    names = ["a_1.TIF", "a_2.TIF", "n1.txt", "n2.txt", "s[1]_1.tif", "s[1]_2.tif", "one.png", "x_0010000_a_b_7.TIF"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r.pattern: (r.n, r.first) for r in aggregates.find_sequences(df).collect()}
+    assert got == {"a_*.TIF": (2, "a_1.TIF"), "s[[]1]_*.tif": (2, "s[1]_1.tif")}
+    assert [r.name for r in aggregates.sequence_files(df, "s[[]1]_*.tif").orderBy("frame_no").collect()] == ["s[1]_1.tif", "s[1]_2.tif"]
+    step = df.select(scalars.parse_timestep(df.name).alias("s")).where("s is not null").collect()
+    assert [r.s for r in step] == [0]
+    long = ["f" + "9" * 45 + ".tif", "f1" + "0" * 45 + ".tif", "f007.tif", "f0.tif"]
+    key = spark.createDataFrame([(n,) for n in long], "name string").orderBy(scalars.natural_key(F.col("name")))
+    assert [r.name for r in key.collect()] == ["f0.tif", "f007.tif", long[0], long[1]]
+
+
+def test_tone_plan_is_small(spark):
+    curve = [[0, 0], [0.25, 0.2], [0.5, 0.6], [0.75, 0.7], [1, 1]]
+    sliders = {"exposure": 1, "contrast": 20, "highlights": 10, "shadows": 20, "whites": 5, "blacks": 5, "curve": curve}
+    f = frames(spark, np.linspace(0, 1, 12).reshape(3, 4))
+    t = fn.tone(0.1, 0.9, **sliders)
+    df = pointwise(f.df, t)
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+    tiles = pointwise(to_tiles(f.df, 4), t)
+    assert np.allclose(array(f.with_(df)), array(f.with_(to_pixels(tiles))))
+    with pytest.raises(FrameError):
+        fn.tone_map(exposure=6)
+
+
+def test_saved_pipelines_with_faults():
+    p = Pipeline.from_yaml("version: 1\nsteps:\n- op: median\n  params: {size: 5}\n- {op: invert, enabled: false}\n")
+    assert [(s.operation, s.enabled) for s in p.steps] == [("median", True), ("invert", False)] and Pipeline.from_yaml(p.to_yaml()) == p
+    for text in ("a: [", "version: 2", "version: 1\nsteps: 3", "version: 1\nsteps: [3]", "version: 1\nsteps: [{params: {}}]", "version: 1\nsteps: [{op: clip, params: [1]}]", "version: 1\nsteps: [{op: clip, enabled: 2}]", "version: 1\nsteps: [{op: clip, what: 2}]", "version: 1\nsteps: [{op: nothing}]"):
+        with pytest.raises(FrameError):
+            Pipeline.from_yaml(text)
+
+
+def test_pyramid_levels():
+    for size in (1, 511, 512, 513, 1024, 1025, 5120, 70_000):
+        levels = 1
+        while size > 512 << (levels - 1):
+            levels += 1
+        assert aggregates.pyramid_levels(size, 3) == levels
