@@ -156,13 +156,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> RuleModel:
-    """Fit on rows of docs with a quality label that are not held out, about `sample_rows` at most, drawn by hash of doc_id."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
+    """Fit on rows of docs with a quality label that are not held out, about `sample_rows` at most, drawn by hash of doc_id.
+
+    A doc_id counts once for each label it has, however many rows of docs or labels repeat it; of its different texts the
+    one with the least statistics is taken. So what comes to the driver is bounded by `sample_rows` alone.
+    """
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).distinct()
     n = usable.count()
     if n > sample_rows:
         usable = usable.where(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(usable), "doc_id")
-    rows = joined.select("doc_id", "quality", *[c.cast("double").alias(k) for k, c in statistics(F.col("text")).items()]).toPandas()
+    stats = F.struct(*[c.cast("double").alias(k) for k, c in statistics(F.col("text")).items()])
+    rows = joined.groupBy("doc_id", "quality").agg(F.min(stats).alias("stats")).select("doc_id", "quality", "stats.*").toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")
     return fit(rows[FEATURES].to_numpy(float), rows["quality"].to_numpy(float))
 

@@ -233,6 +233,17 @@ def test_quality(spark):
     assert kept.columns == odd.columns
 
 
+def test_learning_counts_a_document_once(spark):
+    sf = "/root/testdata/sf0.001"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.learn(d, labels)
+    assert model.rules
+    hot = d.join(labels, "doc_id", "left_semi").where(~quality.held_out(d.doc_id)).orderBy("doc_id").limit(1)
+    many = d.unionByName(hot.crossJoin(spark.range(3000).select()))
+    again = labels.unionByName(labels.join(hot.select("doc_id"), "doc_id", "left_semi").select(labels.columns).crossJoin(spark.range(300).select()))
+    assert quality.learn(many, again) == model
+
+
 # --- language model
 
 
