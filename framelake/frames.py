@@ -19,12 +19,15 @@ TILE = 512
 
 @dataclass(frozen=True)
 class Frames:
-    """A stack of equal frames: its pixel (or tile) table and the frame size, which steps compute and never count."""
+    """A stack of equal frames: its pixel (or tile) table and the frame size, which steps compute and never count.
+
+    tile is the tile size of a tile table whose tiles are whole and lie on the grid of that size."""
 
     df: DataFrame
     height: int
     width: int
     channels: int = 1
+    tile: int | None = None
 
     def with_(self, df: DataFrame, **size: int) -> Frames:
         return replace(self, df=df, **size)
@@ -50,6 +53,23 @@ def from_array_column(df: DataFrame, frame_no: str, array: str, width: int, data
     return exploded.select("dataset_id", "frame_no", F.floor(F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).cast("int").alias("x"), F.lit(0).alias("channel"), F.col("v").cast("double").alias("value"))
 
 
+def cut(y: Column, x: Column, h: Column, w: Column) -> Column:
+    """Rows y to y + h - 1 and columns x to x + w - 1 (counted within the tile) of a tile's pixels."""
+    part = F.flatten(F.transform(F.sequence(y, y + h - 1), lambda q: F.slice("pixels", (q * F.col("w") + x + 1).cast("int"), w)))
+    return F.when((h == F.col("h")) & (w == F.col("w")), F.col("pixels")).otherwise(part)
+
+
+def tiles_from_array_column(df: DataFrame, frame_no: str, array: str, height: int, width: int, dataset_id: Column, size: int = TILE) -> Frames:
+    """Tiles of a column of row-major arrays of height * width values, one frame each; narrow, no pixel becomes a row."""
+    grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit((n - 1) // size)))
+    whole = df.select(dataset_id.alias("dataset_id"), F.col(frame_no).cast("long").alias("frame_no"), F.col(array).cast("array<double>").alias("pixels"), F.lit(height).alias("h"), F.lit(width).alias("w"))
+    at = whole.withColumn("ty", grid(height)).withColumn("tx", grid(width)).withColumn("y0", F.col("ty") * size).withColumn("x0", F.col("tx") * size)
+    h, w = F.least(F.lit(size), height - F.col("y0")), F.least(F.lit(size), width - F.col("x0"))
+    # cut before h and w get their new meaning: a lambda would take the new one within one select
+    tiles = at.withColumn("pixels", cut(F.col("y0"), F.col("x0"), h, w)).select("dataset_id", "frame_no", F.lit(0).alias("channel"), "ty", "tx", "y0", "x0", h.alias("h"), w.alias("w"), "pixels")
+    return Frames(tiles, height, width, tile=size)
+
+
 def from_rows(df: DataFrame, number: Column, value: Column, height: int, width: int, dataset_id: Column) -> DataFrame:
     """Pixels of a table with one value a row, numbered in C order over frame, y, x."""
     i = number.cast("long")

@@ -1,4 +1,7 @@
-"""Filters over windows of pixels: tiles with a halo, dealt by one shuffle, and NumPy kernels on each."""
+"""Filters over windows of pixels: tiles with a halo, dealt by one shuffle, and NumPy kernels on each.
+
+Tile tables stay tile tables: each tile goes to itself whole and to its neighbours as the strip they need, so the shuffle
+carries arrays of about the stack's size. Pixel tables deal pixel rows. Kernels and results are the same either way."""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.errors import FrameError
-from framelake.frames import FRAME, PIXELS, Frames
+from framelake.frames import FRAME, PIXELS, Frames, cut
 from framelake.functions.scalars import reflect_index
 
 KEYS = ["dataset_id", "frame_no", "channel", "ty", "tx"]
@@ -34,7 +37,79 @@ def halo_tiles(frames: Frames, radius: int, tile: int = 256, mirrored: bool = Tr
     return frames.df.join(y, "y").join(x, "x").select("dataset_id", "frame_no", "channel", "ty", "tx", "py", "px", "value")
 
 
+TILE_SCHEMA = "dataset_id string, frame_no long, channel int, ty int, tx int, y0 int, x0 int, h int, w int, pixels array<double>"
+
+
+def is_tiled(frames: Frames) -> bool:
+    if "pixels" in frames.df.columns and not frames.tile:
+        raise FrameError("the tile size of a tile table is needed")
+    return "pixels" in frames.df.columns
+
+
+def halo_strips(frames: Frames, radius: int) -> DataFrame:
+    """Of each tile, what every tile within radius needs of it: ty, tx of the tile in need, y0, x0, h, w of the part, pixels."""
+    size = frames.tile
+
+    def needed(name: str, n: int, near: str, length: str):
+        """Tiles in need along one axis, then where the part for one of them begins and ends."""
+        first, last = F.col(near) - radius, F.col(near) + F.col(length) - 1 + radius
+        tiles = F.sequence(F.greatest(F.floor(first / size), F.lit(0)).cast("int"), F.least(F.floor(last / size), F.lit((n - 1) // size)).cast("int"))
+        begin = F.greatest(F.col(near), F.col(name) * size - radius)
+        end = F.least(F.col(near) + F.col(length), F.least((F.col(name) + 1) * size, F.lit(n)) + radius)
+        return F.explode(tiles), begin.cast("int"), end.cast("int")
+
+    ys, top, bottom = needed("ty", frames.height, "y0", "h")
+    xs, left, right = needed("tx", frames.width, "x0", "w")
+    each = frames.df.select("dataset_id", "frame_no", "channel", "y0", "x0", "h", "w", "pixels").withColumn("ty", ys).withColumn("tx", xs)
+    parts = each.withColumn("pixels", cut(top - F.col("y0"), left - F.col("x0"), bottom - top, right - left))
+    return parts.select(*KEYS, top.alias("y0"), left.alias("x0"), (bottom - top).alias("h"), (right - left).alias("w"), "pixels")
+
+
+def _reflected(first: int, length: int, n: int) -> np.ndarray:
+    """Positions first to first + length - 1 mirrored into 0 to n - 1, edge pixels twice."""
+    m = np.arange(first, first + length) % (2 * n)
+    return np.where(m < n, m, 2 * n - 1 - m)
+
+
+def _assemble(parts: pa.Table, top: int, left: int, shape: tuple[int, int], fill: float) -> np.ndarray:
+    """The block of a shape at top, left of the frame from its parts."""
+    block = np.full(shape, fill)
+    values = parts.column("pixels").combine_chunks()
+    flat, off = values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy()
+    places = (parts.column(c).to_numpy() for c in ("y0", "x0", "h", "w"))
+    for y, x, h, w, at in zip(*places, off[:-1], strict=True):
+        block[y - top : y - top + h, x - left : x - left + w] = flat[at : at + h * w].reshape(h, w)
+    return block
+
+
+def _tile_row(table: pa.Table, tile: int, out: np.ndarray) -> pa.Table:
+    """The row of the tile that table's rows were dealt to."""
+    keys = [table.column(k)[:1].combine_chunks() for k in KEYS]
+    ty, tx = keys[3][0].as_py(), keys[4][0].as_py()
+    rows, cols = out.shape
+    place = [pa.array([v], pa.int32()) for v in (ty * tile, tx * tile, rows, cols)]
+    pixels = pa.ListArray.from_arrays(pa.array([0, rows * cols], pa.int32()), pa.array(np.ascontiguousarray(out).reshape(-1)))
+    return pa.table([*keys, *place, pixels], names=[*KEYS, "y0", "x0", "h", "w", "pixels"])
+
+
+def _on_tile_table(frames: Frames, radius: int, mirrored: bool, fill: float, kernel) -> DataFrame:
+    height, width, tile = frames.height, frames.width, frames.tile
+
+    def task(parts: pa.Table) -> pa.Table:
+        y, x = parts.column("ty")[0].as_py() * tile, parts.column("tx")[0].as_py() * tile
+        rows, cols = min(tile, height - y), min(tile, width - x)
+        block = _assemble(parts, y - radius, x - radius, (rows + 2 * radius, cols + 2 * radius), fill)
+        if mirrored:
+            down, right = (_reflected(p - radius, n + 2 * radius, full) - (p - radius) for p, n, full in ((y, rows, height), (x, cols, width)))
+            block = block[np.ix_(down, right)]
+        return _tile_row(parts, tile, kernel(block, rows, cols))
+
+    return halo_strips(frames, radius).groupBy(*KEYS).applyInArrow(task, TILE_SCHEMA)
+
+
 def _on_tiles(frames: Frames, radius: int, tile: int, mirrored: bool, fill: float, kernel) -> DataFrame:
+    if is_tiled(frames):
+        return _on_tile_table(frames, radius, mirrored, fill, kernel)
     h, w = frames.height, frames.width
 
     def task(table: pa.Table) -> pa.Table:
@@ -100,8 +175,8 @@ def shrink_factor(radius: float) -> int:
     return next((factor for most, factor in SHRINK if radius <= most), LARGEST_SHRINK)
 
 
-def ball_background(frames: Frames, radius: float, tile: int = 128) -> DataFrame:
-    """Least of value + ball height over the ball, outside left out."""
+def ball_background(frames: Frames, radius: float, tile: int = 128, subtract: bool = False) -> DataFrame:
+    """Least of value + ball height over the ball, outside left out; or the values less that."""
     r = int(radius)
     dy, dx = np.mgrid[-r : r + 1, -r : r + 1]
     inside = dy**2 + dx**2 <= radius**2
@@ -111,7 +186,7 @@ def ball_background(frames: Frames, radius: float, tile: int = 128) -> DataFrame
         out = np.full((rows, cols), np.inf)
         for a, b, up in offsets:
             np.minimum(out, block[r + a : r + a + rows, r + b : r + b + cols] + up, out=out)
-        return out
+        return block[r : r + rows, r : r + cols] - out if subtract else out
 
     return _on_tiles(frames, r, max(tile, r), False, np.inf, kernel)
 
@@ -140,6 +215,8 @@ def rolling_ball(frames: Frames, radius: float = 50.0, light_background: bool =
     """Subtract a rolling-ball background; frames are shrunk by block minima for radii above 10 and the background enlarged."""
     if not 1 <= radius <= 1000:
         raise FrameError("radius is 1 to 1000")
+    if is_tiled(frames):
+        return frames.with_(_ball_on_tiles(frames, radius, light_background))
     df, top = frames.df, None
     if light_background:
         top = df.groupBy(*FRAME, "channel").agg(F.max(F.when(~F.isnan("value"), F.col("value"))).alias("_top"))
@@ -154,3 +231,68 @@ def rolling_ball(frames: Frames, radius: float = 50.0, light_background: bool =
     if light_background:
         out = out.withColumn("value", -F.col("value"))
     return frames.with_(out.select(frames.df.columns))
+
+
+def shrink_tiles(frames: Frames, s: int) -> Frames:
+    """Tiles of the least value of s x s pixels, NaN left out where there are others; narrow."""
+    if frames.tile % s:
+        raise FrameError(f"tiles of {frames.tile} are not whole blocks of {s}")
+
+    def task(batches):
+        for batch in batches:
+            pixels, new = batch.column("pixels"), []
+            flat, off = pixels.values.to_numpy(zero_copy_only=False), pixels.offsets.to_numpy()
+            size = [batch.column(c).to_numpy() for c in ("h", "w")]
+            for h, w, at in zip(*size, off[:-1], strict=True):
+                a = flat[at : at + h * w].reshape(h, w)
+                a = np.fmin.reduceat(np.fmin.reduceat(a, np.arange(0, h, s), axis=0), np.arange(0, w, s), axis=1)
+                new.append(a.reshape(-1))
+            place = [pa.array(-(-batch.column(c).to_numpy() // s), pa.int32()) for c in ("y0", "x0", "h", "w")]
+            ends = np.cumsum([0, *map(len, new)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(new) if new else np.zeros(0)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in KEYS], *place, lists], names=[*KEYS, "y0", "x0", "h", "w", "pixels"])
+
+    small = frames.df.select(*KEYS, "y0", "x0", "h", "w", "pixels").mapInArrow(task, TILE_SCHEMA)
+    return Frames(small, -(-frames.height // s), -(-frames.width // s), frames.channels, frames.tile // s)
+
+
+def _between(first: int, length: int, n: int, full: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pixels of an enlarged axis: the lower of two small pixels, and the weight of the upper."""
+    p = (np.arange(first, first + length) + 0.5) * (n / full) - 0.5
+    p = np.where(p < 0, -p, np.where(p > n - 1, 2 * (n - 1) - p, p)) if n > 1 else np.zeros(length)
+    low = np.minimum(np.floor(p), max(n - 2, 0)).astype(int)
+    return low, p - low
+
+
+def _ball_on_tiles(frames: Frames, radius: float, light_background: bool) -> DataFrame:
+    """The rolling ball on a tile table: no pixel becomes a row; the enlarged background is made and subtracted by tile."""
+    df, places = frames.df, ["y0", "x0", "h", "w"]
+    if light_background:
+        most = F.array_max(F.filter("pixels", lambda v: ~F.isnan(v)))
+        top = df.groupBy(*FRAME, "channel").agg(F.max(most).alias("_top"))
+        df = df.join(top, [*FRAME, "channel"]).select(*KEYS, *places, F.transform("pixels", lambda v: F.col("_top") - v).alias("pixels"))
+    stack, s = frames.with_(df), shrink_factor(radius)
+    if s == 1:
+        out = ball_background(stack, radius, subtract=True)
+    else:
+        small = shrink_tiles(stack, s)
+        small = small.with_(ball_background(small, radius / s))
+        n, full, tile, less = (small.height, small.width), (frames.height, frames.width), frames.tile, small.tile
+        # the enlarged axis runs up to one small pixel ahead, and takes one more
+        halo = 2
+
+        def task(own: pa.Table, parts: pa.Table) -> pa.Table:
+            at = [own.column(c)[0].as_py() for c in ("ty", "tx")]
+            rows, cols = (min(tile, full[i] - at[i] * tile) for i in (0, 1))
+            start = [at[i] * less - halo for i in (0, 1)]
+            block = _assemble(parts, *start, (less + 2 * halo, less + 2 * halo), np.nan)
+            (y, fy), (x, fx) = (_between(at[i] * tile, k, n[i], full[i]) for i, k in ((0, rows), (1, cols)))
+            y, x, y1, x1 = y - start[0], x - start[1], np.minimum(y + 1, n[0] - 1) - start[0], np.minimum(x + 1, n[1] - 1) - start[1]
+            across = lambda q: block[np.ix_(q, x)] * (1 - fx) + block[np.ix_(q, x1)] * fx
+            back = across(y) * (1 - fy)[:, None] + across(y1) * fy[:, None]
+            value = own.column("pixels").combine_chunks().values.to_numpy(zero_copy_only=False)[: rows * cols].reshape(rows, cols)
+            return _tile_row(own, tile, value - back)
+
+        whole = df.select(*KEYS, *places, "pixels")
+        out = whole.groupBy(*KEYS).cogroup(halo_strips(small, halo).groupBy(*KEYS)).applyInArrow(task, TILE_SCHEMA)
+    return out.withColumn("pixels", F.transform("pixels", lambda v: -v)) if light_background else out

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.errors import FrameError
-from framelake.frames import PIXELS, Frames, check_axes, frame_axes, pointwise, to_pixels, to_tiles
+from framelake.frames import PIXELS, Frames, check_axes, frame_axes, pointwise, tiles_from_array_column, to_pixels, to_tiles
 from framelake.functions import pointwise as fn
 from framelake.functions import scalars
 from framelake.functions.colormaps import color_tables
@@ -340,3 +340,50 @@ def test_pyramid_levels():
         while size > 512 << (levels - 1):
             levels += 1
         assert aggregates.pyramid_levels(size, 3) == levels
+
+
+def tiled(f: Frames, size: int) -> Frames:
+    return Frames(to_tiles(f.df, size), f.height, f.width, tile=size)
+
+
+def test_tiles_of_arrays(spark):
+    a = np.arange(2 * 23 * 31, dtype=float).reshape(2, 23, 31)
+    df = spark.createDataFrame([(i, p.ravel().tolist()) for i, p in enumerate(a)], "k long, v array<double>")
+    for size in (8, 23, 64):
+        f = tiles_from_array_column(df, "k", "v", 23, 31, F.lit("d"), size)
+        assert (array(f.with_(to_pixels(f.df))) == a).all()
+        assert f.df.select(F.sum(F.size("pixels") - F.col("h") * F.col("w"))).first()[0] == 0
+    empty = tiles_from_array_column(df.limit(0), "k", "v", 23, 31, F.lit("d"), 8)
+    assert neighbourhood.median_filter(empty).df.count() == 0
+
+
+def test_filters_on_tile_tables(spark):
+    a = np.random.default_rng(1).normal(size=(2, 23, 31)) * 100
+    a[1, 3, 4] = NAN
+    f = frames(spark, a)
+    for make in (
+        lambda g: neighbourhood.median_filter(g, 1, 8),
+        lambda g: neighbourhood.median_filter(g, 4, 8),
+        lambda g: neighbourhood.median_filter(g, 27, 8),
+        lambda g: neighbourhood.gaussian_filter(g, 2.0, 8),
+        lambda g: neighbourhood.gaussian_filter(g, 9.0, 8),
+        lambda g: neighbourhood.rolling_ball(g, 3.0, False, 8),
+        lambda g: neighbourhood.rolling_ball(g, 12.0, False, 8),
+        lambda g: neighbourhood.rolling_ball(g, 12.0, True, 8),
+        lambda g: neighbourhood.rolling_ball(g, 40.0, False, 8),
+    ):
+        want, got = array(make(f)), make(tiled(f, 8))
+        assert np.allclose(array(got.with_(to_pixels(got.df))), want, equal_nan=True, atol=1e-9)
+        assert got.df.select(F.min(F.col("y0") == F.col("ty") * 8)).first()[0]
+    with pytest.raises(FrameError, match="tile size"):
+        neighbourhood.median_filter(f.with_(to_tiles(f.df, 8)))
+    with pytest.raises(FrameError, match="whole blocks"):
+        neighbourhood.rolling_ball(tiled(f, 9), 20.0)
+
+
+def test_pipeline_steps_on_tile_tables(spark):
+    a = np.random.default_rng(2).normal(size=(1, 9, 14))
+    f = frames(spark, a)
+    p = Pipeline([Step("invert", {"high": 1}), Step("median"), Step("gaussian"), Step("clip", {"low": -1})])
+    got = p(tiled(f, 4))
+    assert np.allclose(array(got.with_(to_pixels(got.df))), array(p(f)))
