@@ -54,20 +54,32 @@ def from_array_column(df: DataFrame, frame_no: str, array: str, width: int, data
 
 
 def cut(y: Column, x: Column, h: Column, w: Column) -> Column:
-    """Rows y to y + h - 1 and columns x to x + w - 1 (counted within the tile) of a tile's pixels."""
-    part = F.flatten(F.transform(F.sequence(y, y + h - 1), lambda q: F.slice("pixels", (q * F.col("w") + x + 1).cast("int"), w)))
+    """Rows y to y + h - 1 and columns x to x + w - 1 (counted within the tile) of a tile's pixels.
+
+    By places, as slices in a lambda copy the whole array each time."""
+    part = F.transform(F.sequence(F.lit(0), h * w - 1), lambda i: F.get("pixels", ((y + F.floor(i / w)) * F.col("w") + x + i % w).cast("int")))
     return F.when((h == F.col("h")) & (w == F.col("w")), F.col("pixels")).otherwise(part)
 
 
+def parts(df: DataFrame, keep: Sequence[str], tys: Column, txs: Column, extent: Callable[[Column, Column], tuple[Column, ...]]) -> DataFrame:
+    """For each of tys and txs a row: keep, ty, tx, y0, x0, h, w (by extent, in the frame) and pixels of that part of a tile.
+
+    Parts are made before rows are multiplied, so that no row carries the array they come from."""
+
+    def part(ty: Column, tx: Column) -> Column:
+        y, x, h, w = (c.cast("int") for c in extent(ty, tx))
+        return F.struct(ty.alias("ty"), tx.alias("tx"), y.alias("y0"), x.alias("x0"), h.alias("h"), w.alias("w"), cut(y - F.col("y0"), x - F.col("x0"), h, w).alias("pixels"))
+
+    each = F.flatten(F.transform(tys, lambda ty: F.transform(txs, lambda tx: part(ty, tx))))
+    return df.select(*keep, F.explode(each).alias("part")).select(*keep, "part.*")
+
+
 def tiles_from_array_column(df: DataFrame, frame_no: str, array: str, height: int, width: int, dataset_id: Column, size: int = TILE) -> Frames:
     """Tiles of a column of row-major arrays of height * width values, one frame each; narrow, no pixel becomes a row."""
-    grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit((n - 1) // size)))
-    whole = df.select(dataset_id.alias("dataset_id"), F.col(frame_no).cast("long").alias("frame_no"), F.col(array).cast("array<double>").alias("pixels"), F.lit(height).alias("h"), F.lit(width).alias("w"))
-    at = whole.withColumn("ty", grid(height)).withColumn("tx", grid(width)).withColumn("y0", F.col("ty") * size).withColumn("x0", F.col("tx") * size)
-    h, w = F.least(F.lit(size), height - F.col("y0")), F.least(F.lit(size), width - F.col("x0"))
-    # cut before h and w get their new meaning: a lambda would take the new one within one select
-    tiles = at.withColumn("pixels", cut(F.col("y0"), F.col("x0"), h, w)).select("dataset_id", "frame_no", F.lit(0).alias("channel"), "ty", "tx", "y0", "x0", h.alias("h"), w.alias("w"), "pixels")
-    return Frames(tiles, height, width, tile=size)
+    whole = df.select(dataset_id.alias("dataset_id"), F.col(frame_no).cast("long").alias("frame_no"), F.lit(0).alias("channel"), F.lit(0).alias("y0"), F.lit(0).alias("x0"), F.lit(height).alias("h"), F.lit(width).alias("w"), F.col(array).cast("array<double>").alias("pixels"))
+    grid = lambda n: F.sequence(F.lit(0), F.lit((n - 1) // size))
+    extent = lambda ty, tx: (ty * size, tx * size, F.least(F.lit(size), height - ty * size), F.least(F.lit(size), width - tx * size))
+    return Frames(parts(whole, ["dataset_id", "frame_no", "channel"], grid(height), grid(width), extent), height, width, tile=size)
 
 
 def from_rows(df: DataFrame, number: Column, value: Column, height: int, width: int, dataset_id: Column) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.errors import FrameError
-from framelake.frames import FRAME, PIXELS, Frames, cut
+from framelake.frames import FRAME, PIXELS, Frames, parts
 from framelake.functions.scalars import reflect_index
 
 KEYS = ["dataset_id", "frame_no", "channel", "ty", "tx"]
@@ -50,19 +50,16 @@ def halo_strips(frames: Frames, radius: int) -> DataFrame:
     """Of each tile, what every tile within radius needs of it: ty, tx of the tile in need, y0, x0, h, w of the part, pixels."""
     size = frames.tile
 
-    def needed(name: str, n: int, near: str, length: str):
-        """Tiles in need along one axis, then where the part for one of them begins and ends."""
-        first, last = F.col(near) - radius, F.col(near) + F.col(length) - 1 + radius
-        tiles = F.sequence(F.greatest(F.floor(first / size), F.lit(0)).cast("int"), F.least(F.floor(last / size), F.lit((n - 1) // size)).cast("int"))
-        begin = F.greatest(F.col(near), F.col(name) * size - radius)
-        end = F.least(F.col(near) + F.col(length), F.least((F.col(name) + 1) * size, F.lit(n)) + radius)
-        return F.explode(tiles), begin.cast("int"), end.cast("int")
+    def needed(n: int, begin, length):
+        first, last = F.col(begin) - radius, F.col(begin) + F.col(length) - 1 + radius
+        return F.sequence(F.greatest(F.floor(first / size), F.lit(0)).cast("int"), F.least(F.floor(last / size), F.lit((n - 1) // size)).cast("int"))
 
-    ys, top, bottom = needed("ty", frames.height, "y0", "h")
-    xs, left, right = needed("tx", frames.width, "x0", "w")
-    each = frames.df.select("dataset_id", "frame_no", "channel", "y0", "x0", "h", "w", "pixels").withColumn("ty", ys).withColumn("tx", xs)
-    parts = each.withColumn("pixels", cut(top - F.col("y0"), left - F.col("x0"), bottom - top, right - left))
-    return parts.select(*KEYS, top.alias("y0"), left.alias("x0"), (bottom - top).alias("h"), (right - left).alias("w"), "pixels")
+    def extent(ty, tx):
+        ends = [(F.greatest(F.col(p), t * size - radius), F.least(F.col(p) + F.col(k), F.least((t + 1) * size, F.lit(n)) + radius)) for t, p, k, n in ((ty, "y0", "h", frames.height), (tx, "x0", "w", frames.width))]
+        (top, bottom), (left, right) = ends
+        return top, left, bottom - top, right - left
+
+    return parts(frames.df, FRAME + ["channel"], needed(frames.height, "y0", "h"), needed(frames.width, "x0", "w"), extent)
 
 
 def _reflected(first: int, length: int, n: int) -> np.ndarray:
@@ -71,12 +68,12 @@ def _reflected(first: int, length: int, n: int) -> np.ndarray:
     return np.where(m < n, m, 2 * n - 1 - m)
 
 
-def _assemble(parts: pa.Table, top: int, left: int, shape: tuple[int, int], fill: float) -> np.ndarray:
+def _assemble(table: pa.Table, top: int, left: int, shape: tuple[int, int], fill: float) -> np.ndarray:
     """The block of a shape at top, left of the frame from its parts."""
     block = np.full(shape, fill)
-    values = parts.column("pixels").combine_chunks()
+    values = table.column("pixels").combine_chunks()
     flat, off = values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy()
-    places = (parts.column(c).to_numpy() for c in ("y0", "x0", "h", "w"))
+    places = (table.column(c).to_numpy() for c in ("y0", "x0", "h", "w"))
     for y, x, h, w, at in zip(*places, off[:-1], strict=True):
         block[y - top : y - top + h, x - left : x - left + w] = flat[at : at + h * w].reshape(h, w)
     return block
@@ -95,14 +92,14 @@ def _tile_row(table: pa.Table, tile: int, out: np.ndarray) -> pa.Table:
 def _on_tile_table(frames: Frames, radius: int, mirrored: bool, fill: float, kernel) -> DataFrame:
     height, width, tile = frames.height, frames.width, frames.tile
 
-    def task(parts: pa.Table) -> pa.Table:
-        y, x = parts.column("ty")[0].as_py() * tile, parts.column("tx")[0].as_py() * tile
+    def task(table: pa.Table) -> pa.Table:
+        y, x = table.column("ty")[0].as_py() * tile, table.column("tx")[0].as_py() * tile
         rows, cols = min(tile, height - y), min(tile, width - x)
-        block = _assemble(parts, y - radius, x - radius, (rows + 2 * radius, cols + 2 * radius), fill)
+        block = _assemble(table, y - radius, x - radius, (rows + 2 * radius, cols + 2 * radius), fill)
         if mirrored:
             down, right = (_reflected(p - radius, n + 2 * radius, full) - (p - radius) for p, n, full in ((y, rows, height), (x, cols, width)))
             block = block[np.ix_(down, right)]
-        return _tile_row(parts, tile, kernel(block, rows, cols))
+        return _tile_row(table, tile, kernel(block, rows, cols))
 
     return halo_strips(frames, radius).groupBy(*KEYS).applyInArrow(task, TILE_SCHEMA)
 
@@ -281,11 +278,11 @@ def _ball_on_tiles(frames: Frames, radius: float, light_background: bool) -> Dat
         # the enlarged axis runs up to one small pixel ahead, and takes one more
         halo = 2
 
-        def task(own: pa.Table, parts: pa.Table) -> pa.Table:
+        def task(own: pa.Table, strips: pa.Table) -> pa.Table:
             at = [own.column(c)[0].as_py() for c in ("ty", "tx")]
             rows, cols = (min(tile, full[i] - at[i] * tile) for i in (0, 1))
             start = [at[i] * less - halo for i in (0, 1)]
-            block = _assemble(parts, *start, (less + 2 * halo, less + 2 * halo), np.nan)
+            block = _assemble(strips, *start, (less + 2 * halo, less + 2 * halo), np.nan)
             (y, fy), (x, fx) = (_between(at[i] * tile, k, n[i], full[i]) for i, k in ((0, rows), (1, cols)))
             y, x, y1, x1 = y - start[0], x - start[1], np.minimum(y + 1, n[0] - 1) - start[0], np.minimum(x + 1, n[1] - 1) - start[1]
             across = lambda q: block[np.ix_(q, x)] * (1 - fx) + block[np.ix_(q, x1)] * fx

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.frames import Frames, frame_index, frame_rank, from_array_column, from_rows, pointwise, to_pixels, to_tiles
+from framelake.frames import Frames, frame_index, frame_rank, from_array_column, from_rows, pointwise, tiles_from_array_column, to_pixels, to_tiles
 from framelake.functions import pointwise as fn
 from framelake.functions import scalars
 from framelake.functions.colormaps import FIRE, color_tables
@@ -46,6 +46,11 @@ def emb(spark: SparkSession, sf_dir: str) -> Frames:
     return Frames(from_array_column(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, F.lit("emb")), 8, 8)
 
 
+def emb_tiles(spark: SparkSession, sf_dir: str, size: int = 5) -> Frames:
+    """The same as tiles of the arrays; 5 leaves narrow tiles at the right and lower edge."""
+    return tiles_from_array_column(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 8, F.lit("emb"), size)
+
+
 def labelled(spark: SparkSession, sf_dir: str, condition: str) -> Frames:
     """Frames of labels 0 (dark), 1 (flat) or others (samples)."""
     return Frames(from_array_column(table(spark, sf_dir, "embeddings").where(condition), "vec_id", "embedding", 8, F.lit("emb")), 8, 8)
@@ -532,17 +537,17 @@ def q_normalise(spark, sf_dir):
 
 @query(f"{_around(1)} SELECT frame_no, y, x, round(quantile_cont(v, 0.5), 6) + 0.0 AS value FROM n GROUP BY 1, 2, 3")
 def q_median_filter(spark, sf_dir):
-    return out(neighbourhood.median_filter(emb(spark, sf_dir), 3, tile=5).df)
+    return out(to_pixels(neighbourhood.median_filter(emb_tiles(spark, sf_dir), 3).df))
 
 
 @query(f"{_around(4)} SELECT frame_no, y, x, round(sum(v * ({neighbourhood.gaussian_weights(1.0)!r}::DOUBLE[])[dy + 5] * ({neighbourhood.gaussian_weights(1.0)!r}::DOUBLE[])[dx + 5]), 6) + 0.0 AS value FROM n GROUP BY 1, 2, 3")
 def q_gaussian_filter(spark, sf_dir):
-    return out(neighbourhood.gaussian_filter(emb(spark, sf_dir), 1.0, tile=5).df)
+    return out(to_pixels(neighbourhood.gaussian_filter(emb_tiles(spark, sf_dir), 1.0).df))
 
 
 @query(f"WITH {PX}, o AS (SELECT dy, dx, 2.0 - sqrt(4.0 - dy * dy - dx * dx) AS up FROM unnest(range(-2, 3)) a(dy), unnest(range(-2, 3)) b(dx) WHERE dy * dy + dx * dx <= 4) SELECT p.frame_no, p.y, p.x, round(any_value(p.v) - min(q.v + up), 6) + 0.0 AS value FROM px p CROSS JOIN o JOIN px q ON q.frame_no = p.frame_no AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY 1, 2, 3")
 def q_rolling_ball(spark, sf_dir):
-    return out(neighbourhood.rolling_ball(emb(spark, sf_dir), 2.0, tile=5).df)
+    return out(to_pixels(neighbourhood.rolling_ball(emb_tiles(spark, sf_dir), 2.0).df))
 
 
 @query(f"WITH {PX}, a AS (SELECT i AS p, {MIRROR.format('i')} AS s, t FROM unnest(range(-1, 9)) u(i), unnest(range(2)) w(t) WHERE i BETWEEN t * 5 - 1 AND least(t * 5 + 5, 8)) SELECT frame_no, CAST(ay.t AS INTEGER) AS ty, CAST(ax.t AS INTEGER) AS tx, count(*) AS n, round(sum(v), 6) + 0.0 AS total FROM px JOIN a ay ON ay.s = y JOIN a ax ON ax.s = x GROUP BY 1, 2, 3")
