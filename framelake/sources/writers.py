@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framelake.errors import FrameError
 from framelake.frames import Frames
+from framelake.operators.ordering import stored
 
 RUN = "run_id string, source string, frames string, dtype string, low double, high double, created timestamp, pipeline string"
 
@@ -26,8 +27,12 @@ def check_frames(frames: Frames, count: int | None = None) -> int:
     return got[0]
 
 
-def write_frames(frames: Frames, path: str, count: int | None = None, overwrite: bool = False) -> DataFrame:
-    """Write frames by dataset in C order and return what is stored. A failed write leaves no output (Spark's committer)."""
+def write_frames(frames: Frames, path: str, count: int | None = None, overwrite: bool = False, held: bool = False) -> DataFrame:
+    """Write frames by dataset in C order and return what is stored. A failed write leaves no output (Spark's committer).
+
+    Check and write read a checkpoint, so that the plan runs once; held: the frames come cheaply from one already."""
+    if not held:
+        frames = frames.with_(stored(frames.df))
     check_frames(frames, count)
     df = frames.df.repartitionByRange("dataset_id", "frame_no", "y").sortWithinPartitions("dataset_id", "frame_no", "y", "x", "channel")
     df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("dataset_id").parquet(path)
