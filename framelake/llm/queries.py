@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import decontam, katz, licenses, lines, mixing, ogg, quality, secrets, tokens
+from framelake.llm import decontam, katz, licenses, lines, mixing, ogg, quality, secrets, tokens, urls
 from framelake.llm.jaccard import jaccard_classes
 
 
@@ -68,6 +68,22 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(ogg.text_to_media(_table(spark, sf_dir, "documents")))
 
 
+#: host, path and verdict of the rules that pages are judged by (fixed values).
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages by the longest rule that fits."""
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return urls.judge_urls(_table(spark, sf_dir, "pages"), rules).drop("url")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
@@ -151,5 +167,21 @@ FROM d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id
 """
 
 
+OP13_SQL = rf"""
+WITH r(h, p, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
+u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+m AS (SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+      FROM (SELECT DISTINCT host, path FROM u) JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1, 2)
+SELECT page_id, u.host, u.path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN m ON u.host = m.host AND u.path = m.path
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op4_source_mixing": OP4_SQL, "op6_secret_scan": _op6_sql()}
+    return {
+        "op1_ngram_jaccard_join": OP1_SQL,
+        "op2_benchmark_decontamination": OP2_SQL,
+        "op4_source_mixing": OP4_SQL,
+        "op6_secret_scan": _op6_sql(),
+        "op13_url_filter": OP13_SQL,
+    }
