@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import decontam, katz, licenses, lines, mixing, ogg, quality, secrets, tokens, urls
+from framelake.llm import decontam, fim, katz, licenses, lines, mixing, ogg, quality, secrets, tokens, urls
 from framelake.llm.jaccard import jaccard_classes
 
 
@@ -68,6 +68,12 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(ogg.text_to_media(_table(spark, sf_dir, "documents")))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts cut into prefix, middle and suffix at drawn lines, arranged behind sentinels, and restored."""
+    made = fim.restore(fim.fill_in_middle(_table(spark, sf_dir, "documents")), texts=False)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 #: host, path and verdict of the rules that pages are judged by (fixed values).
 URL_RULES = (
     ("com", "/", "allow"),
@@ -167,6 +173,19 @@ FROM d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id
 """
 
 
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+                  sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT *, CAST(len(u) AS BIGINT) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(0, 4)] AS x FROM d),
+c AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 100 THEN 'plain'
+                  WHEN x[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p
+"""
+
 OP13_SQL = rf"""
 WITH r(h, p, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
 u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -183,5 +202,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_benchmark_decontamination": OP2_SQL,
         "op4_source_mixing": OP4_SQL,
         "op6_secret_scan": _op6_sql(),
+        "op12_fill_in_middle": OP12_SQL,
         "op13_url_filter": OP13_SQL,
     }
