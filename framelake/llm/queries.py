@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import decontam, fim, katz, licenses, lines, mixing, ogg, quality, secrets, tokens, urls
+from framelake.llm import decontam, fim, katz, licenses, lines, mixing, ogg, quality, secrets, spelling, tokens, urls
 from framelake.llm.jaccard import jaccard_classes
 
 
@@ -68,6 +68,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(ogg.text_to_media(_table(spark, sf_dir, "documents")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the commoner word that each is a misspelling of."""
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts cut into prefix, middle and suffix at drawn lines, arranged behind sentinels, and restored."""
     made = fim.restore(fim.fill_in_middle(_table(spark, sf_dir, "documents")), texts=False)
@@ -173,6 +178,26 @@ FROM d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id
 """
 
 
+#: CRC-32 by a table that is built from its polynomial; near words share a word with one code point less.
+OP11_SQL = rf"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+       lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM unnest(range(256)) u(i))),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER_SQL}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+         WHERE length(run) >= 6 GROUP BY 1, 2),
+bytes AS (SELECT run, n, flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c) - 64] END
+          FOR c IN string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, '')]) AS b FROM runs),
+sums AS (SELECT run, n, xor(list_reduce([4294967295::BIGINT] || b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, tab),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM sums)
+      WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+less AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+near AS (SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+         UNION SELECT less.word, d FROM less JOIN v ON v.word = d UNION SELECT d, less.word FROM less JOIN v ON v.word = d),
+best AS (SELECT a, count(*) AS n_near, (list(b ORDER BY n DESC, b))[1] AS b, max(n) AS n FROM near JOIN v ON word = b GROUP BY 1),
+f AS (SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 5 * v.n THEN b END AS form, CASE WHEN best.n >= 5 * v.n THEN best.n END AS form_n FROM v LEFT JOIN best ON a = word),
+chain AS (SELECT word, word AS root FROM f UNION SELECT chain.word, form FROM chain JOIN f ON f.word = chain.root WHERE form IS NOT NULL)
+SELECT f.word, f.form, root, f.n, f.n_near, f.form_n FROM f JOIN chain USING (word) JOIN f g ON g.word = root AND g.form IS NULL
+"""
+
 OP12_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
                   sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
@@ -202,6 +227,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_benchmark_decontamination": OP2_SQL,
         "op4_source_mixing": OP4_SQL,
         "op6_secret_scan": _op6_sql(),
+        "op11_spelling_variants": OP11_SQL,
         "op12_fill_in_middle": OP12_SQL,
         "op13_url_filter": OP13_SQL,
     }
