@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.errors import FrameError
+from framelake.tiles import Tile, flat_values, map_tiles, with_pixels
 
 PIXELS = ["dataset_id", "frame_no", "y", "x", "channel", "value"]
 FRAME = ["dataset_id", "frame_no"]
@@ -53,33 +55,21 @@ def from_array_column(df: DataFrame, frame_no: str, array: str, width: int, data
     return exploded.select("dataset_id", "frame_no", F.floor(F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).cast("int").alias("x"), F.lit(0).alias("channel"), F.col("v").cast("double").alias("value"))
 
 
-def cut(y: Column, x: Column, h: Column, w: Column) -> Column:
-    """Rows y to y + h - 1 and columns x to x + w - 1 (counted within the tile) of a tile's pixels.
-
-    By places, as slices in a lambda copy the whole array each time."""
-    part = F.transform(F.sequence(F.lit(0), h * w - 1), lambda i: F.get("pixels", ((y + F.floor(i / w)) * F.col("w") + x + i % w).cast("int")))
-    return F.when((h == F.col("h")) & (w == F.col("w")), F.col("pixels")).otherwise(part)
-
-
-def parts(df: DataFrame, keep: Sequence[str], tys: Column, txs: Column, extent: Callable[[Column, Column], tuple[Column, ...]]) -> DataFrame:
-    """For each of tys and txs a row: keep, ty, tx, y0, x0, h, w (by extent, in the frame) and pixels of that part of a tile.
-
-    Parts are made before rows are multiplied, so that no row carries the array they come from."""
-
-    def part(ty: Column, tx: Column) -> Column:
-        y, x, h, w = (c.cast("int") for c in extent(ty, tx))
-        return F.struct(ty.alias("ty"), tx.alias("tx"), y.alias("y0"), x.alias("x0"), h.alias("h"), w.alias("w"), cut(y - F.col("y0"), x - F.col("x0"), h, w).alias("pixels"))
-
-    each = F.flatten(F.transform(tys, lambda ty: F.transform(txs, lambda tx: part(ty, tx))))
-    return df.select(*keep, F.explode(each).alias("part")).select(*keep, "part.*")
-
-
 def tiles_from_array_column(df: DataFrame, frame_no: str, array: str, height: int, width: int, dataset_id: Column, size: int = TILE) -> Frames:
     """Tiles of a column of row-major arrays of height * width values, one frame each; narrow, no pixel becomes a row."""
-    whole = df.select(dataset_id.alias("dataset_id"), F.col(frame_no).cast("long").alias("frame_no"), F.lit(0).alias("channel"), F.lit(0).alias("y0"), F.lit(0).alias("x0"), F.lit(height).alias("h"), F.lit(width).alias("w"), F.col(array).cast("array<double>").alias("pixels"))
-    grid = lambda n: F.sequence(F.lit(0), F.lit((n - 1) // size))
-    extent = lambda ty, tx: (ty * size, tx * size, F.least(F.lit(size), height - ty * size), F.least(F.lit(size), width - tx * size))
-    return Frames(parts(whole, ["dataset_id", "frame_no", "channel"], grid(height), grid(width), extent), height, width, tile=size)
+    whole = df.select(
+        dataset_id.alias("dataset_id"),
+        F.col(frame_no).cast("long").alias("frame_no"),
+        *[F.lit(n).alias(c) for c, n in (("channel", 0), ("ty", 0), ("tx", 0), ("y0", 0), ("x0", 0), ("h", height), ("w", width))],
+        F.col(array).cast("array<double>").alias("pixels"),
+    )
+
+    def tiles(frame: Tile) -> Iterator[Tile]:
+        for y in range(0, height, size):
+            for x in range(0, width, size):
+                yield (*frame[:3], y // size, x // size, y, x, frame[-1][y : y + size, x : x + size])
+
+    return Frames(map_tiles(whole, tiles), height, width, tile=size)
 
 
 def from_rows(df: DataFrame, number: Column, value: Column, height: int, width: int, dataset_id: Column) -> DataFrame:
@@ -119,10 +109,40 @@ def to_pixels(tiles: DataFrame) -> DataFrame:
     return out.select("dataset_id", "frame_no", (F.col("y0") + F.floor(F.col("i") / F.col("w"))).cast("int").alias("y"), (F.col("x0") + F.col("i") % F.col("w")).cast("int").alias("x"), "channel", "value")
 
 
+#: Values go through the steps of a kernel in blocks of so many, which stay in a core's cache.
+BLOCK = 1 << 15
+
+
+def _run_kernels(df: DataFrame, kernels: Sequence[Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    names = df.columns
+
+    def task(batches):
+        for batch in batches:
+            flat, off = flat_values(batch.column("pixels"))
+            out = np.empty(len(flat))
+            with np.errstate(all="ignore"):
+                for a in range(int(off[0]), int(off[-1]), BLOCK):
+                    part = flat[a : min(a + BLOCK, int(off[-1]))]
+                    for kernel in kernels:
+                        part = kernel(part)
+                    out[a : a + len(part)] = part
+            yield with_pixels(batch, out, names)
+
+    schema = ", ".join(f"`{f.name}` {'array<double>' if f.name == 'pixels' else f.dataType.simpleString()}" for f in df.schema)
+    return df.withColumn("pixels", F.col("pixels").cast("array<double>")).mapInArrow(task, schema)
+
+
 def pointwise(df: DataFrame, fn: Callable[[Column], Column]) -> DataFrame:
-    """Apply a column function to every value of a pixel or tile table; a projection either way."""
+    """Apply a function to every value of a pixel or tile table.
+
+    Pixel tables get projections. On tile tables all steps with kernels (the functions of `functions.pointwise`) are one pass
+    over Arrow batches, in which a null value counts as NaN; casts are casts of arrays; other column functions are applied
+    by `transform`, which Spark interprets."""
     if "pixels" in df.columns:
-        return df.withColumn("pixels", F.transform("pixels", fn))
+        kernels = getattr(fn, "kernels", None)
+        if kernels:
+            return _run_kernels(df, kernels)
+        return df.withColumn("pixels", fn.of_array(F.col("pixels")) if hasattr(fn, "of_array") else F.transform("pixels", fn))
     for stage in getattr(fn, "stages", ())[:-1]:
         df = df.withColumn("value", stage(F.col("value")))
     fn = getattr(fn, "stages", (fn,))[-1]

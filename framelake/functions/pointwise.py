@@ -1,17 +1,62 @@
-"""Functions from value to value. Each returns a column function, for pixel tables and tile tables alike. NaN stays NaN
-unless stated; comparisons are guarded because Spark orders NaN above every number."""
+"""Functions from value to value, for pixel tables as column expressions and for tile tables as NumPy kernels. NaN stays NaN
+unless stated; comparisons of columns are guarded because Spark orders NaN above every number."""
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from framelake.errors import FrameError
 
 Fn = Callable[[Column], Column]
+Kernel = Callable[[np.ndarray], np.ndarray]
+
+
+class Stage:
+    """A column function with the same on arrays of doubles, which must not change its argument."""
+
+    def __init__(self, column: Fn, kernel: Kernel):
+        self.column, self.kernel = column, kernel
+
+    def __call__(self, v: Column) -> Column:
+        return self.column(v)
+
+
+class Staged:
+    """A function of several steps, each of which names its argument more than once.
+
+    `pointwise` gives a pixel table a projection for each step, which Spark compiles apart, and runs the kernels of all steps
+    over a tile table in one pass. Anywhere else the steps are bound one by one, so that the expression grows with the steps
+    and not with their product."""
+
+    def __init__(self, stages: Sequence[Fn]):
+        self.stages = tuple(stages)
+
+    def __call__(self, v: Column) -> Column:
+        if len(self.stages) == 1:
+            return self.stages[0](v)
+        for stage in self.stages:
+            v = F.get(F.transform(F.array(v), stage), F.lit(0))
+        return v
+
+    @property
+    def kernels(self) -> list[Kernel] | None:
+        """The kernels of all steps; None if one is a bare column function."""
+        return [s.kernel for s in self.stages] if all(isinstance(s, Stage) for s in self.stages) else None
+
+
+def chain(*fns: Fn) -> Staged:
+    """Functions one after the other."""
+    return Staged([s for f in fns for s in getattr(f, "stages", (f,))])
+
+
+def plain(low: float | None, high: float | None) -> Kernel:
+    """`limit` on arrays."""
+    return lambda a: a if low is None and high is None else np.clip(a, low, high)
 
 
 def limit(v: Column, low: float | None, high: float | None) -> Column:
@@ -23,20 +68,22 @@ def limit(v: Column, low: float | None, high: float | None) -> Column:
     return F.when(F.isnan(v), v).otherwise(out)
 
 
-def invert(low: float = 0.0, high: float = 65535.0) -> Fn:
-    return lambda v: F.lit(float(low) + float(high)) - v
+def invert(low: float = 0.0, high: float = 65535.0) -> Staged:
+    ends = float(low) + float(high)
+    return Staged([Stage(lambda v: F.lit(ends) - v, lambda a: ends - a)])
 
 
-def clip(low: float | None = None, high: float | None = None) -> Fn:
+def clip(low: float | None = None, high: float | None = None) -> Staged:
     if low is not None and high is not None and low > high:
         raise FrameError(f"low {low} is above high {high}")
-    return lambda v: v if low is None and high is None else limit(v, low, high)
+    return Staged([Stage(lambda v: v if low is None and high is None else limit(v, low, high), plain(low, high))])
 
 
-def threshold(value: float = 0.0, keep: str = "above") -> Fn:
+def threshold(value: float = 0.0, keep: str = "above") -> Staged:
     """1 where kept (>= value, or < value for below), else 0; NaN is 0."""
-    at = F.lit(float(value))
-    return lambda v: F.when(~F.isnan(v) & ((v >= at) if keep == "above" else (v < at)), F.lit(1.0)).otherwise(F.lit(0.0))
+    at, above = float(value), keep == "above"
+    kept = lambda v: F.when(~F.isnan(v) & ((v >= F.lit(at)) if above else (v < F.lit(at))), F.lit(1.0))
+    return Staged([Stage(lambda v: kept(v).otherwise(F.lit(0.0)), lambda a: (a >= at if above else a < at).astype(np.float64))])
 
 
 def pchip(points: Sequence[Sequence[float]]) -> list[tuple[float, float, float, float, float]]:
@@ -89,9 +136,10 @@ def curve_value(curve: Sequence[Sequence[float]], at: float) -> float:
     return c0 + t * (c1 + t * (c2 + t * c3))
 
 
-def curve_column(curve: Sequence[Sequence[float]]) -> Fn:
-    """The curve as a column function, flat beyond its ends."""
+def curve_stage(curve: Sequence[Sequence[float]]) -> Stage:
+    """The curve as a function, flat beyond its ends."""
     points = check_curve(curve)
+    places, parts = np.array([p[0] for p in points]), np.array(pchip(points))
 
     def fn(v: Column) -> Column:
         out = F.when(F.isnan(v), v).when(v <= points[0][0], F.lit(points[0][1]))
@@ -100,22 +148,14 @@ def curve_column(curve: Sequence[Sequence[float]]) -> Fn:
             out = out.when(v < F.lit(x1), F.lit(c0) + t * (F.lit(c1) + t * (F.lit(c2) + t * F.lit(c3))))
         return out.otherwise(F.lit(points[-1][1]))
 
-    return fn
-
+    def kernel(a: np.ndarray) -> np.ndarray:
+        # NaN and what lies beyond the ends takes the last part; both are put right below
+        x0, c0, c1, c2, c3 = parts.T[:, np.clip(np.searchsorted(places, a, "right") - 1, 0, len(parts) - 1)]
+        t = a - x0
+        out = c0 + t * (c1 + t * (c2 + t * c3))
+        return np.where(a <= places[0], points[0][1], np.where(a >= places[-1], points[-1][1], out))
 
-class Staged:
-    """A function of several steps, each of which names its argument more than once.
-
-    `pointwise` gives a pixel table a projection for each step, which Spark compiles apart; anywhere else the steps are
-    bound one by one, so that the expression grows with the steps and not with their product."""
-
-    def __init__(self, stages: Sequence[Fn]):
-        self.stages = tuple(stages)
-
-    def __call__(self, v: Column) -> Column:
-        for stage in self.stages:
-            v = F.get(F.transform(F.array(v), stage), F.lit(0))
-        return v
+    return Stage(fn, kernel)
 
 
 def tone_map(exposure: float = 0.0, contrast: float = 0.0, highlights: float = 0.0, shadows: float = 0.0, whites: float = 0.0, blacks: float = 0.0, curve: Sequence[Sequence[float]] | None = None) -> Staged:
@@ -123,18 +163,22 @@ def tone_map(exposure: float = 0.0, contrast: float = 0.0, highlights: float = 0
     for name, x, most in (("exposure", exposure, 5), ("contrast", contrast, 100), ("highlights", highlights, 100), ("shadows", shadows, 100), ("whites", whites, 100), ("blacks", blacks, 100)):
         if not -most <= x <= most:
             raise FrameError(f"{name} is not in -{most} to {most}")
-    line = None if curve is None or [list(map(float, p)) for p in curve] == [[0.0, 0.0], [1.0, 1.0]] else curve_column(curve)
-    unit = lambda v: limit(v, 0, 1)
-    stages: list[Fn] = [lambda v: v * F.lit(2.0**exposure)] if exposure else []
+    straight = curve is None or [list(map(float, p)) for p in curve] == [[0.0, 0.0], [1.0, 1.0]]
+    line = None if straight else curve_stage(curve)
+    unit = Stage(lambda v: limit(v, 0, 1), plain(0.0, 1.0))
+    gain, bend, steep = 2.0**exposure, 0.14 * 27 / 4, contrast / 100
+    low, high, s, h = -0.25 * blacks / 100, 1 - 0.25 * whites / 100, shadows / 100, highlights / 100
+    stages: list[Stage] = [Stage(lambda v: v * F.lit(gain), lambda a: a * gain)] if exposure else []
     stages.append(unit)
     if whites or blacks:
-        low, high = -0.25 * blacks / 100, 1 - 0.25 * whites / 100
-        stages += [lambda v: (v - F.lit(low)) / F.lit(high - low), unit]
+        span = high - low
+        stages += [Stage(lambda v: (v - F.lit(low)) / F.lit(span), lambda a: (a - low) / span), unit]
     if shadows or highlights:
-        s, h = F.lit(shadows / 100), F.lit(highlights / 100)
-        stages += [lambda v: v + F.lit(0.14 * 27 / 4) * v * (1 - v) * (s * (1 - v) + h * v), unit]
+        lift = lambda v, s, h, bend: v + bend * v * (1 - v) * (s * (1 - v) + h * v)
+        stages += [Stage(lambda v: lift(v, F.lit(s), F.lit(h), F.lit(bend)), lambda a: lift(a, s, h, bend)), unit]
     if contrast:
-        stages.append(lambda v: v + F.lit(contrast / 100) * (v * v * (3 - 2 * v) - v))
+        push = lambda v, k: v + k * (v * v * (3 - 2 * v) - v)
+        stages.append(Stage(lambda v: push(v, F.lit(steep)), lambda a: push(a, steep)))
     if line:
         stages.append(line)
     if line or contrast:
@@ -146,21 +190,24 @@ def tone(black: float = 0.0, white: float = 1.0, **sliders) -> Staged:
     """Tone mapping between a black and a white point, and back."""
     if white <= black:
         raise FrameError("the white point must be above the black point")
-    span, start = F.lit(float(white - black)), F.lit(float(black))
-    return Staged([lambda v: (v - start) / span, *tone_map(**sliders).stages, lambda v: v * span + start])
+    span, start = float(white - black), float(black)
+    to_unit = Stage(lambda v: (v - F.lit(start)) / F.lit(span), lambda a: (a - start) / span)
+    back = Stage(lambda v: v * F.lit(span) + F.lit(start), lambda a: a * span + start)
+    return chain(to_unit, tone_map(**sliders), back)
 
 
-def to_uint8(low: float, high: float, tone_fn: Fn | None = None) -> Fn:
+def to_uint8(low: float, high: float, tone_fn: Fn | None = None) -> Staged:
     """0..255 (half to even) of low..high; NaN, and everything of an empty span, is 0."""
     if high <= low:
-        return lambda v: F.lit(0.0)
+        return Staged([Stage(lambda v: F.lit(0.0), np.zeros_like)])
+    start, span = float(low), float(high - low)
+    to_unit = Stage(lambda v: (v - F.lit(start)) / F.lit(span), lambda a: (a - start) / span)
 
-    def fn(v: Column) -> Column:
-        x = (v - F.lit(float(low))) / F.lit(float(high - low))
-        x = tone_fn(x) if tone_fn else x
-        return F.when(F.isnan(v), F.lit(0.0)).otherwise(F.rint(limit(x * 255.0, 0, 255)))
+    def level(v: Column) -> Column:
+        return F.when(F.isnan(v), F.lit(0.0)).otherwise(F.rint(limit(v * 255.0, 0, 255)))
 
-    return fn
+    last = Stage(level, lambda a: np.nan_to_num(np.rint(np.clip(a * 255.0, 0, 255)), copy=False, nan=0.0))
+    return chain(to_unit, *([tone_fn] if tone_fn else []), last)
 
 
 #: Least and largest value of integer types, and the exact range of the floating ones.
@@ -184,8 +231,21 @@ def holds(source: str, target: str) -> bool:
     return source in INTEGERS and target in INTEGERS and INTEGERS[target][0] <= INTEGERS[source][0] and INTEGERS[source][1] <= INTEGERS[target][1]
 
 
-def cast_dtype(target: str) -> Fn:
+class Cast:
+    """A cast of values, or of whole arrays, to the Spark type that holds a pixel type."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+
+    def __call__(self, v: Column) -> Column:
+        return v.cast(self.kind)
+
+    def of_array(self, pixels: Column) -> Column:
+        return pixels.cast(f"array<{self.kind}>")
+
+
+def cast_dtype(target: str) -> Cast:
     """Cast to the Spark type that holds a pixel type."""
     if target not in SPARK_TYPES:
         raise FrameError(f"{target} is not a pixel type")
-    return lambda v: v.cast(SPARK_TYPES[target])
+    return Cast(SPARK_TYPES[target])

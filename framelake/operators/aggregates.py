@@ -1,4 +1,4 @@
-"""Reductions over frames, pixels and files."""
+"""Reductions over frames, pixels and files. Those of frames take pixel tables and tile tables (`tile_stats`)."""
 
 from __future__ import annotations
 
@@ -8,22 +8,39 @@ from pyspark.sql import functions as F
 from framelake.errors import FrameError
 from framelake.frames import FRAME
 from framelake.functions.scalars import image, natural_key, sequence_number, sequence_pattern
+from framelake.operators import tile_stats
 from framelake.operators.ordering import global_rank
 
 PLACE = ["y", "x", "channel"]
+
+
+def is_tiles(df: DataFrame) -> bool:
+    return "pixels" in df.columns
+
+
 _INF = float("inf")
 
 
 def average_frames(df: DataFrame, method: str = "mean") -> DataFrame:
-    """One frame: the mean (or median) of every pixel over all frames; a median with a NaN is NaN."""
+    """One frame: the mean (or median) of every pixel over all frames; a median with a NaN is NaN. No frames are refused.
+
+    Of a pixel table: y, x, channel, value; of a tile table: channel, ty, tx, y0, x0, h, w, pixels."""
     if method not in ("mean", "median"):
         raise FrameError(f"{method} is not mean or median")
+    if df.isEmpty():
+        raise FrameError("there are no frames to average")
+    if is_tiles(df):
+        if method == "mean":
+            return tile_stats.average_mean(df)
+        return tile_stats.average_median(df, df.select(*FRAME).distinct().count())
     value = F.avg("value") if method == "mean" else F.when(F.max(F.isnan("value").cast("int")) == 1, F.lit(float("nan"))).otherwise(F.percentile("value", F.lit(0.5)))
     return df.groupBy(*PLACE).agg(value.alias("value"))
 
 
 def value_range(df: DataFrame) -> DataFrame:
     """low and high of all values, NaN left out; 0 and 1 if there are none. One row."""
+    if is_tiles(df):
+        return tile_stats.value_range(df)
     seen = F.when(~F.isnan("value"), F.col("value"))
     r = df.agg(F.min(seen).alias("low"), F.max(seen).alias("high"))
     return r.select(F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
@@ -35,7 +52,11 @@ def _finite():
 
 
 def frame_stats(df: DataFrame) -> DataFrame:
-    """min, max of finite pixels and 0.1 / 99.9 percentiles of every fourth pixel of every fourth row, by frame."""
+    """min, max of finite pixels and 0.1 / 99.9 percentiles of every fourth pixel of every fourth row, by frame.
+
+    A tile table is read several times (`tile_stats.quantiles`), so it should be stored."""
+    if is_tiles(df):
+        return tile_stats.frame_stats(df)
     f = _finite()
     sample = F.when((F.col("y") % 4 == 0) & (F.col("x") % 4 == 0), f)
     s = df.groupBy(*FRAME).agg(F.min(f).alias("min"), F.max(f).alias("max"), F.percentile(sample, F.array(F.lit(0.001), F.lit(0.999))).alias("p"))
@@ -47,6 +68,8 @@ def histogram(df: DataFrame, bins: int = 256, low: float | None = None, high: fl
     """Counts by frame in equal bins of low..high (default: the frame's finite range); the last bin is closed."""
     if not 2 <= bins <= 4096:
         raise FrameError("bins are 2 to 4096")
+    if is_tiles(df):
+        return tile_stats.histogram(df, bins, low, high)
     f = _finite()
     ends = df.groupBy(*FRAME).agg(F.coalesce(F.min(f), F.lit(0.0)).alias("_lo"), F.coalesce(F.max(f), F.lit(0.0)).alias("_hi"))
     if low is not None:
@@ -82,9 +105,11 @@ def tile_index(df: DataFrame, size: int) -> DataFrame:
 def normalise(df: DataFrame, low: float = 0.0, high: float = 100.0) -> DataFrame:
     """Each frame's percentiles low..high (all channels, NaN left out) to 0..1; values beyond them go beyond 0..1.
 
-    NaN stays NaN, but an empty span gives zeros throughout."""
+    NaN stays NaN, but an empty span gives zeros throughout. A tile table is read several times, so it should be stored."""
     if not 0 <= low < high <= 100:
         raise FrameError("percentiles are 0 to 100, low below high")
+    if is_tiles(df):
+        return tile_stats.normalise(df, low, high)
     seen = F.when(~F.isnan("value"), F.col("value"))
     p = df.groupBy(*FRAME).agg(F.percentile(seen, F.array(F.lit(low / 100), F.lit(high / 100))).alias("_p"))
     a, b, v = F.col("_p")[0], F.col("_p")[1], F.col("value")

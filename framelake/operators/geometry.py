@@ -9,43 +9,74 @@ from pyspark.sql import functions as F
 
 from framelake.errors import FrameError
 from framelake.frames import Frames
+from framelake.operators.tiling import Placement, is_tiled, retile
+from framelake.tiles import Tile, map_tiles
 
 
-def crop(frames: Frames, top: int = 0, left: int = 0, height: int = 0, width: int = 0) -> Frames:
+def crop_place(frames: Frames, top: int = 0, left: int = 0, height: int = 0, width: int = 0) -> Placement:
     """A rectangle of each frame; height or width 0 goes up to the edge."""
     height, width = height or frames.height - top, width or frames.width - left
     if min(top, left) < 0 or min(height, width) <= 0 or top + height > frames.height or left + width > frames.width:
         raise FrameError("the rectangle isn't inside the frame")
-    inside = F.col("y").between(top, top + height - 1) & F.col("x").between(left, left + width - 1)
-    df = frames.df.where(inside).withColumns({"y": (F.col("y") - top).cast("int"), "x": (F.col("x") - left).cast("int")})
-    return frames.with_(df, height=height, width=width)
+    return Placement(height, width, -top, -left)
+
+
+def rotate_place(frames: Frames, angle: str | int = "90") -> Placement:
+    """Clockwise by 90, 180 or 270 degrees."""
+    h, w = frames.height, frames.width
+    turned = {"90": Placement(w, h, 0, h - 1, 1, -1, True), "180": Placement(h, w, h - 1, w - 1, -1, -1), "270": Placement(w, h, w - 1, 0, -1, 1, True)}
+    if str(angle) not in turned:
+        raise FrameError(f"angle {angle} is not 90, 180 or 270")
+    return turned[str(angle)]
+
+
+def flip_place(frames: Frames, direction: str = "horizontal") -> Placement:
+    h, w = frames.height, frames.width
+    if direction not in ("horizontal", "vertical"):
+        raise FrameError(f"direction {direction} is not horizontal or vertical")
+    return Placement(h, w, 0, w - 1, 1, -1) if direction == "horizontal" else Placement(h, w, h - 1, 0, -1, 1)
+
+
+def place(frames: Frames, to: Placement) -> Frames:
+    """Frames with their pixels moved: a projection of pixel tables (with a filter where it crops); for tiles see `retile`."""
+    if is_tiled(frames):
+        return retile(frames, to)
+    y, x = F.col("y"), F.col("x")
+    a, b = (x, y) if to.swap else (y, x)
+    shift = lambda c, s, o: (c + o if s > 0 else F.lit(o) - c).cast("int")
+    kept = frames.df
+    # in terms of the columns, so that Spark can push it down
+    for c, s, o, n in ((a, to.sy, to.oy, to.height), (b, to.sx, to.ox, to.width)):
+        low = -o if s > 0 else o - n + 1
+        if (low, n) != (0, frames.height if c is y else frames.width):
+            kept = kept.where(c.between(low, low + n - 1))
+    return frames.with_(kept.withColumns({"y": shift(a, to.sy, to.oy), "x": shift(b, to.sx, to.ox)}), height=to.height, width=to.width)
+
+
+def crop(frames: Frames, top: int = 0, left: int = 0, height: int = 0, width: int = 0) -> Frames:
+    """A rectangle of each frame; height or width 0 goes up to the edge."""
+    return place(frames, crop_place(frames, top, left, height, width))
 
 
 def crop_tiles(tiles: DataFrame, top: int, left: int, height: int, width: int) -> DataFrame:
-    """The same on tiles: tiles outside go, rows and columns of the others are sliced. Tiles keep their numbers."""
-    y1, x1 = F.least(F.col("y0") + F.col("h"), F.lit(top + height)), F.least(F.col("x0") + F.col("w"), F.lit(left + width))
-    a, b = F.greatest(F.col("y0"), F.lit(top)), F.greatest(F.col("x0"), F.lit(left))
-    kept = tiles.withColumns({"_a": a, "_b": b, "_h": y1 - a, "_w": x1 - b}).where("_h > 0 and _w > 0")
-    rows = F.flatten(F.transform(F.sequence(F.col("_a") - F.col("y0"), F.col("_a") - F.col("y0") + F.col("_h") - 1), lambda r: F.slice(F.col("pixels"), r * F.col("w") + F.col("_b") - F.col("x0") + 1, F.col("_w"))))
-    return kept.withColumns({"pixels": rows}).withColumns({"y0": F.col("_a") - top, "x0": F.col("_b") - left, "h": F.col("_h"), "w": F.col("_w")}).drop("_a", "_b", "_h", "_w")
+    """The same on tiles without a shuffle: tiles outside go, the others are cut. They keep their numbers, so lie on no grid."""
+
+    def cut(tile: Tile):
+        y, x, a = tile[5:]
+        inside = a[max(0, top - y) : max(0, top + height - y), max(0, left - x) : max(0, left + width - x)]
+        if inside.size:
+            yield (*tile[:5], max(0, y - top), max(0, x - left), inside)
+
+    return map_tiles(tiles, cut)
 
 
 def rotate(frames: Frames, angle: str | int = "90") -> Frames:
     """Clockwise by 90, 180 or 270 degrees."""
-    h, w = frames.height, frames.width
-    y, x = F.col("y"), F.col("x")
-    moves = {"90": (x, h - 1 - y, w, h), "180": (h - 1 - y, w - 1 - x, h, w), "270": (w - 1 - x, y, w, h)}
-    if str(angle) not in moves:
-        raise FrameError(f"angle {angle} is not 90, 180 or 270")
-    ny, nx, nh, nw = moves[str(angle)]
-    return frames.with_(frames.df.withColumns({"y": ny.cast("int"), "x": nx.cast("int")}), height=nh, width=nw)
+    return place(frames, rotate_place(frames, angle))
 
 
 def flip(frames: Frames, direction: str = "horizontal") -> Frames:
-    if direction not in ("horizontal", "vertical"):
-        raise FrameError(f"direction {direction} is not horizontal or vertical")
-    name, n = ("x", frames.width) if direction == "horizontal" else ("y", frames.height)
-    return frames.with_(frames.df.withColumn(name, (F.lit(n - 1) - F.col(name)).cast("int")))
+    return place(frames, flip_place(frames, direction))
 
 
 def slice_frames(df: DataFrame, n: int, start: int | None = None, stop: int | None = None, step: int | None = None) -> DataFrame:

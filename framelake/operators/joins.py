@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.errors import FrameError
+from framelake.frames import Frames, pointwise, to_tiles
+from framelake.functions.pointwise import Staged
+from framelake.operators.tile_stats import check_grid
+from framelake.tiles import KEYS, PLACE, TILE_SCHEMA, lists, views, with_pixels
 
 #: A reference frame of up to so many pixels is broadcast; a larger one is joined by its position.
 BROADCAST_PIXELS = 4_000_000
@@ -35,6 +41,75 @@ def flat_field(df: DataFrame, pixels: int, dark: DataFrame | None = None, flat:
     return out.withColumn("value", value).select(df.columns)
 
 
+#: References of up to so many bytes are broadcast to join tiles; larger ones are repeated for SALTS groups of frames.
+BROADCAST_BYTES = 512 << 20
+SALTS = 64
+
+
+def flat_field_tiles(frames: Frames, dark: DataFrame | None = None, flat: DataFrame | None = None, then: Staged | None = None) -> Frames:
+    """`flat_field` on a tile table. References are one frame each on the same grid: channel, ty, tx, y0, x0, h, w, pixels.
+
+    Tiles meet the references of their place as bytes, which Spark hands on without a look, and are combined whole; `then` is
+    applied in the same pass. References are checked to be whole."""
+    if dark is None and flat is None:
+        raise FrameError("a dark or a flat reference is needed")
+    at, refs = ["channel", "ty", "tx"], None
+    for name, df in (("_dark", dark), ("_flat", flat)):
+        if df is not None:
+            check_grid(df, frames)
+            one = df.select(*at, *PLACE, "pixels").mapInArrow(_packed(name), f"channel int, ty int, tx int, {name} binary")
+            refs = one if refs is None else refs.join(one, at)
+    size = frames.height * frames.width * frames.channels * 8 * (1 + (dark is not None and flat is not None))
+    tiles = frames.df.select(*KEYS, *PLACE, "pixels")
+    if size <= BROADCAST_BYTES:
+        met = tiles.join(F.broadcast(refs), at)
+    else:
+        copies = refs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = tiles.withColumn("_salt", F.pmod("frame_no", F.lit(SALTS)).cast("int")).join(copies, [*at, "_salt"])
+    names, kernels = [*KEYS, *PLACE, "pixels"], (then.kernels if then else None) or []
+
+    def task(batches):
+        for batch in batches:
+            off = batch.column("pixels").offsets.to_numpy()
+            out = np.zeros(len(batch.column("pixels").values))
+            given = [batch.column(c) if c in batch.schema.names else None for c in ("_dark", "_flat")]
+            with np.errstate(all="ignore"):
+                for i, v in enumerate(views(batch)):
+                    d, f = (None if g is None else np.frombuffer(g[i].as_buffer()).reshape(v.shape) for g in given)
+                    to = out[off[i] : off[i + 1]].reshape(v.shape)
+                    if f is None:
+                        np.subtract(v, d, out=to)
+                    else:
+                        beam = f if d is None else f - d
+                        np.divide(v if d is None else v - d, beam, out=to, where=beam > 0)
+                    for kernel in kernels:
+                        to[...] = kernel(to)
+            yield with_pixels(batch, out, names)
+
+    refs_there = [c for c, df in (("_dark", dark), ("_flat", flat)) if df is not None]
+    done = frames.with_(met.select(*names, *refs_there).mapInArrow(task, TILE_SCHEMA))
+    return done if then is None or kernels else done.with_(pointwise(done.df, then))
+
+
+def _packed(name: str):
+    """Pixels of tiles as bytes."""
+
+    def task(batches):
+        for batch in batches:
+            keys = [batch.column(c) for c in ("channel", "ty", "tx")]
+            yield pa.RecordBatch.from_arrays([*keys, lists(list(views(batch)), True)], names=["channel", "ty", "tx", name])
+
+    return task
+
+
+def reference_tiles(df: DataFrame, frames: Frames) -> DataFrame:
+    """A reference on the grid of a tile table, be it tiles already or pixels (y, x, channel, value)."""
+    if "pixels" in df.columns:
+        return df
+    pixels = df.select(F.lit("reference").alias("dataset_id"), F.lit(0).cast("long").alias("frame_no"), "y", "x", "channel", "value")
+    return to_tiles(pixels, frames.tile).select("channel", "ty", "tx", *PLACE, "pixels")
+
+
 def check_reference(df: DataFrame, reference: DataFrame) -> None:
     """The reference has the pixels of a frame, no more and no less."""
     a, b = df.select("y", "x", "channel").distinct(), reference.select("y", "x", "channel").distinct()

@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.errors import FrameError
-from framelake.frames import FRAME, PIXELS, Frames, parts
+from framelake.frames import FRAME, PIXELS, Frames, pointwise
+from framelake.functions.pointwise import Stage, Staged
 from framelake.functions.scalars import reflect_index
+from framelake.operators.medians import STRIP, median
+from framelake.operators.tiling import Placement, assemble, deal, is_tiled, on_blocks, stay
+from framelake.tiles import KEYS, PART_SCHEMA, PLACE, TILE_SCHEMA, Tile, batches_of, map_tiles, rows_of
 
-KEYS = ["dataset_id", "frame_no", "channel", "ty", "tx"]
 _OUT = "dataset_id string, frame_no long, y int, x int, channel int, value double"
 
 
@@ -37,76 +40,14 @@ def halo_tiles(frames: Frames, radius: int, tile: int = 256, mirrored: bool = Tr
     return frames.df.join(y, "y").join(x, "x").select("dataset_id", "frame_no", "channel", "ty", "tx", "py", "px", "value")
 
 
-TILE_SCHEMA = "dataset_id string, frame_no long, channel int, ty int, tx int, y0 int, x0 int, h int, w int, pixels array<double>"
-
-
-def is_tiled(frames: Frames) -> bool:
-    if "pixels" in frames.df.columns and not frames.tile:
-        raise FrameError("the tile size of a tile table is needed")
-    return "pixels" in frames.df.columns
-
-
-def halo_strips(frames: Frames, radius: int) -> DataFrame:
-    """Of each tile, what every tile within radius needs of it: ty, tx of the tile in need, y0, x0, h, w of the part, pixels."""
-    size = frames.tile
-
-    def needed(n: int, begin, length):
-        first, last = F.col(begin) - radius, F.col(begin) + F.col(length) - 1 + radius
-        return F.sequence(F.greatest(F.floor(first / size), F.lit(0)).cast("int"), F.least(F.floor(last / size), F.lit((n - 1) // size)).cast("int"))
-
-    def extent(ty, tx):
-        ends = [(F.greatest(F.col(p), t * size - radius), F.least(F.col(p) + F.col(k), F.least((t + 1) * size, F.lit(n)) + radius)) for t, p, k, n in ((ty, "y0", "h", frames.height), (tx, "x0", "w", frames.width))]
-        (top, bottom), (left, right) = ends
-        return top, left, bottom - top, right - left
-
-    return parts(frames.df, FRAME + ["channel"], needed(frames.height, "y0", "h"), needed(frames.width, "x0", "w"), extent)
-
-
-def _reflected(first: int, length: int, n: int) -> np.ndarray:
-    """Positions first to first + length - 1 mirrored into 0 to n - 1, edge pixels twice."""
-    m = np.arange(first, first + length) % (2 * n)
-    return np.where(m < n, m, 2 * n - 1 - m)
-
-
-def _assemble(table: pa.Table, top: int, left: int, shape: tuple[int, int], fill: float) -> np.ndarray:
-    """The block of a shape at top, left of the frame from its parts."""
-    block = np.full(shape, fill)
-    values = table.column("pixels").combine_chunks()
-    flat, off = values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy()
-    places = (table.column(c).to_numpy() for c in ("y0", "x0", "h", "w"))
-    for y, x, h, w, at in zip(*places, off[:-1], strict=True):
-        block[y - top : y - top + h, x - left : x - left + w] = flat[at : at + h * w].reshape(h, w)
-    return block
-
-
-def _tile_row(table: pa.Table, tile: int, out: np.ndarray) -> pa.Table:
-    """The row of the tile that table's rows were dealt to."""
-    keys = [table.column(k)[:1].combine_chunks() for k in KEYS]
-    ty, tx = keys[3][0].as_py(), keys[4][0].as_py()
-    rows, cols = out.shape
-    place = [pa.array([v], pa.int32()) for v in (ty * tile, tx * tile, rows, cols)]
-    pixels = pa.ListArray.from_arrays(pa.array([0, rows * cols], pa.int32()), pa.array(np.ascontiguousarray(out).reshape(-1)))
-    return pa.table([*keys, *place, pixels], names=[*KEYS, "y0", "x0", "h", "w", "pixels"])
-
-
-def _on_tile_table(frames: Frames, radius: int, mirrored: bool, fill: float, kernel) -> DataFrame:
-    height, width, tile = frames.height, frames.width, frames.tile
-
-    def task(table: pa.Table) -> pa.Table:
-        y, x = table.column("ty")[0].as_py() * tile, table.column("tx")[0].as_py() * tile
-        rows, cols = min(tile, height - y), min(tile, width - x)
-        block = _assemble(table, y - radius, x - radius, (rows + 2 * radius, cols + 2 * radius), fill)
-        if mirrored:
-            down, right = (_reflected(p - radius, n + 2 * radius, full) - (p - radius) for p, n, full in ((y, rows, height), (x, cols, width)))
-            block = block[np.ix_(down, right)]
-        return _tile_row(table, tile, kernel(block, rows, cols))
-
-    return halo_strips(frames, radius).groupBy(*KEYS).applyInArrow(task, TILE_SCHEMA)
+def _filtered(frames: Frames, radius: int, tile: int, mirrored: bool, fill: float, kernel, before: Placement | None = None, after: Placement | None = None) -> Frames:
+    """Frames after a kernel, on tiles between the two placements: see `on_blocks`."""
+    if is_tiled(frames):
+        return on_blocks(frames, radius, mirrored, fill, kernel, before, after)
+    return frames.with_(_on_pixel_rows(frames, radius, tile, mirrored, fill, kernel))
 
 
-def _on_tiles(frames: Frames, radius: int, tile: int, mirrored: bool, fill: float, kernel) -> DataFrame:
-    if is_tiled(frames):
-        return _on_tile_table(frames, radius, mirrored, fill, kernel)
+def _on_pixel_rows(frames: Frames, radius: int, tile: int, mirrored: bool, fill: float, kernel) -> DataFrame:
     h, w = frames.height, frames.width
 
     def task(table: pa.Table) -> pa.Table:
@@ -123,22 +64,33 @@ def _on_tiles(frames: Frames, radius: int, tile: int, mirrored: bool, fill: floa
     return halo_tiles(frames, radius, tile, mirrored).groupBy(*KEYS).applyInArrow(task, _OUT)
 
 
-def median_filter(frames: Frames, size: int = 3, tile: int = 256) -> Frames:
-    """Median over a square window, mirrored edges; an even window begins size // 2 before and takes the upper middle."""
+def median_filter(frames: Frames, size: int = 3, tile: int = 256, before: Placement | None = None, after: Placement | None = None) -> Frames:
+    """Median over a square window, mirrored edges; an even window begins size // 2 before and takes the upper middle.
+
+    On tiles, `before` moves the frames and `after` crops the result within the filter's own shuffle (`on_blocks`)."""
     if not 1 <= size <= 51:
         raise FrameError("size is 1 to 51")
     r = size // 2
 
     def kernel(block: np.ndarray, rows: int, cols: int) -> np.ndarray:
-        out = np.empty((rows, cols))
-        step = max(1, (8 << 20) // (cols * size * size * 8))
-        for a in range(0, rows, step):
-            b = min(a + step, rows)
-            v = np.lib.stride_tricks.sliding_window_view(block[a : b + size - 1, : cols + size - 1], (size, size)).reshape(b - a, cols, size * size)
-            out[a:b] = np.partition(v, size * size // 2, axis=2)[:, :, size * size // 2]
-        return out
+        return median(block, rows, cols, size)
+
+    return _filtered(frames, r, tile, True, np.nan, kernel, before, after)
+
+
+def strips(rows: int, cols: int):
+    """(first row, rows) of strips whose pixels stay in a core's cache."""
+    step = max(1, STRIP // cols)
+    for a in range(0, rows, step):
+        yield a, min(step, rows - a)
 
-    return frames.with_(_on_tiles(frames, r, tile, True, np.nan, kernel))
+
+def _weighted(parts: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    out, term = parts[0] * weights[0], np.empty(parts[0].shape)
+    for part, weight in zip(parts[1:], weights[1:], strict=True):
+        np.multiply(part, weight, out=term)
+        out += term
+    return out
 
 
 def gaussian_weights(sigma: float) -> list[float]:
@@ -148,8 +100,8 @@ def gaussian_weights(sigma: float) -> list[float]:
     return [x / total for x in w]
 
 
-def gaussian_filter(frames: Frames, sigma: float = 1.0, tile: int = 256) -> Frames:
-    """Gaussian blur by two one-dimensional passes over each tile, mirrored edges, channels apart."""
+def gaussian_filter(frames: Frames, sigma: float = 1.0, tile: int = 256, before: Placement | None = None, after: Placement | None = None) -> Frames:
+    """Gaussian blur by two one-dimensional passes over each tile, mirrored edges, channels apart. before, after: see `median_filter`."""
     if not 0.1 <= sigma <= 100:
         raise FrameError("sigma is 0.1 to 100")
     weights = np.array(gaussian_weights(sigma))
@@ -157,10 +109,13 @@ def gaussian_filter(frames: Frames, sigma: float = 1.0, tile: int = 256) -> Fram
     tile = max(tile, r)
 
     def kernel(block: np.ndarray, rows: int, cols: int) -> np.ndarray:
-        down = sum(wt * block[k : k + rows] for k, wt in enumerate(weights))
-        return sum(wt * down[:, k : k + cols] for k, wt in enumerate(weights))
+        out = np.empty((rows, cols))
+        for a, n in strips(rows, cols):
+            down = _weighted([block[a + k : a + k + n] for k in range(2 * r + 1)], weights)
+            out[a : a + n] = _weighted([down[:, k : k + cols] for k in range(2 * r + 1)], weights)
+        return out
 
-    return frames.with_(_on_tiles(frames, r, tile, True, np.nan, kernel))
+    return _filtered(frames, r, tile, True, np.nan, kernel, before, after)
 
 
 #: Greatest radius and by how much frames are shrunk for it; larger ones by LARGEST_SHRINK.
@@ -181,11 +136,14 @@ def ball_background(frames: Frames, radius: float, tile: int = 128, subtract: bo
 
     def kernel(block: np.ndarray, rows: int, cols: int) -> np.ndarray:
         out = np.full((rows, cols), np.inf)
-        for a, b, up in offsets:
-            np.minimum(out, block[r + a : r + a + rows, r + b : r + b + cols] + up, out=out)
+        for y, n in strips(rows, cols):
+            least, term = out[y : y + n], np.empty((n, cols))
+            for a, b, up in offsets:
+                np.add(block[r + a + y : r + a + y + n, r + b : r + b + cols], up, out=term)
+                np.minimum(least, term, out=least)
         return block[r : r + rows, r : r + cols] - out if subtract else out
 
-    return _on_tiles(frames, r, max(tile, r), False, np.inf, kernel)
+    return _filtered(frames, r, max(tile, r), False, np.inf, kernel).df
 
 
 def _mirrored(p, n: int):
@@ -235,22 +193,12 @@ def shrink_tiles(frames: Frames, s: int) -> Frames:
     if frames.tile % s:
         raise FrameError(f"tiles of {frames.tile} are not whole blocks of {s}")
 
-    def task(batches):
-        for batch in batches:
-            pixels, new = batch.column("pixels"), []
-            flat, off = pixels.values.to_numpy(zero_copy_only=False), pixels.offsets.to_numpy()
-            size = [batch.column(c).to_numpy() for c in ("h", "w")]
-            for h, w, at in zip(*size, off[:-1], strict=True):
-                a = flat[at : at + h * w].reshape(h, w)
-                a = np.fmin.reduceat(np.fmin.reduceat(a, np.arange(0, h, s), axis=0), np.arange(0, w, s), axis=1)
-                new.append(a.reshape(-1))
-            place = [pa.array(-(-batch.column(c).to_numpy() // s), pa.int32()) for c in ("y0", "x0", "h", "w")]
-            ends = np.cumsum([0, *map(len, new)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(new) if new else np.zeros(0)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in KEYS], *place, lists], names=[*KEYS, "y0", "x0", "h", "w", "pixels"])
+    def small(tile: Tile):
+        a = tile[-1]
+        least = np.fmin.reduceat(np.fmin.reduceat(a, np.arange(0, a.shape[0], s), axis=0), np.arange(0, a.shape[1], s), axis=1)
+        yield (*tile[:5], tile[5] // s, tile[6] // s, least)
 
-    small = frames.df.select(*KEYS, "y0", "x0", "h", "w", "pixels").mapInArrow(task, TILE_SCHEMA)
-    return Frames(small, -(-frames.height // s), -(-frames.width // s), frames.channels, frames.tile // s)
+    return Frames(map_tiles(frames.df, small), -(-frames.height // s), -(-frames.width // s), frames.channels, frames.tile // s)
 
 
 def _between(first: int, length: int, n: int, full: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +211,7 @@ def _between(first: int, length: int, n: int, full: int) -> tuple[np.ndarray, np
 
 def _ball_on_tiles(frames: Frames, radius: float, light_background: bool) -> DataFrame:
     """The rolling ball on a tile table: no pixel becomes a row; the enlarged background is made and subtracted by tile."""
-    df, places = frames.df, ["y0", "x0", "h", "w"]
+    df, places = frames.df, PLACE
     if light_background:
         most = F.array_max(F.filter("pixels", lambda v: ~F.isnan(v)))
         top = df.groupBy(*FRAME, "channel").agg(F.max(most).alias("_top"))
@@ -279,17 +227,17 @@ def _ball_on_tiles(frames: Frames, radius: float, light_background: bool) -> Dat
         halo = 2
 
         def task(own: pa.Table, strips: pa.Table) -> pa.Table:
-            at = [own.column(c)[0].as_py() for c in ("ty", "tx")]
-            rows, cols = (min(tile, full[i] - at[i] * tile) for i in (0, 1))
+            (tile_,), parts = (list(rows_of(t.combine_chunks().to_batches()[0])) for t in (own, strips))
+            at, value = tile_[3:5], tile_[-1]
             start = [at[i] * less - halo for i in (0, 1)]
-            block = _assemble(strips, *start, (less + 2 * halo, less + 2 * halo), np.nan)
-            (y, fy), (x, fx) = (_between(at[i] * tile, k, n[i], full[i]) for i, k in ((0, rows), (1, cols)))
+            block = assemble(parts, *start, (less + 2 * halo, less + 2 * halo))
+            (y, fy), (x, fx) = (_between(at[i] * tile, k, n[i], full[i]) for i, k in enumerate(value.shape))
             y, x, y1, x1 = y - start[0], x - start[1], np.minimum(y + 1, n[0] - 1) - start[0], np.minimum(x + 1, n[1] - 1) - start[1]
             across = lambda q: block[np.ix_(q, x)] * (1 - fx) + block[np.ix_(q, x1)] * fx
             back = across(y) * (1 - fy)[:, None] + across(y1) * fy[:, None]
-            value = own.column("pixels").combine_chunks().values.to_numpy(zero_copy_only=False)[: rows * cols].reshape(rows, cols)
-            return _tile_row(own, tile, value - back)
+            return pa.Table.from_batches(list(batches_of([(*tile_[:-1], value - back)])))
 
         whole = df.select(*KEYS, *places, "pixels")
-        out = whole.groupBy(*KEYS).cogroup(halo_strips(small, halo).groupBy(*KEYS)).applyInArrow(task, TILE_SCHEMA)
-    return out.withColumn("pixels", F.transform("pixels", lambda v: -v)) if light_background else out
+        strips = map_tiles(small.df, deal(small, stay(small), stay(small), less, halo), PART_SCHEMA)
+        out = whole.groupBy(*KEYS).cogroup(strips.groupBy(*KEYS)).applyInArrow(task, TILE_SCHEMA)
+    return pointwise(out, Staged([Stage(lambda v: -v, np.negative)])) if light_background else out

@@ -17,6 +17,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """A stored table of a few columns, broadcast behind a count of its rows; a longer one is left to a shuffle join."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def global_rank(df: DataFrame, *order: Column | str, name: str = "rank", first: int = 0) -> DataFrame:
     """df with its place in a total order: rows are dealt to ranges of the order, ranked within each, and moved on by the
     sizes of the ranges before. Only one number for each range comes to the driver."""
