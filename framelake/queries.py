@@ -51,9 +51,9 @@ def emb_tiles(spark: SparkSession, sf_dir: str, size: int = 5) -> Frames:
     return tiles_from_array_column(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 8, F.lit("emb"), size)
 
 
-def labelled(spark: SparkSession, sf_dir: str, condition: str) -> Frames:
-    """Frames of labels 0 (dark), 1 (flat) or others (samples)."""
-    return Frames(from_array_column(table(spark, sf_dir, "embeddings").where(condition), "vec_id", "embedding", 8, F.lit("emb")), 8, 8)
+def labelled(spark: SparkSession, sf_dir: str, condition: str, size: int = 5) -> Frames:
+    """Frames, as tiles, of labels 0 (dark), 1 (flat) or others (samples)."""
+    return tiles_from_array_column(table(spark, sf_dir, "embeddings").where(condition), "vec_id", "embedding", 8, 8, F.lit("emb"), size)
 
 
 def events(spark: SparkSession, sf_dir: str) -> Frames:
@@ -66,6 +66,8 @@ def r6(c) -> F.Column:
 
 
 def out(df: DataFrame) -> DataFrame:
+    """Pixels, also of tiles, with rounded values."""
+    df = to_pixels(df) if "pixels" in df.columns else df
     return df.select("frame_no", "y", "x", r6("value").alias("value"))
 
 
@@ -242,17 +244,17 @@ def q_reference_files(spark, sf_dir):
 
 @query(point("1.5 - 0.5 - v"))
 def q_invert(spark, sf_dir):
-    return out(pointwise(emb(spark, sf_dir).df, fn.invert(-0.5, 1.5)))
+    return out(pointwise(emb_tiles(spark, sf_dir).df, fn.invert(-0.5, 1.5)))
 
 
 @query(point("least(greatest(v, -0.1), 0.15)"))
 def q_clip(spark, sf_dir):
-    return out(pointwise(emb(spark, sf_dir).df, fn.clip(-0.1, 0.15)))
+    return out(pointwise(emb_tiles(spark, sf_dir).df, fn.clip(-0.1, 0.15)))
 
 
 @query(point("CASE WHEN v >= 0.05 THEN 1.0 ELSE 0.0 END"))
 def q_threshold(spark, sf_dir):
-    return out(to_pixels(pointwise(to_tiles(emb(spark, sf_dir).df, 4), fn.threshold(0.05))))
+    return out(pointwise(to_tiles(emb(spark, sf_dir).df, 4), fn.threshold(0.05)))
 
 
 CURVE = [[0.0, 0.0], [0.25, 0.2], [0.5, 0.6], [0.75, 0.7], [1.0, 1.0]]
@@ -273,13 +275,13 @@ SLIDERS = {"exposure": 0.5, "contrast": 25, "highlights": -40, "shadows": 20, "w
 
 @query(f"WITH {PX}, {_tone_sql('v + 0.3')} SELECT frame_no, y, x, round(t, 6) + 0.0 AS value FROM q")
 def q_tone_map(spark, sf_dir):
-    f = fn.Staged([lambda v: v + 0.3, *fn.tone_map(**SLIDERS, curve=CURVE).stages])
-    return out(pointwise(emb(spark, sf_dir).df, f))
+    f = fn.chain(fn.Stage(lambda v: v + F.lit(0.3), lambda a: a + 0.3), fn.tone_map(**SLIDERS, curve=CURVE))
+    return out(pointwise(emb_tiles(spark, sf_dir).df, f))
 
 
 @query(f"WITH {PX}, {_tone_sql('(v + 0.2) / 0.5')} SELECT frame_no, y, x, round(t * 0.5 - 0.2, 6) + 0.0 AS value FROM q")
 def q_tone(spark, sf_dir):
-    return out(pointwise(emb(spark, sf_dir).df, fn.tone(-0.2, 0.3, **SLIDERS, curve=CURVE)))
+    return out(pointwise(emb_tiles(spark, sf_dir).df, fn.tone(-0.2, 0.3, **SLIDERS, curve=CURVE)))
 
 
 @query(point("round_even(least(greatest((v + 0.2) / 0.4 * 255.0, 0), 255), 0)"))
@@ -289,17 +291,17 @@ def q_to_uint8(spark, sf_dir):
 
 @query(point("v", "y BETWEEN 2 AND 6 AND x BETWEEN 1 AND 3", "y - 2", "x - 1"))
 def q_crop(spark, sf_dir):
-    return out(geometry.crop(emb(spark, sf_dir), 2, 1, 5, 3).df)
+    return out(geometry.crop(emb_tiles(spark, sf_dir), 2, 1, 5, 3).df)
 
 
 @query(point("v", y="x", x="7 - y"))
 def q_rotate(spark, sf_dir):
-    return out(geometry.rotate(emb(spark, sf_dir), "90").df)
+    return out(geometry.rotate(emb_tiles(spark, sf_dir), "90").df)
 
 
 @query(point("v", x="7 - x"))
 def q_flip(spark, sf_dir):
-    return out(geometry.flip(emb(spark, sf_dir), "horizontal").df)
+    return out(geometry.flip(emb_tiles(spark, sf_dir), "horizontal").df)
 
 
 def _frames(spark, sf_dir) -> int:
@@ -341,7 +343,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat-field correction of the samples by averaged darks and flats."""
     dark = aggregates.average_frames(labelled(spark, sf_dir, "label = 0").df)
     flat = aggregates.average_frames(labelled(spark, sf_dir, "label = 1").df)
-    return out(joins.flat_field(labelled(spark, sf_dir, "label > 1").df, 64, dark, flat))
+    return out(joins.flat_field_tiles(labelled(spark, sf_dir, "label > 1"), dark, flat).df)
 
 
 @query(f"{REFS} SELECT frame_no, px.y, px.x, round(CASE WHEN f - d > 0 THEN (v - d) / (f - d) ELSE 0 END, 6) + 0.0 AS value FROM px JOIN d USING (y, x) JOIN f USING (y, x) WHERE label > 1")
@@ -426,20 +428,25 @@ def q_frame_comparison(spark, sf_dir):
 # --- aggregates ------------------------------------------------------------------------------------------------------
 
 
+def averaged(tiles: DataFrame) -> DataFrame:
+    """y, x, value of averaged tiles."""
+    one = tiles.select("*", F.lit("average").alias("dataset_id"), F.lit(0).cast("long").alias("frame_no"))
+    return to_pixels(one).select("y", "x", r6("value").alias("value"))
+
+
 @query(f"WITH {PX} SELECT y, x, round(avg(v), 6) + 0.0 AS value FROM px GROUP BY 1, 2")
 def q_average_frames_mean(spark, sf_dir):
-    return aggregates.average_frames(emb(spark, sf_dir).df).select("y", "x", r6("value").alias("value"))
+    return averaged(aggregates.average_frames(emb_tiles(spark, sf_dir).df))
 
 
 @query(f"WITH {PX} SELECT y, x, round(quantile_cont(v, 0.5), 6) + 0.0 AS value FROM px GROUP BY 1, 2")
 def q_average_frames_median(spark, sf_dir):
-    return aggregates.average_frames(emb(spark, sf_dir).df, "median").select("y", "x", r6("value").alias("value"))
+    return averaged(aggregates.average_frames(emb_tiles(spark, sf_dir).df, "median"))
 
 
 @query(f"WITH {PX} SELECT label AS reference, y, x, round(avg(v), 6) + 0.0 AS value FROM px WHERE label < 2 GROUP BY 1, 2, 3")
 def q_reference_average(spark, sf_dir):
-    both = [labelled(spark, sf_dir, f"label = {k}").df for k in (0, 1)]
-    made = [aggregates.average_frames(df).select(F.lit(k).alias("reference"), "y", "x", r6("value").alias("value")) for k, df in enumerate(both)]
+    made = [averaged(aggregates.average_frames(labelled(spark, sf_dir, f"label = {k}").df)).select(F.lit(k).alias("reference"), "*") for k in (0, 1)]
     return made[0].unionByName(made[1])
 
 
@@ -453,7 +460,7 @@ def q_concat_references(spark, sf_dir):
 
 @query(f"WITH {PX} SELECT min(v) AS low, max(v) AS high FROM px")
 def q_value_range(spark, sf_dir):
-    return aggregates.value_range(emb(spark, sf_dir).df)
+    return aggregates.value_range(emb_tiles(spark, sf_dir).df)
 
 
 @query(f"WITH {EV} SELECT frame_no, min(v) AS min, max(v) AS max, round(coalesce(quantile_cont(v, 0.001) FILTER (y % 4 = 0 AND x % 4 = 0), min(v)), 6) + 0.0 AS low, round(coalesce(quantile_cont(v, 0.999) FILTER (y % 4 = 0 AND x % 4 = 0), max(v)), 6) + 0.0 AS high FROM px GROUP BY 1")
@@ -463,7 +470,7 @@ def q_frame_stats(spark, sf_dir):
 
 @query(f"WITH {PX}, e AS (SELECT frame_no, min(v) AS lo, max(v) AS hi FROM px GROUP BY 1), c AS (SELECT frame_no, CAST(least(floor((v - lo) / (hi - lo) * 16), 15) AS INTEGER) AS bin, count(*) AS n FROM px JOIN e USING (frame_no) GROUP BY 1, 2) SELECT e.frame_no, CAST(b AS INTEGER) AS bin, coalesce(n, 0) AS n FROM e CROSS JOIN unnest(range(16)) t(b) LEFT JOIN c ON c.frame_no = e.frame_no AND c.bin = b")
 def q_histogram(spark, sf_dir):
-    return aggregates.histogram(emb(spark, sf_dir).df, 16).select("frame_no", "bin", "n")
+    return aggregates.histogram(emb_tiles(spark, sf_dir).df, 16).select("frame_no", "bin", "n")
 
 
 @query(f"WITH {EV}, a AS (SELECT frame_no, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM px GROUP BY 1, 2, 3) SELECT frame_no, CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, round(avg(v), 6) + 0.0 AS value FROM a GROUP BY 1, 2, 3")
@@ -532,22 +539,22 @@ def _around(r: int) -> str:
 
 @query(f"WITH {PX} SELECT frame_no, round(quantile_cont(v, 0.1), 6) + 0.0 AS p, y, x, round((w - quantile_cont(v, 0.1)) / (quantile_cont(v, 0.9) - quantile_cont(v, 0.1)), 6) + 0.0 AS value FROM (SELECT a.frame_no, a.y, a.x, a.v AS w, b.v FROM px a JOIN px b USING (frame_no)) GROUP BY frame_no, y, x, w".replace("round(quantile_cont(v, 0.1), 6) + 0.0 AS p, ", ""))
 def q_normalise(spark, sf_dir):
-    return out(aggregates.normalise(emb(spark, sf_dir).df, 10, 90))
+    return out(aggregates.normalise(emb_tiles(spark, sf_dir).df, 10, 90))
 
 
 @query(f"{_around(1)} SELECT frame_no, y, x, round(quantile_cont(v, 0.5), 6) + 0.0 AS value FROM n GROUP BY 1, 2, 3")
 def q_median_filter(spark, sf_dir):
-    return out(to_pixels(neighbourhood.median_filter(emb_tiles(spark, sf_dir), 3).df))
+    return out(neighbourhood.median_filter(emb_tiles(spark, sf_dir), 3).df)
 
 
 @query(f"{_around(4)} SELECT frame_no, y, x, round(sum(v * ({neighbourhood.gaussian_weights(1.0)!r}::DOUBLE[])[dy + 5] * ({neighbourhood.gaussian_weights(1.0)!r}::DOUBLE[])[dx + 5]), 6) + 0.0 AS value FROM n GROUP BY 1, 2, 3")
 def q_gaussian_filter(spark, sf_dir):
-    return out(to_pixels(neighbourhood.gaussian_filter(emb_tiles(spark, sf_dir), 1.0).df))
+    return out(neighbourhood.gaussian_filter(emb_tiles(spark, sf_dir), 1.0).df)
 
 
 @query(f"WITH {PX}, o AS (SELECT dy, dx, 2.0 - sqrt(4.0 - dy * dy - dx * dx) AS up FROM unnest(range(-2, 3)) a(dy), unnest(range(-2, 3)) b(dx) WHERE dy * dy + dx * dx <= 4) SELECT p.frame_no, p.y, p.x, round(any_value(p.v) - min(q.v + up), 6) + 0.0 AS value FROM px p CROSS JOIN o JOIN px q ON q.frame_no = p.frame_no AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY 1, 2, 3")
 def q_rolling_ball(spark, sf_dir):
-    return out(to_pixels(neighbourhood.rolling_ball(emb_tiles(spark, sf_dir), 2.0).df))
+    return out(neighbourhood.rolling_ball(emb_tiles(spark, sf_dir), 2.0).df)
 
 
 @query(f"WITH {PX}, a AS (SELECT i AS p, {MIRROR.format('i')} AS s, t FROM unnest(range(-1, 9)) u(i), unnest(range(2)) w(t) WHERE i BETWEEN t * 5 - 1 AND least(t * 5 + 5, 8)) SELECT frame_no, CAST(ay.t AS INTEGER) AS ty, CAST(ax.t AS INTEGER) AS tx, count(*) AS n, round(sum(v), 6) + 0.0 AS total FROM px JOIN a ay ON ay.s = y JOIN a ax ON ax.s = x GROUP BY 1, 2, 3")
@@ -632,7 +639,7 @@ def q_register_operation(spark, sf_dir):
 @query(point("least(greatest(1.0 - v, 0.9), 1.1)", "y BETWEEN 1 AND 6", "7 - x", "y - 1"))
 def q_frame_pipeline(spark, sf_dir):
     steps_ = [Step("invert", {"low": 0, "high": 1}), Step("crop", {"top": 1, "height": 6}), Step("median", {}, False), Step("rotate", {"angle": "270"}), Step("clip", {"low": 0.9, "high": 1.1})]
-    return out(Pipeline(steps_)(emb(spark, sf_dir)).df)
+    return out(Pipeline(steps_)(emb_tiles(spark, sf_dir)).df)
 
 
 RESOLVED = SQL["flat_field"].replace("CASE WHEN f - d > 0 THEN (v - d) / (f - d) ELSE 0 END", "1.0 - CASE WHEN f - d > 0 THEN (v - d) / (f - d) ELSE 0 END")
@@ -650,7 +657,7 @@ def q_pipeline_yaml(spark, sf_dir):
     text = Pipeline([Step("invert"), Step("flip", {}, False), Step("threshold", {"value": 65535.0})]).to_yaml()
     again = Pipeline.from_yaml(text)
     assert again.to_yaml() == text
-    return out(again(emb(spark, sf_dir)).df)
+    return out(again(emb_tiles(spark, sf_dir)).df)
 
 
 @query(f"WITH {PX}, k AS (SELECT frame_no // 2 AS frame_no, 7 - y AS y, x, v FROM px WHERE frame_no % 2 = 0), e AS (SELECT min(v) AS lo, (max(v) - min(v)) / 255.0::DOUBLE AS s FROM k) SELECT frame_no, CAST(y AS INTEGER) AS y, x, round_even(least(greatest((v - lo) / s, 0), 255), 0) + 0.0 AS value FROM k, e")
