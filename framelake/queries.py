@@ -110,21 +110,37 @@ def _plane_pixels(planes: DataFrame) -> DataFrame:
     return p.select("dataset_id", "frame_no", F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("i") % F.col("w")).cast("int").alias("x"), r6("value").alias("value"))
 
 
-@query(f"WITH {PX} SELECT 'v_' || (frame_no // 5) || '.vtk' AS dataset_id, frame_no % 5 AS frame_no, y, x, round(v, 6) + 0.0 AS value FROM px")
+def vtk_folder(spark, sf_dir) -> str:
+    """A folder of the shared store with those files."""
+    folder = scratch(spark)
+    vtk.write_files(volumes(spark, sf_dir), folder)
+    vtk.register(spark)
+    return folder
+
+
+@query(f"WITH {PX} SELECT 'v_' || (frame_no // 5) || '.vtk' AS dataset_id, frame_no % 5 AS frame_no, y, x, round(v, 6) + 0.0 AS value FROM px WHERE frame_no % 5 >= 1")
 def q_open_vtk(spark, sf_dir):
-    return _plane_pixels(vtk.planes_of(volumes(spark, sf_dir)))
+    planes = spark.read.format("vtk").load(vtk_folder(spark, sf_dir)).where("frame_no >= 1")
+    return _plane_pixels(planes.withColumn("dataset_id", F.element_at(F.split("dataset_id", "/"), -1)))
 
 
-@query("SELECT 'v_' || k || '.vtk' AS dataset_id, k AS rank, n AS depth, k * 0.5::DOUBLE AS time_s, 3.0::DOUBLE AS spacing_z FROM (SELECT vec_id // 5 AS k, count(*) AS n FROM embeddings GROUP BY 1)")
+@query(f"WITH {PX} SELECT 'eqx' AS dataset_id, 'time' AS axis, (SELECT max(vec_id) // 5 + 1 FROM embeddings) AS files, frame_no, (frame_no // 5) * 0.5::DOUBLE AS time_s, y, x, round(v, 6) + 0.0 AS value FROM px")
 def q_open_vtk_series(spark, sf_dir):
-    r = vtk.series_rank(vtk.catalog_of(volumes(spark, sf_dir)))
-    return r.select("dataset_id", "rank", F.col("shape")[0].alias("depth"), "time_s", F.col("spacing")[0].alias("spacing_z"))
+    folder = vtk_folder(spark, sf_dir)
+    catalog = vtk.describe(spark, vtk.matching_files(folder), series=True, dataset_id="eqx")
+    planes = spark.read.format("vtk").option("series", "true").option("dataset_id", "eqx").load(folder)
+    times = F.from_json(F.col("metadata")["time_s"], "array<double>")
+    said = catalog.select("dataset_id", F.col("axes")[0].alias("axis"), F.col("shape")[0].alias("files"), F.col("shape")[1].alias("depth"), times.alias("times"))
+    of = said.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.col("files") - 1))).withColumn("time_s", F.get("times", F.col("frame").cast("int")))
+    pixels = _plane_pixels(planes).join(F.broadcast(said.select("dataset_id", "depth")), "dataset_id").withColumn("frame", F.floor(F.col("frame_no") / F.col("depth")))
+    joined = pixels.join(of.select("dataset_id", "axis", "files", "frame", "time_s"), ["dataset_id", "frame"])
+    return joined.select("dataset_id", "axis", "files", "frame_no", "time_s", "y", "x", "value")
 
 
 @query(f"WITH {PX} SELECT frame_no, y, x, round(v, 6) + 0.0 AS value FROM px")
 def q_stack_volumes(spark, sf_dir):
     f = volumes(spark, sf_dir)
-    stacked = vtk.stack_volumes(vtk.planes_of(f), vtk.series_rank(vtk.catalog_of(f)), 5)
+    stacked = vtk.stack_volumes(vtk.planes_of(f), vtk.series_rank(vtk.catalog_of(f)))
     return _plane_pixels(stacked).select("frame_no", "y", "x", "value")
 
 

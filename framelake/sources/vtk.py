@@ -1,27 +1,36 @@
-"""Legacy VTK volumes (STRUCTURED_POINTS, big-endian): a Spark data source that reads planes of files in parallel, and a
-reader of file contents that Spark has loaded from any store."""
+"""Legacy VTK volumes (STRUCTURED_POINTS, big-endian): a Spark data source that reads planes by ranges of bytes from any store
+that pyarrow knows, alone or as a series on one grid, and a reader of file contents that Spark has loaded."""
 
 from __future__ import annotations
 
-import os
+import fnmatch
+import json
 import re
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from framelake.errors import FrameError
-from framelake.functions.scalars import natural_key, parse_time_title
+from framelake.functions.scalars import TIME_TITLE, natural_key, parse_time_title
 from framelake.operators.ordering import global_rank
 
 HEADER_BYTES = 4096
-#: VTK's type names (fixed values).
+#: VTK's type names (fixed values); the vtktype names follow from kind and bits.
 TYPES = {"unsigned_char": "uint8", "char": "int8", "unsigned_short": "uint16", "short": "int16", "unsigned_int": "uint32", "int": "int32", "unsigned_long": "uint64", "long": "int64", "float": "float32", "double": "float64"}
+SIZED_TYPES = {f"vtktype{t}": t for t in ("int8", "int16", "int32", "int64", "uint8", "uint16", "uint32", "uint64", "float32", "float64")}
+#: Lines that a header may have after its first three (fixed values).
+LINES = ("DATASET", "DIMENSIONS", "SPACING", "ASPECT_RATIO", "ORIGIN", "POINT_DATA", "SCALARS", "LOOKUP_TABLE")
 PLANES = "dataset_id string, frame_no long, h int, w int, pixels array<double>"
+#: Planes are sent on in batches of about so many bytes.
+BATCH_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -39,39 +48,71 @@ class Volume:
     def plane_bytes(self) -> int:
         return self.shape[1] * self.shape[2] * np.dtype(self.dtype).itemsize
 
+    @property
+    def grid(self) -> tuple:
+        """What the volumes of a series have in common."""
+        return self.shape, self.dtype, self.field, self.spacing, self.origin
+
+    @property
+    def time(self) -> float | None:
+        """Seconds, where the title tells them."""
+        found = re.match(TIME_TITLE, self.title)
+        return float(found[1]) if found else None
+
     def planes(self, raw: bytes, count: int) -> np.ndarray:
         return np.frombuffer(raw, np.dtype(self.dtype).newbyteorder(">")).reshape(count, -1).astype(np.float64)
 
 
 def parse_header(head: bytes, size: int, name: str) -> Volume:
-    """Header of a volume; refuses what is not binary structured points with one scalar field, and wrong file sizes."""
+    """Header of a volume; refuses what is not binary structured points with one scalar field, and wrong file sizes.
+
+    Spacing is 1 and origin 0 where no line says so; both, and the shape, are in the order z, y, x."""
     if not head.startswith(b"# vtk DataFile"):
         raise FrameError(f"{name} is not a legacy VTK file")
     found = re.search(rb"^LOOKUP_TABLE[^\n]*\n", head, re.M | re.I)
     if not found:
         raise FrameError(f"{name} has no LOOKUP_TABLE line in its first {HEADER_BYTES} bytes")
     lines = [x.strip() for x in head[: found.end()].decode("latin-1").split("\n")]
-    words = {}
-    for line in lines[2:]:
+    if lines[2].upper() != "BINARY":
+        raise FrameError(f"{name} is {lines[2] or 'not'} encoded: only BINARY files are read")
+    words: dict[str, list[str]] = {}
+    for line in lines[3:]:
         if line:
-            words.setdefault(line.split()[0].upper(), line.split()[1:])
-    if "BINARY" not in words:
-        raise FrameError(f"{name}: only BINARY files are read")
-    if words.get("DATASET") != ["STRUCTURED_POINTS"]:
-        raise FrameError(f"{name}: only STRUCTURED_POINTS are read")
-    scalars = words.get("SCALARS", [])
-    if len(scalars) < 2 or len(scalars) > 2 and scalars[2] != "1":
-        raise FrameError(f"{name}: one scalar field with one component is read, not {scalars}")
-    if scalars[1] not in TYPES:
-        raise FrameError(f"{name}: unknown type {scalars[1]}")
-    triple = lambda key, kind: tuple(kind(x) for x in reversed(words.get(key, words.get("ASPECT_RATIO", []) if key == "SPACING" else [])))
-    shape, spacing, origin = triple("DIMENSIONS", int), triple("SPACING", float), triple("ORIGIN", float)
-    if len(shape) != 3 or min(shape) < 1 or len(spacing) != 3 or len(origin) != 3:
-        raise FrameError(f"{name}: bad DIMENSIONS, SPACING or ORIGIN")
-    out = Volume(name, shape, TYPES[scalars[1]], scalars[0], lines[1], spacing, origin, found.end())
+            key, *rest = line.split()
+            words[key.upper()] = rest
+    kind = " ".join(words.get("DATASET", ["nothing"]))
+    if kind.upper() != "STRUCTURED_POINTS":
+        raise FrameError(f"{name} holds {kind}: only STRUCTURED_POINTS are read")
+    strange = [k for k in words if k not in LINES]
+    if strange:
+        raise FrameError(f"{name} has lines that are not read: {', '.join(sorted(strange))}")
+
+    def three(key: str, of: type, default: str | None) -> tuple:
+        said = words.get(key, default.split() if default else None)
+        try:
+            if said is None or len(said) != 3:
+                raise ValueError
+            return tuple(of(x) for x in reversed(said))
+        except ValueError as e:
+            raise FrameError(f"{name}: {key} has no three numbers") from e
+
+    shape = three("DIMENSIONS", int, None)
+    spacing, origin = three("SPACING" if "SPACING" in words else "ASPECT_RATIO", float, "1 1 1"), three("ORIGIN", float, "0 0 0")
+    field, kind, *components = [*words.get("SCALARS", []), "", ""][: max(2, len(words.get("SCALARS", [])))]
+    if not kind:
+        raise FrameError(f"{name} has no SCALARS line with a name and a type")
+    if components not in ([], ["1"]):
+        raise FrameError(f"{name}: field {field} has {components[0]} components; one is read")
+    dtype = TYPES.get(kind.lower(), SIZED_TYPES.get(kind.lower()))
+    if dtype is None:
+        raise FrameError(f"{name}: unknown type {kind}")
+    points = shape[0] * shape[1] * shape[2]
+    if min(shape) < 1 or words.get("POINT_DATA") != [str(points)]:
+        raise FrameError(f"{name}: POINT_DATA {' '.join(words.get('POINT_DATA', []))} doesn't fit DIMENSIONS of {points} points")
+    out = Volume(name, shape, dtype, field, lines[1], spacing, origin, found.end())
     left = size - out.data - shape[0] * out.plane_bytes
     if left < 0:
-        raise FrameError(f"{name} is truncated")
+        raise FrameError(f"{name} is truncated: {-left} bytes are missing")
     if left > 1:
         raise FrameError(f"{name} has {left} bytes after its field")
     return out
@@ -81,50 +122,215 @@ def write_volume(planes: np.ndarray, title: str, field: str = "field", spacing=(
     """A file of a (z, y, x) array; spacing and origin in x, y, z."""
     names = {v: k for k, v in TYPES.items()}
     nz, ny, nx = planes.shape
-    head = f"# vtk DataFile Version 3.0\n{title}\nBINARY\nDATASET STRUCTURED_POINTS\nDIMENSIONS {nx} {ny} {nz}\nORIGIN {' '.join(map(str, origin))}\nSPACING {' '.join(map(str, spacing))}\nPOINT_DATA {planes.size}\nSCALARS {field} {names[planes.dtype.name]} 1\nLOOKUP_TABLE default\n"
-    return head.encode() + planes.astype(planes.dtype.newbyteorder(">")).tobytes() + b"\n"
+    head = [
+        "# vtk DataFile Version 3.0", title, "BINARY", "DATASET STRUCTURED_POINTS", f"DIMENSIONS {nx} {ny} {nz}",
+        f"ORIGIN {' '.join(map(str, origin))}", f"SPACING {' '.join(map(str, spacing))}", f"POINT_DATA {planes.size}",
+        f"SCALARS {field} {names[planes.dtype.name]} 1", "LOOKUP_TABLE default", "",
+    ]
+    return "\n".join(head).encode() + planes.astype(planes.dtype.newbyteorder(">")).tobytes() + b"\n"
+
+
+# --- files of any store ----------------------------------------------------------------------------------------------
+
+
+def store_of(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:/", path):
+        return pa.fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+    return pa.fs.LocalFileSystem(), path
+
+
+def open_file(path: str) -> pa.NativeFile:
+    fs, inner = store_of(path)
+    try:
+        return fs.open_input_file(inner)
+    except FileNotFoundError as e:
+        raise FrameError(f"{path} does not exist") from e
+
+
+def natural_name(path: str) -> list:
+    """A key that sorts names with numbers in them by the numbers."""
+    parts = re.split(r"(\d+)", path.rstrip("/").rsplit("/", 1)[-1].lower())
+    return [int(p) if i % 2 else p for i, p in enumerate(parts)]
+
+
+def matching_files(folder: str, pattern: str = "*.vtk") -> list[str]:
+    """Files directly in a folder that match a pattern, in natural order; none is an error."""
+    fs, inner = store_of(folder)
+    head = folder.rstrip("/")
+    names = [i.base_name for i in fs.get_file_info(pa.fs.FileSelector(inner)) if i.type == pa.fs.FileType.File]
+    found = sorted((f"{head}/{n}" for n in names if fnmatch.fnmatchcase(n, pattern)), key=natural_name)
+    if not found:
+        raise FrameError(f"no file in {folder} matches {pattern}")
+    return found
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write files (path: a name, content) to a folder of a store that all executors see, each by the task that has it."""
+
+    def task(batches):
+        fs, inner = store_of(folder)
+        fs.create_dir(inner, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with fs.open_output_stream(f"{inner}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_pydict({"path": batch.column(0)})
+
+    files.select("path", "content").mapInArrow(task, "path string").write.format("noop").mode("overwrite").save()
+
+
+def read_header(path: str) -> Volume:
+    with open_file(path) as f:
+        return parse_header(f.read_at(HEADER_BYTES, 0), f.size(), path.rsplit("/", 1)[-1])
+
+
+def read_headers(paths: Sequence[str]) -> list[Volume]:
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(read_header, paths))
+
+
+def check_series(volumes: Sequence[Volume]) -> None:
+    """All volumes of a series are on one grid; the first that isn't is named."""
+    for v in volumes:
+        if v.grid != volumes[0].grid:
+            what = [n for n, a, b in zip(("shape", "type", "field", "spacing", "origin"), v.grid, volumes[0].grid, strict=True) if a != b]
+            raise FrameError(f"{v.name} is not on the same grid as {volumes[0].name}: {', '.join(what)} differ")
+
+
+def describe(spark: SparkSession, paths: Sequence[str], series: bool = False, dataset_id: str = "series") -> DataFrame:
+    """The catalog rows (dataset_id, path, axes, shape, dtype, metadata, warnings) of volumes, or the one of a series of them.
+
+    Only headers are read, on the driver, as when Spark lists files. Metadata are JSON by name: scalar_name, spacing, origin,
+    and vtk_title, time_s (where a title tells it) or vtk_titles, source_files, time_s (where all do)."""
+    if not paths:
+        raise FrameError("no VTK files to open")
+    volumes = read_headers(paths)
+    common = lambda v: {"scalar_name": v.field, "spacing": v.spacing, "origin": v.origin}
+    rows = []
+    if series:
+        check_series(volumes)
+        times, first = [v.time for v in volumes], volumes[0]
+        told = None not in times
+        said = common(first) | {"vtk_titles": [v.title for v in volumes], "source_files": [v.name for v in volumes]} | ({"time_s": times} if told else {})
+        late = told and any(b <= a for a, b in zip(times, times[1:], strict=False))
+        warnings = [f"times {times} do not increase in the order of the files"] if late else []
+        rows.append((dataset_id, ",".join(paths), ["time" if told else "frame", "z", "y", "x"], [len(volumes), *first.shape], first.dtype, said, warnings))
+    else:
+        for path, v in zip(paths, volumes, strict=True):
+            said = common(v) | {"vtk_title": v.title} | ({} if v.time is None else {"time_s": v.time})
+            rows.append((path, path, ["z", "y", "x"], list(v.shape), v.dtype, said, []))
+    made = [(*r[:5], {k: json.dumps(x) for k, x in r[5].items()}, r[6]) for r in rows]
+    return spark.createDataFrame(made, "dataset_id string, path string, axes array<string>, shape array<long>, dtype string, metadata map<string,string>, warnings array<string>")
+
+
+# --- the data source -------------------------------------------------------------------------------------------------
 
 
 @dataclass
 class _Range(InputPartition):
+    """Planes first to first + count - 1 of a file, which have frame numbers from `number`."""
+
     path: str
+    dataset_id: str
     first: int
     count: int
+    number: int
+    volume: Volume
 
-    def __init__(self, path: str, first: int, count: int):
-        self.path, self.first, self.count, self.value = path, first, count, (path, first, count)
+    def __init__(self, *given):
+        self.path, self.dataset_id, self.first, self.count, self.number, self.volume = given
+        self.value = given
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.paths = sorted(p for p in options.get("paths", options.get("path", "")).split(",") if p)
+        given = options.get("paths")
+        path = options.get("path")
+        if given:
+            self.paths = [p for p in given.split(",") if p]
+        elif path and path.lower().endswith(".vtk"):
+            self.paths = [path]
+        else:
+            self.paths = matching_files(path or "", options.get("pattern", "*.vtk"))
+        self.series = str(options.get("series", "false")).lower() == "true"
+        self.name = options.get("dataset_id", "series")
         self.bytes = int(options.get("partition_bytes", 64 << 20))
+        self.low, self.high, self.only = 0, None, None
+
+    def pushFilters(self, filters):
+        """Bounds on frame_no choose planes before any is read."""
+        for f in filters:
+            value = getattr(f, "value", None)
+            column = getattr(f, "attribute", None) == ("frame_no",)
+            if column and isinstance(f, In) and all(isinstance(v, int) for v in value):
+                self._keep(set(value))
+            elif not column or not isinstance(value, int):
+                yield f
+            elif isinstance(f, EqualTo):
+                self._keep({value})
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, value + isinstance(f, GreaterThan))
+            elif isinstance(f, (LessThan, LessThanOrEqual)):
+                most = value - isinstance(f, LessThan)
+                self.high = most if self.high is None else min(self.high, most)
+            else:
+                yield f
+
+    def _keep(self, numbers: set[int]) -> None:
+        self.only = numbers if self.only is None else self.only & numbers
 
     def partitions(self):
-        out = []
-        for path in self.paths:
-            v = _open(path)
-            step = max(1, self.bytes // max(v.plane_bytes, 1))
-            out += [_Range(path, z, min(step, v.shape[0] - z)) for z in range(0, v.shape[0], step)]
+        volumes, out = read_headers(self.paths), []
+        if self.series:
+            check_series(volumes)
+        for i, (path, v) in enumerate(zip(self.paths, volumes, strict=True)):
+            before = i * v.shape[0] if self.series else 0
+            for first, count in self._runs(before, v.shape[0], max(1, self.bytes // max(v.plane_bytes, 1))):
+                out.append(_Range(path, self.name if self.series else path, first, count, before + first, v))
         return out
 
+    def _runs(self, before: int, depth: int, most: int) -> Iterator[tuple[int, int]]:
+        """Runs (first plane, count) of the wanted planes of a volume, each of `most` at most."""
+        low = max(0, self.low - before)
+        high = depth if self.high is None else min(depth, self.high + 1 - before)
+        wanted = range(low, high) if self.only is None else sorted(z - before for z in self.only if low <= z - before < high)
+        start = None
+        for i, z in enumerate(wanted):
+            if start is None:
+                start = z
+            last = i + 1 == len(wanted)
+            if last or wanted[i + 1] != z + 1 or z + 1 - start == most:
+                yield start, z + 1 - start
+                start = None
+
     def read(self, part):
-        v = _open(part.path)
-        with open(part.path, "rb") as f:
-            f.seek(v.data + part.first * v.plane_bytes)
-            for i in range(part.count):
-                yield (part.path, part.first + i, v.shape[1], v.shape[2], v.planes(f.read(v.plane_bytes), 1)[0].tolist())
+        if part is None:  # no plane is wanted
+            return
+        v = part.volume
+        step = max(1, BATCH_BYTES // max(v.plane_bytes, 1))
+        with open_file(part.path) as f:
+            for z in range(0, part.count, step):
+                n = min(step, part.count - z)
+                raw = f.read_at(n * v.plane_bytes, v.data + (part.first + z) * v.plane_bytes)
+                yield plane_batch(part.dataset_id, part.number + z, v, v.planes(raw, n))
 
 
-def _open(path: str) -> Volume:
-    with open(path, "rb") as f:
-        return parse_header(f.read(HEADER_BYTES), os.path.getsize(path), os.path.basename(path))
+def plane_batch(dataset_id: str, first: int, v: Volume, planes: np.ndarray) -> pa.RecordBatch:
+    """Rows of planes in an Arrow batch, without a Python value for each pixel."""
+    n, size = planes.shape
+    pixels = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(planes.reshape(-1)))
+    columns = [pa.array([dataset_id] * n), pa.array(np.arange(first, first + n)), *[pa.array([k] * n, pa.int32()) for k in v.shape[1:]], pixels]
+    return pa.RecordBatch.from_arrays(columns, names=["dataset_id", "frame_no", "h", "w", "pixels"])
 
 
 class VtkSource(DataSource):
-    """spark.read.format("vtk").load(path) or .option("paths", "a,b"): a row for each z plane, read by byte ranges.
+    """spark.read.format("vtk").load(path): a row for each z plane, read by ranges of bytes.
 
-    Paths are files that every executor sees (a mounted store); for others load contents by binaryFile and `planes_of`."""
+    path is a file, or a folder whose files match the option pattern (*.vtk), in natural order; the option paths ("a,b") names
+    files in an order of its own. With the option series, files must be on one grid, which is checked when the read is
+    planned, and are one dataset (dataset_id): frame_no runs over (file, z). Paths are in any store that pyarrow reads and
+    that every executor sees; for others load contents by binaryFile and `planes_of`. Conditions on frame_no are pushed down."""
 
     @classmethod
     def name(cls):
@@ -138,19 +344,23 @@ class VtkSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to a session, and let it push conditions down."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(VtkSource)
 
 
+# --- contents that Spark has loaded ----------------------------------------------------------------------------------
+
+
 def _planes_task(batches):
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             v = parse_header(content[:HEADER_BYTES], len(content), path)
-            step = max(1, (16 << 20) // max(v.plane_bytes, 1))
+            step = max(1, BATCH_BYTES // max(v.plane_bytes, 1))
             for z in range(0, v.shape[0], step):
                 n = min(step, v.shape[0] - z)
                 a = v.data + z * v.plane_bytes
-                rows = v.planes(content[a : a + n * v.plane_bytes], n)
-                yield pa.RecordBatch.from_pydict({"dataset_id": [path] * n, "frame_no": pa.array(range(z, z + n), pa.int64()), "h": pa.array([v.shape[1]] * n, pa.int32()), "w": pa.array([v.shape[2]] * n, pa.int32()), "pixels": pa.array(list(rows), pa.list_(pa.float64()))})
+                yield plane_batch(path, z, v, v.planes(content[a : a + n * v.plane_bytes], n))
 
 
 def planes_of(files: DataFrame) -> DataFrame:
@@ -163,8 +373,12 @@ CATALOG = "dataset_id string, shape array<long>, dtype string, field string, tit
 
 def _catalog_task(batches):
     for batch in batches:
-        rows = [parse_header(c[:HEADER_BYTES], len(c), p) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_pydict({"dataset_id": [v.name for v in rows], "shape": pa.array([list(v.shape) for v in rows], pa.list_(pa.int64())), "dtype": [v.dtype for v in rows], "field": [v.field for v in rows], "title": [v.title for v in rows], "spacing": pa.array([list(v.spacing) for v in rows], pa.list_(pa.float64())), "origin": pa.array([list(v.origin) for v in rows], pa.list_(pa.float64()))})
+        given = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        rows = [parse_header(c[:HEADER_BYTES], len(c), p) for p, c in given]
+        lists = [("shape", pa.int64()), ("spacing", pa.float64()), ("origin", pa.float64())]
+        columns = {"dataset_id": [v.name for v in rows], "shape": None} | {k: [getattr(v, k) for v in rows] for k in ("dtype", "field", "title")}
+        columns |= {k: pa.array([list(getattr(v, k)) for v in rows], pa.list_(t)) for k, t in lists}
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def catalog_of(files: DataFrame) -> DataFrame:
@@ -177,10 +391,23 @@ def series_rank(catalog: DataFrame) -> DataFrame:
     return global_rank(catalog, natural_key(F.col("dataset_id")), "dataset_id")
 
 
-def stack_volumes(planes: DataFrame, ranked: DataFrame, depth: int) -> DataFrame:
-    """Planes of several volumes as one stack: frame_no runs over (volume, z)."""
-    r = ranked.select(F.col("dataset_id"), "rank")
-    return planes.join(F.broadcast(r) if r.limit(100_001).count() <= 100_000 else r, "dataset_id").withColumn("frame_no", F.col("rank") * depth + F.col("frame_no")).drop("rank")
+def stack_volumes(planes: DataFrame, ranked: DataFrame, depth: int | None = None) -> DataFrame:
+    """Planes of several volumes as one stack: frame_no runs over (volume, z).
+
+    ranked: the volumes' catalog with their rank. Volumes that aren't on one grid (shape, dtype, field, spacing, origin), or
+    not of the depth, are refused by name."""
+    grid = F.to_json(F.struct("shape", "dtype", "field", "spacing", "origin"))
+    first = ranked.agg(F.min_by(F.struct("dataset_id", grid.alias("grid"), F.col("shape")[0].alias("depth")), "rank").alias("f")).first()["f"]
+    if first is None:
+        raise FrameError("there are no volumes to stack")
+    odd = ranked.where(grid != first["grid"]).orderBy("rank").select("dataset_id").limit(1).collect()
+    if odd:
+        raise FrameError(f"{odd[0][0]} is not on the same grid as {first['dataset_id']}")
+    if depth is not None and depth != first["depth"]:
+        raise FrameError(f"volumes have {first['depth']} planes, not {depth}")
+    r = ranked.select("dataset_id", "rank")
+    moved = planes.join(F.broadcast(r) if r.limit(100_001).count() <= 100_000 else r, "dataset_id")
+    return moved.withColumn("frame_no", F.col("rank") * first["depth"] + F.col("frame_no")).drop("rank")
 
 
 def union_frames(parts: list[DataFrame]) -> DataFrame:

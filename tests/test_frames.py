@@ -188,6 +188,9 @@ def test_vtk(spark, tmp_path):
     df = spark.read.format("vtk").option("paths", ",".join(str(tmp_path / f"v_{i}.vtk") for i in (1, 2, 10))).option("partition_bytes", "80").load()
     got = {(r.dataset_id[-8:], r.frame_no): r.pixels for r in df.collect()}
     assert len(got) == 9 and df.rdd.getNumPartitions() == 9
+    some = df.where("frame_no > 0 and frame_no <= 1 and h = 4")
+    assert some.rdd.getNumPartitions() == 3 and {(r.frame_no, r.w) for r in some.collect()} == {(1, 5)}
+    assert sorted(r.frame_no for r in df.where(F.col("frame_no").isin(0, 2, 7)).collect()) == [0, 0, 0, 2, 2, 2] and df.where("frame_no = 9").count() == 0
     assert np.allclose(got["v_10.vtk", 2], (v + 10)[2].ravel())
     contents = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
     ranked = vtk.series_rank(vtk.catalog_of(contents)).orderBy("rank").collect()
