@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 from functools import reduce
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -23,16 +24,28 @@ TILE = 512
 class Frames:
     """A stack of equal frames: its pixel (or tile) table and the frame size, which steps compute and never count.
 
-    tile is the tile size of a tile table whose tiles are whole and lie on the grid of that size."""
+    tile is the tile size of a tile table whose tiles are whole and lie on the grid of that size. counts are the lengths of
+    the frame axes, where they are known; dtype is the pixel type of the source, metadata and warnings go with the stack."""
 
     df: DataFrame
     height: int
     width: int
     channels: int = 1
     tile: int | None = None
-
-    def with_(self, df: DataFrame, **size: int) -> Frames:
-        return replace(self, df=df, **size)
+    axes: tuple[str, ...] = ("frame", "y", "x")
+    counts: tuple[int, ...] | None = None
+    dtype: str = "float64"
+    metadata: Mapping[str, Any] = field(default_factory=dict)
+    warnings: tuple[str, ...] = ()
+
+    def with_(self, df: DataFrame, **changed: Any) -> Frames:
+        return replace(self, df=df, **changed)
+
+    @property
+    def shape(self) -> tuple[int, ...] | None:
+        """Lengths of all axes; None where those of the frame axes aren't known."""
+        tail = (self.height, self.width, self.channels) if self.axes[-1] == "channel" else (self.height, self.width)
+        return None if self.counts is None else (*self.counts, *tail)
 
 
 def check_axes(axes: Sequence[str]) -> tuple[str, ...]:

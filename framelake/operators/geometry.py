@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.errors import FrameError
 from framelake.frames import Frames
+from framelake.operators.ordering import bounded
 from framelake.operators.tiling import Placement, is_tiled, retile
 from framelake.tiles import Tile, map_tiles
 
@@ -92,22 +94,65 @@ def slice_frames(df: DataFrame, n: int, start: int | None = None, stop: int | No
     return df.where(keep).withColumn("frame_no", F.floor((F.col("frame_no") - a) / s).cast("long"))
 
 
-def list_frames(df: DataFrame, n: int, chosen: Sequence[int] | Sequence[bool]) -> DataFrame:
-    """Frames of a list (order and repeats kept, negatives from the end) or of a mask, renumbered in the order given."""
+def chosen_numbers(n: int, chosen: Sequence[int] | Sequence[bool]) -> list[int]:
+    """Numbers of a list (negatives from the end) or of a mask."""
     if chosen and all(isinstance(c, bool) for c in chosen):
         if len(chosen) != n:
             raise FrameError(f"a mask of {len(chosen)} for {n} frames")
-        chosen = [i for i, c in enumerate(chosen) if c]
+        return [i for i, c in enumerate(chosen) if c]
     numbers = [c + n if c < 0 else c for c in chosen]
     if any(not 0 <= c < n for c in numbers):
         raise FrameError(f"frame numbers outside of 0 to {n - 1}")
-    places: dict[int, list[int]] = {}
-    for i, c in enumerate(numbers):
-        places.setdefault(c, []).append(i)
-    if not places:
-        return df.where(F.lit(False))
-    at = F.create_map(*[F.lit(x) if isinstance(x, int) else F.array(*[F.lit(i).cast("long") for i in x]) for pair in places.items() for x in pair])
-    return df.where(F.col("frame_no").isin(list(places))).withColumn("frame_no", F.explode(F.element_at(at, F.col("frame_no").cast("int"))))
+    return numbers
+
+
+def selection(spark: SparkSession, numbers: Sequence[int]) -> DataFrame:
+    """The table (number, place) of a list of numbers."""
+    return spark.createDataFrame(list(zip(numbers, range(len(numbers)), strict=True)), "number long, place long")
+
+
+def select_by_table(df: DataFrame, chosen: DataFrame, inner: int = 1) -> DataFrame:
+    """Frames by a selection table (number, place): each goes to every place that its number has. Numbers count along the first
+    frame axis, `inner` frames each. The table is broadcast up to a counted number of rows, else joined by number."""
+    first = F.floor(F.col("frame_no") / inner).cast("long")
+    met = df.withColumn("_number", first).join(bounded(chosen.select(F.col("number").alias("_number"), F.col("place").alias("_place"))), "_number")
+    return met.withColumn("frame_no", (F.col("_place") * inner + F.col("frame_no") % inner).cast("long")).select(df.columns)
+
+
+def list_frames(df: DataFrame, n: int, chosen: Sequence[int] | Sequence[bool]) -> DataFrame:
+    """Frames of a list (order and repeats kept, negatives from the end) or of a mask, renumbered in the order given."""
+    numbers = chosen_numbers(n, chosen)
+    return select_by_table(df, selection(df.sparkSession, numbers)) if numbers else df.where(F.lit(False))
+
+
+def select_first(frames: Frames, key: int | slice | Sequence[int] | Sequence[bool]) -> Frames:
+    """The part of a stack at a key along its first frame axis: an int (the axis goes), a slice, a list or a mask.
+
+    A slice is a predicate on frame_no that reaches the scan, a list a join with a selection table."""
+    if not frames.counts:
+        raise FrameError("the stack has no frame axis of known length to select from")
+    n, *rest = frames.counts
+    inner = math.prod(rest)
+    within = F.col("frame_no") % inner
+    if isinstance(key, int):
+        number = key + n if key < 0 else key
+        if not 0 <= number < n:
+            raise FrameError(f"frame {key} is outside of 0 to {n - 1}")
+        df = frames.df.where(F.col("frame_no").between(number * inner, (number + 1) * inner - 1)).withColumn("frame_no", within)
+        return frames.with_(df, axes=frames.axes[1:], counts=tuple(rest))
+    if isinstance(key, slice):
+        taken = range(*key.indices(n))
+        df = frames.df.where(F.lit(False))
+        if len(taken):
+            low, high, step = min(taken), max(taken), abs(taken.step)
+            first = F.floor(F.col("frame_no") / inner)
+            df = frames.df.where(F.col("frame_no").between(low * inner, (high + 1) * inner - 1))
+            df = df.where((first - low) % step == 0) if step > 1 else df
+            df = df.withColumn("frame_no", (F.floor((first - taken.start) / taken.step) * inner + within).cast("long"))
+        return frames.with_(df, counts=(len(taken), *rest))
+    numbers = chosen_numbers(n, key)
+    df = select_by_table(frames.df, selection(frames.df.sparkSession, numbers), inner) if numbers else frames.df.where(F.lit(False))
+    return frames.with_(df, counts=(len(numbers), *rest))
 
 
 def one_frame(df: DataFrame, n: int, number: int) -> DataFrame:

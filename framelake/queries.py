@@ -532,9 +532,15 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
-@query(point("v"))
+@query(f"WITH {PX} SELECT 'time' AS axis, 'float32' AS dtype, 25.0::DOUBLE AS energy, (SELECT count(*) FROM embeddings) AS frames, frame_no, y, x, round(v, 6) + 0.0 AS value FROM px")
 def q_write_frames(spark, sf_dir):
-    return out(writers.write_frames(emb(spark, sf_dir), scratch(spark), _frames(spark, sf_dir)))
+    stack = emb_tiles(spark, sf_dir)
+    told = stack.with_(stack.df, axes=("time", "y", "x"), counts=(_frames(spark, sf_dir),), dtype="float32", metadata={"energy_kev": 25.0})
+    path = scratch(spark)
+    writers.write_frames(told, path)
+    back = writers.read_frames(spark, path)
+    said = [F.lit(back.axes[0]).alias("axis"), F.lit(back.dtype).alias("dtype"), F.lit(back.metadata["energy_kev"]).alias("energy")]
+    return out(back.df).select(*said, F.lit(back.counts[0]).cast("long").alias("frames"), "frame_no", "y", "x", "value")
 
 
 @query("SELECT 'r1' AS run_id, 'embeddings' AS source, count(*) AS frames FROM embeddings")
@@ -679,8 +685,8 @@ def q_pipeline_yaml(spark, sf_dir):
 @query(f"WITH {PX}, k AS (SELECT frame_no // 2 AS frame_no, 7 - y AS y, x, v FROM px WHERE frame_no % 2 = 0), e AS (SELECT min(v) AS lo, (max(v) - min(v)) / 255.0::DOUBLE AS s FROM k) SELECT frame_no, CAST(y AS INTEGER) AS y, x, round_even(least(greatest((v - lo) / s, 0), 255), 0) + 0.0 AS value FROM k, e")
 def q_run_pipeline(spark, sf_dir):
     p = Pipeline([Step("flip", {"direction": "vertical"})])
-    stored = run_pipeline(emb(spark, sf_dir), p, scratch(spark), "r1", "embeddings", _frames(spark, sf_dir), (None, None, 2), "uint8")
-    return stored.select("frame_no", "y", "x", (F.col("value") + 0.0).alias("value"))
+    stored = run_pipeline(emb_tiles(spark, sf_dir), p, scratch(spark), "r1", "embeddings", _frames(spark, sf_dir), (None, None, 2), "uint8")
+    return to_pixels(stored).select("frame_no", "y", "x", (F.col("value") + 0.0).alias("value"))
 
 
 @query(f"WITH {STEPS} SELECT name, CASE WHEN k % 10 = 0 THEN 'notes' ELSE 'projections' END AS role, CASE WHEN k % 10 <> 0 THEN CAST(k % 40 AS INTEGER) END AS step FROM t WHERE k % 10 = 0 OR k % 40 IN (5, 15, 21)")
