@@ -1,6 +1,6 @@
 """Line dedup in column expressions only: a segment-partition edit join over all different lines.
 
-The whole job (`whole`, that of the query) takes exact repeats of lines of any length but empty ones, and links lines of
+The whole job (`whole`, the default) takes exact repeats of lines of any length but empty ones, and links lines of
 MIN_CHARS characters or more by `max_edits` edits. Without `whole`, shorter lines stay and lines are linked by one edit for
 each 20 characters of the shorter one, `max_edits` at most.
 
@@ -182,10 +182,12 @@ def _finer(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.xxhash64(n, "lo1", "hi1", "lo2", "hi2", *clean)).drop("line")
 
 
-def _bucket_pairs(rows: DataFrame) -> DataFrame:
-    """x < y of every indexed line and every other line of a bucket. rows: key, y, own, s (signature)."""
+def _bucket_pairs(rows: DataFrame, max_edits: int) -> DataFrame:
+    """x < y of every indexed line and every other line of a bucket, but those whose signatures show more than max_edits edits.
+
+    rows: key, y, own, s (signature)."""
     index = rows.where("own").select("key", F.col("y").alias("x"), F.col("s").alias("sx"))
-    alike = F.bit_count(F.col("sx").bitwiseXOR(F.col("s"))) <= 4
+    alike = F.bit_count(F.col("sx").bitwiseXOR(F.col("s"))) <= 2 * max_edits
     return rows.join(index, "key").where("x <> y").where(alike).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
@@ -201,7 +203,7 @@ def _refined_pairs(hot: DataFrame, texts: DataFrame, max_edits: int, least: int
         rows = rows.join(size, "key")
         pairs.append(rows.where("last and m > {0} and y <> lead".format(BUCKET)).select(F.least("lead", "y").alias("x"), F.greatest("lead", "y").alias("y")))
         few = rows.where(f"m <= {BUCKET}").select("key", "y", "own").join(lines.select("y", "s"), "y")
-        pairs.append(_bucket_pairs(few))
+        pairs.append(_bucket_pairs(few, max_edits))
         rows = graph.cut(rows.where(f"m > {BUCKET} and not last").drop("m", "all", "lead", "last"))
         if not rows.limit(1).count():
             return pairs
@@ -243,7 +245,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int, least: int |
     wide = graph.cut(several.where("own").groupBy("key").agg(F.count("*").alias("m")).where(f"m > {BUCKET if max_edits <= 2 else 1 << 60}").select("key"))
     hot = several.join(graph.small(wide), "key", "left_semi")
     few = several.join(graph.small(wide), "key", "left_anti")
-    found = [single, _bucket_pairs(few.join(texts.select(F.col("a").alias("y"), "s"), "y"))]
+    found = [single, _bucket_pairs(few.join(texts.select(F.col("a").alias("y"), "s"), "y"), max_edits)]
     if wide.limit(1).count():
         found += _refined_pairs(hot, texts, max_edits, least)
     pairs = found[0]
@@ -257,13 +259,13 @@ def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int, least: int |
     return graph.components(both.where(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
-def kept_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
+def kept_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS, whole: bool = True) -> DataFrame:
     """doc_id, pos, kept, exact, near of every line.
 
-    Lines of at least `min_chars` characters that are equal or linked by edit distances of at most `max_edits` (and one for
-    each 20 characters) are a class; its first line (least doc_id, then position) is kept, the others go as exact copies of
-    a line before them or as near ones. Shorter lines stay. With `whole`, `max_edits` holds for all lines of at least
-    `min_chars` characters, and shorter lines go as exact copies; only empty lines stay always. docs: doc_id (integer), text,
+    Lines of at least `min_chars` characters that are equal or linked by edit distances of at most `max_edits` are a class;
+    its first line (least doc_id, then position) is kept, the others go as exact copies of a line before them or as near
+    ones. Shorter lines go as exact copies; only empty lines stay always. Without `whole`, shorter lines stay, and no more
+    than one edit for each 20 characters links. docs: doc_id (integer), text,
     others ignored. Rows of one doc_id are one document, so a repeated row adds no lines; rows of null doc_id or text have no
     lines; an empty text has one empty line; texts and lines may be of any length; an empty table gives no rows.
     """
@@ -296,7 +298,7 @@ def line_digest(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS,
     return rest.join(by_doc, "doc_id", "left").select("doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_exact", zero).alias("n_exact"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("kept_sha256", F.sha2(F.lit(""), 256)).alias("kept_sha256"))
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS, whole: bool = True) -> DataFrame:
     """docs (all columns) with the lines that go taken out of the texts. Odd rows as in `kept_lines`; other columns may have any names."""
     at, gone = graph.unused(docs, "_id"), graph.unused(docs, "_gone")
     lost = kept_lines(docs, max_edits, min_chars, whole).where("not kept").groupBy(F.col("doc_id").alias(at)).agg(F.collect_set("pos").alias(gone))

@@ -133,9 +133,9 @@ def test_line_dedup_is_exact(spark, edits):
         first.setdefault(s, at)
         lead.setdefault(root(s), at)
         want[at] = (lead[root(s)] == at, first[s] != at)
-    got = lines.kept_lines(docs(spark, rows), edits).select("doc_id", "pos", "kept", "exact").distinct().collect()
+    got = lines.kept_lines(docs(spark, rows), edits, whole=False).select("doc_id", "pos", "kept", "exact").distinct().collect()
     assert {(r[0], r[1]): (r[2], r[3]) for r in got} == want
-    clean = {r.doc_id: r.text for r in lines.dedup_lines(docs(spark, rows), edits).where("doc_id is not null").collect()}
+    clean = {r.doc_id: r.text for r in lines.dedup_lines(docs(spark, rows), edits, whole=False).where("doc_id is not null").collect()}
     for i, t in rows:
         if i is not None:
             assert clean[i] == (None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if want[i, p][0]))
@@ -153,12 +153,21 @@ def test_banded_distance(spark):
         assert all(r.near == (distance(r.a, r.b) <= min(edits, min(len(r.a), len(r.b)) // 20)) for r in got)
 
 
-@pytest.mark.parametrize("edits", [1, 2])
+def test_lines_three_substitutions_apart(spark):
+    """Six bits of their signatures differ."""
+    a = "the quick brown fox jumps over it"
+    b = a.replace("quick", "quack").replace("fox", "fux").replace("over", "ovir")
+    for edits, kept in ((2, 2), (3, 1)):
+        got = lines.kept_lines(docs(spark, [(1, a), (2, b), (3, "buy now\nbuy now")]), edits)
+        assert got.where("kept and doc_id < 3").count() == kept and got.where("kept and doc_id = 3").count() == 1
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3, 4])
 def test_whole_line_dedup(spark, edits):
     """Exact repeats of short lines go, and all edits hold from 20 characters; by brute force."""
     rng = random.Random(20 + edits)
     base = ["".join(rng.choice("abcdeé ") for _ in range(rng.choice((20, 21, 25, 39, 60)))) for _ in range(8)]
-    rows = [(i, "\n".join(rng.choice((edited(rng, rng.choice(base), rng.choice((0, 0, 1, 2, 3))), "}", "ok", "")) for _ in range(rng.randrange(1, 8)))) for i in range(25)]
+    rows = [(i, "\n".join(rng.choice((edited(rng, rng.choice(base), rng.choice((0, 0, 1, 2, 3, edits + 1))), "}", "ok", "")) for _ in range(rng.randrange(1, 8)))) for i in range(25)]
     rows += [(30, None), (31, ""), (32, "short\nshort"), rows[2], (None, rows[0][1])]
     seen = {(i, p): line for i, t in rows if i is not None and t is not None for p, line in enumerate(t.split("\n"))}
     different = sorted({s for s in seen.values() if s})
