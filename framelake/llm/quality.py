@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm import graph
+
 #: Labelled rows that are fitted on, at most about so many (drawn by hash, whatever the number of labels).
 SAMPLE_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -194,7 +196,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs (all columns) whose score is at least the threshold."""
-    name = "_score"
-    while name in docs.columns:
-        name += "_"
+    name = graph.unused(docs, "_score")
     return with_score(docs, learn(docs, labels), name).where(F.col(name) >= threshold).select(docs.columns)
