@@ -152,6 +152,10 @@ def _task(windows: Windows, keep_text: bool):
     return task
 
 
+#: Stands for a null item_id inside the search; no item has the least of all ids.
+NO_ITEM = -(1 << 63)
+
+
 def merged(spans: list[dict]) -> list[dict]:
     """Spans in order; those that meet or touch become one."""
     out: list[dict] = []
@@ -173,9 +177,9 @@ def _pieces(benchmark: DataFrame, width: int, words: int = PIECE_WORDS) -> DataF
 
 
 def _blocks(pieces: DataFrame, width: int, block_chars: int):
-    """Windows of one block after the other. A block has about `block_chars` characters: blocks are dealt by hash, and pieces
-    are short. The driver and the tasks hold one block at a time."""
-    pieces = graph.cut(pieces)
+    """Windows of one block after the other. A block has about `block_chars` characters: different pieces, which are short, are
+    dealt by hash, and a piece that is repeated counts once. The driver and the tasks hold one block at a time."""
+    pieces = graph.cut(pieces.distinct())
     blocks = max(1, -(-(pieces.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     for i in range(blocks):
         part = pieces if blocks == 1 else pieces.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
@@ -189,17 +193,18 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep_
     docs: doc_id, text; benchmark: item_id (integer), text; other columns are ignored. Words are runs of ASCII letters and
     digits and of non-ASCII characters, ASCII capitals folded. Returns a row for each row of docs: doc_id, text (null
     unless keep_text), n_words, spans (merged word ranges, end exclusive), items (sorted ids of items that occur). Null and
-    empty texts have no words; texts and items may be of any length; items without words or id match nothing; repeated rows
+    empty texts have no words; texts and items may be of any length; items without words match nothing, those without id hit words but aren't named; repeated rows
     are treated alike; an item of fewer words than `width` is one window; an empty table gives no rows, an empty benchmark
     no spans. The benchmark is searched in blocks of about `block_chars` characters, one pass over docs each, stored in
     between: neither the driver nor a task ever holds more than one block.
     """
     none = "array()"
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr(f"cast({none} as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr(f"cast({none} as array<bigint>)").alias("items"))
-    for last, windows in _blocks(_pieces(benchmark.where("item_id is not null"), width), width, block_chars):
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ITEM)).alias("item_id"), "text")
+    for last, windows in _blocks(_pieces(named, width), width, block_chars):
         out = out.mapInArrow(_task(windows, keep_text or not last), SCHEMA)
         out = out if last else graph.cut(out)
-    return out
+    return out.withColumn("items", F.filter("items", lambda i: i != NO_ITEM))
 
 
 def hit_digest(hits: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def hits(rows, items, width):
     windows = {}
     for i, t in items:
         w = cut(t)
-        if i is not None and w:
+        if w:
             n = min(len(w), width)
             for j in range(len(w) - n + 1):
                 windows.setdefault(tuple(w[j : j + n]), set()).add(i)
@@ -56,6 +56,7 @@ def hits(rows, items, width):
                 if tuple(w[j : j + n]) in windows:
                     hit |= set(range(j, j + n))
                     found |= windows[tuple(w[j : j + n])]
+        found.discard(None)  # hits words, but has no name
         ids = ",".join(sorted(map(str, found)))
         out.append((d, len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)))
     return sorted(out, key=repr)
@@ -443,6 +444,27 @@ def test_long_items_in_pieces(spark):
         assert set().union(*map(cut, got)) == cut(long_item) and all(len(t.split()) >= 10 for t in got)
 
 
+def test_repeated_benchmark_rows_share_a_block(spark, monkeypatch):
+    """Blocks hold different pieces, however often rows are repeated; a block's characters stay near the bound."""
+    rng = random.Random(9)
+    texts = [words(rng, 40) for _ in range(60)]
+    bench = spark.createDataFrame([(i % 20, t) for i, t in enumerate(texts)] * 30, "item_id long, text string")
+    sizes, made = [], decontam.Windows
+    monkeypatch.setattr(decontam, "Windows", lambda ids, texts, width: sizes.append(sum(map(len, texts))) or made(ids, texts, width))
+    assert len(list(decontam._blocks(decontam._pieces(bench, 10), 10, 5000))) == len(sizes) > 1
+    assert sum(sizes) == sum(len(t) for t in texts) and max(sizes) < 8000
+    rows = [(1, texts[3]), (2, "none of it")]
+    got = {r.doc_id: r.n_items for r in decontam.hit_digest(decontam.benchmark_hits(docs(spark, rows), bench, block_chars=5000)).collect()}
+    assert got == {1: 1, 2: 0}
+
+
+def test_keep_good_keeps_a_column_of_its_name(spark):
+    rows = docs(spark, [(i, words(random.Random(i), 50)) for i in range(12)]).withColumn("_SCORE", F.lit("mine"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    got = quality.keep_good(rows, labels, 0.0)
+    assert got.columns == rows.columns and {r["_SCORE"] for r in got.collect()} == {"mine"} and got.count() == 12
+
+
 def test_clashing_names(spark):
     """Columns that are named like an operator's own come back as they were."""
     names = {"target": 1, "cut": 2, "whole": 3, "source_size": 4, "repetitions": 5, "_size": 6, "_draw": 7, "row": 8, "col": 9, "spans": 10, "items": 11, "n_words": 12}
