@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.errors import FrameError
-from framelake.frames import FRAME
-from framelake.functions.scalars import image, natural_key, sequence_number, sequence_pattern
+from framelake.frames import FRAME, Frames
+from framelake.functions.scalars import glob_match, image, natural_key, parse_timestep, sequence_number, sequence_pattern
 from framelake.operators import tile_stats
-from framelake.operators.ordering import global_rank
+from framelake.operators.ordering import bounded, global_rank, stored
+from framelake.sources.files import check_same_shape
 
 PLACE = ["y", "x", "channel"]
 
@@ -125,13 +126,48 @@ def find_sequences(files: DataFrame) -> DataFrame:
 
 
 def sequence_files(files: DataFrame, pattern: str) -> DataFrame:
-    """Files of a sequence with frame_no in natural order."""
-    from framelake.functions.scalars import glob_match
-
+    """Files of a sequence with frame_no in natural order. No match is refused, and so is, where files have a shape, a file
+    whose shape is not that of the first (by name)."""
     found = global_rank(files.where(glob_match(F.col("name"), pattern)), natural_key(F.col("name")), "name", name="frame_no")
+    if found.isEmpty():
+        raise FrameError(f"no file matches {pattern}")
+    if "shape" in files.columns:
+        odd = check_same_shape(found).orderBy("frame_no").select("name", "shape").first()
+        if odd:
+            raise FrameError(f"{odd['name']} has shape {tuple(odd['shape'])}, unlike the first file of {pattern}")
     return found.select("name", "frame_no", sequence_number(F.col("name")).alias("number"))
 
 
+def group_timesteps(files: DataFrame) -> DataFrame:
+    """Files (name) by time step: step, files and the first name; names without a step are left out."""
+    steps = files.select("name", parse_timestep(F.col("name")).alias("step")).where("step is not null")
+    return steps.groupBy("step").agg(F.count("*").alias("files"), F.min("name").alias("first"))
+
+
+def load_reference(named: DataFrame, stack: Frames, reference: str, method: str = "mean") -> DataFrame:
+    """One frame: the average of every frame of the files that a reference names (reference, path: see `reference_files`).
+
+    stack: frames (pixels or tiles) of any files, whose dataset_id is the file's path. A reference without files, files
+    without frames and frames of another size are refused; the size is checked for every frame."""
+    paths = stored(named.where(F.col("reference") == reference).select(F.col("path").alias("dataset_id")).distinct())
+    if paths.isEmpty():
+        raise FrameError(f"reference {reference!r} names no file")
+    frames = stack.with_(stack.df.join(bounded(paths), "dataset_id", "left_semi"))
+    empty = paths.join(frames.df.select("dataset_id").distinct(), "dataset_id", "left_anti").first()
+    if empty:
+        raise FrameError(f"{empty[0]} of reference {reference!r} has no frames")
+    by = ["dataset_id", "frame_no"]
+    if is_tiles(stack.df):
+        tile_stats.check_grid(frames.df, stack, by)
+    else:
+        size = frames.df.groupBy(*by).agg(F.count("*").alias("n"), (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+        want = stack.height * stack.width * stack.channels
+        odd = size.where((F.col("n") != want) | (F.col("h") != stack.height) | (F.col("w") != stack.width)).first()
+        if odd:
+            raise FrameError(f"{odd['dataset_id']} has a frame of {odd['h']} x {odd['w']}, not {stack.height} x {stack.width}")
+    return average_frames(frames.df, method)
+
+
 def dataset_size(datasets: DataFrame) -> DataFrame:
     """frames and bytes of catalog rows (shape, axes, item_bytes)."""
     product = lambda a: F.aggregate(a, F.lit(1).cast("long"), lambda x, y: x * y)

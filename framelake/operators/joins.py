@@ -125,45 +125,66 @@ def check_extent(reference: DataFrame, height: int, width: int, channels: int =
         raise FrameError(f"the reference differs in shape: {r[0]} pixels for {height} x {width} x {channels}")
 
 
-def apply_colormap(df: DataFrame, table: DataFrame, name: str, channels: int = 1) -> DataFrame:
+def apply_colormap(df: DataFrame, table: DataFrame, name: str, channels: int) -> DataFrame:
     """r, g, b of 8-bit pixels, by a table (cmap, index, r, g, b) of 256 rows a map; values beyond 0..255 take its ends.
 
-    Frames of three channels have their colours already: they become r, g, b as they are."""
-    rows = F.broadcast(table.where(F.col("cmap") == name).select("index", "r", "g", "b"))
-    if not rows.limit(1).count():
+    Frames of three channels have their colours already: they become r, g, b as they are. Frames said to have one channel that
+    have more raise when they are computed."""
+    if channels not in (1, 3):
+        raise FrameError(f"frames of {channels} channels have no colours")
+    rows = table.where(F.col("cmap") == name).select("index", "r", "g", "b")
+    held = rows.limit(257).collect()
+    if not held:
         raise FrameError(f"unknown colour map {name!r}")
+    if sorted(r["index"] for r in held) != list(range(256)):
+        raise FrameError(f"colour map {name!r} has no 256 rows of index 0 to 255")
     level = F.least(F.greatest(F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(255.0)).cast("int")
     if channels == 3:
         of = lambda c: F.max(F.when(F.col("channel") == c, level))
         return df.groupBy("dataset_id", "frame_no", "y", "x").agg(of(0).alias("r"), of(1).alias("g"), of(2).alias("b"))
-    return df.join(rows, level == F.col("index"), "left").drop("index")
+    single = F.when(F.col("channel") == 0, level).otherwise(F.raise_error(F.lit("a colour map is for frames of one channel")).cast("int"))
+    return df.join(F.broadcast(rows), single == F.col("index"), "left").drop("index")
 
 
 def manifest_diff(source: DataFrame, target: DataFrame, overwrite: bool = False) -> DataFrame:
-    """What to do with each source file (path, length, modified): copy, skip, conflict, or error where a folder is in the way."""
+    """What to do with each source file (path, length, modified, and md5 where known): copy, skip, conflict, or error where a
+    folder is in the way."""
     t = target.select(F.col("path").alias("_p"), F.col("length").alias("_n"), F.col("modified").alias("_m"), *([F.col("is_dir").alias("_d")] if "is_dir" in target.columns else [F.lit(False).alias("_d")]))
     same = (F.col("_n") == F.col("length")) & (F.floor(F.unix_micros("_m") / 1_000_000) == F.floor(F.unix_micros("modified") / 1_000_000))
     status = F.when(F.col("_p").isNull(), "copy").when(F.col("_d"), "error").when(same, "skip").otherwise("copy" if overwrite else "conflict")
-    return source.join(t, F.col("path") == F.col("_p"), "left").select("path", "length", status.alias("status"))
+    known = ["md5"] if "md5" in source.columns else []
+    return source.join(t, F.col("path") == F.col("_p"), "left").select("path", "length", *known, status.alias("status"))
 
 
-def copy_summary(diff: DataFrame) -> DataFrame:
-    """copied, skipped, conflicts and bytes of a diff, in one row."""
+def copy_summary(diff: DataFrame, verify: bool = False) -> DataFrame:
+    """copied, skipped, conflicts, bytes and checksummed of a diff, in one row.
+
+    checksummed: copied files whose checksum is compared: all with verify, else those whose MD5 is known (a column md5)."""
     n = lambda s: F.count(F.when(F.col("status") == s, 1))
-    return diff.agg(n("copy").alias("copied"), n("skip").alias("skipped"), n("conflict").alias("conflicts"), F.coalesce(F.sum(F.when(F.col("status") == "copy", F.col("length"))), F.lit(0)).cast("long").alias("bytes"))
+    known = F.lit(verify) | (F.col("md5").isNotNull() if "md5" in diff.columns else F.lit(False))
+    checked = F.count(F.when((F.col("status") == "copy") & known, 1))
+    size = F.coalesce(F.sum(F.when(F.col("status") == "copy", F.col("length"))), F.lit(0)).cast("long")
+    return diff.agg(n("copy").alias("copied"), n("skip").alias("skipped"), n("conflict").alias("conflicts"), size.alias("bytes"), checked.alias("checksummed"))
 
 
 def verify_copies(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Files (path, length, digest) that differ: missing, extra, size or digest."""
-    a = source.select("path", F.col("length").alias("n"), F.col("digest").alias("d"))
-    b = target.select("path", F.col("length").alias("m"), F.col("digest").alias("e"))
-    problem = F.when(F.col("m").isNull(), "missing").when(F.col("n").isNull(), "extra").when(F.col("n") != F.col("m"), "size").when(F.col("d") != F.col("e"), "digest")
-    return a.join(b, "path", "full_outer").select("path", problem.alias("problem")).where("problem is not null")
+    """Files (path, length, and digest or md5 where known) that differ: missing, extra, size, md5 or digest.
+
+    A checksum counts where both sides have it: md5 is what a store tells of its files, digest a SHA-256 made on request."""
+
+    def side(df: DataFrame, end: str) -> DataFrame:
+        sums = [F.col(c) if c in df.columns else F.lit(None).cast("string") for c in ("md5", "digest")]
+        return df.select("path", F.col("length").alias(f"n{end}"), *[c.alias(f"{k}{end}") for c, k in zip(sums, "md", strict=True)])
+
+    problem = F.when(F.col("n2").isNull(), "missing").when(F.col("n1").isNull(), "extra").when(F.col("n1") != F.col("n2"), "size")
+    problem = problem.when(F.col("m1") != F.col("m2"), "md5").when(F.col("d1") != F.col("d2"), "digest")
+    both = side(source, "1").join(side(target, "2"), "path", "full_outer")
+    return both.select("path", problem.alias("problem")).where("problem is not null")
 
 
-def digests(files: DataFrame) -> DataFrame:
-    """path, length, digest (SHA-256) of a binaryFile table."""
-    return files.select("path", "length", F.sha2("content", 256).alias("digest"))
+def digests(files: DataFrame, verify: bool = True) -> DataFrame:
+    """path, length, md5 and, with verify, digest (SHA-256) of a binaryFile table."""
+    return files.select("path", "length", F.md5("content").alias("md5"), *([F.sha2("content", 256).alias("digest")] if verify else []))
 
 
 def pending_timesteps(steps: DataFrame, done: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from framelake.frames import Frames, frame_index, frame_rank, from_array_column,
 from framelake.functions import pointwise as fn
 from framelake.functions import scalars
 from framelake.functions.colormaps import FIRE, color_tables
-from framelake.operators import aggregates, convert, geometry, joins, neighbourhood
+from framelake.operators import aggregates, convert, geometry, joins, neighbourhood, tile_stats
 from framelake.operators.ordering import global_rank
 from framelake.plans.pipeline import OPERATIONS, Param, Pipeline, Step, experiment_scan, register, run_pipeline
 from framelake.sources import files as listings
@@ -376,7 +376,7 @@ def _fire_sql() -> str:
 @query(f"WITH {PX}, i AS (SELECT frame_no, y, x, round_even(least(greatest((v + 0.2) / 0.4 * 255.0, 0), 255), 0) * 0.125 AS p FROM px), j AS (SELECT *, floor(p) AS l FROM i) SELECT frame_no, y, x, {_fire_sql()} FROM j")
 def q_apply_colormap(spark, sf_dir):
     grey = pointwise(emb(spark, sf_dir).df, fn.to_uint8(-0.2, 0.2))
-    return joins.apply_colormap(grey, color_tables(spark), "fire").select("frame_no", "y", "x", "r", "g", "b")
+    return joins.apply_colormap(grey, color_tables(spark), "fire", 1).select("frame_no", "y", "x", "r", "g", "b")
 
 
 def manifests(spark, sf_dir):
@@ -386,26 +386,30 @@ def manifests(spark, sf_dir):
     return a.drop("page_id", "is_dir"), b.drop("page_id")
 
 
-DIFF = f"{PAGES}, m AS (SELECT path, length, CASE WHEN page_id % 5 = 0 THEN 'copy' WHEN is_dir THEN 'error' WHEN page_id % 7 = 0 THEN 'conflict' ELSE 'skip' END AS status FROM f)"
+DIFF = f"{PAGES}, m AS (SELECT path, length, page_id, CASE WHEN page_id % 5 = 0 THEN 'copy' WHEN is_dir THEN 'error' WHEN page_id % 7 = 0 THEN 'conflict' ELSE 'skip' END AS status FROM f)"
 
 
-@query(f"WITH {DIFF} SELECT * FROM m")
+@query(f"WITH {DIFF} SELECT path, length, status FROM m")
 def q_manifest_diff(spark, sf_dir):
     return joins.manifest_diff(*manifests(spark, sf_dir))
 
 
-@query(f"WITH {DIFF} SELECT count(*) FILTER (status = 'copy') AS copied, count(*) FILTER (status = 'skip') AS skipped, count(*) FILTER (status = 'conflict') AS conflicts, CAST(sum(length) FILTER (status = 'copy') AS BIGINT) AS bytes FROM m")
+@query(f"WITH {DIFF} SELECT count(*) FILTER (status = 'copy') AS copied, count(*) FILTER (status = 'skip') AS skipped, count(*) FILTER (status = 'conflict') AS conflicts, CAST(sum(length) FILTER (status = 'copy') AS BIGINT) AS bytes, count(*) FILTER (status = 'copy' AND page_id % 10 = 0) AS checksummed FROM m")
 def q_copy_summary(spark, sf_dir):
-    return joins.copy_summary(joins.manifest_diff(*manifests(spark, sf_dir)))
+    source, target = manifests(spark, sf_dir)
+    told = table(spark, sf_dir, "pages").where("page_id % 2 = 0").select("page_id", F.md5(F.encode("html", "utf-8")).alias("md5"))
+    known = pages(spark, sf_dir).select("page_id", "path").join(told, "page_id").select("path", "md5")
+    return joins.copy_summary(joins.manifest_diff(source.join(known, "path", "left"), target))
 
 
-@query("SELECT 'p' || page_id AS path, CASE WHEN page_id % 5 = 0 THEN 'missing' WHEN page_id % 7 = 0 THEN 'size' ELSE 'digest' END AS problem FROM pages WHERE page_id % 5 = 0 OR page_id % 7 = 0 OR page_id % 6 = 0")
+@query("SELECT 'p' || page_id AS path, CASE WHEN page_id % 5 = 0 THEN 'missing' WHEN page_id % 7 = 0 THEN 'size' WHEN page_id % 4 = 0 THEN 'md5' ELSE 'digest' END AS problem FROM pages WHERE page_id % 5 = 0 OR page_id % 7 = 0 OR page_id % 6 = 0")
 def q_verify_copies(spark, sf_dir):
     p = F.col("page_id")
     a = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), p.cast("string")).alias("path"), F.encode("html", "utf-8").alias("content"))
     b = a.where(p % 5 != 0).withColumn("content", F.when(p % 7 == 0, F.concat("content", F.encode(F.lit("x"), "utf-8"))).when(p % 6 == 0, F.concat(F.encode(F.lit("~"), "utf-8"), F.expr("substring(content, 2)"))).otherwise(F.col("content")))
     d = lambda df: joins.digests(df.withColumn("length", F.octet_length("content")))
-    return joins.verify_copies(d(a), d(b))
+    told = d(a).withColumn("md5", F.when(F.substring("path", 2, 20).cast("long") % 4 == 0, F.col("md5")))  # a store tells some
+    return joins.verify_copies(told, d(b))
 
 
 STEPS = "t AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN 'notes' || o_orderkey || '.txt' ELSE 'run_001' || lpad(CAST(o_orderkey % 40 AS VARCHAR), 4, '0') || '_a_b_' || o_orderkey || '.tif' END AS name FROM orders)"
@@ -424,8 +428,7 @@ def q_parse_timestep(spark, sf_dir):
 
 @query(f"WITH {STEPS} SELECT CAST(k % 40 AS INTEGER) AS step, count(*) AS files, min(name) AS first FROM t WHERE k % 10 <> 0 GROUP BY 1")
 def q_group_timesteps(spark, sf_dir):
-    s = steps(spark, sf_dir).select("name", scalars.parse_timestep(F.col("name")).alias("step")).where("step is not null")
-    return s.groupBy("step").agg(F.count("*").alias("files"), F.min("name").alias("first"))
+    return aggregates.group_timesteps(steps(spark, sf_dir))
 
 
 @query(f"WITH {STEPS} SELECT DISTINCT CAST(k % 40 AS INTEGER) AS step FROM t WHERE k % 10 <> 0 AND k % 40 NOT IN (SELECT CAST(s_suppkey % 9 AS INTEGER) FROM supplier)")
@@ -460,9 +463,14 @@ def q_average_frames_median(spark, sf_dir):
     return averaged(aggregates.average_frames(emb_tiles(spark, sf_dir).df, "median"))
 
 
-@query(f"WITH {PX} SELECT label AS reference, y, x, round(avg(v), 6) + 0.0 AS value FROM px WHERE label < 2 GROUP BY 1, 2, 3")
+@query(f"WITH {PX} SELECT CASE label WHEN 0 THEN 'dark' ELSE 'flat' END AS reference, y, x, round(avg(v), 6) + 0.0 AS value FROM px WHERE label < 2 GROUP BY 1, 2, 3")
 def q_reference_average(spark, sf_dir):
-    made = [averaged(aggregates.average_frames(labelled(spark, sf_dir, f"label = {k}").df)).select(F.lit(k).alias("reference"), "*") for k in (0, 1)]
+    e = table(spark, sf_dir, "embeddings").withColumn("folder", F.concat(F.lit("refs/"), F.col("label").cast("string")))
+    e = e.withColumn("name", F.concat(F.col("vec_id").cast("string"), F.lit(".tif"))).withColumn("path", F.concat_ws("/", "folder", "name"))
+    refs = spark.createDataFrame([("dark", "refs/0"), ("flat", "refs/1")], "reference string, entry string")
+    named = listings.reference_files(refs, e.select("path", "folder", "name"))
+    stack = tiles_from_array_column(e, "vec_id", "embedding", 8, 8, F.col("path"), 5)
+    made = [averaged(aggregates.load_reference(named, stack, name)).select(F.lit(name).alias("reference"), "*") for name in ("dark", "flat")]
     return made[0].unionByName(made[1])
 
 
@@ -479,9 +487,9 @@ def q_value_range(spark, sf_dir):
     return aggregates.value_range(emb_tiles(spark, sf_dir).df)
 
 
-@query(f"WITH {EV} SELECT frame_no, min(v) AS min, max(v) AS max, round(coalesce(quantile_cont(v, 0.001) FILTER (y % 4 = 0 AND x % 4 = 0), min(v)), 6) + 0.0 AS low, round(coalesce(quantile_cont(v, 0.999) FILTER (y % 4 = 0 AND x % 4 = 0), max(v)), 6) + 0.0 AS high FROM px GROUP BY 1")
+@query(f"WITH {PX} SELECT frame_no, min(v) AS min, max(v) AS max, round(coalesce(quantile_cont(v, 0.001) FILTER (y % 4 = 0 AND x % 4 = 0), min(v)), 6) + 0.0 AS low, round(coalesce(quantile_cont(v, 0.999) FILTER (y % 4 = 0 AND x % 4 = 0), max(v)), 6) + 0.0 AS high FROM px GROUP BY 1")
 def q_frame_stats(spark, sf_dir):
-    return aggregates.frame_stats(events(spark, sf_dir).df).select("frame_no", "min", "max", r6("low").alias("low"), r6("high").alias("high"))
+    return aggregates.frame_stats(emb_tiles(spark, sf_dir).df).select("frame_no", "min", "max", r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query(f"WITH {PX}, e AS (SELECT frame_no, min(v) AS lo, max(v) AS hi FROM px GROUP BY 1), c AS (SELECT frame_no, CAST(least(floor((v - lo) / (hi - lo) * 16), 15) AS INTEGER) AS bin, count(*) AS n FROM px JOIN e USING (frame_no) GROUP BY 1, 2) SELECT e.frame_no, CAST(b AS INTEGER) AS bin, coalesce(n, 0) AS n FROM e CROSS JOIN unnest(range(16)) t(b) LEFT JOIN c ON c.frame_no = e.frame_no AND c.bin = b")
@@ -489,14 +497,20 @@ def q_histogram(spark, sf_dir):
     return aggregates.histogram(emb_tiles(spark, sf_dir).df, 16).select("frame_no", "bin", "n")
 
 
-@query(f"WITH {EV}, a AS (SELECT frame_no, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM px GROUP BY 1, 2, 3) SELECT frame_no, CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, round(avg(v), 6) + 0.0 AS value FROM a GROUP BY 1, 2, 3")
+@query(f"WITH {PX}, a AS (SELECT frame_no, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM px WHERE y < 7 GROUP BY 1, 2, 3) SELECT frame_no, CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, round(avg(v), 6) + 0.0 AS value FROM a GROUP BY 1, 2, 3")
 def q_pyramid_level(spark, sf_dir):
-    return out(aggregates.pyramid_level(aggregates.pyramid_level(events(spark, sf_dir).df)))
+    odd = geometry.crop(emb_tiles(spark, sf_dir), 0, 0, 7, 8)
+    return out(tile_stats.pyramid_level(tile_stats.pyramid_level(odd)).df)
 
 
-@query(f"WITH {EV} SELECT frame_no, CAST(y // 12 AS INTEGER) AS ty, CAST(x // 12 AS INTEGER) AS tx, count(*) AS n, max(y) - min(y) + 1 AS h, max(x) - min(x) + 1 AS w, round(avg(v), 6) + 0.0 AS mean FROM px GROUP BY 1, 2, 3")
+TILED = "count(*) AS n, CAST(max(y) - min(y) + 1 AS INTEGER) AS h, CAST(max(x) - min(x) + 1 AS INTEGER) AS w, round(avg(v), 6) + 0.0 AS mean, string_agg(CAST(CAST(round_even(v * 1000, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY y, x) AS pixels"
+
+
+@query(f"WITH {PX} SELECT frame_no, CAST(y // 5 AS INTEGER) AS ty, CAST(x // 5 AS INTEGER) AS tx, {TILED} FROM px GROUP BY 1, 2, 3")
 def q_tile_frames(spark, sf_dir):
-    return aggregates.tile_index(events(spark, sf_dir).df, 12).select("frame_no", "ty", "tx", "n", "h", "w", r6("mean").alias("mean"))
+    mean = F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v) / F.size("pixels")
+    said = F.array_join(F.transform("pixels", lambda v: F.rint(v * 1000).cast("long").cast("string")), ",")
+    return emb_tiles(spark, sf_dir).df.select("frame_no", "ty", "tx", F.size("pixels").cast("long").alias("n"), "h", "w", r6(mean).alias("mean"), said.alias("pixels"))
 
 
 @query(f"WITH {NAMES} SELECT 'scan_' || (k % 3) || '_*.tif' AS pattern, count(*) AS n, arg_min(name, k) AS first FROM n GROUP BY 1 HAVING count(*) >= 2")

@@ -10,10 +10,11 @@ from framelake.errors import FrameError
 from framelake.frames import PIXELS, Frames, check_axes, frame_axes, pointwise, tiles_from_array_column, to_pixels, to_tiles
 from framelake.functions import pointwise as fn
 from framelake.functions import scalars
-from framelake.functions.colormaps import color_tables
+from framelake.functions.colormaps import color_tables, read_color_tables
 from framelake.operators import aggregates, convert, geometry, joins, neighbourhood
 from framelake.plans.pipeline import Pipeline, Step, run_pipeline
 from framelake.sources import files, vtk, writers
+from framelake.sources import files as sources_files
 from framelake.streaming.frames import read_frames, stream_pipeline
 
 SCHEMA = "dataset_id string, frame_no long, y int, x int, channel int, value double"
@@ -295,14 +296,78 @@ def test_rolling_ball_with_nan(spark):
 def test_colour_maps(spark):
     table = color_tables(spark)
     f = frames(spark, [[0, 255, 300], [-4, NAN, 128]])
-    got = {(r.y, r.x): (r.r, r.g, r.b) for r in joins.apply_colormap(f.df, table, "grey").collect()}
+    got = {(r.y, r.x): (r.r, r.g, r.b) for r in joins.apply_colormap(f.df, table, "grey", 1).collect()}
     assert got == {(0, 0): (0,) * 3, (0, 1): (255,) * 3, (0, 2): (255,) * 3, (1, 0): (0,) * 3, (1, 1): (0,) * 3, (1, 2): (128,) * 3}
     with pytest.raises(FrameError, match="unknown colour map"):
-        joins.apply_colormap(f.df, table, "none")
+        joins.apply_colormap(f.df, table, "none", 1)
     rgb = spark.createDataFrame([("d", 0, 0, 0, c, float(10 * c)) for c in range(3)], SCHEMA)
     assert [tuple(r)[-3:] for r in joins.apply_colormap(rgb, table, "fire", channels=3).collect()] == [(0, 10, 20)]
 
 
+def test_colour_frames_and_tables_of_ones_own(spark, tmp_path):
+    rgb = spark.createDataFrame([("d", 0, 0, 0, c, float(10 * c)) for c in range(3)], SCHEMA)
+    with pytest.raises(Exception, match="one channel"):
+        joins.apply_colormap(rgb, color_tables(spark), "grey", 1).collect()
+    with pytest.raises(FrameError, match="no colours"):
+        joins.apply_colormap(rgb, color_tables(spark), "grey", 2)
+    path = tmp_path / "maps.csv"
+    rows = [f"blue,{i},0,0,{i}" for i in range(256)]
+    path.write_text("\n".join(["cmap,index,r,g,b", *rows]))
+    table = read_color_tables(spark, str(path))
+    got = joins.apply_colormap(frames(spark, [[7.0, 250.0]]).df, table, "blue", 1).orderBy("x").collect()
+    assert [(r.r, r.g, r.b) for r in got] == [(0, 0, 7), (0, 0, 250)] and {r.cmap for r in table.select("cmap").distinct().collect()} == {"blue", "grey", "grey_inverted", "fire"}
+    for bad in (rows[:-1], [*rows[:-1], rows[0]], [*rows[:-1], "blue,255,0,0,300"]):
+        path.write_text("\n".join(["cmap,index,r,g,b", *bad]))
+        with pytest.raises(FrameError, match="'blue'"):
+            read_color_tables(spark, str(path))
+    with pytest.raises(FrameError, match="no 256 rows"):
+        joins.apply_colormap(rgb, color_tables(spark).where("index < 9"), "grey", 1)
+
+
+def test_checksums_of_copies(spark):
+    files = "path string, length long, md5 string, digest string"
+    a = spark.createDataFrame([("a", 1, "x", "s"), ("b", 1, None, "s"), ("c", 1, "x", None), ("d", 2, "x", "s"), ("e", 1, "x", "s")], files)
+    b = spark.createDataFrame([("a", 1, "y", "s"), ("b", 1, "y", "t"), ("c", 1, "x", "t"), ("d", 3, "x", "s"), ("f", 1, None, None)], files)
+    assert {r.path: r.problem for r in joins.verify_copies(a, b).collect()} == {"a": "md5", "b": "digest", "d": "size", "e": "missing", "f": "extra"}
+    assert {r.path: r.problem for r in joins.verify_copies(a.drop("md5", "digest"), b).collect()} == {"d": "size", "e": "missing", "f": "extra"}
+    content = spark.createDataFrame([("a", 1, bytearray(b"x"))], "path string, length long, content binary")
+    assert joins.digests(content, False).columns == ["path", "length", "md5"] and joins.digests(content).first().md5 == "9dd4e461268c8034f5c8564e155c67a6"
+    at = F.lit("2020-01-01 00:00:00").cast("timestamp")
+    diff = joins.manifest_diff(a.drop("digest").withColumn("modified", at), b.where("path = 'a'").select("path", "length", at.alias("modified")))
+    assert tuple(joins.copy_summary(diff).first()) == (4, 1, 0, 5, 3) and joins.copy_summary(diff, True).first().checksummed == 4
+
+
+def test_sequences_are_checked(spark):
+    rows = [("s_2.tif", [4, 5]), ("s_1.tif", [4, 5]), ("s_10.tif", [4, 6]), ("t_1.tif", [9, 9])]
+    df = spark.createDataFrame(rows, "name string, shape array<int>")
+    with pytest.raises(FrameError, match=r"s_10.tif has shape \(4, 6\)"):
+        aggregates.sequence_files(df, "s_*.tif")
+    assert aggregates.sequence_files(df, "s_?.tif").count() == 2
+    with pytest.raises(FrameError, match="no file matches"):
+        aggregates.sequence_files(df, "u_*.tif")
+
+
+@pytest.mark.parametrize("tiles", [False, True])
+def test_references_of_files(spark, tiles):
+    rows = [(f"r/{d}/{k}.tif", f, y, x, 0, float(10 * k + f)) for d, k, n in (("dark", 2, 1), ("dark", 10, 2), ("flat", 7, 1)) for f in range(n) for y in range(3) for x in range(4)]
+    px = spark.createDataFrame(rows, SCHEMA)
+    stack = Frames(to_tiles(px, 2), 3, 4, tile=2) if tiles else Frames(px, 3, 4)
+    files = spark.createDataFrame([(p, p.rsplit("/", 1)[0], p.rsplit("/", 1)[1]) for p in {r[0] for r in rows}], "path string, folder string, name string")
+    refs = spark.createDataFrame([("dark", "r/dark"), ("flat", "r/flat/7.tif"), ("none", "r/other")], "reference string, entry string")
+    named = sources_files.reference_files(refs, files)
+    value = "pixels" if tiles else "value"
+    for name, want in (("dark", (20 + 100 + 101) / 3), ("flat", 70.0)):
+        got = aggregates.load_reference(named, stack, name).select(F.explode(value) if tiles else value).collect()
+        assert len(got) == 12 and all(r[0] == pytest.approx(want) for r in got)
+    with pytest.raises(FrameError, match="names no file"):
+        aggregates.load_reference(named, stack, "none")
+    with pytest.raises(FrameError, match="r/flat/7.tif"):
+        aggregates.load_reference(named, stack.with_(stack.df.where("dataset_id <> 'r/flat/7.tif'")), "flat")
+    odd = spark.createDataFrame([("r/dark/2.tif", 5, y, x, 0, 1.0) for y in range(3) for x in range(5)], SCHEMA)
+    with pytest.raises(FrameError, match="3 x 4"):
+        aggregates.load_reference(named, stack.with_(stack.df.unionByName(to_tiles(odd, 2) if tiles else odd)), "dark")
+
+
 def test_names_of_images(spark):
     names = ["a_1.TIF", "a_2.TIF", "n1.txt", "n2.txt", "s[1]_1.tif", "s[1]_2.tif", "one.png", "x_0010000_a_b_7.TIF"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
