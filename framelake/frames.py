@@ -65,7 +65,10 @@ def frame_axes(axes: Sequence[str]) -> tuple[str, ...]:
 def from_array_column(df: DataFrame, frame_no: str, array: str, width: int, dataset_id: Column) -> DataFrame:
     """Pixels of a column of row-major arrays, one frame each."""
     exploded = df.select(dataset_id.alias("dataset_id"), F.col(frame_no).cast("long").alias("frame_no"), F.posexplode(array).alias("i", "v"))
-    return exploded.select("dataset_id", "frame_no", F.floor(F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).cast("int").alias("x"), F.lit(0).alias("channel"), F.col("v").cast("double").alias("value"))
+    return exploded.select(
+        "dataset_id", "frame_no", F.floor(F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).cast("int").alias("x"),
+        F.lit(0).alias("channel"), F.col("v").cast("double").alias("value"),
+    )
 
 
 def tiles_from_array_column(df: DataFrame, frame_no: str, array: str, height: int, width: int, dataset_id: Column, size: int = TILE) -> Frames:
@@ -89,7 +92,11 @@ def from_rows(df: DataFrame, number: Column, value: Column, height: int, width:
     """Pixels of a table with one value a row, numbered in C order over frame, y, x."""
     i = number.cast("long")
     size = height * width
-    return df.select(dataset_id.alias("dataset_id"), F.floor(i / size).cast("long").alias("frame_no"), F.floor(i % size / width).cast("int").alias("y"), (i % width).cast("int").alias("x"), F.lit(0).alias("channel"), value.cast("double").alias("value"))
+    return df.select(
+        dataset_id.alias("dataset_id"), F.floor(i / size).cast("long").alias("frame_no"),
+        F.floor(i % size / width).cast("int").alias("y"), (i % width).cast("int").alias("x"), F.lit(0).alias("channel"),
+        value.cast("double").alias("value"),
+    )
 
 
 def frame_rank(index: Sequence[Column], shape: Sequence[int]) -> Column:
@@ -112,14 +119,23 @@ def to_tiles(pixels: DataFrame, size: int = TILE) -> DataFrame:
     """Tiles of size x size pixels (less at the right and lower edge), row-major, by one shuffle of pixels."""
     ty, tx = F.floor(F.col("y") / size).cast("int"), F.floor(F.col("x") / size).cast("int")
     grouped = pixels.withColumn("ty", ty).withColumn("tx", tx).groupBy("dataset_id", "frame_no", "channel", "ty", "tx")
-    tiles = grouped.agg(F.array_sort(F.collect_list(F.struct("y", "x", "value"))).alias("p"), F.min("y").alias("y0"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.max("x").alias("x1"))
-    return tiles.select("dataset_id", "frame_no", "channel", "ty", "tx", "y0", "x0", (F.col("y1") - F.col("y0") + 1).alias("h"), (F.col("x1") - F.col("x0") + 1).alias("w"), F.transform("p", lambda q: q["value"]).alias("pixels"))
+    tiles = grouped.agg(
+        F.array_sort(F.collect_list(F.struct("y", "x", "value"))).alias("p"), F.min("y").alias("y0"), F.min("x").alias("x0"),
+        F.max("y").alias("y1"), F.max("x").alias("x1"),
+    )
+    return tiles.select(
+        "dataset_id", "frame_no", "channel", "ty", "tx", "y0", "x0", (F.col("y1") - F.col("y0") + 1).alias("h"),
+        (F.col("x1") - F.col("x0") + 1).alias("w"), F.transform("p", lambda q: q["value"]).alias("pixels"),
+    )
 
 
 def to_pixels(tiles: DataFrame) -> DataFrame:
     """Pixels of tiles; narrow."""
     out = tiles.select("dataset_id", "frame_no", "channel", "y0", "x0", "w", F.posexplode("pixels").alias("i", "value"))
-    return out.select("dataset_id", "frame_no", (F.col("y0") + F.floor(F.col("i") / F.col("w"))).cast("int").alias("y"), (F.col("x0") + F.col("i") % F.col("w")).cast("int").alias("x"), "channel", "value")
+    return out.select(
+        "dataset_id", "frame_no", (F.col("y0") + F.floor(F.col("i") / F.col("w"))).cast("int").alias("y"),
+        (F.col("x0") + F.col("i") % F.col("w")).cast("int").alias("x"), "channel", "value",
+    )
 
 
 #: Values go through the steps of a kernel in blocks of so many, which stay in a core's cache.

@@ -9,7 +9,10 @@ from framelake.errors import FrameError
 
 # Control points of the public-domain "fire" table.
 FIRE = (
-    (0, 0, 1, 25, 49, 73, 98, 122, 146, 162, 173, 184, 195, 207, 217, 229, 240, 252, 255, 255, 255, 255, 255, 255, 255, 255, 255, 255, 255, 255, 255, 255),
+    (
+        0, 0, 1, 25, 49, 73, 98, 122, 146, 162, 173, 184, 195, 207, 217, 229, 240, 252, 255, 255, 255, 255, 255, 255, 255, 255,
+        255, 255, 255, 255, 255, 255,
+    ),
     (0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 14, 35, 57, 79, 101, 117, 133, 147, 161, 175, 190, 205, 219, 234, 248, 255, 255, 255, 255),
     (0, 61, 96, 130, 165, 192, 220, 227, 210, 181, 151, 122, 93, 64, 35, 5, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 35, 98, 160, 223, 255),
 )
@@ -26,7 +29,10 @@ def control_table(spark: SparkSession, name: str, points: tuple[tuple[int, ...],
         a = F.array(*[F.lit(float(v)) for v in values])
         return F.floor((1 - part) * F.get(a, low) + part * F.get(a, F.least(low + 1, F.lit(n - 1)))).cast("int")
 
-    return spark.range(256).select(F.lit(name).alias("cmap"), F.col("id").cast("int").alias("index"), *[channel(v).alias(c) for c, v in zip("rgb", points, strict=True)])
+    return spark.range(256).select(
+        F.lit(name).alias("cmap"), F.col("id").cast("int").alias("index"),
+        *[channel(v).alias(c) for c, v in zip("rgb", points, strict=True)],
+    )
 
 
 def color_tables(spark: SparkSession) -> DataFrame:

@@ -158,9 +158,15 @@ def curve_stage(curve: Sequence[Sequence[float]]) -> Stage:
     return Stage(fn, kernel)
 
 
-def tone_map(exposure: float = 0.0, contrast: float = 0.0, highlights: float = 0.0, shadows: float = 0.0, whites: float = 0.0, blacks: float = 0.0, curve: Sequence[Sequence[float]] | None = None) -> Staged:
+def tone_map(
+    exposure: float = 0.0, contrast: float = 0.0, highlights: float = 0.0, shadows: float = 0.0, whites: float = 0.0,
+    blacks: float = 0.0, curve: Sequence[Sequence[float]] | None = None,
+) -> Staged:
     """Tone sliders (-100 to 100; exposure in stops, -5 to 5) and a curve on values of 0..1; sliders at 0 add no step."""
-    for name, x, most in (("exposure", exposure, 5), ("contrast", contrast, 100), ("highlights", highlights, 100), ("shadows", shadows, 100), ("whites", whites, 100), ("blacks", blacks, 100)):
+    for name, x, most in (
+        ("exposure", exposure, 5), ("contrast", contrast, 100), ("highlights", highlights, 100), ("shadows", shadows, 100),
+        ("whites", whites, 100), ("blacks", blacks, 100),
+    ):
         if not -most <= x <= most:
             raise FrameError(f"{name} is not in -{most} to {most}")
     straight = curve is None or [list(map(float, p)) for p in curve] == [[0.0, 0.0], [1.0, 1.0]]
@@ -211,8 +217,14 @@ def to_uint8(low: float, high: float, tone_fn: Fn | None = None) -> Staged:
 
 
 #: Least and largest value of integer types, and the exact range of the floating ones.
-INTEGERS = {"uint8": (0, 255), "int8": (-128, 127), "uint16": (0, 65535), "int16": (-32768, 32767), "uint32": (0, 2**32 - 1), "int32": (-(2**31), 2**31 - 1), "uint64": (0, 2**64 - 1), "int64": (-(2**63), 2**63 - 1)}
-SPARK_TYPES = {"uint8": "smallint", "int8": "tinyint", "uint16": "int", "int16": "smallint", "uint32": "bigint", "int32": "int", "uint64": "decimal(20,0)", "int64": "bigint", "float32": "float", "float64": "double", "bool": "boolean"}
+INTEGERS = {
+    "uint8": (0, 255), "int8": (-128, 127), "uint16": (0, 65535), "int16": (-32768, 32767), "uint32": (0, 2**32 - 1),
+    "int32": (-(2**31), 2**31 - 1), "uint64": (0, 2**64 - 1), "int64": (-(2**63), 2**63 - 1),
+}
+SPARK_TYPES = {
+    "uint8": "smallint", "int8": "tinyint", "uint16": "int", "int16": "smallint", "uint32": "bigint", "int32": "int",
+    "uint64": "decimal(20,0)", "int64": "bigint", "float32": "float", "float64": "double", "bool": "boolean",
+}
 ITEM_BYTES = {"uint8": 1, "int8": 1, "uint16": 2, "int16": 2, "uint32": 4, "int32": 4, "uint64": 8, "int64": 8, "float32": 4, "float64": 8, "bool": 1}
 
 

@@ -31,7 +31,9 @@ def parse_time_title(title: Column) -> Column:
 def sequence_pattern(name: Column) -> Column:
     """A glob of the name with its last number as *; characters that a glob reads otherwise stand in brackets."""
     parts = F.regexp_extract_all(name, F.lit(r"^(.*?)\d+\D*$"), F.lit(1))
-    return F.when(F.size(parts) == 0, glob_escape(name)).otherwise(F.concat(glob_escape(F.regexp_replace(name, r"\d+\D*$", "")), F.lit("*"), glob_escape(F.regexp_extract(name, r"\d(\D*)$", 1))))
+    return F.when(F.size(parts) == 0, glob_escape(name)).otherwise(F.concat(
+        glob_escape(F.regexp_replace(name, r"\d+\D*$", "")), F.lit("*"), glob_escape(F.regexp_extract(name, r"\d(\D*)$", 1)),
+    ))
 
 
 def glob_escape(name: Column) -> Column:

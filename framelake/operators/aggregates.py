@@ -34,7 +34,9 @@ def average_frames(df: DataFrame, method: str = "mean") -> DataFrame:
         if method == "mean":
             return tile_stats.average_mean(df)
         return tile_stats.average_median(df, df.select(*FRAME).distinct().count())
-    value = F.avg("value") if method == "mean" else F.when(F.max(F.isnan("value").cast("int")) == 1, F.lit(float("nan"))).otherwise(F.percentile("value", F.lit(0.5)))
+    value = F.avg("value") if method == "mean" else F.when(
+        F.max(F.isnan("value").cast("int")) == 1, F.lit(float("nan")),
+    ).otherwise(F.percentile("value", F.lit(0.5)))
     return df.groupBy(*PLACE).agg(value.alias("value"))
 
 
@@ -62,7 +64,10 @@ def frame_stats(df: DataFrame) -> DataFrame:
     sample = F.when((F.col("y") % 4 == 0) & (F.col("x") % 4 == 0), f)
     s = df.groupBy(*FRAME).agg(F.min(f).alias("min"), F.max(f).alias("max"), F.percentile(sample, F.array(F.lit(0.001), F.lit(0.999))).alias("p"))
     zero = F.lit(0.0)
-    return s.select(*FRAME, F.coalesce("min", zero).alias("min"), F.coalesce("max", zero).alias("max"), F.coalesce(F.col("p")[0], "min", zero).alias("low"), F.coalesce(F.col("p")[1], "max", zero).alias("high"))
+    return s.select(
+        *FRAME, F.coalesce("min", zero).alias("min"), F.coalesce("max", zero).alias("max"),
+        F.coalesce(F.col("p")[0], "min", zero).alias("low"), F.coalesce(F.col("p")[1], "max", zero).alias("high"),
+    )
 
 
 def histogram(df: DataFrame, bins: int = 256, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -100,7 +105,10 @@ def pyramid_levels(height: int, width: int, tile: int = 512) -> int:
 def tile_index(df: DataFrame, size: int) -> DataFrame:
     """Pixels, extent and mean of each tile of size x size."""
     ty, tx = F.floor(F.col("y") / size).cast("int").alias("ty"), F.floor(F.col("x") / size).cast("int").alias("tx")
-    return df.groupBy(*FRAME, "channel", ty, tx).agg(F.count("*").alias("n"), (F.max("y") - F.min("y") + 1).alias("h"), (F.max("x") - F.min("x") + 1).alias("w"), F.avg("value").alias("mean"))
+    return df.groupBy(*FRAME, "channel", ty, tx).agg(
+        F.count("*").alias("n"), (F.max("y") - F.min("y") + 1).alias("h"), (F.max("x") - F.min("x") + 1).alias("w"),
+        F.avg("value").alias("mean"),
+    )
 
 
 def normalise(df: DataFrame, low: float = 0.0, high: float = 100.0) -> DataFrame:
@@ -121,7 +129,9 @@ def normalise(df: DataFrame, low: float = 0.0, high: float = 100.0) -> DataFrame
 def find_sequences(files: DataFrame) -> DataFrame:
     """Names of images that differ in their last number alone: pattern, n (2 or more) and the first in natural order."""
     numbered = files.where(F.col("name").rlike(r"\d") & image(F.col("name")))
-    grouped = numbered.groupBy(sequence_pattern(F.col("name")).alias("pattern")).agg(F.count("*").alias("n"), F.min(F.struct(natural_key(F.col("name")).alias("k"), "name")).alias("f"))
+    grouped = numbered.groupBy(sequence_pattern(F.col("name")).alias("pattern")).agg(
+        F.count("*").alias("n"), F.min(F.struct(natural_key(F.col("name")).alias("k"), "name")).alias("f"),
+    )
     return grouped.where("n >= 2").select("pattern", "n", F.col("f.name").alias("first"))
 
 
@@ -178,7 +188,10 @@ def dataset_size(datasets: DataFrame) -> DataFrame:
 
 def grid_check(volumes: DataFrame) -> DataFrame:
     """One row: volumes, and whether all have one shape, dtype, field, spacing and origin."""
-    return volumes.agg(F.count("*").alias("volumes"), (F.count_distinct(F.struct("shape", "dtype", "field", "spacing", "origin")) <= 1).alias("one_grid"))
+    return volumes.agg(
+        F.count("*").alias("volumes"),
+        (F.count_distinct(F.struct("shape", "dtype", "field", "spacing", "origin")) <= 1).alias("one_grid"),
+    )
 
 
 def time_monotonic(volumes: DataFrame) -> DataFrame:

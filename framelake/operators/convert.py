@@ -30,7 +30,9 @@ def convert_exact(df: DataFrame, source: str, target: str) -> DataFrame:
 def exact_metadata(metadata: Column, frames: Column) -> Column:
     """map<string,string> of the result: source_frames is added, missing_frames is renamed source_missing_frames."""
     kept = F.map_filter(metadata, lambda k, v: k != "missing_frames")
-    renamed = F.when(F.map_contains_key(metadata, "missing_frames"), F.create_map(F.lit("source_missing_frames"), metadata["missing_frames"])).otherwise(F.create_map().cast("map<string,string>"))
+    renamed = F.when(
+        F.map_contains_key(metadata, "missing_frames"), F.create_map(F.lit("source_missing_frames"), metadata["missing_frames"]),
+    ).otherwise(F.create_map().cast("map<string,string>"))
     return F.map_concat(kept, renamed, F.create_map(F.lit("source_frames"), frames))
 
 
@@ -44,7 +46,10 @@ def convert_scaled(df: DataFrame, target: str, low: float | None = None, high: f
     most = float(INTEGERS[target][1])
     ends = value_range(df) if low is None or high is None else None
     if ends is not None:
-        ends = ends.select((F.col("low") if low is None else F.lit(float(low))).alias("_lo"), (F.col("high") if high is None else F.lit(float(high))).alias("_hi"), F.lit(True).alias("_one"))
+        ends = ends.select(
+            (F.col("low") if low is None else F.lit(float(low))).alias("_lo"),
+            (F.col("high") if high is None else F.lit(float(high))).alias("_hi"), F.lit(True).alias("_one"),
+        )
         df_ = df.withColumn("_one", F.lit(True)).join(F.broadcast(ends), "_one").drop("_one")  # one row
     else:
         df_ = df.withColumns({"_lo": F.lit(float(low)), "_hi": F.lit(float(high))})
@@ -53,20 +58,28 @@ def convert_scaled(df: DataFrame, target: str, low: float | None = None, high: f
     raw = (v - F.col("_lo")) / scale
     out = F.when(F.isnan(v), F.lit(0.0)).otherwise(F.rint(F.least(F.greatest(raw, F.lit(0.0)), F.lit(most))))
     beyond = ~F.isnan(v) & ((raw < -0.5) | (raw > most + 0.5))
-    return df_.select(*[c for c in df.columns if c != "value"], out.cast("long").alias("value"), F.col("_lo").alias("offset"), scale.alias("scale"), beyond.alias("clipped"))
+    return df_.select(
+        *[c for c in df.columns if c != "value"], out.cast("long").alias("value"), F.col("_lo").alias("offset"),
+        scale.alias("scale"), beyond.alias("clipped"),
+    )
 
 
 def scaled_kernel(low: float, scale: float, most: int) -> Staged:
     """(value - low) / scale in 0 to most, half to even, NaN as 0."""
     return Staged([
         Stage(
-            lambda v: F.when(F.isnan(v), F.lit(0.0)).otherwise(F.rint(F.least(F.greatest((v - F.lit(low)) / F.lit(scale), F.lit(0.0)), F.lit(float(most))))),
+            lambda v: F.when(F.isnan(v), F.lit(0.0)).otherwise(F.rint(F.least(
+                F.greatest((v - F.lit(low)) / F.lit(scale), F.lit(0.0)), F.lit(float(most)),
+            ))),
             lambda a: np.nan_to_num(np.rint(np.clip((a - low) / scale, 0.0, float(most))), copy=False, nan=0.0),
         )
     ])
 
 
-def convert(frames: Frames, dtype: str | None = None, value_range: tuple[float, float] | None = None, select: int | slice | Sequence | None = None) -> Frames:
+def convert(
+    frames: Frames, dtype: str | None = None, value_range: tuple[float, float] | None = None,
+    select: int | slice | Sequence | None = None,
+) -> Frames:
     """The stack (pixels or tiles), or a part of it along its first axis, as another pixel type (its own by default).
 
     Floats and types that hold every value are exact casts. Other integers are scaled linearly from one range of all values:
@@ -96,7 +109,10 @@ def convert(frames: Frames, dtype: str | None = None, value_range: tuple[float,
     scale = (high - low) / most if high > low else 1.0
     if value_range and ((found[0] - low) / scale < -0.5 or (found[1] - low) / scale > most + 0.5):
         warnings = (*warnings, f"values outside of {low:g} to {high:g} are clipped")
-    metadata["value_scaling"] = {"source_dtype": frames.dtype, "value_range": [low, high], "offset": low, "scale": scale, "formula": "original ~ offset + pixel * scale"}
+    metadata["value_scaling"] = {
+        "source_dtype": frames.dtype, "value_range": [low, high], "offset": low, "scale": scale,
+        "formula": "original ~ offset + pixel * scale",
+    }
     done = pointwise(pointwise(frames.df, scaled_kernel(low, scale, most)), cast_dtype(dtype))
     return frames.with_(done, dtype=dtype, metadata=metadata, warnings=warnings)
 
@@ -121,7 +137,10 @@ def recover_values(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.col("offset") + F.col("value") * F.col("scale"))
 
 
-def map_frames(frames: Frames, fn: Callable[[np.ndarray], np.ndarray], height: int | None = None, width: int | None = None, metadata: Mapping[str, Any] | None = None) -> Frames:
+def map_frames(
+    frames: Frames, fn: Callable[[np.ndarray], np.ndarray], height: int | None = None, width: int | None = None,
+    metadata: Mapping[str, Any] | None = None,
+) -> Frames:
     """Apply fn to every (y, x, channel) or, with one channel, (y, x) frame; a frame must fit a task. Sizes may change (say how).
 
     Tile tables stay tile tables: the tiles of a frame meet in one task, the result is cut again. metadata is added to the
@@ -143,7 +162,10 @@ def map_frames(frames: Frames, fn: Callable[[np.ndarray], np.ndarray], height: i
         out = mapped(block)
         yy, xx, cc = np.unravel_index(np.arange(out.size), out.shape)
         same = lambda name: pa.repeat(table.column(name)[0], out.size)
-        return pa.table([same("dataset_id"), same("frame_no"), *[pa.array(a.astype(np.int32)) for a in (yy, xx, cc)], pa.array(out.reshape(-1))], names=PIXELS)
+        return pa.table(
+            [same("dataset_id"), same("frame_no"), *[pa.array(a.astype(np.int32)) for a in (yy, xx, cc)], pa.array(out.reshape(-1))],
+            names=PIXELS,
+        )
 
     def from_tiles(batches):
         rows = (tile for batch in batches for tile in rows_of(batch))

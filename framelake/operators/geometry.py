@@ -26,7 +26,10 @@ def crop_place(frames: Frames, top: int = 0, left: int = 0, height: int = 0, wid
 def rotate_place(frames: Frames, angle: str | int = "90") -> Placement:
     """Clockwise by 90, 180 or 270 degrees."""
     h, w = frames.height, frames.width
-    turned = {"90": Placement(w, h, 0, h - 1, 1, -1, True), "180": Placement(h, w, h - 1, w - 1, -1, -1), "270": Placement(w, h, w - 1, 0, -1, 1, True)}
+    turned = {
+        "90": Placement(w, h, 0, h - 1, 1, -1, True), "180": Placement(h, w, h - 1, w - 1, -1, -1),
+        "270": Placement(w, h, w - 1, 0, -1, 1, True),
+    }
     if str(angle) not in turned:
         raise FrameError(f"angle {angle} is not 90, 180 or 270")
     return turned[str(angle)]

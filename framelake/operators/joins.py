@@ -149,7 +149,10 @@ def apply_colormap(df: DataFrame, table: DataFrame, name: str, channels: int) ->
 def manifest_diff(source: DataFrame, target: DataFrame, overwrite: bool = False) -> DataFrame:
     """What to do with each source file (path, length, modified, and md5 where known): copy, skip, conflict, or error where a
     folder is in the way."""
-    t = target.select(F.col("path").alias("_p"), F.col("length").alias("_n"), F.col("modified").alias("_m"), *([F.col("is_dir").alias("_d")] if "is_dir" in target.columns else [F.lit(False).alias("_d")]))
+    t = target.select(
+        F.col("path").alias("_p"), F.col("length").alias("_n"), F.col("modified").alias("_m"),
+        *([F.col("is_dir").alias("_d")] if "is_dir" in target.columns else [F.lit(False).alias("_d")]),
+    )
     same = (F.col("_n") == F.col("length")) & (F.floor(F.unix_micros("_m") / 1_000_000) == F.floor(F.unix_micros("modified") / 1_000_000))
     status = F.when(F.col("_p").isNull(), "copy").when(F.col("_d"), "error").when(same, "skip").otherwise("copy" if overwrite else "conflict")
     known = ["md5"] if "md5" in source.columns else []
@@ -164,7 +167,10 @@ def copy_summary(diff: DataFrame, verify: bool = False) -> DataFrame:
     known = F.lit(verify) | (F.col("md5").isNotNull() if "md5" in diff.columns else F.lit(False))
     checked = F.count(F.when((F.col("status") == "copy") & known, 1))
     size = F.coalesce(F.sum(F.when(F.col("status") == "copy", F.col("length"))), F.lit(0)).cast("long")
-    return diff.agg(n("copy").alias("copied"), n("skip").alias("skipped"), n("conflict").alias("conflicts"), size.alias("bytes"), checked.alias("checksummed"))
+    return diff.agg(
+        n("copy").alias("copied"), n("skip").alias("skipped"), n("conflict").alias("conflicts"), size.alias("bytes"),
+        checked.alias("checksummed"),
+    )
 
 
 def verify_copies(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -198,4 +204,7 @@ def frame_comparison(a: DataFrame, b: DataFrame, rtol: float = 1e-5, atol: float
     j = a.select(*key, F.col("value").alias("v")).join(b.select(*key, F.col("value").alias("w")), key, "full_outer")
     off = F.abs(F.col("v") - F.col("w"))
     single = F.col("v").isNull() | F.col("w").isNull()
-    return j.groupBy("dataset_id", "frame_no").agg(F.count("*").alias("pixels"), F.count(F.when(single, 1)).alias("unmatched"), F.count(F.when(off > atol + rtol * F.abs("w"), 1)).alias("different"), F.max(off).alias("max_difference"))
+    return j.groupBy("dataset_id", "frame_no").agg(
+        F.count("*").alias("pixels"), F.count(F.when(single, 1)).alias("unmatched"),
+        F.count(F.when(off > atol + rtol * F.abs("w"), 1)).alias("different"), F.max(off).alias("max_difference"),
+    )

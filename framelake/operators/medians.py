@@ -22,7 +22,9 @@ def network(n: int, wanted: int) -> tuple[tuple[int, int, bool, bool], ...]:
     while p < n:
         k = p
         while k:
-            pairs += [(j + i, j + i + k) for j in range(k % p, n - k, 2 * k) for i in range(min(k, n - j - k)) if (i + j) // (2 * p) == (i + j + k) // (2 * p)]
+            pairs += [(j + i, j + i + k) for j in range(
+                k % p, n - k, 2 * k,
+            ) for i in range(min(k, n - j - k)) if (i + j) // (2 * p) == (i + j + k) // (2 * p)]
             k //= 2
         p *= 2
     needed, kept = {wanted}, []

@@ -40,7 +40,10 @@ def halo_tiles(frames: Frames, radius: int, tile: int = 256, mirrored: bool = Tr
     return frames.df.join(y, "y").join(x, "x").select("dataset_id", "frame_no", "channel", "ty", "tx", "py", "px", "value")
 
 
-def _filtered(frames: Frames, radius: int, tile: int, mirrored: bool, fill: float, kernel, before: Placement | None = None, after: Placement | None = None) -> Frames:
+def _filtered(
+    frames: Frames, radius: int, tile: int, mirrored: bool, fill: float, kernel, before: Placement | None = None,
+    after: Placement | None = None,
+) -> Frames:
     """Frames after a kernel, on tiles between the two placements: see `on_blocks`."""
     if is_tiled(frames):
         return on_blocks(frames, radius, mirrored, fill, kernel, before, after)
@@ -54,12 +57,20 @@ def _on_pixel_rows(frames: Frames, radius: int, tile: int, mirrored: bool, fill:
         ty, tx = table.column("ty")[0].as_py(), table.column("tx")[0].as_py()
         rows, cols = min(tile, h - ty * tile), min(tile, w - tx * tile)
         block = np.full((rows + 2 * radius, cols + 2 * radius), fill)
-        block[table.column("py").to_numpy() - ty * tile + radius, table.column("px").to_numpy() - tx * tile + radius] = table.column("value").to_numpy()
+        block[
+            table.column("py").to_numpy() - ty * tile + radius, table.column("px").to_numpy() - tx * tile + radius,
+        ] = table.column("value").to_numpy()
         out = kernel(block, rows, cols)
         n = rows * cols
         yy, xx = np.divmod(np.arange(n), cols)
         same = lambda name: pa.repeat(table.column(name)[0], n)
-        return pa.table([same("dataset_id"), same("frame_no"), pa.array((yy + ty * tile).astype(np.int32)), pa.array((xx + tx * tile).astype(np.int32)), same("channel"), pa.array(out.reshape(-1))], names=PIXELS)
+        return pa.table(
+            [
+                same("dataset_id"), same("frame_no"), pa.array((yy + ty * tile).astype(np.int32)),
+                pa.array((xx + tx * tile).astype(np.int32)), same("channel"), pa.array(out.reshape(-1)),
+            ],
+            names=PIXELS,
+        )
 
     return halo_tiles(frames, radius, tile, mirrored).groupBy(*KEYS).applyInArrow(task, _OUT)
 
@@ -160,8 +171,14 @@ def enlarge(small: Frames, height: int, width: int, df: DataFrame) -> DataFrame:
 
     y, fy = near("y", small.height, height)
     x, fx = near("x", small.width, width)
-    corners = F.array(*[F.struct((F.least(F.col("_y") + a, F.lit(small.height - 1))).alias("sy"), (F.least(F.col("_x") + b, F.lit(small.width - 1))).alias("sx"), ((F.col("_fy") if a else 1 - F.col("_fy")) * (F.col("_fx") if b else 1 - F.col("_fx"))).alias("wt")) for a in (0, 1) for b in (0, 1)])
-    at = df.select(*FRAME, "y", "x", "channel", y.alias("_y"), fy.alias("_fy"), x.alias("_x"), fx.alias("_fx")).select(*FRAME, "y", "x", "channel", F.explode(corners).alias("c")).select(*FRAME, "y", "x", "channel", "c.*")
+    corners = F.array(*[F.struct(
+        (F.least(F.col("_y") + a, F.lit(small.height - 1))).alias("sy"),
+        (F.least(F.col("_x") + b, F.lit(small.width - 1))).alias("sx"),
+        ((F.col("_fy") if a else 1 - F.col("_fy")) * (F.col("_fx") if b else 1 - F.col("_fx"))).alias("wt"),
+    ) for a in (0, 1) for b in (0, 1)])
+    at = df.select(
+        *FRAME, "y", "x", "channel", y.alias("_y"), fy.alias("_fy"), x.alias("_x"), fx.alias("_fx"),
+    ).select(*FRAME, "y", "x", "channel", F.explode(corners).alias("c")).select(*FRAME, "y", "x", "channel", "c.*")
     s = small.df.select(*FRAME, "channel", F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("value").alias("_v"))
     return at.join(s, [*FRAME, "channel", "sy", "sx"]).groupBy(*FRAME, "y", "x", "channel").agg(F.sum(F.col("wt") * F.col("_v")).alias("_bg"))
 

@@ -353,9 +353,14 @@ def check_grid(df: DataFrame, frames: Frames, by: Sequence[str] = ()) -> None:
     """Tiles of df (by the columns `by`, which name a frame) are those of the grid, each once and whole; else FrameError."""
     t = frames.tile
     right = (F.col("y0") == F.col("ty") * t) & (F.col("x0") == F.col("tx") * t) & (F.size("pixels") == F.col("h") * F.col("w"))
-    right &= (F.col("h") == F.least(F.lit(t), F.lit(frames.height) - F.col("y0"))) & (F.col("w") == F.least(F.lit(t), F.lit(frames.width) - F.col("x0")))
+    right &= (F.col("h") == F.least(
+        F.lit(t), F.lit(frames.height) - F.col("y0"),
+    )) & (F.col("w") == F.least(F.lit(t), F.lit(frames.width) - F.col("x0")))
     right &= (F.col("ty") >= 0) & (F.col("tx") >= 0) & F.col("channel").between(0, frames.channels - 1)
-    n = df.groupBy(*by).agg(F.count("*").alias("n"), F.count(F.when(right, 1)).alias("right"), F.count_distinct("channel", "ty", "tx").alias("places"))
+    n = df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count(F.when(right, 1)).alias("right"),
+        F.count_distinct("channel", "ty", "tx").alias("places"),
+    )
     want = tile_count(frames)
     bad = n.where((F.col("n") != want) | (F.col("right") != want) | (F.col("places") != want)).limit(1).collect()
     if bad:

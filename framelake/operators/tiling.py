@@ -28,7 +28,10 @@ class Placement:
     def then(self, after: Placement) -> Placement:
         """Both in one: what `after` makes of the frames that self makes."""
         sy, oy, sx, ox = (self.sx, self.ox, self.sy, self.oy) if after.swap else (self.sy, self.oy, self.sx, self.ox)
-        return Placement(after.height, after.width, after.sy * oy + after.oy, after.sx * ox + after.ox, after.sy * sy, after.sx * sx, self.swap != after.swap)
+        return Placement(
+            after.height, after.width, after.sy * oy + after.oy, after.sx * ox + after.ox, after.sy * sy, after.sx * sx,
+            self.swap != after.swap,
+        )
 
     @property
     def shifts(self) -> bool:
@@ -132,7 +135,10 @@ def _mirrored_positions(first: int, length: int, n: int) -> np.ndarray:
     return np.where(m < n, m, 2 * n - 1 - m)
 
 
-def on_blocks(frames: Frames, radius: int, mirrored: bool, fill: float, kernel: Callable[[np.ndarray, int, int], np.ndarray], before: Placement | None = None, after: Placement | None = None) -> Frames:
+def on_blocks(
+    frames: Frames, radius: int, mirrored: bool, fill: float, kernel: Callable[[np.ndarray, int, int], np.ndarray],
+    before: Placement | None = None, after: Placement | None = None,
+) -> Frames:
     """kernel(block, rows, cols) on every tile with `radius` pixels around; edges of frames are mirrored or filled.
 
     before: a placement that moves the frames first. after: a crop of the result; what isn't kept is neither shuffled nor
@@ -148,7 +154,10 @@ def on_blocks(frames: Frames, radius: int, mirrored: bool, fill: float, kernel:
         rows, cols = min(tile, after.height - key[3] * tile), min(tile, after.width - key[4] * tile)
         block = assemble(group, y - radius, x - radius, (rows + 2 * radius, cols + 2 * radius), fill)
         if mirrored and (y < radius or x < radius or y + rows + radius > height or x + cols + radius > width):
-            down, right = (_mirrored_positions(p - radius, n + 2 * radius, full) - (p - radius) for p, n, full in ((y, rows, height), (x, cols, width)))
+            down, right = (
+                _mirrored_positions(p - radius, n + 2 * radius, full) - (p - radius) for p, n,
+                full in ((y, rows, height), (x, cols, width))
+            )
             block = block[np.ix_(down, right)]
         return (*key, key[3] * tile, key[4] * tile, kernel(block, rows, cols))
 

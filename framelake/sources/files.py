@@ -42,7 +42,9 @@ def check_same_shape(files: DataFrame) -> DataFrame:
 def missing_frames(present: DataFrame, claimed: DataFrame) -> DataFrame:
     """dataset_id, frame_no of frames before the last one written that are not there. claimed: dataset_id, frames."""
     ends = present.groupBy("dataset_id").agg((F.max("frame_no") + 1).alias("end"))
-    known = claimed.join(ends, "dataset_id", "left").select("dataset_id", F.least(F.coalesce("end", F.lit(0)), "frames").alias("end")).where("end > 0")
+    known = claimed.join(ends, "dataset_id", "left").select(
+        "dataset_id", F.least(F.coalesce("end", F.lit(0)), "frames").alias("end"),
+    ).where("end > 0")
     every = known.select("dataset_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("end") - 1)).alias("frame_no"))
     return every.join(present.select("dataset_id", "frame_no").distinct(), ["dataset_id", "frame_no"], "left_anti")
 
@@ -66,7 +68,9 @@ def default_axes(shape: Column, labels: Column | None = None) -> Column:
     n, last = F.size(shape), F.element_at(shape, -1)
     colour = last.isin(3, 4)
     names = lambda *a: F.array(*[F.lit(x) for x in a])
-    out = F.when(n == 2, names("y", "x")).when((n == 3) & colour, names("y", "x", "channel")).when(n == 3, names("frame", "y", "x")).when((n == 4) & colour, names("frame", "y", "x", "channel"))
+    out = F.when(n == 2, names("y", "x")).when((n == 3) & colour, names("y", "x", "channel")).when(n == 3, names("frame", "y", "x")).when(
+        (n == 4) & colour, names("frame", "y", "x", "channel"),
+    )
     if labels is None:
         return out
     return F.when(labels.isNotNull() & (F.size(labels) == n), labels).otherwise(out)

@@ -24,7 +24,10 @@ from framelake.operators.ordering import global_rank
 
 HEADER_BYTES = 4096
 #: VTK's type names (fixed values); the vtktype names follow from kind and bits.
-TYPES = {"unsigned_char": "uint8", "char": "int8", "unsigned_short": "uint16", "short": "int16", "unsigned_int": "uint32", "int": "int32", "unsigned_long": "uint64", "long": "int64", "float": "float32", "double": "float64"}
+TYPES = {
+    "unsigned_char": "uint8", "char": "int8", "unsigned_short": "uint16", "short": "int16", "unsigned_int": "uint32",
+    "int": "int32", "unsigned_long": "uint64", "long": "int64", "float": "float32", "double": "float64",
+}
 SIZED_TYPES = {f"vtktype{t}": t for t in ("int8", "int16", "int32", "int64", "uint8", "uint16", "uint32", "uint64", "float32", "float64")}
 #: Lines that a header may have after its first three (fixed values).
 LINES = ("DATASET", "DIMENSIONS", "SPACING", "ASPECT_RATIO", "ORIGIN", "POINT_DATA", "SCALARS", "LOOKUP_TABLE")
@@ -212,16 +215,24 @@ def describe(spark: SparkSession, paths: Sequence[str], series: bool = False, da
         check_series(volumes)
         times, first = [v.time for v in volumes], volumes[0]
         told = None not in times
-        said = common(first) | {"vtk_titles": [v.title for v in volumes], "source_files": [v.name for v in volumes]} | ({"time_s": times} if told else {})
+        said = common(first) | {
+            "vtk_titles": [v.title for v in volumes], "source_files": [v.name for v in volumes],
+        } | ({"time_s": times} if told else {})
         late = told and any(b <= a for a, b in zip(times, times[1:], strict=False))
         warnings = [f"times {times} do not increase in the order of the files"] if late else []
-        rows.append((dataset_id, ",".join(paths), ["time" if told else "frame", "z", "y", "x"], [len(volumes), *first.shape], first.dtype, said, warnings))
+        rows.append((
+            dataset_id, ",".join(paths), ["time" if told else "frame", "z", "y", "x"], [len(volumes), *first.shape], first.dtype,
+            said, warnings,
+        ))
     else:
         for path, v in zip(paths, volumes, strict=True):
             said = common(v) | {"vtk_title": v.title} | ({} if v.time is None else {"time_s": v.time})
             rows.append((path, path, ["z", "y", "x"], list(v.shape), v.dtype, said, []))
     made = [(*r[:5], {k: json.dumps(x) for k, x in r[5].items()}, r[6]) for r in rows]
-    return spark.createDataFrame(made, "dataset_id string, path string, axes array<string>, shape array<long>, dtype string, metadata map<string,string>, warnings array<string>")
+    return spark.createDataFrame(
+        made,
+        "dataset_id string, path string, axes array<string>, shape array<long>, dtype string, metadata map<string,string>, warnings array<string>",
+    )
 
 
 # --- the data source -------------------------------------------------------------------------------------------------

@@ -22,7 +22,10 @@ from framelake.operators.tile_stats import check_grid
 
 RUN = "run_id string, source string, frames string, dtype string, low double, high double, created timestamp, pipeline string"
 #: A stack's row in the catalog of its folder. data names the folder of the frames; the greatest version counts.
-CATALOG = "version long, data string, axes array<string>, counts array<long>, height int, width int, channels int, tile int, dtype string, metadata map<string,string>, warnings array<string>, created timestamp"
+CATALOG = (
+    "version long, data string, axes array<string>, counts array<long>, height int, width int, channels int, tile int, "
+    "dtype string, metadata map<string,string>, warnings array<string>, created timestamp"
+)
 
 
 def check_frames(frames: Frames, count: int | None = None) -> int:
@@ -128,10 +131,16 @@ def read_frames(spark: SparkSession, path: str) -> Frames:
     as_said = F.col(value).cast(f"array<{kind}>" if value == "pixels" else kind).alias(value)
     metadata = {k: json.loads(v) for k, v in row["metadata"].items()}
     size = (row["height"], row["width"], row["channels"], row["tile"])
-    return Frames(df.select(F.col("dataset_id").cast("string"), *columns[1:], as_said), *size, tuple(row["axes"]), tuple(row["counts"]), row["dtype"], metadata, tuple(row["warnings"]))
+    return Frames(
+        df.select(F.col("dataset_id").cast("string"), *columns[1:], as_said), *size, tuple(row["axes"]), tuple(row["counts"]),
+        row["dtype"], metadata, tuple(row["warnings"]),
+    )
 
 
-def run_record(spark: SparkSession, run_id: str, source: str, frames: tuple[int | None, int | None, int | None], dtype: str, low: float | None, high: float | None, pipeline: str) -> DataFrame:
+def run_record(
+    spark: SparkSession, run_id: str, source: str, frames: tuple[int | None, int | None, int | None], dtype: str,
+    low: float | None, high: float | None, pipeline: str,
+) -> DataFrame:
     """A runs row: what was made of which frames, by which pipeline (YAML), when."""
     said = yaml.safe_dump(dict(zip(("start", "stop", "step"), frames, strict=True)))
     return spark.createDataFrame([(run_id, source, said, dtype, low, high, datetime.now(UTC).replace(tzinfo=None), pipeline)], RUN)

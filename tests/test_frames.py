@@ -191,13 +191,18 @@ def test_vtk(spark, tmp_path):
     assert len(got) == 9 and df.rdd.getNumPartitions() == 9
     some = df.where("frame_no > 0 and frame_no <= 1 and h = 4")
     assert some.rdd.getNumPartitions() == 3 and {(r.frame_no, r.w) for r in some.collect()} == {(1, 5)}
-    assert sorted(r.frame_no for r in df.where(F.col("frame_no").isin(0, 2, 7)).collect()) == [0, 0, 0, 2, 2, 2] and df.where("frame_no = 9").count() == 0
+    assert sorted(r.frame_no for r in df.where(F.col("frame_no").isin(0, 2, 7)).collect()) == [
+        0, 0, 0, 2, 2, 2,
+    ] and df.where("frame_no = 9").count() == 0
     assert np.allclose(got["v_10.vtk", 2], (v + 10)[2].ravel())
     contents = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
     ranked = vtk.series_rank(vtk.catalog_of(contents)).orderBy("rank").collect()
     assert [r.time_s for r in ranked] == [0.5, 1.0, 5.0] and ranked[0].spacing == [3.0, 2.0, 1.0] and ranked[0].origin == [10.0, 0.0, 0.0]
     good = vtk.write_volume(v, "t", "frac")
-    for bad in (b"x" + good, good[:-30], good + b"123", good.replace(b"BINARY", b"ASCII"), good.replace(b"float 1", b"float 3"), good.replace(b"STRUCTURED_POINTS", b"RECTILINEAR_GRID"), good.replace(b"float 1", b"vec 1")):
+    for bad in (
+        b"x" + good, good[:-30], good + b"123", good.replace(b"BINARY", b"ASCII"), good.replace(b"float 1", b"float 3"),
+        good.replace(b"STRUCTURED_POINTS", b"RECTILINEAR_GRID"), good.replace(b"float 1", b"vec 1"),
+    ):
         with pytest.raises(FrameError):
             vtk.parse_header(bad[:4096], len(bad), "a.vtk")
 
@@ -218,7 +223,12 @@ def test_files(spark, tmp_path):
 def test_pipeline(spark, tmp_path):
     p = Pipeline([Step("invert", {"high": 100}), Step("median", {}, False), Step("clip", {"low": 5})])
     assert Pipeline.from_yaml(p.to_yaml()) == p
-    for bad, message in (([Step("median", {"size": 99})], r"Step 1 \(median\)"), ([Step("blur")], "unknown operation"), ([Step("clip", {"lo": 1})], "unknown parameters"), ([Step("crop", {"top": 1.5})], "whole number"), ([Step("invert", {"high": float("nan")})], "not a number"), ([Step("tone", {"black": 5, "white": 5})], "white point"), ([Step("flat_field")], "reference")):
+    for bad, message in (
+        ([Step("median", {"size": 99})], r"Step 1 \(median\)"), ([Step("blur")], "unknown operation"),
+        ([Step("clip", {"lo": 1})], "unknown parameters"), ([Step("crop", {"top": 1.5})], "whole number"),
+        ([Step("invert", {"high": float("nan")})], "not a number"), ([Step("tone", {"black": 5, "white": 5})], "white point"),
+        ([Step("flat_field")], "reference"),
+    ):
         with pytest.raises(FrameError, match=message):
             Pipeline(bad)
     with pytest.raises(FrameError):
@@ -315,7 +325,9 @@ def test_colour_frames_and_tables_of_ones_own(spark, tmp_path):
     path.write_text("\n".join(["cmap,index,r,g,b", *rows]))
     table = read_color_tables(spark, str(path))
     got = joins.apply_colormap(frames(spark, [[7.0, 250.0]]).df, table, "blue", 1).orderBy("x").collect()
-    assert [(r.r, r.g, r.b) for r in got] == [(0, 0, 7), (0, 0, 250)] and {r.cmap for r in table.select("cmap").distinct().collect()} == {"blue", "grey", "grey_inverted", "fire"}
+    assert [(r.r, r.g, r.b) for r in got] == [(0, 0, 7), (0, 0, 250)] and {r.cmap for r in table.select("cmap").distinct().collect()} == {
+        "blue", "grey", "grey_inverted", "fire",
+    }
     for bad in (rows[:-1], [*rows[:-1], rows[0]], [*rows[:-1], "blue,255,0,0,300"]):
         path.write_text("\n".join(["cmap,index,r,g,b", *bad]))
         with pytest.raises(FrameError, match="'blue'"):
@@ -331,7 +343,9 @@ def test_checksums_of_copies(spark):
     assert {r.path: r.problem for r in joins.verify_copies(a, b).collect()} == {"a": "md5", "b": "digest", "d": "size", "e": "missing", "f": "extra"}
     assert {r.path: r.problem for r in joins.verify_copies(a.drop("md5", "digest"), b).collect()} == {"d": "size", "e": "missing", "f": "extra"}
     content = spark.createDataFrame([("a", 1, bytearray(b"x"))], "path string, length long, content binary")
-    assert joins.digests(content, False).columns == ["path", "length", "md5"] and joins.digests(content).first().md5 == "9dd4e461268c8034f5c8564e155c67a6"
+    assert joins.digests(content, False).columns == [
+        "path", "length", "md5",
+    ] and joins.digests(content).first().md5 == "9dd4e461268c8034f5c8564e155c67a6"
     at = F.lit("2020-01-01 00:00:00").cast("timestamp")
     diff = joins.manifest_diff(a.drop("digest").withColumn("modified", at), b.where("path = 'a'").select("path", "length", at.alias("modified")))
     assert tuple(joins.copy_summary(diff).first()) == (4, 1, 0, 5, 3) and joins.copy_summary(diff, True).first().checksummed == 4
@@ -349,10 +363,15 @@ def test_sequences_are_checked(spark):
 
 @pytest.mark.parametrize("tiles", [False, True])
 def test_references_of_files(spark, tiles):
-    rows = [(f"r/{d}/{k}.tif", f, y, x, 0, float(10 * k + f)) for d, k, n in (("dark", 2, 1), ("dark", 10, 2), ("flat", 7, 1)) for f in range(n) for y in range(3) for x in range(4)]
+    rows = [
+        (f"r/{d}/{k}.tif", f, y, x, 0, float(10 * k + f)) for d, k,
+        n in (("dark", 2, 1), ("dark", 10, 2), ("flat", 7, 1)) for f in range(n) for y in range(3) for x in range(4)
+    ]
     px = spark.createDataFrame(rows, SCHEMA)
     stack = Frames(to_tiles(px, 2), 3, 4, tile=2) if tiles else Frames(px, 3, 4)
-    files = spark.createDataFrame([(p, p.rsplit("/", 1)[0], p.rsplit("/", 1)[1]) for p in {r[0] for r in rows}], "path string, folder string, name string")
+    files = spark.createDataFrame(
+        [(p, p.rsplit("/", 1)[0], p.rsplit("/", 1)[1]) for p in {r[0] for r in rows}], "path string, folder string, name string",
+    )
     refs = spark.createDataFrame([("dark", "r/dark"), ("flat", "r/flat/7.tif"), ("none", "r/other")], "reference string, entry string")
     named = sources_files.reference_files(refs, files)
     value = "pixels" if tiles else "value"
@@ -397,7 +416,11 @@ def test_tone_plan_is_small(spark):
 def test_saved_pipelines_with_faults():
     p = Pipeline.from_yaml("version: 1\nsteps:\n- op: median\n  params: {size: 5}\n- {op: invert, enabled: false}\n")
     assert [(s.operation, s.enabled) for s in p.steps] == [("median", True), ("invert", False)] and Pipeline.from_yaml(p.to_yaml()) == p
-    for text in ("a: [", "version: 2", "version: 1\nsteps: 3", "version: 1\nsteps: [3]", "version: 1\nsteps: [{params: {}}]", "version: 1\nsteps: [{op: clip, params: [1]}]", "version: 1\nsteps: [{op: clip, enabled: 2}]", "version: 1\nsteps: [{op: clip, what: 2}]", "version: 1\nsteps: [{op: nothing}]"):
+    for text in (
+        "a: [", "version: 2", "version: 1\nsteps: 3", "version: 1\nsteps: [3]", "version: 1\nsteps: [{params: {}}]",
+        "version: 1\nsteps: [{op: clip, params: [1]}]", "version: 1\nsteps: [{op: clip, enabled: 2}]",
+        "version: 1\nsteps: [{op: clip, what: 2}]", "version: 1\nsteps: [{op: nothing}]",
+    ):
         with pytest.raises(FrameError):
             Pipeline.from_yaml(text)
 

@@ -68,7 +68,9 @@ def test_round_trip_keeps_axes_and_metadata(spark, tmp_path, tile):
     path = str(tmp_path / "out")
     writers.write_frames(f, path)
     got = writers.read_frames(spark, path)
-    assert (got.axes, got.counts, got.shape, got.dtype, got.tile, got.warnings) == (("angle", "time", "y", "x"), (4, 3), (4, 3, 6, 5), "uint16", tile, ("late",))
+    assert (got.axes, got.counts, got.shape, got.dtype, got.tile, got.warnings) == (
+        ("angle", "time", "y", "x"), (4, 3), (4, 3, 6, 5), "uint16", tile, ("late",),
+    )
     assert got.metadata == {"energy_kev": 25.0, "nested": {"a": [1, None]}, "name": "é"} and (array(got) == FOUR).all()
     with pytest.raises(FrameError, match="already exists"):
         writers.write_frames(f, path)
@@ -91,7 +93,10 @@ def test_failed_writes_leave_what_was_there(spark, tmp_path, tile):
         writers.read_frames(spark, path)
     writers.write_frames(f, path)
     before = sorted(os.listdir(path))
-    fails = f.df.withColumn(value, F.when(F.col("frame_no") == 11, F.raise_error(F.lit("broken")).cast(f.df.schema[value].dataType)).otherwise(F.col(value)))
+    fails = f.df.withColumn(
+        value,
+        F.when(F.col("frame_no") == 11, F.raise_error(F.lit("broken")).cast(f.df.schema[value].dataType)).otherwise(F.col(value)),
+    )
     with pytest.raises(Exception, match="broken"):
         writers.write_frames(f.with_(fails), path, overwrite=True)
     assert sorted(os.listdir(path)) == before and (array(writers.read_frames(spark, path)) == FOUR).all()

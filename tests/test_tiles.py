@@ -99,7 +99,11 @@ def test_pipelines_on_tiles_equal_those_on_pixels(spark):
         [Step("flip"), Step("gaussian", {"sigma": 0.5}), Step("flip"), Step("flip"), Step("crop", {"top": 2}), Step("rotate")],
         [Step("flat_field", {"dark": ref, "flat": ref}), Step("clip", {"low": 0})],
         [Step("flat_field", {"dark": ref}), crop, Step("normalise", {"low_percentile": 5, "high_percentile": 80}), Step("threshold", {"value": 0.5})],
-        [Step("invert", {"high": 1}), Step("tone", {"black": -1, "white": 2, "contrast": 30, "curve": [[0, 0.1], [0.4, 0.3], [1, 0.9]]}), Step("rotate"), Step("rolling_ball", {"radius": 2}), crop],
+        [
+            Step("invert", {"high": 1}),
+            Step("tone", {"black": -1, "white": 2, "contrast": 30, "curve": [[0, 0.1], [0.4, 0.3], [1, 0.9]]}), Step("rotate"),
+            Step("rolling_ball", {"radius": 2}), crop,
+        ],
         [Step("median", {}, False)],
     ):
         p = Pipeline(steps)
@@ -120,8 +124,12 @@ def test_kernels_equal_columns(spark):
     curve = [[0.1, 0.3], [0.25, 0.2], [0.5, 0.6], [0.75, 0.7], [0.9, 1.0]]
     sliders = {"exposure": 0.5, "contrast": 25, "highlights": -40, "shadows": 20, "whites": 30, "blacks": -10}
     for g in (
-        fn.invert(0, 1), fn.clip(), fn.clip(low=0.2), fn.clip(0.1, 0.4), fn.threshold(0.5), fn.threshold(0.5, "below"), fn.tone_map(), fn.tone_map(**sliders, curve=curve),
-        fn.tone(-0.2, 1.2, **sliders), fn.to_uint8(0.1, 0.9), fn.to_uint8(1, 1), fn.to_uint8(0, 1, fn.tone_map(contrast=50)), fn.chain(fn.invert(0, 1), fn.clip(0, 1)),
+        fn.invert(0, 1), fn.clip(), fn.clip(low=0.2), fn.clip(0.1, 0.4), fn.threshold(0.5), fn.threshold(0.5, "below"), fn.tone_map(), fn.tone_map(
+            **sliders, curve=curve,
+        ),
+        fn.tone(-0.2, 1.2, **sliders), fn.to_uint8(0.1, 0.9), fn.to_uint8(1, 1), fn.to_uint8(
+            0, 1, fn.tone_map(contrast=50),
+        ), fn.chain(fn.invert(0, 1), fn.clip(0, 1)),
     ):
         assert g.kernels
         got = array(f.with_(pointwise(f.df, g)))[0, 0]
@@ -226,7 +234,10 @@ def test_grids_with_faults(spark):
     f = tiles(spark, np.zeros((2, 6, 7)), 4)
     by = ["dataset_id", "frame_no"]
     tile_stats.check_grid(f.df, f, by)
-    for bad in (f.df.where("ty > 0 or frame_no = 0"), f.df.unionByName(f.df.where("ty = 0 and tx = 0")), f.df.withColumn("x0", F.col("x0") + 1), f.df.withColumn("pixels", F.slice("pixels", 1, 3))):
+    for bad in (
+        f.df.where("ty > 0 or frame_no = 0"), f.df.unionByName(f.df.where("ty = 0 and tx = 0")),
+        f.df.withColumn("x0", F.col("x0") + 1), f.df.withColumn("pixels", F.slice("pixels", 1, 3)),
+    ):
         with pytest.raises(FrameError, match="6 x 7"):
             tile_stats.check_grid(bad, f, by)
     with pytest.raises(Exception, match="lacks pixels"):
@@ -240,13 +251,18 @@ def test_channels_stay_apart(spark):
     got = geometry.crop(geometry.rotate(f), 1, 0, 4, 0)
     tile_stats.check_grid(got.df, got, ["dataset_id", "frame_no"])
     want = geometry.crop(geometry.rotate(Frames(px, 5, 6, 3)), 1, 0, 4, 0)
-    assert sorted(map(tuple, to_pixels(got.df).collect())) == sorted(tuple(r[c] for c in ("dataset_id", "frame_no", "y", "x", "channel", "value")) for r in want.df.collect())
+    assert sorted(map(tuple, to_pixels(got.df).collect())) == sorted(tuple(r[c] for c in (
+        "dataset_id", "frame_no", "y", "x", "channel", "value",
+    )) for r in want.df.collect())
     assert neighbourhood.median_filter(f).df.count() == 12
 
 
 def test_medians_equal_sorting():
     rng = np.random.default_rng(8)
-    for size, rows, cols in ((1, 3, 4), (2, 9, 5), (3, 20, 31), (4, 7, 6), (5, 16, 9), (6, 10, 11), (7, 40, 33), (12, 15, 9), (21, 30, 40), (51, 20, 64)):
+    for size, rows, cols in (
+        (1, 3, 4), (2, 9, 5), (3, 20, 31), (4, 7, 6), (5, 16, 9), (6, 10, 11), (7, 40, 33), (12, 15, 9), (21, 30, 40),
+        (51, 20, 64),
+    ):
         for kind in ("real", "few", "nan", "inf"):
             block = rng.normal(size=(rows + size, cols + size))
             if kind == "few":

@@ -12,10 +12,16 @@ from framelake.sources import vtk
 VOLUME = (np.arange(60, dtype=np.float32) / 7).reshape(3, 4, 5)
 
 
-def content(volume=VOLUME, title="t = 0.45 s", kind="float", encoding="BINARY", after=b"\n", lines="ORIGIN 0 0 10\nSPACING 1 2 3\n\n", points=None) -> bytes:
+def content(
+    volume=VOLUME, title="t = 0.45 s", kind="float", encoding="BINARY", after=b"\n", lines="ORIGIN 0 0 10\nSPACING 1 2 3\n\n",
+    points=None,
+) -> bytes:
     nz, ny, nx = volume.shape
-    head = f"# vtk DataFile Version 3.0\n{title}\n{encoding}\nDATASET STRUCTURED_POINTS\nDIMENSIONS {nx} {ny} {nz}\n{lines}POINT_DATA {points or volume.size}\nSCALARS frac1 {kind}\nLOOKUP_TABLE default\n"
-    return head.encode() + volume.astype(volume.dtype.newbyteorder(">")).tobytes() + after
+    head = [
+        "# vtk DataFile Version 3.0", title, encoding, "DATASET STRUCTURED_POINTS", f"DIMENSIONS {nx} {ny} {nz}",
+        f"{lines}POINT_DATA {points or volume.size}", f"SCALARS frac1 {kind}", "LOOKUP_TABLE default", "",
+    ]
+    return "\n".join(head).encode() + volume.astype(volume.dtype.newbyteorder(">")).tobytes() + after
 
 
 def header(data: bytes) -> vtk.Volume:
@@ -40,10 +46,18 @@ def test_headers():
 @pytest.mark.parametrize(
     "data, message",
     [
-        (b"x" + content(), "not a legacy"), (content(encoding="ASCII"), "only BINARY"), (content(kind="float 3"), "3 components"), (content(kind="bit"), "unknown type"), (content(kind=""), "no SCALARS"),
-        (content(after=b"\nSCALARS conc1 float\nLOOKUP_TABLE default\n" + bytes(240)), "after its field"), (content()[:-21], "truncated"), (content(points=99), "doesn't fit"),
-        (content().replace(b"STRUCTURED_POINTS", b"RECTILINEAR_GRID"), "only STRUCTURED_POINTS"), (content(lines="FIELD a 1\n"), "not read: FIELD"), (content(lines="SPACING 1 2\n"), "SPACING"),
-        (content(lines="ORIGIN a b c\n"), "ORIGIN"), (content().replace(b"DIMENSIONS 5 4 3", b"CELLS 5 4 3"), "CELLS"), (content().replace(b"LOOKUP_TABLE", b"LOOKUPS"), "no LOOKUP_TABLE"),
+        (b"x" + content(), "not a legacy"), (
+            content(encoding="ASCII"), "only BINARY",
+        ), (content(kind="float 3"), "3 components"), (content(kind="bit"), "unknown type"), (content(kind=""), "no SCALARS"),
+        (
+            content(after=b"\nSCALARS conc1 float\nLOOKUP_TABLE default\n" + bytes(240)), "after its field",
+        ), (content()[:-21], "truncated"), (content(points=99), "doesn't fit"),
+        (
+            content().replace(b"STRUCTURED_POINTS", b"RECTILINEAR_GRID"), "only STRUCTURED_POINTS",
+        ), (content(lines="FIELD a 1\n"), "not read: FIELD"), (content(lines="SPACING 1 2\n"), "SPACING"),
+        (content(lines="ORIGIN a b c\n"), "ORIGIN"), (content().replace(b"DIMENSIONS 5 4 3", b"CELLS 5 4 3"), "CELLS"), (
+            content().replace(b"LOOKUP_TABLE", b"LOOKUPS"), "no LOOKUP_TABLE",
+        ),
     ],
 )
 def test_what_is_refused(data, message):
@@ -77,7 +91,10 @@ def test_series(spark, tmp_path):
     with pytest.raises(Exception, match="v_3.vtk is not on the same grid"):
         spark.read.format("vtk").option("series", "true").load(str(tmp_path)).count()
     assert spark.read.format("vtk").option("pattern", "v_?.vtk").load(str(tmp_path)).count() == 9
-    for bad in (lambda: vtk.matching_files(str(tmp_path), "*.raw"), lambda: vtk.describe(spark, []), lambda: vtk.read_header(str(tmp_path / "none.vtk"))):
+    for bad in (
+        lambda: vtk.matching_files(str(tmp_path), "*.raw"), lambda: vtk.describe(spark, []),
+        lambda: vtk.read_header(str(tmp_path / "none.vtk")),
+    ):
         with pytest.raises(FrameError, match="matches|no VTK|does not exist"):
             bad()
 
@@ -100,7 +117,8 @@ def test_stacks_need_one_grid(spark):
 def test_planes_beyond_two_gigabytes(spark, tmp_path):
     """A sparse file of 2.4 GB: only the plane asked for is read."""
     nx, ny, nz = 10_000, 10_000, 6
-    head = f"# vtk DataFile Version 3.0\nbig\nBINARY\nDATASET STRUCTURED_POINTS\nDIMENSIONS {nx} {ny} {nz}\nPOINT_DATA {nx * ny * nz}\nSCALARS a float\nLOOKUP_TABLE default\n".encode()
+    size = f"DIMENSIONS {nx} {ny} {nz}\nPOINT_DATA {nx * ny * nz}\n"
+    head = f"# vtk DataFile Version 3.0\nbig\nBINARY\nDATASET STRUCTURED_POINTS\n{size}SCALARS a float\nLOOKUP_TABLE default\n".encode()
     path = tmp_path / "big.vtk"
     with path.open("wb") as f:
         f.write(head)
