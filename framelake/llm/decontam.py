@@ -147,7 +147,13 @@ def _task(windows: Windows, keep_text: bool):
             search()
             text = batch.column("text") if keep_text else pa.nulls(n, pa.string())
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.record_batch([batch.column("doc_id"), text, pa.array(n_words), pa.array([merged(x) for x in spans], kind), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], names=["doc_id", "text", "n_words", "spans", "items"])
+            yield pa.record_batch(
+                [
+                    batch.column("doc_id"), text, pa.array(n_words), pa.array([merged(x) for x in spans], kind),
+                    pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "text", "n_words", "spans", "items"],
+            )
 
     return task
 
@@ -199,7 +205,11 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep_
     between: neither the driver nor a task ever holds more than one block.
     """
     none = "array()"
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr(f"cast({none} as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr(f"cast({none} as array<bigint>)").alias("items"))
+    out = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.lit(0).cast("long").alias("n_words"), F.expr(f"cast({none} as array<struct<start:bigint,end:bigint>>)").alias("spans"),
+        F.expr(f"cast({none} as array<bigint>)").alias("items"),
+    )
     named = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ITEM)).alias("item_id"), "text")
     for last, windows in _blocks(_pieces(named, width), width, block_chars):
         out = out.mapInArrow(_task(windows, keep_text or not last), SCHEMA)
@@ -211,7 +221,10 @@ def hit_digest(hits: DataFrame) -> DataFrame:
     """n_words, n_hit, n_items, items_sha256 (of the ids, sorted as strings, comma-joined) and contaminated by row."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
-    return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return hits.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
 
 
 def _clean_task(names: list[str], at: int):
@@ -246,7 +259,10 @@ def _drop_task(windows: Windows, names: list[str], at: int):
         for batch in batches:
             n = batch.num_rows
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            x = pa.record_batch([pa.array(range(n), pa.int64()), batch.column(at), pa.array([[]] * n, kind), pa.array([[]] * n, pa.list_(pa.int64()))], names=["doc_id", "text", "spans", "items"])
+            x = pa.record_batch(
+                [pa.array(range(n), pa.int64()), batch.column(at), pa.array([[]] * n, kind), pa.array([[]] * n, pa.list_(pa.int64()))],
+                names=["doc_id", "text", "spans", "items"],
+            )
             yield batch.filter(pa.array([not s for s in next(iter(search([x]))).column("spans").to_pylist()]))
 
     return task

@@ -22,7 +22,10 @@ BATCH_BYTES = 8 << 20
 
 PIECES = "array<struct<buffer: int, start: long, length: long>>"
 _PIECES = pa.list_(pa.struct([("buffer", pa.int32()), ("start", pa.int64()), ("length", pa.int64())]))
-_ARRANGED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("form", pa.string()), ("prefix_chars", pa.int64()), ("middle_chars", pa.int64()), ("pieces", _PIECES), ("output", pa.large_string()), ("output_sha256", pa.string())])
+_ARRANGED = pa.schema([
+    ("doc_id", pa.int64()), ("n", pa.int64()), ("form", pa.string()), ("prefix_chars", pa.int64()), ("middle_chars", pa.int64()),
+    ("pieces", _PIECES), ("output", pa.large_string()), ("output_sha256", pa.string()),
+])
 
 Piece = tuple[int, int, int]
 
@@ -161,7 +164,10 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def fill_in_middle(docs: DataFrame, seed: int = 7, rate: int = 100, spm_rate: int = 50, sentinels: tuple[str, str, str] = SENTINELS, texts: bool = True) -> DataFrame:
+def fill_in_middle(
+    docs: DataFrame, seed: int = 7, rate: int = 100, spm_rate: int = 50, sentinels: tuple[str, str, str] = SENTINELS,
+    texts: bool = True,
+) -> DataFrame:
     """doc_id, n, form, prefix_chars, middle_chars, pieces, output and output_sha256 of every row of docs (doc_id, text).
 
     A text's n lines are cut at two places drawn from the SHA-256 of seed and doc_id into prefix, middle and suffix; rate

@@ -53,7 +53,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         e = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = e.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
+        e = e.join(least, "a").select(F.explode(F.array(
+            F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
+        )).alias("x")).select("x.*").where("a <> b").distinct()
         e = cut(e)
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(e.select(F.col("b"), F.col("b"))).distinct()

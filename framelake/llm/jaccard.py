@@ -141,7 +141,10 @@ def _sets_task(n: int):
             for _, x in shingle_sets(b.column(1), n):
                 size.append(len(x))
                 dig.append(digest(x) if len(x) else None)
-            yield pa.record_batch([ids, pa.array(size, pa.int64()), pa.array(dig, pa.binary()), pa.array([None if d is None else _node(d) for d in dig], pa.int64())], names=["doc_id", "n_shingles", "digest", "node"])
+            yield pa.record_batch(
+                [ids, pa.array(size, pa.int64()), pa.array(dig, pa.binary()), pa.array([None if d is None else _node(d) for d in dig], pa.int64())],
+                names=["doc_id", "n_shingles", "digest", "node"],
+            )
 
     return task
 
@@ -306,11 +309,20 @@ def _pivot_task(n: int, num: int, den: int):
     radius = (den - num) / den
 
     def task(docs: pa.Table, pivots: pa.Table) -> pa.Table:
-        none = pa.table({"region": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "chars": pa.array([], pa.int64()), "cell": pa.array([], pa.int64()), "home": pa.array([], pa.bool_()), "linked": pa.array([], pa.bool_())})
+        none = pa.table({
+            "region": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "chars": pa.array([], pa.int64()),
+            "cell": pa.array([], pa.int64()), "home": pa.array([], pa.bool_()), "linked": pa.array([], pa.bool_()),
+        })
         if docs.num_rows == 0 or pivots.num_rows == 0:
             return none
         docs, pivots = docs.combine_chunks(), pivots.combine_chunks()
-        sets = [x for _, x in shingle_sets(pa.concat_arrays([docs.column("text").combine_chunks().cast(pa.string()), pivots.column("text").combine_chunks().cast(pa.string())]), n)]
+        sets = [
+            x for _,
+            x in shingle_sets(
+                pa.concat_arrays([docs.column("text").combine_chunks().cast(pa.string()), pivots.column("text").combine_chunks().cast(pa.string())]),
+                n,
+            )
+        ]
         m, sp = docs.num_rows, _Space(sets)
         pid = pivots.column("doc_id").to_numpy()
         dist, near = np.empty((len(pid), m)), np.empty((len(pid), m), bool)
@@ -323,7 +335,10 @@ def _pivot_task(n: int, num: int, den: int):
         j, i = np.nonzero(reach)
         take = docs.select(["region", "doc_id"]).take(pa.array(i))
         chars = pc.utf8_length(docs.column("text")).to_numpy()[i].astype(np.int64)
-        return pa.table({"region": take.column("region"), "doc_id": take.column("doc_id"), "chars": pa.array(chars), "cell": pa.array(pid[j]), "home": pa.array(home[i] == j), "linked": pa.array(near[j, i])})
+        return pa.table({
+            "region": take.column("region"), "doc_id": take.column("doc_id"), "chars": pa.array(chars), "cell": pa.array(pid[j]),
+            "home": pa.array(home[i] == j), "linked": pa.array(near[j, i]),
+        })
 
     return task
 
@@ -333,7 +348,9 @@ def _pivot_task(n: int, num: int, den: int):
 
 def shingle_table(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, digest (null for a text without words) and node (64 bits of the digest) of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sets_task(n), "doc_id long, n_shingles long, digest binary, node long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        _sets_task(n), "doc_id long, n_shingles long, digest binary, node long",
+    )
 
 
 def regions(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -363,7 +380,10 @@ def _shingle_rows_task(n: int):
         sizes = np.concatenate([np.zeros((part < 2).sum(), np.int64), size])
         for i in range(0, len(own), 50_000):
             j = slice(i, i + 50_000)
-            yield pa.record_batch([pa.array(own[j]), pa.array(doc[j], mask=part[j] == 1), pa.array(full[j]), pa.array(sizes[j])], names=["key", "doc_id", "shared", "size"])
+            yield pa.record_batch(
+                [pa.array(own[j]), pa.array(doc[j], mask=part[j] == 1), pa.array(full[j]), pa.array(sizes[j])],
+                names=["key", "doc_id", "shared", "size"],
+            )
 
     def task(batches):
         keys, docs, rows = [], [], 0
@@ -455,10 +475,16 @@ def _voronoi(rows: DataFrame, n: int, num: int, den: int, leaf_rows: int, leaf_b
         sized = rows.join(graph.small(count.withColumn("shares", shares)), "region")
         docs = sized.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int"))
         pivots = sized.where((draw < 2 * PIVOTS / F.col("n")) | (draw == F.col("least"))).withColumn("draw", draw)
-        pivots = pivots.groupBy("region", "shares").agg(F.slice(F.array_sort(F.collect_list(F.struct("draw", "doc_id", "text"))), 1, PIVOTS).alias("p"))
-        pivots = pivots.select("region", "shares", F.explode("p").alias("p")).select("region", "p.doc_id", "p.text", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+        pivots = pivots.groupBy("region", "shares").agg(F.slice(
+            F.array_sort(F.collect_list(F.struct("draw", "doc_id", "text"))), 1, PIVOTS,
+        ).alias("p"))
+        pivots = pivots.select("region", "shares", F.explode("p").alias("p")).select(
+            "region", "p.doc_id", "p.text", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
+        )
         pivots = graph.cut(pivots).select(*[F.col(c).alias(c) for c in pivots.columns])
-        dealt = docs.select("region", "share", "doc_id", "text").groupBy("region", "share").cogroup(pivots.groupBy("region", "share")).applyInArrow(_pivot_task(n, num, den), "region long, doc_id long, chars long, cell long, home boolean, linked boolean")
+        dealt = docs.select("region", "share", "doc_id", "text").groupBy("region", "share").cogroup(pivots.groupBy("region", "share")).applyInArrow(
+            _pivot_task(n, num, den), "region long, doc_id long, chars long, cell long, home boolean, linked boolean",
+        )
         dealt = graph.cut(dealt)
         to_pivot = dealt.where("linked and doc_id <> cell").select(F.col("doc_id").alias("a"), F.col("cell").alias("b"))
         links.append(to_pivot)
@@ -467,8 +493,12 @@ def _voronoi(rows: DataFrame, n: int, num: int, den: int, leaf_rows: int, leaf_b
         cells = cells.withColumn("kind", F.when(fits, "leaf").otherwise("again"))
         whole = cells.groupBy("region").agg(F.sum("n").alias("dealt"), F.max("n").alias("most"))
         parted = (F.col("dealt") <= 3 * F.col("was")) & (F.col("most") <= 0.7 * F.col("was")) & F.lit(depth < rounds - 1)
-        whole = whole.join(count.select("region", F.col("n").alias("was"), F.col("chars").alias("all_chars")), "region").select("region", "was", "all_chars", parted.alias("parted"))
-        cells = graph.cut(cells.join(whole, "region").withColumn("kind", F.when(F.col("parted"), F.col("kind")).otherwise("blocks")).select("region", "cell", "kind", "was", "all_chars"))
+        whole = whole.join(
+            count.select("region", F.col("n").alias("was"), F.col("chars").alias("all_chars")), "region",
+        ).select("region", "was", "all_chars", parted.alias("parted"))
+        cells = graph.cut(cells.join(whole, "region").withColumn(
+            "kind", F.when(F.col("parted"), F.col("kind")).otherwise("blocks"),
+        ).select("region", "cell", "kind", "was", "all_chars"))
         kinds = {r[0] for r in cells.select("kind").distinct().collect()}
         dealt = dealt.join(graph.small(cells), ["region", "cell"])
         texts = rows.select(F.col("region").alias("_r"), F.col("doc_id").alias("_d"), "text")
@@ -476,23 +506,33 @@ def _voronoi(rows: DataFrame, n: int, num: int, den: int, leaf_rows: int, leaf_b
         named = F.xxhash64("region", "cell").alias("region")
         if "leaf" in kinds:
             held = with_text(dealt.where("kind = 'leaf'"))
-            links.append(held.select(named, "doc_id", "text", F.lit(True).alias("probe"), F.lit(True).alias("within")).groupBy("region").applyInArrow(leaf, "a long, b long"))
+            links.append(held.select(
+                named, "doc_id", "text", F.lit(True).alias("probe"), F.lit(True).alias("within"),
+            ).groupBy("region").applyInArrow(leaf, "a long, b long"))
         if "blocks" in kinds:
             # pivots don't part this region: the largest class of sets that links to pivots join is one already, all others are compared with everything
             mine = graph.cut(dealt.where("kind = 'blocks' and home").select("region", "doc_id", "was", "all_chars").distinct())
             held_by = graph.cut(graph.components(to_pivot).withColumnRenamed("node", "doc_id"))
             mine = mine.join(graph.small(held_by), "doc_id", "left")
-            best = mine.where("component is not null").groupBy("region", "component").agg(F.count("*").alias("c")).groupBy("region").agg(F.max_by("component", F.struct("c", "component")).alias("best"))
-            mine = mine.join(graph.small(graph.cut(best)), "region", "left").withColumn("free", ~F.coalesce(F.col("component") == F.col("best"), F.lit(False)))
+            best = mine.where("component is not null").groupBy("region", "component").agg(F.count("*").alias("c")).groupBy("region").agg(F.max_by(
+                "component", F.struct("c", "component"),
+            ).alias("best"))
+            mine = mine.join(graph.small(graph.cut(best)), "region", "left").withColumn(
+                "free", ~F.coalesce(F.col("component") == F.col("best"), F.lit(False)),
+            )
             frees = graph.cut(mine.groupBy("region").agg(F.count(F.when(F.col("free"), 1)).alias("n_free")))
             parts = F.greatest(F.ceil(F.col("was") * 2 / leaf_rows), F.ceil(F.col("all_chars") * 8 / leaf_bytes)).cast("int")
-            mine = mine.join(graph.small(frees), "region").where("n_free > 0").withColumn("kx", parts).withColumn("kb", F.ceil(F.col("kx") * F.col("n_free") / F.col("was")).cast("int"))
+            mine = mine.join(graph.small(frees), "region").where("n_free > 0").withColumn("kx", parts).withColumn(
+                "kb", F.ceil(F.col("kx") * F.col("n_free") / F.col("was")).cast("int"),
+            )
             at = lambda k: F.pmod(F.xxhash64("doc_id"), F.col(k)).cast("int")
             every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
             left = with_text(mine)
             probes = left.where("free").select("region", at("kb").alias("i"), every("kx").alias("j"), "doc_id", "text", F.lit(True).alias("probe"))
             others = left.select("region", every("kb").alias("i"), at("kx").alias("j"), "doc_id", "text", F.lit(False).alias("probe"))
-            links.append(probes.unionByName(others).withColumn("within", F.lit(False)).groupBy("region", "i", "j").applyInArrow(leaf, "a long, b long"))
+            links.append(probes.unionByName(others).withColumn(
+                "within", F.lit(False),
+            ).groupBy("region", "i", "j").applyInArrow(leaf, "a long, b long"))
         if "again" not in kinds:
             return links
         rows = graph.cut(with_text(dealt.where("kind = 'again'")).select(named, "doc_id", "text"))
@@ -507,7 +547,9 @@ def _parted(texts: DataFrame, leaf_rows: int, leaf_bytes: int) -> tuple[DataFram
     return marked.where("not big").drop("big"), marked.where("big").drop("big"), sized.where("big").limit(1).count() > 0
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, leaf_rows: int = LEAF_ROWS, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
+def jaccard_classes(
+    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, leaf_rows: int = LEAF_ROWS, leaf_bytes: int = LEAF_BYTES,
+) -> DataFrame:
     """Classes of documents linked by Jaccard similarity of their word n-gram sets, num/den or more.
 
     docs: doc_id (integer), text and any other columns, which are ignored. Texts fold ASCII capitals and split at blanks and
@@ -529,7 +571,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         rest = graph.cut(linkable(rest, n, num, den))
         anew = graph.cut(regions(rest, n, num, den).select("node", F.col("component").alias("region")))
         anew = graph.cut(distinct.join(graph.small(anew), "node").select(F.col("rep").alias("doc_id"), "region"))
-        fit, rest, more = _parted(graph.cut(rest.drop("region").join(graph.small(anew), "doc_id").select("region", "doc_id", "text").distinct()), leaf_rows, leaf_bytes)
+        fit, rest, more = _parted(
+            graph.cut(rest.drop("region").join(graph.small(anew), "doc_id").select("region", "doc_id", "text").distinct()),
+            leaf_rows, leaf_bytes,
+        )
         links.append(leaf(fit))
     if more:
         links += _voronoi(graph.cut(rest.select("region", "doc_id", "text")), n, num, den, leaf_rows, leaf_bytes)
@@ -539,13 +584,18 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     joined = graph.cut(graph.components(pairs))
     joined = joined.where("node <> component").select(F.col("node").alias("rep"), "component")
     of_rep = distinct.join(graph.small(joined), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return sets.drop("node").join(of_rep, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "digest")
+    return sets.drop("node").join(of_rep, "digest", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        "digest",
+    )
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without those whose class has a lesser doc_id; of rows that repeat a doc_id one stays. Rows of null doc_id stay."""
     cols = docs.columns
-    cls = graph.cut(jaccard_classes(docs, n, num, den).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("copies")).where("c < doc_id or copies > 1"))
+    cls = graph.cut(jaccard_classes(docs, n, num, den).where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("component_id").alias("c"), F.count("*").alias("copies"),
+    ).where("c < doc_id or copies > 1"))
     out = docs.join(graph.small(cls.where("c < doc_id").select(F.col("doc_id").alias("_gone"))), F.col("doc_id") == F.col("_gone"), "left_anti")
     again = cls.where("c = doc_id and copies > 1").select(F.col("doc_id").alias("_again"))
     if again.limit(1).count():

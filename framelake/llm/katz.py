@@ -52,14 +52,19 @@ def unpack(blob: bytes) -> list[np.ndarray]:
         kind, item, n, size = struct.unpack_from("<cBqq", blob, at)
         at += struct.calcsize("<cBqq")
         dtype = np.dtype(f"{kind.decode()}{item}")
-        out.append(np.ascontiguousarray(np.frombuffer(z.decompress(blob[at : at + size]), np.uint8).reshape(item, n).T).reshape(-1).view(dtype) if n else np.zeros(0, dtype))
+        out.append(np.ascontiguousarray(np.frombuffer(
+            z.decompress(blob[at : at + size]), np.uint8,
+        ).reshape(item, n).T).reshape(-1).view(dtype) if n else np.zeros(0, dtype))
         at += size
     return out
 
 
 def _packets(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-    return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["block", "bucket", "kind", "blob"])
+    return pa.table(
+        [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())],
+        names=["block", "bucket", "kind", "blob"],
+    )
 
 
 class Block:
@@ -120,12 +125,24 @@ def _word_replies(table: pa.Table) -> pa.Table:
     total = np.bincount(at, np.concatenate([x[1] for x in asked]), len(words)).astype(np.uint64)
     sums = np.array([total.sum(), (total > 0).sum()], np.int64)
     stop = np.cumsum([len(x[0]) for x in asked])
-    return _packets([(k, bucket, 1, pack(total[at[e - len(x[0]) : e]].astype(np.uint32) if total.max(initial=0) < 1 << 32 else total[at[e - len(x[0]) : e]], sums)) for k, x, e in zip(blocks, asked, stop, strict=True)])
+    return _packets([
+        (
+            k, bucket, 1,
+            pack(total[at[e - len(x[0]) : e]].astype(np.uint32) if total.max(initial=0) < 1 << 32 else total[at[e - len(x[0]) : e]], sums),
+        ) for k,
+        x, e in zip(blocks, asked, stop, strict=True)
+    ])
 
 
 def _word_counts(replies: pa.Table) -> tuple[np.ndarray, int, int]:
     """Training counts in the order of the block's vocabulary, N and V."""
-    rows = sorted((b, x) for b, kind, x in zip(replies.column("bucket").to_pylist(), replies.column("kind").to_pylist(), replies.column("blob").to_pylist(), strict=True) if kind == 1)
+    rows = sorted(
+        (b, x) for b, kind,
+        x in zip(
+            replies.column("bucket").to_pylist(), replies.column("kind").to_pylist(), replies.column("blob").to_pylist(),
+            strict=True,
+        ) if kind == 1
+    )
     got = [unpack(x) for _, x in rows]
     sums = sum((g[1] for g in got), np.zeros(2, np.int64))
     return np.concatenate([g[0].astype(np.int64) for g in got]), int(sums[0]), int(sums[1])
@@ -162,7 +179,10 @@ def _pair_requests(n: int):
         rows = []
         for i, (ctx, own) in enumerate(_deal(b, context, word, count, total, n)):
             each = np.bincount(np.searchsorted(ctx, context[own]), minlength=len(ctx)).astype(np.uint32)
-            rows.append((block, i, 0, pack(b.vocab[ctx], each, b.vocab[word[own]] & W48, seen[own], count[word[own]].astype(np.uint32 if total < 1 << 32 else np.uint64))))
+            rows.append((
+                block, i, 0,
+                pack(b.vocab[ctx], each, b.vocab[word[own]] & W48, seen[own], count[word[own]].astype(np.uint32 if total < 1 << 32 else np.uint64)),
+            ))
         return _packets(rows)
 
     return task
@@ -225,7 +245,13 @@ def _score(n: int):
         count, total, types = _word_counts(replies)
         z = float(total + types + 1)
         context, word, _, of_token = b.pairs()
-        rows = sorted((i, x) for i, kind, x in zip(replies.column("bucket").to_pylist(), replies.column("kind").to_pylist(), replies.column("blob").to_pylist(), strict=True) if kind == 2)
+        rows = sorted(
+            (i, x) for i, kind,
+            x in zip(
+                replies.column("bucket").to_pylist(), replies.column("kind").to_pylist(), replies.column("blob").to_pylist(),
+                strict=True,
+            ) if kind == 2
+        )
         r, v = np.zeros(len(context), np.int64), len(b.vocab)
         by_r, big, lower, hist = np.zeros((GT, v)), np.zeros(v), np.zeros(v), np.zeros(GT + 1, np.int64)
         for (ctx, own), (_, blob) in zip(_deal(b, context, word, count, total, n), rows, strict=True):
@@ -247,7 +273,10 @@ def _score(n: int):
         base = np.log10((count + 1) / z)
         docs_n = len(b.n_tokens)
         sums = lambda x: np.bincount(b.doc, x, docs_n)
-        cols = [b.doc_id, pa.array(~b.train), pa.array(b.n_tokens), pa.array(sums(count[b.word] > 0).astype(np.int64)), pa.array(np.full(docs_n, total, np.int64)), pa.array(sums(base[b.word])), pa.array(sums(np.log10(p)[of_token]))]
+        cols = [
+            b.doc_id, pa.array(~b.train), pa.array(b.n_tokens), pa.array(sums(count[b.word] > 0).astype(np.int64)),
+            pa.array(np.full(docs_n, total, np.int64)), pa.array(sums(base[b.word])), pa.array(sums(np.log10(p)[of_token])),
+        ]
         return pa.table(cols, names=names)
 
     return task

@@ -158,7 +158,9 @@ class Scanner:
                         todo += [(last + 1, hi), (lo, first)]
                     elif hi - lo > 3 * len(template) // 2:  # several copies leave no unique words: overlapping halves have fewer
                         half, reach = (lo + hi) // 2, (3 * len(template) // 2 + 1) // 2
-                        todo += [(half - reach, hi), (lo, half + reach)] if hi - lo > 4 * reach else [(lo + (hi - lo) // 3, hi), (lo, hi - (hi - lo) // 3)]
+                        todo += [(half - reach, hi), (lo, half + reach)] if hi - lo > 4 * reach else [
+                            (lo + (hi - lo) // 3, hi), (lo, hi - (hi - lo) // 3),
+                        ]
             found += self._chains(template, need, kinds, p, s, d, found)
             taken = np.zeros(len(p), bool)
             for n, first, last in sorted(set(found), key=lambda x: (x[0], x[2] - x[1], x)):  # of results that overlap, the fullest and shortest

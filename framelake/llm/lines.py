@@ -59,7 +59,9 @@ def _places(max_edits: int, least: int | None) -> list[tuple[int, int, int, int]
     """(edits, characters less than the line, segment, offset) of every probe; those of no characters less and no offset
     are a line's own segments."""
     by_edits = range(1 if least is None else max_edits, max_edits + 1)
-    return [(e, less, i, off) for e in by_edits for less in range(e + 1) for i in range(e + 1) for off in range(max(-i, less - (e - i)), min(i, less + (e - i)) + 1)]
+    return [(e, less, i, off) for e in by_edits for less in range(e + 1) for i in range(e + 1) for off in range(
+        max(-i, less - (e - i)), min(i, less + (e - i)) + 1,
+    )]
 
 
 def _key(line: Column, place: tuple[int, int, int, int], max_edits: int, least: int | None) -> Column:
@@ -103,7 +105,16 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
             def vertical(pm: Column) -> Column:
                 d0 = (pm.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(pm).bitwiseOR(s["vn"]).bitwiseAND(F.lit(mask))
-                return let(d0, lambda d: let(F.struct(d.alias("d0"), s["vn"].bitwiseOR(no(d.bitwiseOR(s["vp"]))).alias("hp"), d.bitwiseAND(s["vp"]).alias("hn"), F.shiftright(d, 1).alias("x")), settle))
+                return let(
+                    d0,
+                    lambda d: let(
+                        F.struct(
+                            d.alias("d0"), s["vn"].bitwiseOR(no(d.bitwiseOR(s["vp"]))).alias("hp"),
+                            d.bitwiseAND(s["vp"]).alias("hn"), F.shiftright(d, 1).alias("x"),
+                        ),
+                        settle,
+                    ),
+                )
 
             def settle(h: Column) -> Column:
                 row = F.greatest(m - j + edits, F.lit(0))
@@ -133,7 +144,9 @@ PARTS = {1: 2, 2: 3}
 
 def _gaps(rows: DataFrame, max_edits: int, least: int | None) -> DataFrame:
     """rows (y, place, line) with the gaps that their segments leave; rows of more edits than two gaps can hold have none."""
-    places = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("edits", "less", "i", "off"), p, strict=True)]) for p in _places(max_edits, least)])
+    places = F.array(*[F.struct(*[
+        F.lit(v).alias(k) for k, v in zip(("edits", "less", "i", "off"), p, strict=True)
+    ]) for p in _places(max_edits, least)])
     rows = rows.withColumn("p", F.get(places, F.col("place")))
     n = F.length("line") - F.col("p.less")
     start, size = segment(n, F.col("p.i"), F.col("p.edits") + 1)
@@ -144,7 +157,9 @@ def _gaps(rows: DataFrame, max_edits: int, least: int | None) -> DataFrame:
     return rows.select(
         "key", "y", "line",
         pick(F.col("e0"), zero, zero).alias("lo1"), pick(F.col("n"), F.col("s0"), F.col("s0")).alias("hi1"), pick(e, e, i).alias("k1"),
-        pick(F.col("n"), F.col("s0"), F.col("e0")).alias("lo2"), pick(F.col("n"), F.col("s0"), F.col("n")).alias("hi2"), pick(zero, zero, e - i).alias("k2"),
+        pick(
+            F.col("n"), F.col("s0"), F.col("e0"),
+        ).alias("lo2"), pick(F.col("n"), F.col("s0"), F.col("n")).alias("hi2"), pick(zero, zero, e - i).alias("k2"),
         pick(less, less, F.col("p.off")).alias("s1"), less.alias("less"), ((less == 0) & (F.col("p.off") == 0)).alias("own"),
     )
 
@@ -162,7 +177,10 @@ def _finer(rows: DataFrame) -> DataFrame:
     for a in range(PARTS[1]):
         child(one & (at(1, a) < at(1, a + 1)), at(1, a), at(1, a + 1), F.lit(1), at(1, a + 1), at(1, a + 1), none, col("less"), col("own"))
     for a in range(PARTS[2] - 1):
-        child(two & (at(1, a, 2) < at(1, a + 2, 2)), at(1, a, 2), at(1, a + 2, 2), F.lit(2), at(1, a + 2, 2), at(1, a + 2, 2), none, col("less"), col("own"))
+        child(
+            two & (at(1, a, 2) < at(1, a + 2, 2)), at(1, a, 2), at(1, a + 2, 2), F.lit(2), at(1, a + 2, 2), at(1, a + 2, 2), none,
+            col("less"), col("own"),
+        )
         for b in range(a + 2, PARTS[2]):
             for s in (-1, 0, 1):
                 ok = two & (at(1, a, 2) < at(1, a + 1, 2)) & (at(1, b, 2) < at(1, b + 1, 2)) & (F.abs(col("less") - s) <= 1)
@@ -198,10 +216,16 @@ def _refined_pairs(hot: DataFrame, texts: DataFrame, max_edits: int, least: int
     while True:
         rows = _finer(rows.drop("key").join(lines.drop("s"), "y"))
         rows = graph.cut(rows.dropDuplicates(["key", "y", "own"]))
-        size = rows.groupBy("key").agg(F.count(F.when(F.col("own"), 1)).alias("m"), F.count("*").alias("all"), F.min(F.when(F.col("own"), F.col("y"))).alias("lead"), F.max((F.col("hi1") - F.col("lo1") <= F.col("k1")) & (F.col("hi2") - F.col("lo2") <= F.col("k2"))).alias("last"))
+        size = rows.groupBy("key").agg(
+            F.count(F.when(F.col("own"), 1)).alias("m"), F.count("*").alias("all"),
+            F.min(F.when(F.col("own"), F.col("y"))).alias("lead"),
+            F.max((F.col("hi1") - F.col("lo1") <= F.col("k1")) & (F.col("hi2") - F.col("lo2") <= F.col("k2"))).alias("last"),
+        )
         size = graph.cut(size.where("m > 0 and all > 1"))
         rows = rows.join(size, "key")
-        pairs.append(rows.where("last and m > {0} and y <> lead".format(BUCKET)).select(F.least("lead", "y").alias("x"), F.greatest("lead", "y").alias("y")))
+        pairs.append(rows.where("last and m > {0} and y <> lead".format(BUCKET)).select(
+            F.least("lead", "y").alias("x"), F.greatest("lead", "y").alias("y"),
+        ))
         few = rows.where(f"m <= {BUCKET}").select("key", "y", "own").join(lines.select("y", "s"), "y")
         pairs.append(_bucket_pairs(few, max_edits))
         rows = graph.cut(rows.where(f"m > {BUCKET} and not last").drop("m", "all", "lead", "last"))
@@ -211,7 +235,10 @@ def _refined_pairs(hot: DataFrame, texts: DataFrame, max_edits: int, least: int
 
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, pos (from 0), line of every line of every text; a null text has none."""
-    return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line"))
+    return docs.where("text is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line"),
+    )
 
 
 def _ids(lines: DataFrame) -> DataFrame:
@@ -225,18 +252,26 @@ def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int, least: int |
     allowed; None for one edit for each 20 characters. Lines that are not frequent give their keys wherever they stand; of
     the frequent ones, fewer than FREQUENT in all, only the first place does."""
     total = firsts.agg(F.sum("n")).first()[0] or 0
-    often = firsts.where(F.col("n") * FREQUENT > total).where("n > 1").select(F.col("a").alias("fa"), F.col("doc_id").alias("fd"), F.col("pos").alias("fp"))
+    often = firsts.where(F.col("n") * FREQUENT > total).where("n > 1").select(
+        F.col("a").alias("fa"), F.col("doc_id").alias("fd"), F.col("pos").alias("fp"),
+    )
     lines = _ids(line_table(docs.where("doc_id is not null"))).where(F.length("line") >= (MIN_CHARS if least is None else least))
     lines = lines.join(F.broadcast(often), F.col("a") == F.col("fa"), "left").where("fa is null or (doc_id = fd and pos = fp)")
     # no filter on the arrays: Spark would interpret the keys in it
-    index = lines.select(F.explode(index_keys(F.col("line"), max_edits, least)).alias("key"), "a").where("key is not null").groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high"))
-    probes = lines.select(F.posexplode(probe_keys(F.col("line"), max_edits, least)).alias("place", "key"), F.col("a").alias("y")).where("key is not null")
+    index = lines.select(
+        F.explode(index_keys(F.col("line"), max_edits, least)).alias("key"), "a",
+    ).where("key is not null").groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high"))
+    probes = lines.select(
+        F.posexplode(probe_keys(F.col("line"), max_edits, least)).alias("place", "key"), F.col("a").alias("y"),
+    ).where("key is not null")
     hits = graph.cut(probes.join(index.hint("shuffle_hash"), "key").where("low <> high or y <> low").distinct())
     single = hits.where("low = high").select(F.least("low", "y").alias("x"), F.greatest("low", "y").alias("y"))
     several = hits.where("low <> high").select("key", "y", "place")
     ids = graph.cut(single.select("x").union(single.select("y")).union(several.select("y")).distinct().withColumnRenamed("x", "a"))
     places = graph.cut(firsts.join(graph.small(ids), "a").select("a", "doc_id", "pos"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(graph.small(places), "doc_id").select("a", F.get(F.split(F.col("text"), "\n", -1), F.col("pos")).alias("line"))
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+    ).join(graph.small(places), "doc_id").select("a", F.get(F.split(F.col("text"), "\n", -1), F.col("pos")).alias("line"))
     texts = texts.where(F.xxhash64("line") == F.col("a")).dropDuplicates(["a"])  # rows of one doc_id may differ
     texts = graph.cut(texts.withColumn("s", signature(F.col("line"))))
     own = [no for no, p in enumerate(_places(max_edits, least)) if p[1] == p[3] == 0]
@@ -252,7 +287,9 @@ def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int, least: int |
     for x in found[1:]:
         pairs = pairs.union(x)
     pairs = graph.cut(pairs.distinct())
-    both = pairs.join(texts.select(F.col("a").alias("x"), F.col("line").alias("lx")), "x").join(texts.select(F.col("a").alias("y"), F.col("line").alias("ly")), "y")
+    both = pairs.join(
+        texts.select(F.col("a").alias("x"), F.col("line").alias("lx")), "x",
+    ).join(texts.select(F.col("a").alias("y"), F.col("line").alias("ly")), "y")
     # Spark's own banded distance is compiled; `within_edits` gives the same answers in interpreted lambdas
     off = F.levenshtein("lx", "ly", max_edits)
     near = (off >= 0) & (off <= (F.lit(max_edits) if least is not None else edits_for(F.least(F.length("lx"), F.length("ly")), max_edits)))
@@ -271,10 +308,16 @@ def kept_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS,
     """
     chars = F.length("line")
     docs = docs.select("doc_id", "text")
-    lines = graph.cut(_ids(line_table(docs.where("doc_id is not null"))).withColumns({"long_": chars >= (1 if whole else min_chars), "near_": chars >= min_chars}).drop("line"))
-    firsts = lines.where("long_").groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("near_").alias("near_"), F.count("*").alias("n"))
+    lines = graph.cut(_ids(line_table(docs.where("doc_id is not null"))).withColumns({
+        "long_": chars >= (1 if whole else min_chars), "near_": chars >= min_chars,
+    }).drop("line"))
+    firsts = lines.where("long_").groupBy("a", "b").agg(
+        F.min(F.struct("doc_id", "pos")).alias("first"), F.first("near_").alias("near_"), F.count("*").alias("n"),
+    )
     firsts = graph.cut(firsts.select("a", "b", "first.doc_id", "first.pos", "near_", "n"))
-    cls = graph.cut(near_lines(docs, firsts.where("near_").drop("near_"), max_edits, min_chars if whole else None).select(F.col("node").alias("a"), "component"))
+    cls = graph.cut(near_lines(
+        docs, firsts.where("near_").drop("near_"), max_edits, min_chars if whole else None,
+    ).select(F.col("node").alias("a"), "component"))
     members = firsts.select("a", "b", "doc_id", "pos").join(graph.small(cls), "a")
     leads = members.groupBy("component").agg(F.min(F.struct("doc_id", "pos")).alias("lead"))
     led = graph.cut(members.join(leads, "component").select(F.col("a").alias("la"), F.col("b").alias("lb"), "lead"))
@@ -291,11 +334,17 @@ def kept_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS,
 def line_digest(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS, whole: bool = True) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near (lines that go) and kept_sha256 (positions that stay, comma-joined) of every document."""
     n = lambda c: F.sum(F.col(c).cast("long"))
-    by_doc = kept_lines(docs, max_edits, min_chars, whole).groupBy("doc_id").agg(F.count("*").alias("n_lines"), n("exact").alias("n_exact"), n("near").alias("n_near"), F.array_sort(F.collect_set(F.when(F.col("kept"), F.col("pos")))).alias("at"))
+    by_doc = kept_lines(docs, max_edits, min_chars, whole).groupBy("doc_id").agg(
+        F.count("*").alias("n_lines"), n("exact").alias("n_exact"), n("near").alias("n_near"),
+        F.array_sort(F.collect_set(F.when(F.col("kept"), F.col("pos")))).alias("at"),
+    )
     by_doc = by_doc.withColumn("kept_sha256", F.sha2(F.array_join("at", ","), 256)).drop("at")
     rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     zero = F.lit(0).cast("long")
-    return rest.join(by_doc, "doc_id", "left").select("doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_exact", zero).alias("n_exact"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("kept_sha256", F.sha2(F.lit(""), 256)).alias("kept_sha256"))
+    return rest.join(by_doc, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_exact", zero).alias("n_exact"),
+        F.coalesce("n_near", zero).alias("n_near"), F.coalesce("kept_sha256", F.sha2(F.lit(""), 256)).alias("kept_sha256"),
+    )
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = MIN_CHARS, whole: bool = True) -> DataFrame:

@@ -77,11 +77,18 @@ def mixing_plan(drawn: DataFrame, weights: Sequence[int] = (3, 1, 2), share: flo
     running = Window.partitionBy("source").orderBy("_bucket")
     edge = buckets.withColumn("upto", F.sum("n").over(running)).withColumn("before", F.col("upto") - F.col("n"))
     plan = filled.select(F.col("source").alias("_s"), "rest")
-    edge = edge.join(plan, F.col("source").eqNullSafe(F.col("_s"))).where("before <= rest and rest < upto").select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "before", "rest")
-    inside = x.join(F.broadcast(edge) if filled.limit(20_001).count() <= 20_000 else edge, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    edge = edge.join(plan, F.col("source").eqNullSafe(F.col("_s"))).where("before <= rest and rest < upto").select(
+        F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "before", "rest",
+    )
+    inside = x.join(
+        F.broadcast(edge) if filled.limit(20_001).count() <= 20_000 else edge,
+        F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")),
+    )
     upto = F.sum("_size").over(Window.partitionBy("source").orderBy("_draw", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     near = inside.withColumn("_upto", F.col("before") + upto).where("_upto - _size / 2 <= rest")
-    cuts = edge.select(F.col("_s").alias("_e"), "_b").join(near.groupBy(F.col("source").alias("_n")).agg(F.max("_draw").alias("_cut")), F.col("_e").eqNullSafe(F.col("_n")), "left").select("_e", F.coalesce("_cut", "_b").alias("cut"))
+    cuts = edge.select(F.col("_s").alias("_e"), "_b").join(
+        near.groupBy(F.col("source").alias("_n")).agg(F.max("_draw").alias("_cut")), F.col("_e").eqNullSafe(F.col("_n")), "left",
+    ).select("_e", F.coalesce("_cut", "_b").alias("cut"))
     out = filled.join(cuts, F.col("source").eqNullSafe(F.col("_e")), "left")
     return out.select("source", F.col("size").alias("source_size"), "target", "whole", F.coalesce("cut", F.lit("")).alias("cut"))
 
@@ -91,7 +98,9 @@ def with_repetitions(drawn: DataFrame, plan: DataFrame) -> DataFrame:
     p = plan.withColumnRenamed("source", "_source")
     p = F.broadcast(p) if p.limit(20_001).count() <= 20_000 else p
     out = drawn.join(p, F.col("source").eqNullSafe(F.col("_source")))
-    return out.withColumn("repetitions", F.col("whole") + ((F.col("_draw") <= F.col("cut")) & (F.col("_size") > 0)).cast("long")).drop("_source", "whole", "cut")
+    return out.withColumn(
+        "repetitions", F.col("whole") + ((F.col("_draw") <= F.col("cut")) & (F.col("_size") > 0)).cast("long"),
+    ).drop("_source", "whole", "cut")
 
 
 def mixture_table(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
@@ -101,9 +110,15 @@ def mixture_table(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: fl
     times all words, no source beyond `cap` times its own. A null text has size 0; a source without words has target 0; rows
     that repeat a doc_id in a source have one draw and stay together as far as the target's edge; an empty table gives none.
     """
-    drawn = graph.cut(with_draw(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")), seed).drop("text"))
+    drawn = graph.cut(with_draw(
+        docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")),
+        seed,
+    ).drop("text"))
     out = with_repetitions(drawn, graph.cut(mixing_plan(drawn, weights, share, cap)))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("repetitions")).alias("taken"))
+    return out.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target",
+        (F.col("_size") * F.col("repetitions")).alias("taken"),
+    )
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:

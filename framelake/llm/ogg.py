@@ -157,7 +157,10 @@ def decode(data: bytes) -> tuple[bytes, dict]:
     above = x >= 128
     peaks = [max(p) for s, ps in streams.items() if s != main for p, _ in ps[1:]]
     ms = [e * 1000 // rate for e in ends] or [0]
-    return samples, {"streams": len(streams), "packets": len(packets) - 1, "marks": marks, "gap": gap, "ms": ms[-1], "mid": ms[len(ms) // 2], "sum": int(x.sum(dtype=np.int64)), "peak": max(peaks, default=0), "crossings": int((above[1:] != above[:-1]).sum())}
+    return samples, {
+        "streams": len(streams), "packets": len(packets) - 1, "marks": marks, "gap": gap, "ms": ms[-1], "mid": ms[len(ms) // 2],
+        "sum": int(x.sum(dtype=np.int64)), "peak": max(peaks, default=0), "crossings": int((above[1:] != above[:-1]).sum()),
+    }
 
 
 def padded(text: bytes) -> bytes:
@@ -170,7 +173,13 @@ def _encode_task(batches):
         raw = [(x or "").encode() for x in batch.column(1).to_pylist()]
         for i in range(0, len(raw), 256):
             part = raw[i : i + 256]
-            yield pa.record_batch([batch.column(0).slice(i, 256), pa.array([len(x) for x in part], pa.int64()), pa.array([encode(padded(x)) for x in part], pa.large_binary())], names=["doc_id", "n_bytes", "media"])
+            yield pa.record_batch(
+                [
+                    batch.column(0).slice(i, 256), pa.array([len(x) for x in part], pa.int64()),
+                    pa.array([encode(padded(x)) for x in part], pa.large_binary()),
+                ],
+                names=["doc_id", "n_bytes", "media"],
+            )
 
 
 def text_to_media(docs: DataFrame) -> DataFrame:
@@ -178,7 +187,9 @@ def text_to_media(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text, others ignored. A null text is empty; texts may be of any length; repeated rows are treated alike;
     an empty table gives none."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode_task, "doc_id long, n_bytes long, media binary")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+    ).mapInArrow(_encode_task, "doc_id long, n_bytes long, media binary")
 
 
 FEATURE = "streams={streams} packets={packets} marks={marks} gap={gap} ms={ms} mid={mid} sum={sum} peak={peak} crossings={crossings}"
@@ -201,9 +212,15 @@ def _features_task(batches):
             out["media_sha256"].append(hashlib.sha256(m).hexdigest())
             out["feature"].append(FEATURE.format(**f))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]], names=["doc_id", "n_bytes", *out])
+        yield pa.record_batch(
+            [batch.column(0), batch.column(1), *[pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]],
+            names=["doc_id", "n_bytes", *out],
+        )
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """Features of Ogg media read from a column `media` (with doc_id, n_bytes); null media give nulls; broken media raise."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features_task, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(
+        _features_task,
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+    )

@@ -163,7 +163,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     A doc_id counts once for each label it has, however many rows of docs or labels repeat it; of its different texts the
     one with the least statistics is taken. So what comes to the driver is bounded by `sample_rows` alone.
     """
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).distinct()
+    usable = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"),
+    ).where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).distinct()
     n = usable.count()
     if n > sample_rows:
         usable = usable.where(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))

@@ -84,12 +84,18 @@ def _entropy_span(match: Column) -> Column:
     words = range(-(-len(ALPHABET) // COUNTERS))
 
     def counter(ch: Column) -> Column:
-        return let(F.element_at(places, F.ascii(ch) + 1), lambda p: F.struct(F.floor(p / COUNTERS).cast("int").alias("word"), (p % COUNTERS * 5).alias("bit")))
+        return let(
+            F.element_at(places, F.ascii(ch) + 1),
+            lambda p: F.struct(F.floor(p / COUNTERS).cast("int").alias("word"), (p % COUNTERS * 5).alias("bit")),
+        )
 
     def moved(counts: Column, c: Column, by: int, use) -> Column:
         """use(count of c before, counts after)."""
         now = F.call_function("shiftright", F.get(counts, c["word"]), c["bit"]).bitwiseAND(F.lit(31))
-        changed = F.transform(counts, lambda w, k: F.when(k == c["word"], w + F.call_function("shiftleft", F.lit(by).cast("long"), c["bit"])).otherwise(w))
+        changed = F.transform(
+            counts, lambda w,
+            k: F.when(k == c["word"], w + F.call_function("shiftleft", F.lit(by).cast("long"), c["bit"])).otherwise(w),
+        )
         return let(F.struct(now.alias("n"), changed.alias("counts")), lambda x: use(x["n"], x["counts"]))
 
     def window(given: Column) -> Column:
@@ -100,18 +106,30 @@ def _entropy_span(match: Column) -> Column:
                 hot = (i >= WINDOW - 1) & (total <= given["most"])
                 at = (i - (WINDOW - 1)).cast("long")
                 first = F.when(hot & (state["first"] < 0), at).otherwise(state["first"])
-                return F.struct(total.alias("sum"), counts.alias("counts"), first.alias("first"), F.when(hot, at).otherwise(state["last"]).alias("last"))
+                return F.struct(
+                    total.alias("sum"), counts.alias("counts"), first.alias("first"),
+                    F.when(hot, at).otherwise(state["last"]).alias("last"),
+                )
 
             def enter(total: Column, counts: Column) -> Column:
                 return moved(counts, F.get(given["chars"], i), 1, lambda n, after: settle(total + weight(n + 1) - weight(n), after))
 
-            left = moved(state["counts"], F.get(given["chars"], i - WINDOW), -1, lambda n, after: F.struct((state["sum"] + weight(n - 1) - weight(n)).alias("sum"), after.alias("counts")))
+            left = moved(
+                state["counts"], F.get(given["chars"], i - WINDOW), -1, lambda n,
+                after: F.struct((state["sum"] + weight(n - 1) - weight(n)).alias("sum"), after.alias("counts")),
+            )
             before = F.when(i >= WINDOW, left).otherwise(F.struct(state["sum"].alias("sum"), state["counts"].alias("counts")))
             return let(before, lambda x: enter(x["sum"], x["counts"]))
 
         zero = F.lit(0).cast("long")
-        start = F.struct(zero.alias("sum"), F.array(*[zero for _ in words]).alias("counts"), F.lit(-1).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(given["chars"]) - 1), start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+        start = F.struct(
+            zero.alias("sum"), F.array(*[zero for _ in words]).alias("counts"), F.lit(-1).cast("long").alias("first"),
+            F.lit(-1).cast("long").alias("last"),
+        )
+        return F.aggregate(
+            F.sequence(F.lit(0), F.size(given["chars"]) - 1), start, step,
+            lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")),
+        )
 
     return let(F.struct(F.transform(F.split(match, ""), counter).alias("chars"), most.alias("most")), window)
 
@@ -139,7 +157,13 @@ def with_secrets(docs: DataFrame, name: str = "secrets") -> DataFrame:
     kinds[names[3]] = _located(text, CANDIDATE, _candidate)
     named = lambda no: F.transform(F.col(names[no]), lambda x: F.struct(x["start"].alias("start"), F.lit(no).alias("kind_no"), F.lit(KINDS[no]).alias("kind"), x["stop"].alias("stop")))
     hot = F.transform(F.col(names[3]), lambda x: F.struct(x["start"].alias("at"), _entropy_span(x["match"]).alias("w")))
-    spans = F.transform(F.filter(hot, lambda x: x["w"]["first"] >= 0), lambda x: F.struct((x["at"] + x["w"]["first"]).alias("start"), F.lit(3).alias("kind_no"), F.lit(KINDS[3]).alias("kind"), (x["at"] + x["w"]["last"] + WINDOW).alias("stop")))
+    spans = F.transform(
+        F.filter(hot, lambda x: x["w"]["first"] >= 0),
+        lambda x: F.struct(
+            (x["at"] + x["w"]["first"]).alias("start"), F.lit(3).alias("kind_no"), F.lit(KINDS[3]).alias("kind"),
+            (x["at"] + x["w"]["last"] + WINDOW).alias("stop"),
+        ),
+    )
     out = docs.withColumns(kinds).withColumn(base_name, F.concat(named(0), named(1), named(2))).withColumn(hot_name, spans)
     more = F.filter(hot_name, lambda x: ~F.exists(base_name, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
     return out.withColumn(name, F.array_sort(F.concat(base_name, more))).drop(*names, base_name, hot_name)
@@ -151,7 +175,10 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     said = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     n = lambda no: F.size(F.filter("secrets", lambda s: s["kind_no"] == no)).cast("long")
     base = F.filter("secrets", lambda s: s["kind_no"] < 3)
-    return out.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("secrets")).alias("spans"))
+    return out.select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+        F.sha2(said(base), 256).alias("base_sha256"), said(F.col("secrets")).alias("spans"),
+    )
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
@@ -163,7 +190,10 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     def step(state: Column, s: Column) -> Column:
         gap = F.array(F.struct(state["at"].alias("start"), s["start"].alias("stop")))
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(s["start"] >= state["at"], F.concat(state["gaps"], gap)).otherwise(state["gaps"]).alias("gaps"))
+        return F.struct(
+            F.greatest(state["at"], s["stop"]).alias("at"),
+            F.when(s["start"] >= state["at"], F.concat(state["gaps"], gap)).otherwise(state["gaps"]).alias("gaps"),
+        )
 
     def joined(done: Column) -> Column:
         kept = F.transform(done["gaps"], lambda g: F.substr(text, (g["start"] + 1).cast("int"), (g["stop"] - g["start"]).cast("int")))

@@ -200,7 +200,10 @@ def _probes(words: DataFrame, symbols: int) -> DataFrame:
                     keys, counts = neighbourhood(codes[a : a + step], table, symbols)
                     probe = np.repeat(ids[rows[a : a + step]], counts)
                     for b in range(0, len(keys), BLOCK):
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[b : b + BLOCK].view(np.int64)), pa.array(probe[b : b + BLOCK])], names=["key", "probe"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(keys[b : b + BLOCK].view(np.int64)), pa.array(probe[b : b + BLOCK])],
+                            names=["key", "probe"],
+                        )
 
     return words.select("id", "word").mapInArrow(task, "key long, probe long")
 
@@ -240,13 +243,17 @@ def follow(links: DataFrame) -> DataFrame:
     now = graph.cut(links)
     while True:
         onward = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        moved = graph.cut(now.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        moved = graph.cut(now.join(onward, "root", "left").select(
+            "word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"),
+        ))
         if not moved.where("moved").limit(1).count():
             return now
         now = moved.drop("moved")
 
 
-def spelling_variants(docs: DataFrame, least_chars: int = 6, least_count: int = 5, ratio: int = 5, every: int = 199, most: int = MOST_WORDS) -> DataFrame:
+def spelling_variants(
+    docs: DataFrame, least_chars: int = 6, least_count: int = 5, ratio: int = 5, every: int = 199, most: int = MOST_WORDS,
+) -> DataFrame:
     """word, form, root, n, n_near and form_n of the words of docs (doc_id, text): see `count_words` for words and n.
 
     Near words differ by exactly one inserted, deleted or replaced code point; n_near counts them. A word's form is its near
@@ -265,7 +272,10 @@ def spelling_variants(docs: DataFrame, least_chars: int = 6, least_count: int =
     near = pairs.groupBy(F.col("probe").alias("id")).agg(F.count("*").alias("n_near"), best)
     joined = words.join(near, "id", "left").withColumn("most", -F.col("best.less"))
     has = F.col("most") >= ratio * F.col("n")
-    out = graph.cut(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, F.col("best.word")).alias("form"), F.when(has, F.col("most")).alias("form_n")))
+    out = graph.cut(joined.select(
+        "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, F.col("best.word")).alias("form"),
+        F.when(has, F.col("most")).alias("form_n"),
+    ))
     chains = follow(out.where("form is not null").select("word", F.col("form").alias("root")))
     out = out.join(chains, "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -166,7 +166,12 @@ def _write_task(path: str, end_id: int, bits: bool, chunk: int):
         def flush():
             nonlocal first, size
             ids = np.concatenate(held) if held else np.zeros(0, np.uint32)
-            row = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "first": pa.array([first], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "doc_ids": pa.array([docs], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int64())), "planes": pa.array([to_planes(ids, bits)], pa.list_(pa.binary()))})
+            row = pa.RecordBatch.from_pydict({
+                "shard": pa.array([shard], pa.int32()), "first": pa.array([first], pa.int64()),
+                "n_ids": pa.array([len(ids)], pa.int64()), "doc_ids": pa.array([docs], pa.list_(pa.int64())),
+                "lengths": pa.array([lengths], pa.list_(pa.int64())),
+                "planes": pa.array([to_planes(ids, bits)], pa.list_(pa.binary())),
+            })
             first += len(ids)
             held.clear(), docs.clear(), lengths.clear()
             size = 0
@@ -233,7 +238,9 @@ def read_index(chunks: DataFrame) -> DataFrame:
         rows.append((shard, total))
         total += n
     base = chunks.sparkSession.createDataFrame(rows, "shard int, base long")
-    return chunks.join(F.broadcast(base) if len(rows) <= 100_000 else base, "shard").select("first", "n_ids", "doc_ids", "lengths", "planes", "base").mapInArrow(_read_task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return chunks.join(F.broadcast(base) if len(rows) <= 100_000 else base, "shard").select("first", "n_ids", "doc_ids", "lengths", "planes", "base").mapInArrow(
+        _read_task, "doc_id long, start long, n_tokens long, ids_crc32 long",
+    )
 
 
 def _ids_task(batches):

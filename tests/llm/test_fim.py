@@ -28,7 +28,10 @@ def plain(doc_id, text, seed=7, rate=100, spm=50, marks=fim.SENTINELS):
 def rows():
     rng = random.Random(5)
     out = [(i, "".join(rng.choices(("a", "é", "\n", "\n\n", "𝔘x", "<P", "S>", "<", "\r", "\0", " "), k=rng.randrange(30)))) for i in range(150)]
-    out += [(200, None), (201, ""), (202, "\n"), (203, "no end"), (204, "a<P>b"), (205, "<S>"), (206, "x<M>"), (None, "a\nb\nc"), (207, "line\n" * 100_000), (208, "é" * 500_000)]
+    out += [
+        (200, None), (201, ""), (202, "\n"), (203, "no end"), (204, "a<P>b"), (205, "<S>"), (206, "x<M>"), (None, "a\nb\nc"),
+        (207, "line\n" * 100_000), (208, "é" * 500_000),
+    ]
     return [*out, out[0], out[3]]
 
 

@@ -167,7 +167,12 @@ def test_whole_line_dedup(spark, edits):
     """Exact repeats of short lines go, and all edits hold from 20 characters; by brute force."""
     rng = random.Random(20 + edits)
     base = ["".join(rng.choice("abcdeé ") for _ in range(rng.choice((20, 21, 25, 39, 60)))) for _ in range(8)]
-    rows = [(i, "\n".join(rng.choice((edited(rng, rng.choice(base), rng.choice((0, 0, 1, 2, 3, edits + 1))), "}", "ok", "")) for _ in range(rng.randrange(1, 8)))) for i in range(25)]
+    rows = [(
+        i,
+        "\n".join(rng.choice((
+            edited(rng, rng.choice(base), rng.choice((0, 0, 1, 2, 3, edits + 1))), "}", "ok", "",
+        )) for _ in range(rng.randrange(1, 8))),
+    ) for i in range(25)]
     rows += [(30, None), (31, ""), (32, "short\nshort"), rows[2], (None, rows[0][1])]
     seen = {(i, p): line for i, t in rows if i is not None and t is not None for p, line in enumerate(t.split("\n"))}
     different = sorted({s for s in seen.values() if s})
@@ -258,7 +263,9 @@ def test_common_segments_are_refined(spark, monkeypatch, edits, whole):
 
 
 def test_names_that_clash(spark):
-    df = docs(spark, [(1, "one line here\none line here"), (2, None), (None, "x\nx")]).withColumns({"_id": F.lit(5), "_gone": F.lit("g"), "a": F.lit(1), "line": F.lit("l"), "pos": F.lit(0)})
+    df = docs(
+        spark, [(1, "one line here\none line here"), (2, None), (None, "x\nx")],
+    ).withColumns({"_id": F.lit(5), "_gone": F.lit("g"), "a": F.lit(1), "line": F.lit("l"), "pos": F.lit(0)})
     got = lines.dedup_lines(df, whole=True)
     assert got.columns == df.columns
     assert {r.doc_id: (r.text, r._id, r._gone) for r in got.collect()} == {1: ("one line here", 5, "g"), 2: (None, 5, "g"), None: ("x\nx", 5, "g")}

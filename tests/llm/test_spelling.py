@@ -63,7 +63,10 @@ def given(seed):
         picked = [words[int(len(words) * rng.random() ** 2.5)] for _ in range(60)]
         rows.append((d, "".join(w + rng.choice((" ", "-", "1", "ā", "\n", "'")) for w in picked)))
     rows += [(504, "chainword " * 200 + "chainworx " * 30 + "chainwoxx " * 6)]
-    return [*rows, (500, None), (501, ""), (502, " 12 ā"), (None, "zabcdefgh " * 30), rows[0], (503, ("q" * 3000 + " ") * 6 + ("q" * 3001 + " ") * 40)]
+    return [
+        *rows, (500, None), (501, ""), (502, " 12 ā"), (None, "zabcdefgh " * 30), rows[0],
+        (503, ("q" * 3000 + " ") * 6 + ("q" * 3001 + " ") * 40),
+    ]
 
 
 @pytest.mark.parametrize("seed, most", [(1, 32), (2, 1)])
@@ -96,6 +99,8 @@ def test_sums_and_neighbourhoods():
             codes = np.frombuffer(word, np.uint8)[None]
             keys, counts = spelling.neighbourhood(codes, table, symbols)
             s = tuple(table[codes[0]].tolist())
-            want = {s} | {s[:i] + s[i + 1 :] for i in range(len(s))} | {s[:i] + (t,) + s[i + j :] for j in (0, 1) for i in range(len(s) + 1) for t in range(1, symbols + 1) if i + j <= len(s)}
+            want = {s} | {s[:i] + s[i + 1 :] for i in range(len(s))} | {s[:i] + (t,) + s[i + j :] for j in (0, 1) for i in range(len(s) + 1) for t in range(
+                1, symbols + 1,
+            ) if i + j <= len(s)}
             assert len(keys) == counts[0] == len(want)
     assert len(set(spelling.reduction(90)[spelling.LETTERS].tolist())) == 90

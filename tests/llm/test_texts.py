@@ -65,7 +65,9 @@ def hits(rows, items, width):
 @pytest.mark.parametrize("block_chars", [1 << 20, 200])
 def test_decontamination(spark, block_chars):
     rng = random.Random(1)
-    items = [(i, words(rng, 14, 60)) for i in range(12)] + [(20, "w1 w2"), (21, None), (22, ""), (None, "w3 w4 w5"), (3, words(rng, 11, 60)), (23, "Été—w9")]
+    items = [(i, words(rng, 14, 60)) for i in range(12)] + [
+        (20, "w1 w2"), (21, None), (22, ""), (None, "w3 w4 w5"), (3, words(rng, 11, 60)), (23, "Été—w9"),
+    ]
     rows = corpus(4, 20)
     for i in range(30, 40):
         piece = rng.choice(items[:12])[1].upper().replace(" ", ", ")
@@ -78,7 +80,9 @@ def test_decontamination(spark, block_chars):
     again = decontam.hit_digest(decontam.benchmark_hits(clean, bench.where("item_id < 20"), 10))
     assert clean.count() == len(rows) and again.where("n_words > 0").count() > 0
     kept = decontam.decontaminate(df, bench)
-    assert kept.columns == df.columns and sorted([r.doc_id for r in kept.collect()], key=repr) == sorted([h[0] for h in hits(rows, items, 10) if not h[5]], key=repr)
+    assert kept.columns == df.columns and sorted([r.doc_id for r in kept.collect()], key=repr) == sorted(
+        [h[0] for h in hits(rows, items, 10) if not h[5]], key=repr,
+    )
     assert decontam.hit_digest(decontam.benchmark_hits(docs(spark, []), bench)).count() == 0
     assert decontam.benchmark_hits(df, bench.where("false")).where("size(spans) > 0").count() == 0
 
@@ -88,7 +92,9 @@ def test_decontamination(spark, block_chars):
 
 def test_water_filling_and_mixture(spark):
     rng = random.Random(2)
-    rows = [(i, words(rng, rng.randrange(1, 30)), rng.choice(["a", "a", "a", "b", "é", None])) for i in range(400)] + [(900, None, "a"), (901, "", "z"), (902, "x y", "Z"), (5, "again", "a"), (None, "no id", "b")]
+    rows = [(i, words(rng, rng.randrange(1, 30)), rng.choice(["a", "a", "a", "b", "é", None])) for i in range(400)] + [
+        (900, None, "a"), (901, "", "z"), (902, "x y", "Z"), (5, "again", "a"), (None, "no id", "b"),
+    ]
     df = docs(spark, rows)
     got = mixing.mixture_table(df).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mixture_table(df.repartition(7)).collect()), key=repr)
@@ -178,7 +184,13 @@ def test_secrets(spark):
     rng = random.Random(8)
     key = lambda n, a: "".join(rng.choice(a) for _ in range(n))
     al, hx = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef"
-    texts = [None, "", "é password = hunter2hunter2 ü", "PassWord:'short' token: token=abcdefghijklmnop", f"api_key=\"{key(40, al)}\" x {key(40, hx)}", f"AKIA{key(16, al[:26])} AKIASHORT AKIAAKIAAKIA{key(9, al[:26])}", f"ü {key(30, al)}. {key(24, al)}", "123e4567-e89b-12d3-a456-426614174000", "example0123456789abcdefghijklmnop", "9" * 50, "/usr/local/share/some/file/name1", f"{'a' * 30}{key(25, al)}{'b' * 30}1", "deadbeef" * 4, "secret" * 10 + " = " + key(20, al), key(3000, al), " ".join(key(22, al) for _ in range(60))]
+    texts = [
+        None, "", "é password = hunter2hunter2 ü", "PassWord:'short' token: token=abcdefghijklmnop",
+        f"api_key=\"{key(40, al)}\" x {key(40, hx)}", f"AKIA{key(16, al[:26])} AKIASHORT AKIAAKIAAKIA{key(9, al[:26])}",
+        f"ü {key(30, al)}. {key(24, al)}", "123e4567-e89b-12d3-a456-426614174000", "example0123456789abcdefghijklmnop", "9" * 50,
+        "/usr/local/share/some/file/name1", f"{'a' * 30}{key(25, al)}{'b' * 30}1", "deadbeef" * 4,
+        "secret" * 10 + " = " + key(20, al), key(3000, al), " ".join(key(22, al) for _ in range(60)),
+    ]
     rows = list(enumerate(texts)) + [(2, texts[2]), (None, texts[4])]
     df = docs(spark, rows)
     got = secrets.secret_digest(df).collect()
@@ -194,7 +206,11 @@ def test_long_candidates(spark):
     rng = random.Random(18)
     al = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
     run = lambda n, a: "".join(rng.choice(a) for _ in range(n))
-    texts = ["a/" * 50_000 + "b1", run(1_000_000, re.sub("[mxMX]", "", al)), "x " + run(3000, al) + "\u00fc " + run(900, "ab1" * 3 + al), "z9" + "aab" * 700 + run(40, al), " ".join(run(16, "0123456789abcdef") for _ in range(3000))]
+    texts = [
+        "a/" * 50_000 + "b1", run(1_000_000, re.sub("[mxMX]", "", al)),
+        "x " + run(3000, al) + "\u00fc " + run(900, "ab1" * 3 + al), "z9" + "aab" * 700 + run(40, al),
+        " ".join(run(16, "0123456789abcdef") for _ in range(3000)),
+    ]
     df = docs(spark, list(enumerate(texts)))
     began = time.time()
     got = {r.doc_id: list(r)[1:] for r in secrets.secret_digest(df).collect()}
@@ -206,10 +222,14 @@ def test_long_candidates(spark):
 
 
 def test_secrets_of_clashing_names(spark):
-    df = docs(spark, [(1, "password = hunter2hunter2"), (2, None)]).withColumns({"secrets": F.lit("s"), "_base": F.lit(1), "_hot": F.lit(2), "_s0": F.lit(3), "_s3": F.lit(4)})
+    df = docs(spark, [(1, "password = hunter2hunter2"), (2, None)]).withColumns({
+        "secrets": F.lit("s"), "_base": F.lit(1), "_hot": F.lit(2), "_s0": F.lit(3), "_s3": F.lit(4),
+    })
     got = secrets.redact(df)
     assert got.columns == df.columns
-    assert {(r.doc_id, r.text, r.secrets, r._base, r._hot, r._s0, r._s3) for r in got.collect()} == {(1, "[secret]", "s", 1, 2, 3, 4), (2, None, "s", 1, 2, 3, 4)}
+    assert {(r.doc_id, r.text, r.secrets, r._base, r._hot, r._s0, r._s3) for r in got.collect()} == {
+        (1, "[secret]", "s", 1, 2, 3, 4), (2, None, "s", 1, 2, 3, 4),
+    }
 
 
 # --- quality
@@ -363,7 +383,11 @@ def test_license_scan(spark):
     mit = licenses.TEMPLATES["mit"]
     broken = " ".join(w for i, w in enumerate(mit.split()) if i % 12)
     rng = random.Random(5)
-    texts = [None, "", "the mit license under of", f"{words(rng, 50)}\nReleased under the MIT License.\n{words(rng, 9)}", mit.upper(), f"{words(rng, 9)} {broken} {words(rng, 3000)}", f"{mit} x {mit}", "Licensed under CC BY-NC 4.0. " * 3, "This work is licensed under the GNU General Public License, version 3."]
+    texts = [
+        None, "", "the mit license under of", f"{words(rng, 50)}\nReleased under the MIT License.\n{words(rng, 9)}", mit.upper(),
+        f"{words(rng, 9)} {broken} {words(rng, 3000)}", f"{mit} x {mit}", "Licensed under CC BY-NC 4.0. " * 3,
+        "This work is licensed under the GNU General Public License, version 3.",
+    ]
     rows = [*enumerate(texts), (3, texts[3]), (None, texts[8])]
     got = licenses.license_hits(docs(spark, rows)).collect()
     found = {}
@@ -467,7 +491,10 @@ def test_keep_good_keeps_a_column_of_its_name(spark):
 
 def test_clashing_names(spark):
     """Columns that are named like an operator's own come back as they were."""
-    names = {"target": 1, "cut": 2, "whole": 3, "source_size": 4, "repetitions": 5, "_size": 6, "_draw": 7, "row": 8, "col": 9, "spans": 10, "items": 11, "n_words": 12}
+    names = {
+        "target": 1, "cut": 2, "whole": 3, "source_size": 4, "repetitions": 5, "_size": 6, "_draw": 7, "row": 8, "col": 9,
+        "spans": 10, "items": 11, "n_words": 12,
+    }
     df = docs(spark, [(i, f"w{i} " * (i + 1)) for i in range(20)] + [(90, ""), (91, None)]).withColumns({k: F.lit(v) for k, v in names.items()})
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns and {tuple(r[k] for k in names) for r in mixed.collect()} == {tuple(names.values())}
@@ -553,6 +580,11 @@ def test_statistics_by_plain_python(spark):
     for i, t in enumerate(texts):
         w, n = re.findall(r"[^ \t\n\x0b\x0c\r]+", t), max(len(t), 1)
         per = lambda chars: sum(c in chars for c in t) / n  # noqa: B023, E731
-        want = {"log_chars": math.log1p(len(t)), "digits": per("0123456789"), "exclaim": per("!?"), "bars": per("|"), "symbols": per("#$%&*@^~<>{}[]\\=+_/"), "upper": sum(c.isupper() for c in t) / n, "lines": (t.count("\n") + 1) / max(len(w), 1), "word_length": min(len(t) / max(len(w), 1), 1000.0), "stops": per(".,;") * n / max(len(w), 1)}
+        want = {
+            "log_chars": math.log1p(len(t)), "digits": per("0123456789"), "exclaim": per("!?"), "bars": per("|"),
+            "symbols": per("#$%&*@^~<>{}[]\\=+_/"), "upper": sum(c.isupper() for c in t) / n,
+            "lines": (t.count("\n") + 1) / max(len(w), 1), "word_length": min(len(t) / max(len(w), 1), 1000.0),
+            "stops": per(".,;") * n / max(len(w), 1),
+        }
         for k, v in want.items():
             assert got[i][k] == pytest.approx(v), (i, k)

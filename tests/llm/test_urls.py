@@ -7,7 +7,11 @@ import pytest
 from framelake.llm import urls
 
 PAGES = "page_id long, url string, html string, host string, rule string, place string"
-RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("b.com", "/e", "block"), ("b.com", "/e", "allow"), ("C.b.com", "/", "block"), ("b.com", "/aa", "allow"), ("", "", "block"), ("x.org", "", "block"), ("x.org", "q", "block"), (None, "/", "block"), ("y.org", None, "block"), ("y.org", "/", "other")]
+RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+    ("b.com", "/e", "block"), ("b.com", "/e", "allow"), ("C.b.com", "/", "block"), ("b.com", "/aa", "allow"), ("", "", "block"),
+    ("x.org", "", "block"), ("x.org", "q", "block"), (None, "/", "block"), ("y.org", None, "block"), ("y.org", "/", "other"),
+]
 
 
 def plain(url, rules, default):
@@ -38,15 +42,26 @@ def pages(spark, given):
 @pytest.mark.parametrize("default", ["allow", "block"])
 def test_urls(spark, default):
     rng = random.Random(3)
-    given = [(i, f"http{rng.choice(('', 's'))}://" + ".".join(rng.choices(("a", "B", "c", "www", "example"), k=rng.randrange(3))) + rng.choice((".com", ".net", "com", ".b.com", ".x.org", ".y.org")) + rng.choice(("", "/", "/e", "/en", "/en/7", "/es/", "/aab", "//en/")) + rng.choice(("", "?a=/en/", "#/en/"))) for i in range(400)]
-    given += [(900, None), (901, ""), (902, "com/en/"), (903, "://"), (904, "x://y://com/en/"), (905, "a\n://net/es/\n?x"), (906, "http://éÉ.COM/É"), (907, "h://" + "a." * 5000 + "com/" + "x" * 90_000), (None, "http://net/es/1"), (908, "file:///etc"), (909, "http://a..com/")]
+    given = [(
+        i,
+        f"http{rng.choice(('', 's'))}://" + ".".join(rng.choices(("a", "B", "c", "www", "example"), k=rng.randrange(3))) + rng.choice((".com", ".net", "com", ".b.com", ".x.org", ".y.org")) + rng.choice((
+            "", "/", "/e", "/en", "/en/7", "/es/", "/aab", "//en/",
+        )) + rng.choice(("", "?a=/en/", "#/en/")),
+    ) for i in range(400)]
+    given += [
+        (900, None), (901, ""), (902, "com/en/"), (903, "://"), (904, "x://y://com/en/"), (905, "a\n://net/es/\n?x"),
+        (906, "http://éÉ.COM/É"), (907, "h://" + "a." * 5000 + "com/" + "x" * 90_000), (None, "http://net/es/1"),
+        (908, "file:///etc"), (909, "http://a..com/"),
+    ]
     given += given[:9]
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     got = sorted((tuple(r) for r in urls.judge_urls(pages(spark, given), rules, default).collect()), key=repr)
     assert got == sorted(((i, u, *plain(u, RULES, default)) for i, u in given), key=repr)
     kept = urls.keep_allowed(pages(spark, given), rules, default)
     assert kept.columns == pages(spark, given).columns
-    assert sorted(((r.page_id, r.url) for r in kept.collect()), key=repr) == sorted(((i, u) for i, u in given if plain(u, RULES, default)[3] == "allow"), key=repr)
+    assert sorted(((r.page_id, r.url) for r in kept.collect()), key=repr) == sorted(
+        ((i, u) for i, u in given if plain(u, RULES, default)[3] == "allow"), key=repr,
+    )
 
 
 def test_urls_of_empty_tables(spark):
