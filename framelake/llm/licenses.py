@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.license_texts import TEXTS
 from framelake.llm.words import NOT_WORD, slices, split, word_hashes
 
-#: Notices and short texts of common public licenses (fixed values).
-TEMPLATES = {
+#: Notices, headers and permissions of common public licenses (fixed values), and the whole texts of short ones.
+TEMPLATES = TEXTS | {
     "mit-notice": "Released under the MIT License",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0",

@@ -423,6 +423,38 @@ def test_license_scan_across_inserted_passages(spark):
     assert {i: got.get((i, w[0])) for i, w in want.items()} == want
 
 
+def common_words(a, b):
+    """Length of a longest common subsequence, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_whole_licenses_by_plain_alignment(spark):
+    """Licenses with words lost, changed and put in, between other words: found exactly where a plain alignment has enough."""
+    rng = random.Random(41)
+    cut = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", lower(t))
+    names, rows, want = sorted(licenses.TEXTS), [], {}
+    for i in range(36):
+        name = names[i % len(names)]
+        w = cut(licenses.TEXTS[name])
+        lost = rng.choice((0.0, 0.05, 0.15, 0.3, 0.5))
+        kept = [x if rng.random() > 0.03 else f"z{rng.randrange(99)}" for x in w if rng.random() >= lost]
+        for _ in range(rng.choice((0, 4, 12))):
+            kept.insert(rng.randrange(len(kept) + 1), f"y{rng.randrange(99)}")
+        text = [f"w{rng.randrange(500)}" for _ in range(60)] + kept + [f"w{rng.randrange(500)}" for _ in range(60)]
+        rows.append((i, " ".join(text).upper()))
+        for other in names:
+            n = common_words(cut(licenses.TEXTS[other]), kept)
+            if n >= math.ceil(licenses.COVERAGE * len(cut(licenses.TEXTS[other]))):
+                want[i, other] = n
+    got = {(r.doc_id, r.license): r.matched for r in licenses.license_hits(docs(spark, rows), licenses.TEXTS).collect()}
+    assert got == want and 15 < len(want) < 50
+
+
 def test_lcs():
     rng = random.Random(9)
     for _ in range(300):
