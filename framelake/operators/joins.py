@@ -53,19 +53,21 @@ def flat_field_tiles(frames: Frames, dark: DataFrame | None = None, flat: DataFr
     applied in the same pass. References are checked to be whole."""
     if dark is None and flat is None:
         raise FrameError("a dark or a flat reference is needed")
-    at, refs = ["channel", "ty", "tx"], None
+    at, refs = ["channel", "ty", "tx"], []
     for name, df in (("_dark", dark), ("_flat", flat)):
         if df is not None:
-            check_grid(df, frames)
+            check_grid(df, frames, pixels=False)
             one = df.select(*at, *PLACE, "pixels").mapInArrow(_packed(name), f"channel int, ty int, tx int, {name} binary")
-            refs = one if refs is None else refs.join(one, at)
-    size = frames.height * frames.width * frames.channels * 8 * (1 + (dark is not None and flat is not None))
-    tiles = frames.df.select(*KEYS, *PLACE, "pixels")
+            refs.append(one)
+    size = frames.height * frames.width * frames.channels * 8 * len(refs)
+    met = frames.df.select(*KEYS, *PLACE, "pixels")
     if size <= BROADCAST_BYTES:
-        met = tiles.join(F.broadcast(refs), at)
+        for one in refs:
+            met = met.join(F.broadcast(one), at)
     else:
-        copies = refs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = tiles.withColumn("_salt", F.pmod("frame_no", F.lit(SALTS)).cast("int")).join(copies, [*at, "_salt"])
+        both = refs[0] if len(refs) == 1 else refs[0].join(refs[1], at)
+        copies = both.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = met.withColumn("_salt", F.pmod("frame_no", F.lit(SALTS)).cast("int")).join(copies, [*at, "_salt"])
     names, kernels = [*KEYS, *PLACE, "pixels"], (then.kernels if then else None) or []
 
     def task(batches):
@@ -96,6 +98,9 @@ def _packed(name: str):
 
     def task(batches):
         for batch in batches:
+            lengths = np.diff(batch.column("pixels").offsets.to_numpy())
+            if (lengths != batch.column("h").to_numpy() * batch.column("w").to_numpy()).any():
+                raise FrameError("a tile of a reference lacks pixels")
             keys = [batch.column(c) for c in ("channel", "ty", "tx")]
             yield pa.RecordBatch.from_arrays([*keys, lists(list(views(batch)), True)], names=["channel", "ty", "tx", name])
 
