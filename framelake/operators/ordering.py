@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelake.errors import FrameError
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which all executors share.
+
+    Only a single-machine session (master local) that names none gets a temporary folder of its own; a cluster has to name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise FrameError("spark.checkpoint.dir names no folder that all executors share")
+    import tempfile
+
+    folder = f"file://{tempfile.mkdtemp(prefix='framelake-')}"
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
 
 def stored(df: DataFrame) -> DataFrame:
     """The same rows in the shared checkpoint folder, where a lost executor doesn't take them along."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        # a folder of its own only where the session names none: single-machine runs
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framelake-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,7 +14,7 @@ from framelake.functions import pointwise as fn
 from framelake.functions import scalars
 from framelake.functions.colormaps import FIRE, color_tables
 from framelake.operators import aggregates, convert, geometry, joins, neighbourhood, tile_stats
-from framelake.operators.ordering import global_rank
+from framelake.operators.ordering import global_rank, shared_folder
 from framelake.plans.pipeline import OPERATIONS, Param, Pipeline, Step, experiment_scan, register, run_pipeline
 from framelake.sources import files as listings
 from framelake.sources import vtk, writers
@@ -681,9 +680,8 @@ def q_recover_values(spark, sf_dir):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder; in single-machine runs without one, in a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='framelake-')}"
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query(

@@ -11,7 +11,7 @@ from framelake.frames import PIXELS, Frames, check_axes, frame_axes, pointwise,
 from framelake.functions import pointwise as fn
 from framelake.functions import scalars
 from framelake.functions.colormaps import color_tables, read_color_tables
-from framelake.operators import aggregates, convert, geometry, joins, neighbourhood
+from framelake.operators import aggregates, convert, geometry, joins, neighbourhood, ordering
 from framelake.plans.pipeline import Pipeline, Step, run_pipeline
 from framelake.sources import files, vtk, writers
 from framelake.sources import files as sources_files
@@ -387,6 +387,25 @@ def test_references_of_files(spark, tiles):
         aggregates.load_reference(named, stack.with_(stack.df.unionByName(to_tiles(odd, 2) if tiles else odd)), "dark")
 
 
+def test_a_cluster_has_to_name_its_folder():
+    class Session:
+        def __init__(self, master, named=None):
+            self.conf, self.sparkContext, self.master, self.named = self, self, master, named
+
+        def get(self, key, default):
+            return self.named
+
+        def set(self, key, value):
+            self.named = value
+
+    assert ordering.shared_folder(Session("spark://host", "s3a://shared")) == "s3a://shared"
+    single = Session("local[4]")
+    assert ordering.shared_folder(single) == ordering.shared_folder(single)
+    for master in ("spark://host", "yarn", "local-cluster[3,2,100]"):
+        with pytest.raises(FrameError, match="spark.checkpoint.dir"):
+            ordering.shared_folder(Session(master))
+
+
 def test_names_of_images(spark):
     names = ["a_1.TIF", "a_2.TIF", "n1.txt", "n2.txt", "s[1]_1.tif", "s[1]_2.tif", "one.png", "x_0010000_a_b_7.TIF"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
