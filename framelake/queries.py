@@ -680,8 +680,9 @@ def q_recover_values(spark, sf_dir):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    """A new path, with its store, in the shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 @query(
