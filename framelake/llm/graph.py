@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.operators import ordering
 
-def shared_folder(spark: SparkSession) -> None:
-    """Set a checkpoint folder only where the cluster names none (single-machine runs and tests)."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framelake-checkpoints-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+def shared_folder(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir (see `ordering.shared_folder`)."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(ordering.shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
