@@ -27,15 +27,6 @@ def convert_exact(df: DataFrame, source: str, target: str) -> DataFrame:
     return pointwise(df, cast_dtype(target))
 
 
-def exact_metadata(metadata: Column, frames: Column) -> Column:
-    """map<string,string> of the result: source_frames is added, missing_frames is renamed source_missing_frames."""
-    kept = F.map_filter(metadata, lambda k, v: k != "missing_frames")
-    renamed = F.when(
-        F.map_contains_key(metadata, "missing_frames"), F.create_map(F.lit("source_missing_frames"), metadata["missing_frames"]),
-    ).otherwise(F.create_map().cast("map<string,string>"))
-    return F.map_concat(kept, renamed, F.create_map(F.lit("source_frames"), frames))
-
-
 def convert_scaled(df: DataFrame, target: str, low: float | None = None, high: float | None = None) -> DataFrame:
     """Integers of target from one range of all values (given or found): value, offset, scale and clipped.
 

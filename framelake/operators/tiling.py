@@ -117,6 +117,8 @@ def retile(frames: Frames, place: Placement, size: int | None = None) -> Frames:
     done = frames.with_(frames.df, height=place.height, width=place.width, tile=size)
     if size == frames.tile and place.keeps_grid(size):
         return done.with_(map_tiles(frames.df, parts, TILE_SCHEMA))
+    if frames.df.isStreaming:
+        raise FrameError("tiles of a stream can be moved only where the grid stays: a new tile's parts may come apart")
     height, width = place.height, place.width
 
     def tile_of(group: list[Tile]) -> Tile:

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 from framelake.frames import Frames
 from framelake.plans.pipeline import Pipeline
 
-#: Operations that need no other pixels of a frame and no state.
+#: Operations that need no other pixels of a frame and no state. On tiles, moves are refused where they would cut the grid anew.
 STATELESS = {"invert", "clip", "threshold", "tone", "crop", "rotate", "flip", "flat_field"}
 
 

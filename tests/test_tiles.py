@@ -9,6 +9,7 @@ from framelake.frames import Frames, pointwise, tiles_from_array_column, to_pixe
 from framelake.functions import pointwise as fn
 from framelake.operators import aggregates, geometry, joins, medians, neighbourhood, tile_stats, tiling
 from framelake.plans.pipeline import Pipeline, Step
+from framelake.streaming.frames import read_frames, stream_pipeline
 
 NAN = float("nan")
 
@@ -276,3 +277,18 @@ def test_medians_equal_sorting():
             for g in (medians.median, medians.by_ranks, medians.by_partition):
                 assert np.array_equal(g(block, rows, cols, size), want, equal_nan=True), (size, kind)
     assert len(medians.network(9, 4)) < 25
+
+
+def test_streams_of_tiles(spark, tmp_path):
+    a = np.random.default_rng(9).normal(size=(3, 8, 12))
+    f = tiles(spark, a, 4)
+    f.df.write.parquet(str(tmp_path / "in"))
+    dark = aggregates.average_frames(f.df)
+    steps = [Step("flat_field", {"dark": dark}), Step("crop", {"top": 4}), Step("flip"), Step("invert", {"high": 1})]
+    got = stream_pipeline(f.with_(read_frames(spark, str(tmp_path / "in"), f.df.schema)), Pipeline(steps))
+    q = got.df.writeStream.format("memory").queryName("moved_tiles").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert np.allclose(array(got.with_(spark.table("moved_tiles"))), 1 - (a - a.mean(axis=0))[:, 4:, ::-1])
+    with pytest.raises(FrameError, match=r"Step 1 \(crop\).*grid stays"):
+        stream_pipeline(f.with_(read_frames(spark, str(tmp_path / "in"), f.df.schema)), Pipeline([Step("crop", {"top": 1})]))
