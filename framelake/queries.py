@@ -431,10 +431,11 @@ REFS = (
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat-field correction of the samples by averaged darks and flats."""
-    dark = aggregates.average_frames(labelled(spark, sf_dir, "label = 0").df)
-    flat = aggregates.average_frames(labelled(spark, sf_dir, "label = 1").df)
-    return out(joins.flat_field_tiles(labelled(spark, sf_dir, "label > 1"), dark, flat).df)
+    """Flat-field correction of the samples by averaged darks and flats, on pixels: column expressions only."""
+    e = table(spark, sf_dir, "embeddings")
+    of = lambda condition: from_array_column(e.where(condition), "vec_id", "embedding", 8, F.lit("emb"))
+    dark, flat = (aggregates.average_frames(of(f"label = {k}")) for k in (0, 1))
+    return out(joins.flat_field(of("label > 1"), 64, dark, flat))
 
 
 @query(
@@ -442,7 +443,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"USING (y, x) JOIN f USING (y, x) WHERE label > 1"
 )
 def q_flat_field(spark, sf_dir):
-    return flagship(spark, sf_dir)
+    dark, flat = (aggregates.average_frames(labelled(spark, sf_dir, f"label = {k}").df) for k in (0, 1))
+    return out(joins.flat_field_tiles(labelled(spark, sf_dir, "label > 1"), dark, flat).df)
 
 
 def _fire_sql() -> str:
