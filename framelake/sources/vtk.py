@@ -34,6 +34,8 @@ LINES = ("DATASET", "DIMENSIONS", "SPACING", "ASPECT_RATIO", "ORIGIN", "POINT_DA
 PLANES = "dataset_id string, frame_no long, h int, w int, pixels array<double>"
 #: Planes are sent on in batches of about so many bytes.
 BATCH_BYTES = 16 << 20
+#: Bytes that a task reads, and that opening a file counts as when files are dealt to tasks.
+PARTITION_BYTES, OPEN_BYTES = 64 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -157,17 +159,36 @@ def natural_name(path: str) -> list:
     return [int(p) if i % 2 else p for i, p in enumerate(parts)]
 
 
-def matching_files(folder: str, pattern: str = "*.vtk") -> list[str]:
-    """Files directly in a folder that match a pattern, in natural order; none is an error."""
+def sized_files(folder: str, pattern: str = "*.vtk") -> list[tuple[str, int]]:
+    """Files directly in a folder that match a pattern, in natural order, with their sizes; none is an error."""
     fs, inner = store_of(folder)
     head = folder.rstrip("/")
-    names = [i.base_name for i in fs.get_file_info(pa.fs.FileSelector(inner)) if i.type == pa.fs.FileType.File]
-    found = sorted((f"{head}/{n}" for n in names if fnmatch.fnmatchcase(n, pattern)), key=natural_name)
+    files = [i for i in fs.get_file_info(pa.fs.FileSelector(inner)) if i.type == pa.fs.FileType.File]
+    found = sorted(((f"{head}/{i.base_name}", i.size) for i in files if fnmatch.fnmatchcase(i.base_name, pattern)), key=lambda x: natural_name(x[0]))
     if not found:
         raise FrameError(f"no file in {folder} matches {pattern}")
     return found
 
 
+def matching_files(folder: str, pattern: str = "*.vtk") -> list[str]:
+    """Files directly in a folder that match a pattern, in natural order; none is an error."""
+    return [path for path, _ in sized_files(folder, pattern)]
+
+
+def with_sizes(paths: Sequence[str]) -> list[tuple[str, int]]:
+    """Files with their sizes; one that is not there is an error."""
+
+    def size(path: str) -> int:
+        fs, inner = store_of(path)
+        info = fs.get_file_info(inner)
+        if info.type != pa.fs.FileType.File:
+            raise FrameError(f"{path} does not exist")
+        return info.size
+
+    with ThreadPoolExecutor(16) as pool:
+        return list(zip(paths, pool.map(size, paths), strict=True))
+
+
 def write_files(files: DataFrame, folder: str) -> None:
     """Write files (path: a name, content) to a folder of a store that all executors see, each by the task that has it."""
 
@@ -183,9 +204,13 @@ def write_files(files: DataFrame, folder: str) -> None:
     files.select("path", "content").mapInArrow(task, "path string").write.format("noop").mode("overwrite").save()
 
 
+def file_header(f: pa.NativeFile, path: str) -> Volume:
+    return parse_header(f.read_at(HEADER_BYTES, 0), f.size(), path.rsplit("/", 1)[-1])
+
+
 def read_header(path: str) -> Volume:
     with open_file(path) as f:
-        return parse_header(f.read_at(HEADER_BYTES, 0), f.size(), path.rsplit("/", 1)[-1])
+        return file_header(f, path)
 
 
 def read_headers(paths: Sequence[str]) -> list[Volume]:
@@ -238,20 +263,21 @@ def describe(spark: SparkSession, paths: Sequence[str], series: bool = False, da
 # --- the data source -------------------------------------------------------------------------------------------------
 
 
-@dataclass
-class _Range(InputPartition):
-    """Planes first to first + count - 1 of a file, which have frame numbers from `number`."""
+@dataclass(frozen=True)
+class _Range:
+    """Planes of a file whose plane 0 has frame number `before`: `count` from `first` where the header is known, else those
+    that the conditions choose, once the task has read the header."""
 
     path: str
     dataset_id: str
-    first: int
-    count: int
-    number: int
-    volume: Volume
+    before: int
+    volume: Volume | None = None
+    first: int = 0
+    count: int = 0
+
 
-    def __init__(self, *given):
-        self.path, self.dataset_id, self.first, self.count, self.number, self.volume = given
-        self.value = given
+class _Ranges(InputPartition):
+    """What one task reads."""
 
 
 class _Reader(DataSourceReader):
@@ -259,16 +285,20 @@ class _Reader(DataSourceReader):
         given = options.get("paths")
         path = options.get("path")
         if given:
-            self.paths = [p for p in given.split(",") if p]
+            self.files = with_sizes([p for p in given.split(",") if p])
         elif path and path.lower().endswith(".vtk"):
-            self.paths = [path]
+            self.files = with_sizes([path])
         else:
-            self.paths = matching_files(path or "", options.get("pattern", "*.vtk"))
+            self.files = sized_files(path or "", options.get("pattern", "*.vtk"))
         self.series = str(options.get("series", "false")).lower() == "true"
         self.name = options.get("dataset_id", "series")
-        self.bytes = int(options.get("partition_bytes", 64 << 20))
+        self.bytes = int(options.get("partition_bytes", PARTITION_BYTES))
         self.low, self.high, self.only = 0, None, None
 
+    def __getstate__(self):
+        """Each task gets the reader, but not the list of all files."""
+        return {k: v for k, v in self.__dict__.items() if k != "files"}
+
     def pushFilters(self, filters):
         """Bounds on frame_no choose planes before any is read."""
         for f in filters:
@@ -292,13 +322,26 @@ class _Reader(DataSourceReader):
         self.only = numbers if self.only is None else self.only & numbers
 
     def partitions(self):
-        volumes, out = read_headers(self.paths), []
+        """Ranges of large files, and small files together, whose headers the tasks read (of a series, the planner does too)."""
+        headers = read_headers([path for path, size in self.files if self.series or size > self.bytes])
         if self.series:
-            check_series(volumes)
-        for i, (path, v) in enumerate(zip(self.paths, volumes, strict=True)):
-            before = i * v.shape[0] if self.series else 0
-            for first, count in self._runs(before, v.shape[0], max(1, self.bytes // max(v.plane_bytes, 1))):
-                out.append(_Range(path, self.name if self.series else path, first, count, before + first, v))
+            check_series(headers)
+        depth, known, ranges = headers[0].shape[0] if self.series and headers else 0, iter(headers), []
+        for i, (path, size) in enumerate(self.files):
+            name, before = (self.name, i * depth) if self.series else (path, 0)
+            v = next(known) if self.series or size > self.bytes else None
+            if size > self.bytes:
+                most = max(1, self.bytes // max(v.plane_bytes, 1))
+                ranges += [(n * v.plane_bytes, _Range(path, name, before, v, z, n)) for z, n in self._runs(before, v.shape[0], most)]
+            elif not self.series or any(self._runs(before, depth, depth)):
+                ranges.append((size, _Range(path, name, before)))
+        out, held = [], self.bytes + 1
+        for size, r in ranges:
+            held += size + OPEN_BYTES
+            if held > self.bytes:
+                out.append(_Ranges([]))
+                held = size + OPEN_BYTES
+            out[-1].value.append(r)
         return out
 
     def _runs(self, before: int, depth: int, most: int) -> Iterator[tuple[int, int]]:
@@ -316,15 +359,30 @@ class _Reader(DataSourceReader):
                 start = None
 
     def read(self, part):
-        if part is None:  # no plane is wanted
-            return
-        v = part.volume
-        step = max(1, BATCH_BYTES // max(v.plane_bytes, 1))
-        with open_file(part.path) as f:
-            for z in range(0, part.count, step):
-                n = min(step, part.count - z)
-                raw = f.read_at(n * v.plane_bytes, v.data + (part.first + z) * v.plane_bytes)
-                yield plane_batch(part.dataset_id, part.number + z, v, v.planes(raw, n))
+        if part is not None:  # else no plane is wanted
+            yield from gathered(batch for r in part.value for batch in self._planes(r))
+
+    def _planes(self, r: _Range) -> Iterator[pa.RecordBatch]:
+        with open_file(r.path) as f:
+            v = r.volume or file_header(f, r.path)
+            step = max(1, BATCH_BYTES // max(v.plane_bytes, 1))
+            for first, count in [(r.first, r.count)] if r.volume else self._runs(r.before, v.shape[0], v.shape[0]):
+                for z in range(first, first + count, step):
+                    n = min(step, first + count - z)
+                    yield plane_batch(r.dataset_id, r.before + z, v, v.planes(f.read_at(n * v.plane_bytes, v.data + z * v.plane_bytes), n))
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, those of small batches in batches of about BATCH_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 def plane_batch(dataset_id: str, first: int, v: Volume, planes: np.ndarray) -> pa.RecordBatch:
@@ -339,7 +397,8 @@ class VtkSource(DataSource):
     """spark.read.format("vtk").load(path): a row for each z plane, read by ranges of bytes.
 
     path is a file, or a folder whose files match the option pattern (*.vtk), in natural order; the option paths ("a,b") names
-    files in an order of its own. With the option series, files must be on one grid, which is checked when the read is
+    files in an order of its own. A task reads about partition_bytes (64 MB), many small files or a range of a large one; only
+    the headers of large files and of a series are read when the read is planned. With the option series, files must be on one grid, which is checked when the read is
     planned, and are one dataset (dataset_id): frame_no runs over (file, z). Paths are in any store that pyarrow reads and
     that every executor sees; for others load contents by binaryFile and `planes_of`. Conditions on frame_no are pushed down."""
 
@@ -364,6 +423,10 @@ def register(spark: SparkSession) -> None:
 
 
 def _planes_task(batches):
+    yield from gathered(_content_planes(batches))
+
+
+def _content_planes(batches):
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             v = parse_header(content[:HEADER_BYTES], len(content), path)

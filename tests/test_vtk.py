@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from framelake.errors import FrameError
@@ -131,3 +132,20 @@ def test_planes_beyond_two_gigabytes(spark, tmp_path):
         assert v.planes(f.read_at(4, v.data + 5 * v.plane_bytes), 1)[0, 0] == 7.5
     df = spark.read.format("vtk").load(str(path)).where("frame_no = 5").select("frame_no", F.get("pixels", F.lit(0)).alias("first"))
     assert [tuple(r) for r in df.collect()] == [(5, 7.5)]
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    vtk.register(spark)
+    for i in range(150):
+        (tmp_path / f"v_{i}.vtk").write_bytes(content(VOLUME + i, f"t = {i} s"))
+    for series in ("true", "false"):
+        reader = vtk.VtkSource({"path": str(tmp_path), "series": series}).reader(None)
+        before, parts = len(cloudpickle.dumps(reader)), reader.partitions()
+        assert len(parts) == 3 and before < 1000 and sum(len(p.value) for p in parts) == 150
+        df = spark.read.format("vtk").option("series", series).load(str(tmp_path))
+        assert df.rdd.getNumPartitions() == 3 and df.count() == 450
+        got = df.where("frame_no in (1, 2, 400)").select("frame_no", "pixels").collect()
+        assert len(got) == (3 if series == "true" else 300)
+        assert all(np.allclose(r.pixels, (VOLUME + 133)[1].ravel()) for r in got if r.frame_no == 400)
+    parts = vtk.VtkSource({"path": str(tmp_path), "partition_bytes": "170"}).reader(None).partitions()
+    assert len(parts) == 300 and spark.read.format("vtk").option("partition_bytes", "170").load(str(tmp_path)).count() == 450
