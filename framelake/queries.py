@@ -6,15 +6,17 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.errors import FrameError
 from framelake.frames import Frames, frame_index, frame_rank, from_array_column, from_rows, pointwise, tiles_from_array_column, to_pixels, to_tiles
 from framelake.functions import pointwise as fn
 from framelake.functions import scalars
 from framelake.functions.colormaps import FIRE, color_tables
 from framelake.operators import aggregates, convert, geometry, joins, neighbourhood, tile_stats
-from framelake.operators.ordering import global_rank, shared_folder
+from framelake.operators.ordering import bounded, global_rank, shared_folder, stored
 from framelake.plans.pipeline import OPERATIONS, Param, Pipeline, Step, experiment_scan, register, run_pipeline
 from framelake.sources import files as listings
 from framelake.sources import vtk, writers
@@ -94,31 +96,54 @@ def q_frames_from_rows(spark, sf_dir):
     return out(events(spark, sf_dir).df)
 
 
-def volumes(spark, sf_dir) -> DataFrame:
-    """Files (path, content) of VTK volumes of five embeddings each."""
+def volumes(spark, sf_dir, whole: bool = False) -> DataFrame:
+    """Files (path, content) of VTK volumes of five embeddings each.
+
+    whole: a volume for every number up to the last, each of five planes, as a series has to be on one grid. Planes without an
+    embedding are padding, whose frame numbers `padding` has."""
 
     def write(t: pa.Table) -> pa.Table:
-        t = t.sort_by("vec_id")
         k = t.column("k")[0].as_py()
+        t = (t.filter(pc.is_valid(t.column("vec_id"))) if whole else t).sort_by("vec_id")
         planes = np.array(t.column("embedding").to_pylist(), np.float32).reshape(-1, 8, 8)
+        if whole:
+            at, full = t.column("vec_id").to_numpy() - 5 * k, np.full((5, 8, 8), np.nan, np.float32)
+            if len(set(at)) < len(at):
+                raise FrameError(f"volume {k} has two embeddings for one plane")
+            full[at] = planes
+            planes = full
         return pa.table({"path": [f"v_{k}.vtk"], "content": [vtk.write_volume(planes, f"t = {k * 0.5} s", "frac", (1, 2, 3), (0, 0, 10))]})
 
     e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("k"), "vec_id", "embedding")
+    if whole:
+        e = e.unionByName(spark.range(_volume_count(e)).select(F.col("id").alias("k")), allowMissingColumns=True)
     return e.groupBy("k").applyInArrow(write, "path string, content binary")
 
 
-def _plane_pixels(planes: DataFrame) -> DataFrame:
-    p = planes.select("dataset_id", "frame_no", "w", F.posexplode("pixels").alias("i", "value"))
+def _volume_count(e: DataFrame) -> int:
+    """Volumes of five planes up to the largest vec_id."""
+    return e.agg(F.coalesce(F.floor(F.max("vec_id") / 5) + 1, F.lit(0))).first()[0]
+
+
+def padding(spark, sf_dir) -> DataFrame:
+    """frame_no of the planes of whole volumes that have no embedding."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id")
+    every = spark.range(5 * _volume_count(e)).select(F.col("id").alias("frame_no"))
+    return bounded(stored(every.join(e, F.col("frame_no") == F.col("vec_id"), "left_anti")))
+
+
+def _plane_pixels(planes: DataFrame, *said: str) -> DataFrame:
+    p = planes.select("dataset_id", *said, "frame_no", "w", F.posexplode("pixels").alias("i", "value"))
     return p.select(
-        "dataset_id", "frame_no", F.floor(F.col("i") / F.col("w")).cast("int").alias("y"),
+        "dataset_id", *said, "frame_no", F.floor(F.col("i") / F.col("w")).cast("int").alias("y"),
         (F.col("i") % F.col("w")).cast("int").alias("x"), r6("value").alias("value"),
     )
 
 
-def vtk_folder(spark, sf_dir) -> str:
+def vtk_folder(spark, sf_dir, whole: bool = False) -> str:
     """A folder of the shared store with those files."""
     folder = scratch(spark)
-    vtk.write_files(volumes(spark, sf_dir), folder)
+    vtk.write_files(volumes(spark, sf_dir, whole), folder)
     vtk.register(spark)
     return folder
 
@@ -137,22 +162,17 @@ def q_open_vtk(spark, sf_dir):
     f"// 5) * 0.5::DOUBLE AS time_s, y, x, round(v, 6) + 0.0 AS value FROM px"
 )
 def q_open_vtk_series(spark, sf_dir):
-    folder = vtk_folder(spark, sf_dir)
+    folder = vtk_folder(spark, sf_dir, whole=True)
     catalog = vtk.describe(spark, vtk.matching_files(folder), series=True, dataset_id="eqx")
     planes = spark.read.format("vtk").option("series", "true").option("dataset_id", "eqx").load(folder)
-    times = F.from_json(F.col("metadata")["time_s"], "array<double>")
-    said = catalog.select(
-        "dataset_id", F.col("axes")[0].alias("axis"), F.col("shape")[0].alias("files"), F.col("shape")[1].alias("depth"),
-        times.alias("times"),
-    )
-    of = said.withColumn(
-        "frame", F.explode(F.sequence(F.lit(0).cast("long"), F.col("files") - 1)),
-    ).withColumn("time_s", F.get("times", F.col("frame").cast("int")))
-    pixels = _plane_pixels(planes).join(
-        F.broadcast(said.select("dataset_id", "depth")), "dataset_id",
-    ).withColumn("frame", F.floor(F.col("frame_no") / F.col("depth")))
-    joined = pixels.join(of.select("dataset_id", "axis", "files", "frame", "time_s"), ["dataset_id", "frame"])
-    return joined.select("dataset_id", "axis", "files", "frame_no", "time_s", "y", "x", "value")
+    depth = catalog.select(F.col("shape")[1]).first()[0]
+    said = bounded(stored(catalog.select(
+        "dataset_id", F.col("axes")[0].alias("axis"), F.col("shape")[0].alias("files"),
+        F.posexplode(F.from_json(F.col("metadata")["time_s"], "array<double>")).alias("frame", "time_s"),
+    )))
+    planes = planes.withColumn("frame", F.floor(F.col("frame_no") / depth))
+    joined = planes.join(said, ["dataset_id", "frame"]).join(padding(spark, sf_dir), "frame_no", "left_anti")
+    return _plane_pixels(joined, "axis", "files", "time_s").select("dataset_id", "axis", "files", "frame_no", "time_s", "y", "x", "value")
 
 
 @query(f"WITH {PX} SELECT frame_no, y, x, round(v, 6) + 0.0 AS value FROM px")

@@ -2,11 +2,13 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from framelake import queries
 from framelake.errors import FrameError
 from framelake.sources import vtk
 
@@ -134,6 +136,19 @@ def test_planes_beyond_two_gigabytes(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [(5, 7.5)]
 
 
+def test_queries_of_volumes_that_are_not_full(spark, tmp_path):
+    """The last volume lacks planes, one in the middle lacks a plane, and one is missing: the series and the stack are whole."""
+    ids = [i for i in range(23) if i != 7 and not 10 <= i < 15]
+    rows = [(i, [float(np.float32(i + k / 64)) for k in range(64)], i % 3) for i in ids]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("open_vtk_series",):
+        got, want = queries.QUERIES[name](spark, str(tmp_path)), con.sql(queries.SQL[name])
+        assert got.count() == 17 * 64
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_small_files_share_a_task(spark, tmp_path):
     vtk.register(spark)
     for i in range(150):
