@@ -177,9 +177,9 @@ def q_open_vtk_series(spark, sf_dir):
 
 @query(f"WITH {PX} SELECT frame_no, y, x, round(v, 6) + 0.0 AS value FROM px")
 def q_stack_volumes(spark, sf_dir):
-    f = volumes(spark, sf_dir)
+    f = volumes(spark, sf_dir, whole=True)
     stacked = vtk.stack_volumes(vtk.planes_of(f), vtk.series_rank(vtk.catalog_of(f)))
-    return _plane_pixels(stacked).select("frame_no", "y", "x", "value")
+    return _plane_pixels(stacked.join(padding(spark, sf_dir), "frame_no", "left_anti")).select("frame_no", "y", "x", "value")
 
 
 @query(

@@ -143,7 +143,7 @@ def test_queries_of_volumes_that_are_not_full(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
-    for name in ("open_vtk_series",):
+    for name in ("open_vtk_series", "stack_volumes"):
         got, want = queries.QUERIES[name](spark, str(tmp_path)), con.sql(queries.SQL[name])
         assert got.count() == 17 * 64
         assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
