@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from framelake.operators import ordering
 
 
+#: Edges for each task of a round beyond the first few tasks, and nodes whose least neighbours are broadcast at most.
+EDGES, FEW_TASKS, NODES = 50_000, 8, 200_000
+
+
 def shared_folder(spark: SparkSession) -> None:
     """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir (see `ordering.shared_folder`)."""
     if spark.sparkContext.getCheckpointDir() is None:
@@ -38,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: columns a, b (long). Returns node, component (the least node that links reach). Loops and repeated edges are
     allowed, nulls are dropped, an empty table gives an empty table. Each round is two aggregations and two joins by
-    key; no neighbour list is ever gathered in one task.
+    key; no neighbour list is ever gathered in one task. A round has as many tasks as its edges need, and where there are few
+    nodes, their least neighbours are broadcast, so that a round's cost is that of its edges and not of empty tasks.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, before = cut(e), None
@@ -47,13 +52,17 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or now[0] == 0:
             break
         before = now
+        tasks, held = FEW_TASKS + now[0] // EDGES, 2 * now[0] <= NODES
+        low = lambda df: F.broadcast(df.coalesce(tasks)) if held else df  # noqa: E731, B023
+        e = e.coalesce(tasks)
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        e = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        e = both.join(low(least), "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = e if held else e.distinct()
         least = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = e.join(least, "a").select(F.explode(F.array(
+        e = e.join(low(least), "a").select(F.explode(F.array(
             F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
         )).alias("x")).select("x.*").where("a <> b").distinct()
-        e = cut(e)
+        e = cut(e.coalesce(tasks))
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.union(e.select(F.col("b"), F.col("b"))).distinct()
+    return nodes.union(e.select(F.col("b"), F.col("b"))).distinct().coalesce(FEW_TASKS + now[0] // EDGES)

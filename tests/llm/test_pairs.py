@@ -269,3 +269,34 @@ def test_names_that_clash(spark):
     got = lines.dedup_lines(df, whole=True)
     assert got.columns == df.columns
     assert {r.doc_id: (r.text, r._id, r._gone) for r in got.collect()} == {1: ("one line here", 5, "g"), 2: (None, 5, "g"), None: ("x\nx", 5, "g")}
+
+
+@pytest.mark.parametrize("nodes", [0, 200_000])
+def test_components_with_few_and_many_nodes(spark, monkeypatch, nodes):
+    """Rounds of few edges take few tasks, however many shuffle partitions there are; both forms of a round agree with union-find."""
+    monkeypatch.setattr(graph, "NODES", nodes)
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(100, 130)] + [(7, i) for i in range(200, 400)]
+    edges += [(rng.randrange(1000, 1300), rng.randrange(1000, 1300)) for _ in range(120)] + [(5, 5), (None, 3)]
+    lead = {}
+
+    def find(x):
+        while lead.setdefault(x, x) != x:
+            x = lead[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            low, high = sorted((find(a), find(b)))
+            lead[high] = low
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    off = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        got = graph.components(spark.createDataFrame(edges, "a long, b long").coalesce(2))
+        assert got.rdd.getNumPartitions() <= graph.FEW_TASKS
+        assert sorted(map(tuple, got.collect())) == sorted((x, find(x)) for x in lead)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
