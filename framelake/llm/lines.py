@@ -64,26 +64,32 @@ def _places(max_edits: int, least: int | None) -> list[tuple[int, int, int, int]
     )]
 
 
-def _key(line: Column, place: tuple[int, int, int, int], max_edits: int, least: int | None) -> Column:
-    """The key of a line at a place; null where its length has none. Plain columns, so that Spark compiles them.
-
-    least: characters from which all edits are allowed; None for one edit for each 20 characters."""
-    edits, less, i, off = place
-    n = F.length(line) - less
-    fits = edits_for(n, max_edits) == edits if least is None else n >= least
-    start, size = segment(n, F.lit(i), F.lit(edits + 1))
-    inside = (start + off >= 1) & (start + off + size - 1 <= F.length(line))
-    return F.when(fits & inside, F.xxhash64(n, F.lit(i), F.substr(line, start + off, size)))
-
-
-def index_keys(line: Column, max_edits: int, least: int | None = None) -> Column:
-    """Keys of a line's own segments, null where its length has none."""
-    return F.array(*[_key(line, p, max_edits, least) for p in _places(max_edits, least) if p[1] == p[3] == 0])
-
-
-def probe_keys(line: Column, max_edits: int, least: int | None = None) -> Column:
-    """Keys, in the order of the places, by which a line finds lines of its length and somewhat shorter ones (multi-match-aware substrings)."""
-    return F.array(*[_key(line, p, max_edits, least) for p in _places(max_edits, least)])
+def _place_array(max_edits: int, least: int | None, own: bool = False) -> Column:
+    """The places as a constant array of structs with their numbers; only those of a line's own segments with `own`."""
+    return F.array(*[
+        F.struct(*[F.lit(v).alias(k) for k, v in zip(("place", "edits", "less", "i", "off"), (no, *p), strict=True)])
+        for no, p in enumerate(_places(max_edits, least)) if not own or p[1] == p[3] == 0
+    ])
+
+
+def line_keys(lines: DataFrame, max_edits: int, least: int | None = None, own: bool = False) -> DataFrame:
+    """place, key, a of the lines (line, a) at every place where a line's length has a key.
+
+    By these keys a line finds lines of its length and somewhat shorter ones (multi-match-aware substrings); those of its own
+    segments (`own`) are the index. least: characters from which all edits are allowed; None for one edit for each 20
+    characters. Each place is a row before it is keyed, so that one key is compiled for all places: a method of all keys of
+    a line has more than the 8,000 bytes up to which the JVM compiles methods, and would be interpreted. Lines of one-byte
+    characters are cut as binary, which takes no walk over the characters; equal parts have equal keys either way."""
+    chars, n, part = F.col("chars"), F.col("n"), (F.col("start"), F.col("size"))
+    rows = lines.select("line", "a", F.length("line").alias("chars"))
+    rows = rows.withColumn("bytes", F.when(F.octet_length("line") == chars, F.col("line").cast("binary")))
+    rows = rows.withColumn("p", F.explode(_place_array(max_edits, least, own))).withColumn("n", chars - F.col("p.less"))
+    start, size = segment(n, F.col("p.i"), F.col("p.edits") + 1)
+    rows = rows.withColumns({"start": start + F.col("p.off"), "size": size})
+    rows = rows.where(edits_for(n, max_edits) == F.col("p.edits") if least is None else n >= least)
+    rows = rows.where((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= chars))
+    cut = F.when(F.col("bytes").isNotNull(), F.substr("bytes", *part)).otherwise(F.substr("line", *part).cast("binary"))
+    return rows.select("p.place", F.xxhash64(n, F.col("p.i"), cut).alias("key"), "a")
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -144,10 +150,7 @@ PARTS = {1: 2, 2: 3}
 
 def _gaps(rows: DataFrame, max_edits: int, least: int | None) -> DataFrame:
     """rows (y, place, line) with the gaps that their segments leave; rows of more edits than two gaps can hold have none."""
-    places = F.array(*[F.struct(*[
-        F.lit(v).alias(k) for k, v in zip(("edits", "less", "i", "off"), p, strict=True)
-    ]) for p in _places(max_edits, least)])
-    rows = rows.withColumn("p", F.get(places, F.col("place")))
+    rows = rows.withColumn("p", F.get(_place_array(max_edits, least), F.col("place")))
     n = F.length("line") - F.col("p.less")
     start, size = segment(n, F.col("p.i"), F.col("p.edits") + 1)
     rows = rows.withColumns({"n": n, "s0": start - 1, "e0": start - 1 + size})
@@ -257,13 +260,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int, least: int |
     )
     lines = _ids(line_table(docs.where("doc_id is not null"))).where(F.length("line") >= (MIN_CHARS if least is None else least))
     lines = lines.join(F.broadcast(often), F.col("a") == F.col("fa"), "left").where("fa is null or (doc_id = fd and pos = fp)")
-    # no filter on the arrays: Spark would interpret the keys in it
-    index = lines.select(
-        F.explode(index_keys(F.col("line"), max_edits, least)).alias("key"), "a",
-    ).where("key is not null").groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high"))
-    probes = lines.select(
-        F.posexplode(probe_keys(F.col("line"), max_edits, least)).alias("place", "key"), F.col("a").alias("y"),
-    ).where("key is not null")
+    index = line_keys(lines, max_edits, least, own=True).groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high"))
+    probes = line_keys(lines, max_edits, least).withColumnRenamed("a", "y")
     hits = graph.cut(probes.join(index.hint("shuffle_hash"), "key").where("low <> high or y <> low").distinct())
     single = hits.where("low = high").select(F.least("low", "y").alias("x"), F.greatest("low", "y").alias("y"))
     several = hits.where("low <> high").select("key", "y", "place")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -300,3 +301,30 @@ def test_components_with_few_and_many_nodes(spark, monkeypatch, nodes):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize(("edits", "least"), [(1, None), (2, None), (2, 20), (4, 20)])
+def test_line_keys(spark, capsys, edits, least):
+    """Lines within the edits share a key, no key is made twice, and the keys' code is short enough for the JVM to compile."""
+    rng = random.Random(60 + edits)
+    pairs = []
+    for i in range(150):
+        a = "".join(rng.choice("abc é"[: rng.choice((4, 5))]) for _ in range(rng.choice((20, 21, 39, 40, 41, 60, 83))))
+        b = edited(rng, a, rng.randrange(edits + 1))
+        pairs += [(2 * i, min(a, b, key=len)), (2 * i + 1, max(a, b, key=len))]
+    df = spark.createDataFrame(pairs, "a long, line string")
+    keys = lines.line_keys(df, edits, least)
+    rows, own = keys.collect(), lines.line_keys(df, edits, least, own=True).collect()
+    assert len({(r.place, r.a) for r in rows}) == len(rows) and set(own) <= set(rows)
+    have, index = {(r.a, r.key) for r in rows}, {}
+    for r in own:
+        index.setdefault(r.a, set()).add(r.key)
+    near = 0
+    for (x, a), (y, b) in zip(pairs[::2], pairs[1::2], strict=True):
+        if len(a) >= 20 and distance(a, b) <= (edits if least else min(edits, len(a) // 20)):
+            near += 1
+            assert any((y, k) in have for k in index[x])
+    assert near > 50
+    keys.explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
