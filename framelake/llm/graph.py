@@ -10,6 +10,8 @@ from framelake.operators import ordering
 
 #: Edges for each task of a round beyond the first few tasks, and nodes whose least neighbours are broadcast at most.
 EDGES, FEW_TASKS, NODES = 50_000, 8, 200_000
+#: Under this setting Spark removes a query's shuffle files at its end, and not when the driver next collects garbage.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> None:
@@ -19,9 +21,18 @@ def shared_folder(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, stored in the shared checkpoint folder, with their lineage cut."""
+    """The same rows, stored in the shared checkpoint folder, with their lineage cut. What was shuffled for them is removed."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(FREE, None)
+    conf.set(FREE, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            conf.unset(FREE)
+        else:
+            conf.set(FREE, before)
 
 
 def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:

@@ -9,7 +9,9 @@ document to every cell. The join therefore has two levels.
    part's first set, never all pairs); its components are regions that no link leaves. Sizes are distances from the
    empty set: sets near the border of a size class are replicated to the class below. Passages that many texts share make
    large regions without links; a set can only link if num/den of its n-grams stand in other sets of its region, so the
-   others go (a count for each n-gram, of one row a task at most where it is frequent) and the rest is parted anew.
+   others go (a count for each n-gram, of one row a task at most where it is frequent; most sets go by a share of their
+   n-grams already). The rest is parted by its rare n-grams: of linked sets each has the rarest common one among the
+   rarest (1 - num/den) of its own and one more, so passages that many sets share join none that are not made of them.
 2. Voronoi cells. A region of more than `leaf_rows` sets or `leaf_bytes` of text is dealt to pivots: each set goes to its
    nearest pivot's cell and, as a boundary set, to every cell whose pivot is at most two radii farther. Cells are dealt
    again until they fit a task; a cell that pivots can't part is joined by blocks: sets that links to pivots join to one
@@ -25,7 +27,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.llm import graph
@@ -36,6 +38,8 @@ COMBINE_ROWS = 300_000
 #: N-grams that a task of `linkable` counts among themselves before they are shuffled, and sums that one holds.
 CHUNK_ROWS = 2_000_000
 HELD_ROWS = 1_000_000
+#: The first pass of `linkable` looks at so many times the share of n-grams that a linked set may have alone.
+FIRST_LOOK = 1.75
 PIVOTS = 12
 LEAF_ROWS = 1500
 LEAF_BYTES = 24 << 20
@@ -137,13 +141,13 @@ def _node(d: bytes) -> int:
 def _sets_task(n: int):
     def task(batches):
         for b in batches:
-            ids, size, dig = b.column(0), [], []
+            ids, size, dig, chars = b.column(0), [], [], pc.utf8_length(b.column(1)).cast(pa.int64())
             for _, x in shingle_sets(b.column(1), n):
                 size.append(len(x))
                 dig.append(digest(x) if len(x) else None)
             yield pa.record_batch(
-                [ids, pa.array(size, pa.int64()), pa.array(dig, pa.binary()), pa.array([None if d is None else _node(d) for d in dig], pa.int64())],
-                names=["doc_id", "n_shingles", "digest", "node"],
+                [ids, pa.array(size, pa.int64()), pa.array(dig, pa.binary()), pa.array([None if d is None else _node(d) for d in dig], pa.int64()), chars],
+                names=["doc_id", "n_shingles", "digest", "node", "chars"],
             )
 
     return task
@@ -347,9 +351,9 @@ def _pivot_task(n: int, num: int, den: int):
 
 
 def shingle_table(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest (null for a text without words) and node (64 bits of the digest) of every row."""
+    """doc_id, n_shingles, digest (null for a text without words), node (64 bits of the digest) and chars of every row."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _sets_task(n), "doc_id long, n_shingles long, digest binary, node long",
+        _sets_task(n), "doc_id long, n_shingles long, digest binary, node long, chars long",
     )
 
 
@@ -360,76 +364,90 @@ def regions(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return graph.components(stars)
 
 
-def _shingle_rows_task(n: int):
-    """Rows (key, doc_id, shared, size) of the n-grams of sets in regions; a key stands for an n-gram in a region.
+def common_least(size: int, num: int, den: int) -> int:
+    """N-grams that a set of this size has in common with any that it links to, at least."""
+    return -(-num * size // den)
 
-    An n-gram that only one set of a run of sets has is a row of its own with that set's id. One that several have is a
-    row without id, and counts at once: each set has a row of its own (shared >= 0) of how many it has of those."""
 
-    def counted(keys, docs):
+def _region_grams(batch, n: int):
+    """(node, n-grams) of the sets of a batch (region, text): a key stands for an n-gram in a region."""
+    salt = mix(batch.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    for i, x in shingle_sets(batch.column(1), n):
+        if len(x):
+            yield _node(digest(x)), mix(x ^ salt[i])
+
+
+def _shingle_rows_task(n: int, num: int, den: int, share: float):
+    """Rows (key, node, shared, least) of the n-grams of sets in regions, or of a share of them that is the same for all sets.
+
+    An n-gram that only one set of a run of sets has is a row of its own with that set's node. One that several have is a
+    row without node, and counts at once: each set has a row of its own (shared >= 0) of how many it has of those, and of
+    how many the set needs to have in common with others if it is to link (least)."""
+
+    def counted(keys, nodes, least):
         size = np.array([len(k) for k in keys], np.int64)
         key, inverse, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(docs)), size)
+        owner = np.repeat(np.arange(len(nodes)), size)
         again = count[inverse] > 1
-        shared = np.bincount(owner[again], minlength=len(docs))
-        ids, k = np.array(docs, np.int64), np.concatenate(keys)
+        shared = np.bincount(owner[again], minlength=len(nodes))
+        ids, k = np.array(nodes, np.int64), np.concatenate(keys)
         own = np.concatenate([k[~again].view(np.int64), key[count > 1].view(np.int64), ids])
-        doc = np.concatenate([ids[owner[~again]], np.zeros((count > 1).sum(), np.int64), ids])
+        node = np.concatenate([ids[owner[~again]], np.zeros((count > 1).sum(), np.int64), ids])
         part = np.repeat([0, 1, 2], [(~again).sum(), (count > 1).sum(), len(ids)])
         full = np.concatenate([np.full((part < 2).sum(), -1), shared])
-        sizes = np.concatenate([np.zeros((part < 2).sum(), np.int64), size])
+        needs = np.concatenate([np.zeros((part < 2).sum(), np.int64), np.array(least, np.int64)])
         for i in range(0, len(own), 50_000):
             j = slice(i, i + 50_000)
             yield pa.record_batch(
-                [pa.array(own[j]), pa.array(doc[j], mask=part[j] == 1), pa.array(full[j]), pa.array(sizes[j])],
-                names=["key", "doc_id", "shared", "size"],
+                [pa.array(own[j]), pa.array(node[j], mask=part[j] == 1), pa.array(full[j]), pa.array(needs[j])],
+                names=["key", "node", "shared", "least"],
             )
 
     def task(batches):
-        keys, docs, rows = [], [], 0
+        keys, nodes, least, rows = [], [], [], 0
         for batch in batches:
-            region, ids = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            salt = mix(region.astype(np.int64).view(np.uint64))
-            for i, x in shingle_sets(batch.column(2), n):
-                keys.append(mix(x ^ salt[i]))
-                docs.append(ids[i])
-                rows += len(x)
+            for node, x in _region_grams(batch, n):
+                seen = x if share >= 1 else x[x < np.uint64(int(share * 2**64))]
+                keys.append(seen)
+                nodes.append(node)
+                least.append(max(0, len(seen) - (len(x) - common_least(len(x), num, den))))
+                rows += len(seen) + 1
                 if rows >= CHUNK_ROWS:
-                    yield from counted(keys, docs)
-                    keys, docs, rows = [], [], 0
-        if docs:
-            yield from counted(keys, docs)
+                    yield from counted(keys, nodes, least)
+                    keys, nodes, least, rows = [], [], [], 0
+        if nodes:
+            yield from counted(keys, nodes, least)
 
     return task
 
 
 def _shared_task(batches):
-    """Sorted (key, doc_id, shared, size): (doc_id, shared, size) partly summed; an n-gram of two rows is shared.
+    """Sorted (key, node, shared, least): (node, shared, least) partly summed; an n-gram of two rows is shared.
 
     Holds a batch, a row, and sums of HELD_ROWS rows at most."""
     held: tuple[int, int | None] | None = None  # a key's only row so far
     last, rows = None, 0
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(doc, count, size):
-        parts.append((doc, count, size))
-        return len(doc)
+    def add(node, count, least):
+        parts.append((node, count, least))
+        return len(node)
 
     def summed():
-        doc, count, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-        d, at = np.unique(doc, return_inverse=True)
+        node, count, least = (np.concatenate(x) for x in zip(*parts, strict=True))
+        d, at = np.unique(node, return_inverse=True)
         z = np.zeros(len(d), np.int64)
-        np.maximum.at(z, at, size)
+        np.maximum.at(z, at, least)
         parts[:] = [(d, np.bincount(at, count, len(d)).astype(np.int64), z)]
         return len(d)
 
     def batch_of_sums():
-        return pa.record_batch([pa.array(x) for x in parts[0]], names=["doc_id", "shared", "size"])
+        return pa.record_batch([pa.array(x) for x in parts[0]], names=["node", "shared", "least"])
 
     for batch in batches:
-        shared, size = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        shared, least = batch.column(2).to_numpy(), batch.column(3).to_numpy()
         own = shared >= 0
-        rows += add(batch.column(1).fill_null(0).to_numpy()[own], shared[own], size[own])
+        rows += add(batch.column(1).fill_null(0).to_numpy()[own], shared[own], least[own])
         key = batch.column(0).to_numpy()[~own]
         known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)[~own]
         ids = batch.column(1).fill_null(0).to_numpy()[~own]
@@ -456,13 +474,64 @@ def _shared_task(batches):
         yield batch_of_sums()
 
 
-def linkable(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those rows (region, doc_id, text) that have num/den of their n-grams in common with others of their region."""
-    grams = rows.select("region", "doc_id", "text").mapInArrow(_shingle_rows_task(n), "key long, doc_id long, shared long, size long")
-    counts = grams.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_task, "doc_id long, shared long, size long")
-    counts = counts.groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.max("size").alias("size"))
-    stay = graph.cut(counts.where(F.col("shared") * den >= F.col("size") * num).select("doc_id"))
-    return rows.join(graph.small(stay), "doc_id")
+def texts_of(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """region, doc_id, text of stored ids (doc_id, region). repeated: whether rows of docs repeat a doc_id."""
+    texts = docs.join(graph.small(ids.select("doc_id", "region")), "doc_id").select("region", "doc_id", "text")
+    return texts.distinct() if repeated else texts
+
+
+def linkable(docs: DataFrame, ids: DataFrame, repeated: bool, n: int, num: int, den: int) -> DataFrame:
+    """Those stored ids (node, doc_id, region) whose sets have num/den of their n-grams in common with others of their region.
+
+    A linked set has less than 1 - num/den of its n-grams alone, of a share of them no more either: so most of the sets go
+    by a first pass over a share that is the same n-grams for all, and the pass over all n-grams has few sets left."""
+    first = FIRST_LOOK * (1 - num / den)
+    for share in (first, 1.0) if 0 < first < 0.7 else (1.0,):
+        grams = texts_of(docs, ids, repeated).select("region", "text").mapInArrow(
+            _shingle_rows_task(n, num, den, share), "key long, node long, shared long, least long",
+        )
+        counts = grams.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_task, "node long, shared long, least long")
+        counts = counts.groupBy("node").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
+        stay = graph.cut(counts.where("shared >= least").select("node"))
+        ids = graph.cut(ids.join(graph.small(stay), "node"))
+    return ids
+
+
+def _grams_task(n: int, num: int, den: int):
+    """Rows (key, node, least): the n-grams of sets in regions, and how many of a set's have to be common for it to link."""
+
+    def task(batches):
+        for batch in batches:
+            keys, nodes, least, rows = [], [], [], 0
+            for node, x in _region_grams(batch, n):
+                keys.append(x.view(np.int64))
+                nodes.append(node)
+                least.append(common_least(len(x), num, den))
+                rows += len(x)
+            if rows:
+                key, size = np.concatenate(keys), [len(x) for x in keys]
+                node, needs = np.repeat(np.array(nodes, np.int64), size), np.repeat(np.array(least, np.int64), size)
+                for i in range(0, rows, 50_000):
+                    j = slice(i, i + 50_000)
+                    yield pa.record_batch([pa.array(key[j]), pa.array(node[j]), pa.array(needs[j])], names=["key", "node", "least"])
+
+    return task
+
+
+def rare_regions(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """node, component of sets (region, text) that may link, directly or by others, by the order of how many sets have an n-gram.
+
+    Of size - least + 1 n-grams that come first in one order of all n-grams, linked sets have their first common one. N-grams
+    that one set has alone come before all others and are left out: that is as many places less."""
+    grams = texts.select("region", "text").mapInArrow(_grams_task(n, num, den), "key long, node long, least long")
+    count = graph.cut(grams.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1"))
+    of_set = Window.partitionBy("node")
+    ranked = grams.join(count, "key").withColumns({
+        "place": F.row_number().over(of_set.orderBy("sets", "key")), "held": F.count("*").over(of_set),
+    })
+    first = graph.cut(ranked.where("place <= held - least + 1").select("key", "node"))
+    lead = first.groupBy("key").agg(F.min("node").alias("b"))
+    return graph.components(first.join(lead, "key").where("node <> b").select(F.col("node").alias("a"), "b"))
 
 
 def _voronoi(rows: DataFrame, n: int, num: int, den: int, leaf_rows: int, leaf_bytes: int, rounds: int = 4) -> list[DataFrame]:
@@ -539,12 +608,12 @@ def _voronoi(rows: DataFrame, n: int, num: int, den: int, leaf_rows: int, leaf_b
     return links
 
 
-def _parted(texts: DataFrame, leaf_rows: int, leaf_bytes: int) -> tuple[DataFrame, DataFrame, bool]:
-    """texts (region, doc_id, text) of regions of several sets: those that fit a task, the larger ones, and whether there are any."""
-    sized = texts.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    sized = graph.cut(sized.where("n > 1").withColumn("big", (F.col("n") > leaf_rows) | (F.col("chars") * 4 > leaf_bytes)).select("region", "big"))
-    marked = texts.join(graph.small(sized), "region")
-    return marked.where("not big").drop("big"), marked.where("big").drop("big"), sized.where("big").limit(1).count() > 0
+def _parted(ids: DataFrame, leaf_rows: int, leaf_bytes: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Stored ids (node, doc_id, chars, region) of regions of several sets: those that fit a task, the larger ones, and whether there are any."""
+    sized = ids.groupBy("region").agg(F.count("*").alias("n"), F.sum("chars").alias("all_chars"))
+    sized = graph.cut(sized.where("n > 1").withColumn("big", (F.col("n") > leaf_rows) | (F.col("all_chars") * 4 > leaf_bytes)).select("region", "big"))
+    marked = ids.join(graph.small(sized), "region").select("node", "doc_id", "chars", "region", "big")
+    return graph.cut(marked.where("not big").drop("big")), graph.cut(marked.where("big").drop("big")), sized.where("big").limit(1).count() > 0
 
 
 def jaccard_classes(
@@ -560,31 +629,27 @@ def jaccard_classes(
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = graph.cut(shingle_table(docs, n))
-    distinct = sets.where("digest is not null and doc_id is not null").groupBy("digest", "node").agg(F.min("doc_id").alias("rep"))
-    region = graph.cut(regions(docs.where("doc_id is not null"), n, num, den))
-    reps = graph.cut(distinct.join(graph.small(region), "node").select(F.col("rep").alias("doc_id"), F.col("component").alias("region")))
-    texts = graph.cut(docs.join(graph.small(reps), "doc_id").select("region", "doc_id", "text").distinct())
-    leaf = lambda df: df.select("region", "doc_id", "text", F.lit(True).alias("probe"), F.lit(True).alias("within")).groupBy("region").applyInArrow(_leaf_task(n, num, den), "a long, b long")
-    fit, rest, more = _parted(texts, leaf_rows, leaf_bytes)
-    links = [leaf(fit)]
+    known = sets.where("digest is not null and doc_id is not null")
+    repeated = known.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    distinct = known.groupBy("digest", "node").agg(F.min("doc_id").alias("rep"), F.max("chars").alias("chars"))
+    in_region = lambda df: graph.cut(distinct.join(graph.small(graph.cut(df.withColumnRenamed("component", "region"))), "node").select("node", F.col("rep").alias("doc_id"), "chars", "region"))
+    fit, rest, more = _parted(in_region(regions(docs.where("doc_id is not null"), n, num, den)), leaf_rows, leaf_bytes)
     if more:
-        rest = graph.cut(linkable(rest, n, num, den))
-        anew = graph.cut(regions(rest, n, num, den).select("node", F.col("component").alias("region")))
-        anew = graph.cut(distinct.join(graph.small(anew), "node").select(F.col("rep").alias("doc_id"), "region"))
-        fit, rest, more = _parted(
-            graph.cut(rest.drop("region").join(graph.small(anew), "doc_id").select("region", "doc_id", "text").distinct()),
-            leaf_rows, leaf_bytes,
-        )
-        links.append(leaf(fit))
+        rest = graph.cut(texts_of(docs, linkable(docs, rest, repeated, n, num, den), repeated))
+        again, rest, more = _parted(in_region(rare_regions(rest, n, num, den)), leaf_rows, leaf_bytes)
+        fit = graph.cut(fit.unionByName(again))
+    links = [texts_of(docs, fit, repeated).select(
+        "region", "doc_id", "text", F.lit(True).alias("probe"), F.lit(True).alias("within"),
+    ).groupBy("region").applyInArrow(_leaf_task(n, num, den), "a long, b long")]
     if more:
-        links += _voronoi(graph.cut(rest.select("region", "doc_id", "text")), n, num, den, leaf_rows, leaf_bytes)
+        links += _voronoi(graph.cut(texts_of(docs, rest, repeated)), n, num, den, leaf_rows, leaf_bytes)
     pairs = links[0]
     for x in links[1:]:
         pairs = pairs.unionByName(x)
     joined = graph.cut(graph.components(pairs))
     joined = joined.where("node <> component").select(F.col("node").alias("rep"), "component")
     of_rep = distinct.join(graph.small(joined), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return sets.drop("node").join(of_rep, "digest", "left").select(
+    return sets.drop("node", "chars").join(of_rep, "digest", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         "digest",
     )

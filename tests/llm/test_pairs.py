@@ -3,12 +3,13 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from common import corpus, docs
+from common import corpus, docs, words
 from framelake.llm import graph, jaccard, lines
 
 
@@ -55,6 +56,41 @@ def test_one_document_of_each_class_stays(spark):
     assert sorted(k for k in kept if k is not None) == sorted({c for _, c in want.values()}) and kept.count(None) == 1
 
 
+def test_passages_that_all_share_make_no_large_region(spark, monkeypatch):
+    """Pairs of near copies around one passage are parted by their rare n-grams; before, all were one region for the Voronoi cells."""
+    monkeypatch.setattr(jaccard, "_voronoi", lambda *_: pytest.fail("a large region is left"))
+    rng = random.Random(3)
+    passage, rows = words(rng, 40, 10_000), []
+    for i in range(60):
+        own = words(rng, 60, 10_000)
+        rows += [(2 * i, f"{own} {passage}"), (2 * i + 1, f"{own} x{i} {passage}" if i % 3 else f"{words(rng, 60, 10_000)} {passage}")]
+    got = jaccard.jaccard_classes(docs(spark, rows), 5, 80, 100, leaf_rows=20).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(rows, 5, 80, 100)
+
+
+def test_large_regions_keep_the_links_of_both_texts_of_a_doc_id(spark):
+    rng = random.Random(4)
+    passage = words(rng, 40, 10_000)
+    own = [words(rng, 60, 10_000) for _ in range(30)]
+    rows = [(i, f"{x} {passage}") for i, x in enumerate(own)] + [(30, f"{own[7]} x {passage}"), (30, f"{passage} {words(rng, 300, 10_000)}")]
+    got = jaccard.jaccard_classes(docs(spark, rows), 5, 80, 100, leaf_rows=10).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 7 if i == 30 else i for i in range(31)}
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in found.split("\n") if "shuffle_" in x}
+
+    before = files()
+    got = graph.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert got.agg(F.sum("count")).first()[0] == 1000 and spark.conf.get(graph.FREE, None) in (None, "false")
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert jaccard.jaccard_classes(none).count() == 0 and jaccard.keep_one(none).count() == 0
